@@ -1,0 +1,108 @@
+"""Compare registered Spark queries with their DuckDB oracle SQL.
+
+Usage: python tests/oracle_compare.py [sf_dir] [name ...]
+Checks row count, column names and an order-insensitive hash of the values.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+import hashlib
+import math
+import sys
+import time
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+    "labels conversations"
+).split()
+
+
+def duck(sf_dir: str):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return repr(v)
+    if isinstance(v, decimal.Decimal):
+        return repr(float(v))
+    if isinstance(v, dt.datetime):
+        return v.replace(tzinfo=None).isoformat()
+    if isinstance(v, (dt.date, bool, int, str)):
+        return str(v) if not isinstance(v, bool) else ("true" if v else "false")
+    return str(v)
+
+
+def digest(cols, rows):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    lines = sorted("\x1f".join(str(norm(r[i])) for i in order) for r in rows)
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
+
+
+def compare(spark, con, name, fn, sql_text, sf_dir):
+    t0 = time.time()
+    sdf = fn(spark, sf_dir)
+    srows = [tuple(r) for r in sdf.collect()]
+    scols = sdf.columns
+    t1 = time.time()
+    rel = con.sql(sql_text)
+    dcols = rel.columns
+    drows = rel.fetchall()
+    t2 = time.time()
+    ok_cols = sorted(scols) == sorted(dcols)
+    sh, slines = digest(scols, srows)
+    dh, dlines = digest(dcols, drows)
+    status = "OK" if (ok_cols and len(srows) == len(drows) and sh == dh) else "MISMATCH"
+    detail = ""
+    if status != "OK":
+        if not ok_cols:
+            detail = f"cols spark={sorted(scols)} duck={sorted(dcols)}"
+        else:
+            only_s = sorted(set(slines) - set(dlines))[:3]
+            only_d = sorted(set(dlines) - set(slines))[:3]
+            detail = f"rows {len(srows)} vs {len(drows)}; spark-only {only_s}; duck-only {only_d}"
+    print(f"{status:8s} {name:45s} rows={len(srows):7d} spark={t1 - t0:6.2f}s duck={t2 - t1:5.2f}s {detail}",
+          flush=True)
+    return status == "OK"
+
+
+def main(argv):
+    sys.path.insert(0, ".")
+    import __spark_entry__ as E
+    from vigil.session import get_session
+
+    sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
+    names = argv[2:]
+    spark = get_session("oracle-compare", master="local[8]", shuffle_partitions=8,
+                        extra={"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark.sparkContext.setLogLevel("ERROR")
+    con = duck(sf_dir)
+    qs, oracle = E.queries(), E.oracle_sql()
+    bad = []
+    for name in names or sorted(qs):
+        if name not in oracle:
+            print(f"NO-SQL   {name}")
+            continue
+        try:
+            if not compare(spark, con, name, qs[name], oracle[name], sf_dir):
+                bad.append(name)
+        except Exception as exc:  # noqa: BLE001
+            print(f"ERROR    {name}: {str(exc)[:600]}")
+            bad.append(name)
+    print(f"{len(bad)} failing: {bad}")
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv))
