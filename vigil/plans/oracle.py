@@ -342,7 +342,7 @@ _PRED_SQL = {
     "q_pred_ends_with": "suffix(lower(message), 'ms')",
     "q_pred_level_ge": "level_order >= 3",
     "q_pred_ts_rfc3339": f"timestamp_ns >= {_ts_ns(C.TS_FROM)} and timestamp_ns < {_ts_ns(C.TS_TO)}",
-    "q_pred_ts_epoch": f"timestamp_ns < {C.EPOCH_SECONDS} * 1000000000",
+    "q_pred_ts_epoch": f"timestamp_ns < cast({C.EPOCH_SECONDS} as bigint) * 1000000000",
     "q_pred_attr_string": "lower(attr_type) = 'error' or starts_with(lower(attr_type), 'pur')",
     "q_pred_attr_int": "attr_k is null or attr_k <> 50 or attr_k < 10",
     "q_pred_attr_float": "attr_value > 250.5 or coalesce(cast(attr_k as double) <= 3.0, false)",
