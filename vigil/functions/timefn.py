@@ -51,5 +51,7 @@ def ns_to_ms(ns: Column | str) -> Column:
 
 
 def age_days(as_of: Column, oldest: Column) -> Column:
-    """Whole seconds between ``oldest`` and ``as_of`` divided by 86400."""
-    return (F.unix_seconds(as_of) - F.unix_seconds(oldest)).cast("double") / F.lit(float(SECONDS_PER_DAY))
+    """The whole seconds of ``as_of - oldest`` (truncated) divided by 86400."""
+    micros = F.unix_micros(as_of) - F.unix_micros(oldest)
+    whole_seconds = F.when(micros >= 0, F.floor(micros / 1_000_000)).otherwise(F.ceil(micros / 1_000_000))
+    return whole_seconds.cast("double") / F.lit(float(SECONDS_PER_DAY))

@@ -49,6 +49,12 @@ def truncate_table(spark: SparkSession, path: str, kind: str) -> None:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
 
-def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """Read a stored table back; ``dt`` is recovered as a partition column."""
-    return spark.read.parquet(path)
+def read_stored(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Read a stored table back; ``dt`` is recovered as a partition column.
+
+    With ``kind`` the schema is given rather than inferred, so an empty
+    (truncated) table reads as zero rows.
+    """
+    if kind is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(f"{SCHEMAS[kind]}, dt date").parquet(path)
