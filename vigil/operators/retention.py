@@ -132,3 +132,15 @@ def renormalize_logs(logs: DataFrame) -> DataFrame:
     """M8: recompute ``normalized_message`` after a rule change (A5/A6 are then
     rebuilt from the result by :func:`vigil.operators.rollups.log_count_rollup`)."""
     return logs.withColumn("normalized_message", normalize_message("message"))
+
+
+def rebuild_log_rollups(spark: SparkSession, logs_path: str, out_root: str, tiers=("1hour", "1day")) -> None:
+    """M8: after a rule change, re-normalise the stored logs and rebuild the log
+    rollups (overwrites each tier's ``dt`` partitions present in the logs)."""
+    from vigil.operators.rollups import log_count_rollup
+
+    logs = renormalize_logs(spark.read.parquet(logs_path))
+    for tier in tiers:
+        log_count_rollup(logs, tier).withColumn("dt", F.to_date("timestamp")).write.mode("overwrite").partitionBy(
+            "dt"
+        ).parquet(f"{out_root.rstrip('/')}/logs_{tier}_counts")

@@ -67,7 +67,9 @@ def spans_from_events(events: DataFrame) -> DataFrame:
     """Spans: one trace per user-day, rooted at its first event (view ``spans``)."""
     keyed = events.selectExpr(f"{_DAYKEY} as trace_id", "event_id", "ts", "event_type", "value")
     roots = keyed.groupBy("trace_id").agg(F.min("event_id").alias("_root_id"))
-    return keyed.join(roots, "trace_id").selectExpr(
+    # Left join on a unique-key aggregate: when a query does not use
+    # parent_span_id, Catalyst removes the join and the aggregate entirely.
+    return keyed.join(roots, "trace_id", "left").selectExpr(
         "trace_id",
         "cast(event_id as string) as span_id",
         "case when event_id = _root_id then cast(null as string) else cast(_root_id as string) end as parent_span_id",
