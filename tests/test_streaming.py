@@ -81,7 +81,7 @@ def test_streaming_ingest_recompute_is_exact(spark, tmp_dir):
     def run(name):
         stream = spark.readStream.schema(native_json.schemas.NATIVE_LOG).json(inbox)
         q = ingest.start_ingest(stream, "logs", validate, f"{tmp_dir}/raw", f"{tmp_dir}/quarantine",
-                                f"{tmp_dir}/rollups", name, available_now=True)
+                                f"{tmp_dir}/rollups", name, available_now=True, checkpoint=f"{tmp_dir}/ck")
         q.awaitTermination(300)
 
     run("ingest_test")

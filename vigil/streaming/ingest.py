@@ -76,11 +76,15 @@ def start_ingest(
     name: str,
     available_now: bool = False,
     tiers=None,
+    checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Run M3 ingest + M2 recompute as one checkpointed streaming query."""
+    """Run M3 ingest + M2 recompute as one checkpointed streaming query.
+
+    The checkpoint defaults to ``<spark.checkpoint.dir>/<name>``.
+    """
     spark = stream.sparkSession
     configure(spark)
-    location = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()  # read once, used by the two writes and the day scan
