@@ -84,3 +84,18 @@ def test_pattern_grouping(spark):
         for r in df.groupBy(normalize_message("message").alias("p")).agg(F.count("*").alias("c")).collect()
     }
     assert got == {"Error at <TIMESTAMP>: Connection failed": 3, "Warning: Low memory": 1}
+
+
+def test_random_strings_match_re2(spark):
+    """Differential test: the Java forms equal the RE2 rules on adversarial text."""
+    import random
+
+    rnd = random.Random(7)
+    alphabet = list("0123456789abcdefABCxX.-@/:_ TZéé١\x0b\t") + ["http://", "./", "2024-01-02T03:04:05", "user@ex.com"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, message string")
+    got = {r.i: r.n for r in df.select("i", normalize_message("message").alias("n")).collect()}
+    con = duckdb.connect()
+    for i, t in enumerate(texts):
+        want = con.execute(f"select {duckdb_normalize_sql('?')}", [t]).fetchall()[0][0]
+        assert got[i] == want, repr(t)

@@ -28,22 +28,36 @@ NORMALIZATION_RULES: tuple[tuple[str, str, str], ...] = (
     ("INT", r"\b-?\d+", "<NUM>"),
 )
 
-# The rules are written for RE2, whose ``\b`` is an ASCII word boundary. On
-# JDK 17 ``\b`` also treats non-ASCII letters as word characters ("é5" would
-# keep its digit), so for Java the boundary is spelled out over ASCII ``\w``.
-_ASCII_WORD = "[A-Za-z0-9_]"
-_ASCII_BOUNDARY = (
-    f"(?:(?<={_ASCII_WORD})(?!{_ASCII_WORD})|(?<!{_ASCII_WORD})(?={_ASCII_WORD}))"
-)
-
-
-def java_pattern(re2_pattern: str) -> str:
-    """Translate one rule to java.util.regex with RE2's ASCII ``\\b``."""
-    return re2_pattern.replace(r"\b", _ASCII_BOUNDARY)
-
+# The rules above are RE2 patterns, where ``\b`` is an ASCII word boundary.
+# On JDK 17 ``\b`` also treats non-ASCII letters as word characters ("é5"
+# would keep its digit), so Spark (java.util.regex) runs the equivalent forms
+# below. Each ``\b`` sits next to an atom of known class, so it reduces to one
+# test on the neighbouring character: a rule starts by matching its first
+# character and then checks the character before it with a fixed-length
+# lookbehind (cheap to reject at most positions); a trailing ``\b`` after a
+# word character becomes ``(?!W)``; ``\s`` is spelled as RE2's set (no
+# vertical tab). ``[\w.-]*+`` before ``@`` is possessive:
+# its class cannot match ``@``, so giving characters back never helps.
+# Equivalence is checked against DuckDB (RE2) on the golden cases and on every
+# document of the test tables (tests/test_normalize.py, q_normalize_documents).
+_W = "[A-Za-z0-9_]"
+_END = f"(?!{_W})"
+_SIGNED_DIGIT = f"(?:-(?<={_W}-)\\d|\\d(?<!{_W}\\d))"  # \b-?\d as "first digit" form
+JAVA_PATTERNS: dict[str, str] = {
+    "TIMESTAMP": NORMALIZATION_RULES[0][1],
+    "UUID": f"[0-9a-fA-F](?<!{_W}[0-9a-fA-F])[0-9a-fA-F]{{7}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}{_END}",
+    "IPV4": f"\\d(?<!{_W}\\d)\\d{{0,2}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}{_END}",
+    "IPV6": f"[0-9a-fA-F](?<!{_W}[0-9a-fA-F])[0-9a-fA-F]{{0,3}}:(?:[0-9a-fA-F]{{1,4}}:){{6}}[0-9a-fA-F]{{1,4}}{_END}",
+    "HEX": f"0(?<!{_W}0)x[0-9a-fA-F]+{_END}",
+    "URL": NORMALIZATION_RULES[5][1],
+    "EMAIL": f"(?:{_W}(?<!{_W}{_W})|[.-](?<={_W}[.-]))[\\w.-]*+@[\\w.-]+\\.\\w{{2,}}{_END}",
+    "PATH": "(?:^|[\\t\\n\\f\\r ])(\\./|/)[\\w./-]+",  # RE2's \\s has no \\x0B
+    "FLOAT": f"{_SIGNED_DIGIT}\\d*\\.\\d+",
+    "INT": f"{_SIGNED_DIGIT}\\d*",
+}
 
 JAVA_RULES: tuple[tuple[str, str, str], ...] = tuple(
-    (name, java_pattern(pattern), repl) for name, pattern, repl in NORMALIZATION_RULES
+    (name, JAVA_PATTERNS[name], repl) for name, _, repl in NORMALIZATION_RULES
 )
 
 
