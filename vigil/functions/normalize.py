@@ -61,21 +61,43 @@ JAVA_RULES: tuple[tuple[str, str, str], ...] = tuple(
 )
 
 
+# A match of each of these rules must contain the given literal, and no
+# replacement text contains any of them — so if the original message has none
+# of the literals, those seven rules are the identity at every step and only
+# the IPV4 / FLOAT / INT rules need to run. (Most prose has none of them.)
+RULE_LITERALS = {"TIMESTAMP": ":", "UUID": "-", "IPV6": ":", "HEX": "0x", "URL": "://", "EMAIL": "@", "PATH": "/"}
+
+
+def _fold(col: Column, rules) -> Column:
+    for _, pattern, repl in rules:
+        col = F.regexp_replace(col, F.lit(pattern), F.lit(repl))
+    return col
+
+
 def normalize_message(message: Column | str) -> Column:
     """Column expression: the normalised pattern of ``message``."""
     col = F.col(message) if isinstance(message, str) else message
-    for _, pattern, repl in JAVA_RULES:
-        col = F.regexp_replace(col, F.lit(pattern), F.lit(repl))
-    return col
+    short = [r for r in JAVA_RULES if r[0] not in RULE_LITERALS]
+    needs_all = None
+    for literal in sorted(set(RULE_LITERALS.values())):
+        has = F.instr(col, literal) > 0
+        needs_all = has if needs_all is None else needs_all | has
+    return F.when(needs_all, _fold(col, JAVA_RULES)).otherwise(_fold(col, short))
 
 
 def normalize_sql(arg: str = "msg") -> str:
-    """The same fold as a Spark SQL expression over ``arg``."""
-    expr = arg
-    for _, pattern, repl in JAVA_RULES:
-        quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        expr = f"regexp_replace({expr}, '{quoted}', '{repl}')"
-    return expr
+    """The same expression as Spark SQL text over ``arg``."""
+
+    def fold(rules) -> str:
+        expr = arg
+        for _, pattern, repl in rules:
+            quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+            expr = f"regexp_replace({expr}, '{quoted}', '{repl}')"
+        return expr
+
+    short = [r for r in JAVA_RULES if r[0] not in RULE_LITERALS]
+    cond = " or ".join(f"instr({arg}, '{lit}') > 0" for lit in sorted(set(RULE_LITERALS.values())))
+    return f"case when {cond} then {fold(JAVA_RULES)} else {fold(short)} end"
 
 
 def register_normalize_function(spark: SparkSession, name: str = "normalize_log_message") -> str:
