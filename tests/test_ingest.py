@@ -209,3 +209,30 @@ def test_model_helpers(spark):
     rows = df.collect()
     assert [r.root for r in rows] == [False, True]
     assert rows[0].t == {"a": '"x"', "b": "2", "c": "[1]"} or rows[0].t["a"] == '"x"'
+
+
+def test_otlp_anyvalue_nesting_and_empty(spark, tmp_dir):
+    deep = {"arrayValue": {"values": [
+        {"kvlistValue": {"values": [kv("a", arrayValue={"values": [{"intValue": "1"}, {"doubleValue": 2.5}, {}]}),
+                                    {"key": "skip"}]}},
+        {"boolValue": False},
+    ]}}
+    five = {"arrayValue": {"values": [{"arrayValue": {"values": [{"arrayValue": {"values": [
+        {"arrayValue": {"values": [{"arrayValue": {"values": [{"intValue": "9"}]}}]}}]}}]}}]}}
+    req = {"resourceLogs": [{"scopeLogs": [{"scope": {"name": "s"}, "logRecords": [
+        {"body": {"stringValue": "x"},
+         "attributes": [kv("deep", **deep), kv("empty"), kv("five", **five), kv("nan", doubleValue="NaN"),
+                        kv("bytes", bytesValue="aGVsbG8=")]}]}]}]}
+    valid, _ = otlp.ingest_otlp_logs(spark, write(f"{tmp_dir}/deep", "d.json", req))
+    r = valid.select(
+        F.to_json(F.col("attributes")["deep"]).alias("deep"),
+        F.to_json(F.col("attributes")["empty"]).alias("empty"),
+        F.to_json(F.col("attributes")["five"]).alias("five"),
+        F.col("attributes")["nan"].isNull().alias("nan_null"),
+        F.variant_get(F.col("attributes")["bytes"], "$", "string").alias("bytes"),
+    ).first()
+    assert r.deep == '[{"a":[1,2.5,null]},false]'
+    assert r.empty == "null"  # present without a value -> JSON null (not absent)
+    # four levels are unwrapped; the fifth stays as its OTLP JSON text
+    assert r.five.startswith('[[[[') and "intValue" in r.five
+    assert r.nan_null is True and r.bytes == "aGVsbG8="

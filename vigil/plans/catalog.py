@@ -13,12 +13,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.model import labels_key
 from vigil.functions.normalize import normalize_message
 from vigil.operators import counts, logs as logops, metrics as metricops, reports, rollups, traces
 from vigil.operators.predicates import And, Cond, Or, parse_rfc3339_ns, where_
 from vigil.operators.retention import apply_retention
 from vigil.session import configure
-from vigil.sources import views
+from vigil.plans import wire
+from vigil.sources import native_json, otlp, views
+from vigil.sources.validate import (
+    log_reject_reason,
+    metric_reject_reason,
+    reject_report,
+    span_reject_reason,
+    split_valid,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -481,5 +490,74 @@ def q_span_parent_child(spark, d):
     return traces.span_tree(views.spans(spark, d))
 
 
+# --- ingest I1–I8, O1–O7 (requests derived from the tables, one per row) ----------------------
+
+def _variant(col: str, key: str, typ: str):
+    return F.try_variant_get(F.col("attributes")[key], "$", typ).alias(col)
+
+
+@query
+def q_ingest_native_logs(spark, d):
+    """I1 + I7 + I14: native log requests parsed, defaulted and validated."""
+    valid, _ = split_valid(native_json.normalize_logs(wire.native_log_requests(views.logs(spark, d))),
+                           log_reject_reason())
+    return valid.select(_variant("log_id", "log_id", "bigint"), "timestamp_ns", "level", "message", "service",
+                        "trace_id", "span_id", _variant("k", "k", "bigint"), _variant("type", "type", "string"))
+
+
+@query
+def q_ingest_native_log_rejects(spark, d):
+    """I7 + I8: the quarantine report of the same requests."""
+    _, rejected = split_valid(native_json.normalize_logs(wire.native_log_requests(views.logs(spark, d))),
+                              log_reject_reason())
+    return reject_report(rejected)
+
+
+@query
+def q_ingest_native_spans(spark, d):
+    """Native span requests (end = start + duration_ms)."""
+    valid, _ = split_valid(native_json.normalize_spans(wire.native_span_requests(views.spans(spark, d))),
+                           span_reject_reason())
+    return valid.select("trace_id", "span_id", "parent_span_id", "name", "service", "kind", "status",
+                        "start_ns", "end_ns")
+
+
+@query
+def q_ingest_native_metrics(spark, d):
+    """Native metric requests."""
+    valid, _ = split_valid(native_json.normalize_metrics(wire.native_metric_requests(views.metrics(spark, d))),
+                           metric_reject_reason())
+    return valid.select("name", "metric_type", "value", "timestamp_ns", labels_key("labels").alias("labels_key"),
+                        "service")
+
+
+@query
+def q_ingest_otlp_logs(spark, d):
+    """I4 + O1–O7: OTLP log requests flattened (severity, hex ids, typed attributes, resource.*)."""
+    valid, _ = split_valid(otlp.flatten_logs(wire.otlp_log_requests(views.logs(spark, d))), log_reject_reason())
+    return valid.select(
+        _variant("log_id", "log_id", "bigint"), "timestamp_ns", "level", "message", "service", "trace_id", "span_id",
+        _variant("k", "k", "bigint"), _variant("type", "type", "string"), _variant("value", "value", "double"),
+        _variant("failed", "failed", "boolean"), _variant("host", "resource.host", "string"),
+    )
+
+
+@query
+def q_ingest_otlp_spans(spark, d):
+    """I6 + O5/O7: OTLP span requests flattened."""
+    valid, _ = split_valid(otlp.flatten_spans(wire.otlp_span_requests(views.spans(spark, d))), span_reject_reason())
+    return valid.select("trace_id", "span_id", "parent_span_id", "name", "service", "kind", "status", "start_ns",
+                        "end_ns", "duration_ns", _variant("operation", "operation", "string"))
+
+
+@query
+def q_ingest_otlp_metrics(spark, d):
+    """I5 + O3/O5/O7: OTLP gauge and monotonic-sum points flattened."""
+    valid, _ = split_valid(otlp.flatten_metrics(wire.otlp_metric_requests(views.metrics(spark, d))),
+                           metric_reject_reason())
+    return valid.select("name", "metric_type", "value", "timestamp_ns", labels_key("labels").alias("labels_key"),
+                        "service", "unit")
+
+
 def registry() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -410,5 +410,45 @@ from spans s left join (
 )
 
 
+# ingest round trips
+_EVERY = C.wire.INVALID_EVERY
+ORACLE["q_ingest_native_logs"] = sql(
+    f"""select log_id, timestamp_ns, level, message, service, trace_id, span_id, attr_k as k, attr_type as type
+from logs where log_id % {_EVERY} <> 0""",
+    "logs",
+)
+ORACLE["q_ingest_native_log_rejects"] = sql(
+    f"""select 'service must not be empty' as reject_reason, count(*) as rejected
+from logs where log_id % {_EVERY} = 0 having count(*) > 0""",
+    "logs",
+)
+ORACLE["q_ingest_native_spans"] = sql(
+    """select trace_id, span_id, parent_span_id, name, service, kind, status, start_ns,
+  start_ns + (duration_ns // 1000000) * 1000000 as end_ns
+from spans""",
+    "spans",
+)
+ORACLE["q_ingest_native_metrics"] = sql(
+    "select name, metric_type, value, timestamp_ns, labels_key, service from metrics", "metrics"
+)
+ORACLE["q_ingest_otlp_logs"] = sql(
+    """select log_id, timestamp_ns, level, message, service, lower(hex(trace_id)) as trace_id,
+  lower(hex(span_id)) as span_id, attr_k as k, attr_type as type, attr_value as value, attr_failed as failed,
+  'h-' || cast(log_id % 3 as varchar) as host
+from logs""",
+    "logs",
+)
+ORACLE["q_ingest_otlp_spans"] = sql(
+    """select lower(hex(trace_id)) as trace_id, lower(hex(span_id)) as span_id,
+  lower(hex(parent_span_id)) as parent_span_id, name, service, kind, status, start_ns, end_ns,
+  greatest(end_ns - start_ns, 0) as duration_ns, operation
+from spans""",
+    "spans",
+)
+ORACLE["q_ingest_otlp_metrics"] = sql(
+    "select name, metric_type, value, timestamp_ns, labels_key, service, '1' as unit from metrics", "metrics"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

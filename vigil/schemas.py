@@ -36,14 +36,20 @@ NATIVE_SPAN = (
     "status string, attributes map<string, variant>, duration_ms bigint, start_time string"
 )
 
-# OTLP/JSON export requests.
-KV = "array<struct<key: string, value: variant>>"
+# OTLP/JSON export requests. An AnyValue reads as a struct of its scalar
+# cases (plain columns, code-generated); only nested arrays / kvlists stay
+# VARIANT and are unwrapped recursively.
+ANY_VALUE = (
+    "struct<stringValue: string, boolValue: boolean, intValue: string, doubleValue: double, "
+    "bytesValue: string, arrayValue: variant, kvlistValue: variant>"
+)
+KV = f"array<struct<key: string, value: {ANY_VALUE}>>"
 RESOURCE = f"struct<attributes: {KV}>"
 SCOPE = "struct<name: string, version: string>"
 OTLP_LOGS = (
     f"resourceLogs array<struct<resource: {RESOURCE}, scopeLogs: array<struct<scope: {SCOPE}, "
     "logRecords: array<struct<timeUnixNano: string, observedTimeUnixNano: string, severityNumber: string, "
-    f"severityText: string, body: variant, attributes: {KV}, traceId: string, spanId: string>>>>>>"
+    f"severityText: string, body: {ANY_VALUE}, attributes: {KV}, traceId: string, spanId: string>>>>>>"
 )
 OTLP_SPANS = (
     f"resourceSpans array<struct<resource: {RESOURCE}, scopeSpans: array<struct<scope: {SCOPE}, "

@@ -45,42 +45,84 @@ def _now_ns() -> Column:
     return F.unix_micros(F.current_timestamp()) * F.lit(1000)
 
 
-def any_value(v: Column, depth: int = 0) -> Column:
-    """O1: an OTLP AnyValue (VARIANT) -> the plain JSON value as VARIANT.
-
-    string/bool/int/double/bytes map to scalars (int64 arrives as a JSON
-    string; non-finite doubles become null; bytes stay base64 text); arrays
-    and kvlists recurse up to MAX_ANYVALUE_DEPTH.
-    """
-    s = F.try_variant_get(v, "$.stringValue", "string")
-    b = F.try_variant_get(v, "$.boolValue", "boolean")
-    i = F.try_variant_get(v, "$.intValue", "bigint")
-    d = F.try_variant_get(v, "$.doubleValue", "double")
-    raw = F.try_variant_get(v, "$.bytesValue", "string")
-    has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
+def _choose(s, b, i, d, has_d, raw, arr_v, kv_v, depth: int, empty: Column | None) -> Column:
+    """Pick the populated AnyValue case (O1). ``empty`` is the result when no case is set."""
     finite = ~(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))))
-    if depth < MAX_ANYVALUE_DEPTH:
-        items = F.coalesce(F.try_variant_get(v, "$.arrayValue.values", "array<variant>"), F.array())
-        arr = F.to_variant_object(F.transform(items, lambda e: any_value(e, depth + 1)))
-        pairs = F.coalesce(
-            F.try_variant_get(v, "$.kvlistValue.values", "array<struct<key:string,value:variant>>"), F.array()
-        )
-        present = F.filter(pairs, lambda p: p["value"].isNotNull())
-        kv = F.to_variant_object(
-            F.map_from_entries(
-                F.transform(present, lambda p: F.struct(p["key"].alias("key"), any_value(p["value"], depth + 1).alias("value")))
-            )
-        )
-    else:
-        arr = kv = F.to_json(v).cast("variant")
-    return (
+    out = (
         F.when(s.isNotNull(), s.cast("variant"))
         .when(b.isNotNull(), b.cast("variant"))
         .when(i.isNotNull(), i.cast("variant"))
-        .when(has("doubleValue"), F.when(finite, d.cast("variant")))
+        .when(has_d, F.when(finite, d.cast("variant")))
         .when(raw.isNotNull(), raw.cast("variant"))
-        .when(has("arrayValue"), arr)
-        .when(has("kvlistValue"), kv)
+    )
+    if depth < MAX_ANYVALUE_DEPTH:
+        # Arrays and kvlists share one list of (key, value) entries and one JSON
+        # text assembly, so the recursive conversion appears once per level and the
+        # expression grows linearly with the depth.
+        is_array = arr_v.isNotNull()
+        items = F.try_variant_get(arr_v, "$.values", "array<variant>")
+        pairs = F.try_variant_get(kv_v, "$.values", "array<struct<key:string,value:variant>>")
+        entries = F.coalesce(
+            F.transform(items, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value"))),
+            F.filter(pairs, lambda p: p["value"].isNotNull()),
+            F.array().cast("array<struct<key:string,value:variant>>"),
+        )
+        parts = F.transform(
+            entries,
+            lambda p: F.concat(
+                F.when(is_array, F.lit("")).otherwise(F.concat(F.to_json(p["key"].cast("variant")), F.lit(":"))),
+                F.coalesce(F.to_json(_from_variant(p["value"], depth + 1)), F.lit("null")),
+            ),
+        )
+        nested = F.parse_json(
+            F.concat(
+                F.when(is_array, F.lit("[")).otherwise(F.lit("{")),
+                F.array_join(parts, ","),
+                F.when(is_array, F.lit("]")).otherwise(F.lit("}")),
+            )
+        )
+    else:  # deeper levels stay as their OTLP JSON text
+        nested = F.to_json(F.coalesce(arr_v, kv_v)).cast("variant")
+    out = out.when(arr_v.isNotNull() | kv_v.isNotNull(), nested)
+    return out if empty is None else out.otherwise(empty)
+
+
+def _from_variant(v: Column, depth: int) -> Column:
+    """A nested AnyValue (held as VARIANT inside an array / kvlist) -> JSON VARIANT."""
+    get = lambda path, typ: F.try_variant_get(v, path, typ)
+    return _choose(
+        get("$.stringValue", "string"),
+        get("$.boolValue", "boolean"),
+        get("$.intValue", "bigint"),
+        get("$.doubleValue", "double"),
+        get("$.doubleValue", "variant").isNotNull(),
+        get("$.bytesValue", "string"),
+        get("$.arrayValue", "variant"),
+        get("$.kvlistValue", "variant"),
+        depth,
+        F.parse_json(F.lit("null")),
+    )
+
+
+def any_value(av: Column, empty_is_null: bool = False) -> Column:
+    """O1: an OTLP AnyValue struct -> its plain JSON value as VARIANT.
+
+    string/bool/int/double/bytes map to scalars (int64 arrives as a JSON string;
+    non-finite doubles become null; bytes stay base64 text); arrays and kvlists
+    recurse up to MAX_ANYVALUE_DEPTH. A value with no case set is JSON null, or
+    SQL NULL with ``empty_is_null`` (a log body).
+    """
+    return _choose(
+        av["stringValue"],
+        av["boolValue"],
+        av["intValue"].try_cast("bigint"),
+        av["doubleValue"],
+        av["doubleValue"].isNotNull(),
+        av["bytesValue"],
+        av["arrayValue"],
+        av["kvlistValue"],
+        0,
+        None if empty_is_null else F.when(av.isNotNull(), F.parse_json(F.lit("null"))),
     )
 
 
@@ -95,7 +137,7 @@ def string_attributes(kvs: Column) -> Column:
     """O3: metric labels keep string-valued attributes only."""
     strs = F.transform(
         F.coalesce(kvs, F.array()),
-        lambda kv: F.struct(kv["key"].alias("key"), F.try_variant_get(kv["value"], "$.stringValue", "string").alias("value")),
+        lambda kv: F.struct(kv["key"].alias("key"), kv["value"]["stringValue"].alias("value")),
     )
     return F.map_from_entries(F.filter(strs, lambda kv: kv["value"].isNotNull()))
 
@@ -103,7 +145,7 @@ def string_attributes(kvs: Column) -> Column:
 def resource_service(resource: Column) -> Column:
     """The resource's ``service.name`` when it is a string, else NULL."""
     named = F.filter(F.coalesce(resource["attributes"], F.array()), lambda kv: kv["key"] == F.lit(SERVICE_NAME_KEY))
-    return F.try_variant_get(F.try_element_at(named, F.lit(-1))["value"], "$.stringValue", "string")
+    return F.try_element_at(named, F.lit(-1))["value"]["stringValue"]
 
 
 def resource_attributes(resource: Column) -> Column:
@@ -163,6 +205,17 @@ def span_status(code: Column) -> Column:
     return F.when(F.coalesce(is_error, F.lit(False)), F.lit("error")).otherwise(F.lit("ok"))
 
 
+def unnest(df: DataFrame, array_col: str, keep: list[str]) -> DataFrame:
+    """One row per element of ``array_col`` (struct fields expanded), empty arrays dropped.
+
+    Written with ``posexplode_outer`` + a position filter rather than ``inline``:
+    the result is the same, but no ``size(...) > 0`` filter is inferred and pushed
+    below the input's projection (which would evaluate a computed request twice).
+    """
+    out = df.select(*keep, F.posexplode_outer(array_col).alias("_pos", "_elem"))
+    return out.where(F.col("_pos").isNotNull()).select(*keep, "_elem.*")
+
+
 def read_otlp(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     configure(spark)
     return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
@@ -170,13 +223,10 @@ def read_otlp(spark: SparkSession, path: str, schema: str, multi_line: bool = Tr
 
 def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     """I4: ExportLogsServiceRequest rows -> LogEntry rows (+ ``reject_reason``)."""
-    recs = (
-        requests.select(F.inline("resourceLogs"))
-        .select("resource", F.inline("scopeLogs"))
-        .select("resource", "scope", F.inline("logRecords"))
-    )
+    recs = unnest(unnest(unnest(requests, "resourceLogs", []), "scopeLogs", ["resource"]), "logRecords",
+                  ["resource", "scope"])
     body_text = F.coalesce(
-        F.try_variant_get("body", "$.stringValue", "string"), F.to_json(any_value(F.col("body"))), F.lit("")
+        F.col("body.stringValue"), F.to_json(any_value(F.col("body"), empty_is_null=True)), F.lit("")
     )
     ts_ns = _nanos(F.col("timeUnixNano"), zero_is_now=True)
     out = recs.select(
@@ -194,11 +244,8 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
 
 def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     """ExportTraceServiceRequest rows -> Span rows."""
-    recs = (
-        requests.select(F.inline("resourceSpans"))
-        .select("resource", F.inline("scopeSpans"))
-        .select("resource", "scope", F.inline("spans"))
-    )
+    recs = unnest(unnest(unnest(requests, "resourceSpans", []), "scopeSpans", ["resource"]), "spans",
+                  ["resource", "scope"])
     start = _nanos(F.col("startTimeUnixNano"), zero_is_now=False)
     end = _nanos(F.col("endTimeUnixNano"), zero_is_now=False)
     name = F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, F.lit("unknown")).otherwise(F.col("name"))
@@ -230,7 +277,55 @@ def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     return out.withColumn("dt", F.to_date("ts"))
 
 
-def _metric_rows(points: DataFrame, metric_type: Column, value: Column, buckets: Column, hist_count: Column) -> DataFrame:
+_POINT = (
+    f"struct<metric_type: string, attributes: {schemas.KV}, timeUnixNano: string, value: double, "
+    f"buckets: array<{schemas.BUCKET}>, hist_count: bigint>"
+)
+
+
+def _points(points: Column, to_point) -> Column:
+    return F.transform(F.coalesce(points, F.array()), to_point)
+
+
+def flatten_metrics(requests: DataFrame) -> DataFrame:
+    """Gauge / sum / histogram points -> Metric rows.
+
+    The three point kinds of a metric are mapped to one struct and exploded
+    together, so each request is read once. Exponential histograms and
+    summaries are not converted (the reference drops them with a warning);
+    :func:`unsupported_metric_points` counts them.
+    """
+    scopes = unnest(unnest(requests, "resourceMetrics", []), "scopeMetrics", ["resource"])
+    metrics = unnest(scopes.select("resource", F.col("metrics")), "metrics", ["resource"]).select(
+        "resource", F.struct("name", "unit", "description", "gauge", "sum", "histogram").alias("m")
+    )
+    no_buckets = F.lit(None).cast(f"array<{schemas.BUCKET}>")
+    no_count = F.lit(None).cast("bigint")
+
+    def number(kind: Column):
+        return lambda p: F.struct(
+            kind.alias("metric_type"), p["attributes"].alias("attributes"), p["timeUnixNano"].alias("timeUnixNano"),
+            F.coalesce(p["asDouble"], p["asInt"].cast("double")).alias("value"), no_buckets.alias("buckets"),
+            no_count.alias("hist_count"),
+        )
+
+    monotonic = F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))
+    histogram = lambda p: F.struct(
+        F.lit("histogram").alias("metric_type"), p["attributes"].alias("attributes"),
+        p["timeUnixNano"].alias("timeUnixNano"), F.coalesce(p["sum"], F.lit(0.0)).alias("value"),
+        zip_buckets(F.coalesce(p["explicitBounds"], F.array().cast("array<double>")),
+                    F.coalesce(p["bucketCounts"], F.array().cast("array<string>"))).alias("buckets"),
+        p["count"].cast("bigint").alias("hist_count"),
+    )
+    points = F.concat(
+        _points(F.col("m.gauge.dataPoints"), number(F.lit("gauge"))),
+        _points(F.col("m.sum.dataPoints"), number(F.when(monotonic, F.lit("counter")).otherwise(F.lit("gauge")))),
+        _points(F.col("m.histogram.dataPoints"), histogram),
+    ).cast(f"array<{_POINT}>")
+    rows = (
+        metrics.select("resource", "m", F.posexplode_outer(points).alias("_pos", "p"))
+        .where(F.col("_pos").isNotNull() & F.col("p.value").isNotNull())
+    )
     ts_ns = _nanos(F.col("p.timeUnixNano"), zero_is_now=True)
     svc = resource_service(F.col("resource"))
     labels = F.map_concat(
@@ -239,52 +334,18 @@ def _metric_rows(points: DataFrame, metric_type: Column, value: Column, buckets:
             F.create_map().cast("map<string,string>")
         ),
     )
-    return points.select(
+    out = rows.select(
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         F.col("m.name").alias("name"),
-        metric_type.alias("metric_type"),
-        value.alias("value"),
-        buckets.alias("buckets"),
-        hist_count.alias("hist_count"),
+        F.col("p.metric_type").alias("metric_type"),
+        F.col("p.value").alias("value"),
+        F.col("p.buckets").alias("buckets"),
+        F.col("p.hist_count").alias("hist_count"),
         labels.alias("labels"),
         F.nullif(F.col("m.description"), F.lit("")).alias("description"),
         F.nullif(F.col("m.unit"), F.lit("")).alias("unit"),
     )
-
-
-def flatten_metrics(requests: DataFrame) -> DataFrame:
-    """Gauge / sum / histogram points -> Metric rows.
-
-    Exponential histograms and summaries are not converted (the reference
-    drops them with a warning); :func:`unsupported_metric_points` counts them.
-    """
-    metrics = (
-        requests.select(F.inline("resourceMetrics"))
-        .select("resource", F.inline("scopeMetrics"))
-        .select("resource", F.explode("metrics").alias("m"))
-    )
-    no_buckets = F.lit(None).cast(f"array<{schemas.BUCKET}>")
-    number_value = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))
-    gauge = _metric_rows(
-        metrics.select("resource", "m", F.explode("m.gauge.dataPoints").alias("p")),
-        F.lit("gauge"), number_value, no_buckets, F.lit(None).cast("bigint"),
-    ).where(F.col("value").isNotNull())
-    monotonic = F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))
-    total = _metric_rows(
-        metrics.select("resource", "m", F.explode("m.sum.dataPoints").alias("p")),
-        F.when(monotonic, F.lit("counter")).otherwise(F.lit("gauge")), number_value, no_buckets,
-        F.lit(None).cast("bigint"),
-    ).where(F.col("value").isNotNull())
-    hist = _metric_rows(
-        metrics.select("resource", "m", F.explode("m.histogram.dataPoints").alias("p")),
-        F.lit("histogram"),
-        F.coalesce(F.col("p.sum"), F.lit(0.0)),
-        zip_buckets(F.coalesce(F.col("p.explicitBounds"), F.array().cast("array<double>")),
-                    F.coalesce(F.col("p.bucketCounts"), F.array().cast("array<string>"))),
-        F.col("p.count").cast("bigint"),
-    )
-    out = gauge.unionByName(total).unionByName(hist)
     return out.withColumn("service", F.coalesce(F.col("labels")["service"], F.lit("unknown"))).withColumn(
         "dt", F.to_date("ts")
     )
