@@ -120,3 +120,21 @@ def test_pick_tier():
     assert pick_tier(60, 300) == "5min"
     assert pick_tier(100, 300) == "raw"  # 5-minute tier keeps 90 days
     assert pick_tier(400, 86_400) == "1day"
+
+
+def test_percentiles_hot_group_of_identical_values_is_split(spark):
+    rows = [("hot", 0)] * 4000 + [("hot", 5)] * 10 + [(f"g{i % 7}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(8)
+    got = {r.k: r for r in grouped_percentiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99, "p100": 1.0}).collect()}
+    assert (got["hot"].n, got["hot"].p50, got["hot"].p100) == (4010, 0.0, 5.0)
+    assert got["hot"].p99 == pytest.approx(_brute([0] * 4000 + [5] * 10, 0.99))
+    # the range exchange spreads the hot group: no partition holds most of it
+    from pyspark.sql import functions as F
+
+    spread = (
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(8, "k", "v", "_tie")
+        .groupBy(F.spark_partition_id().alias("pid")).count()
+        .agg(F.max("count")).first()[0]
+    )
+    assert spread < 2000

@@ -4,9 +4,10 @@ Spark's built-in ``percentile`` keeps a value->count map per group and merges
 a group's maps in one task, so one hot group (a third of all rows) would be
 held by one executor. This operator instead uses a global sort:
 
-1. ``repartitionByRange(keys, value)`` samples the composite key, so a hot
-   group is split across many range partitions; each partition is sorted and
-   every row gets ``monotonically_increasing_id`` = (partition << 33) | position.
+1. ``repartitionByRange(keys, value, row id)`` samples the composite key, so a
+   hot group is split across many range partitions (the row id splits even runs
+   of identical values); each partition is sorted and every row gets
+   ``monotonically_increasing_id`` = (partition << 33) | position.
 2. A partial aggregate per (group, partition) gives segment counts and the
    first position of each segment — at most #groups + #partitions rows.
 3. A window over that small segment table (per group at most #partitions rows)
@@ -44,8 +45,12 @@ def grouped_percentiles(
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"percentile {name}={p} outside [0, 1]")
     vals = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    # The row id (assigned map-side, reproducible from the same input split) breaks
+    # ties in the range key: a hot group whose rows all carry the same value is
+    # still split across partitions instead of landing in one.
     ordered = (
-        vals.repartitionByRange(*keys, "_v")
+        vals.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys, "_v", "_tie")
         .sortWithinPartitions(*keys, "_v")
         .withColumn("_rid", F.monotonically_increasing_id())
     )
