@@ -105,3 +105,18 @@ def test_search_order_limit_total(five):
         OrderBy("nope").columns()
     with pytest.raises(ValueError):
         Cond("level", "~", "x")
+
+
+def test_search_after_matches_offset_pages(spark):
+    from vigil.operators.logs import search_after
+    from vigil.sources import views
+
+    logs = views.logs(spark, "/root/testdata/sf0.001")
+    pred = Cond("level", ">=", "info")
+    offset_ids = [r.log_id for r in search_logs(logs, pred, limit=60).collect()]
+    pages, after = [], None
+    for _ in range(3):
+        page = search_after(logs, pred, after, limit=20).collect()
+        pages += [r.log_id for r in page]
+        after = (page[-1].timestamp_ns, page[-1].log_id)
+    assert pages == offset_ids

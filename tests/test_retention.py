@@ -67,3 +67,19 @@ def test_rebuild_log_rollups(spark, tmp_dir):
     rebuild_log_rollups(spark, f"{tmp_dir}/logs", f"{tmp_dir}/roll")
     day = spark.read.parquet(f"{tmp_dir}/roll/logs_1day_counts").collect()
     assert [(r.normalized_message, r["count"]) for r in day] == [("Payment failed for user <NUM>", 5)]
+
+
+def test_expire_partitions_resumes_from_staging(spark, tmp_dir):
+    logs = logs_df(spark, [dict(message=f"m{i}", service="s", ts_ns=BASE_NS + i * DAY // 2) for i in range(10)])
+    path = f"{tmp_dir}/logs2"
+    write_table(logs, path, "logs")
+    # a previous attempt staged the survivors and then lost the boundary day folder
+    import shutil
+
+    boundary = "2023-11-17"
+    staged = f"{path}/_retention_staging/{boundary}"
+    read_stored(spark, path, "logs").where(f"dt = '{boundary}' and ts >= '2023-11-17 12:00:00'").write.partitionBy(
+        "dt").parquet(staged)
+    shutil.rmtree(f"{path}/dt={boundary}")
+    expire_partitions(spark, path, ttl_days=2, as_of_ts="2023-11-19 12:00:00")
+    assert sorted(r.message for r in read_stored(spark, path, "logs").collect()) == ["m6", "m7", "m8", "m9"]

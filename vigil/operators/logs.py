@@ -106,6 +106,30 @@ def search_logs(
     return out
 
 
+def search_after(
+    logs: DataFrame,
+    where: Pred | None = None,
+    after: tuple[int, int] | None = None,
+    limit: int = LOG_DEFAULT_LIMIT,
+) -> DataFrame:
+    """Key-set paging in the default order (newest first, ``log_id`` tie-break).
+
+    ``after`` is the ``(timestamp_ns, log_id)`` of the last row of the previous
+    page. Unlike a deep OFFSET (a global sort that ranks every skipped row),
+    each page is a range filter on the time column — prunable at the scan and
+    by ``dt`` — followed by a bounded top-k.
+    """
+    out = where_(logs, where)
+    if after is not None:
+        ts, lid = after
+        out = out.where(
+            (F.col("timestamp_ns") < F.lit(ts)) | ((F.col("timestamp_ns") == F.lit(ts)) & (F.col("log_id") > F.lit(lid)))
+        )
+        if "dt" in logs.columns:
+            out = out.where(F.col("dt") <= F.to_date(F.timestamp_micros(F.lit(ts // 1000))))
+    return out.orderBy(*OrderBy().columns()).limit(effective_limit(limit, LOG_DEFAULT_LIMIT, LOG_MAX_LIMIT))
+
+
 def total_count(logs: DataFrame, where: Pred | None = None) -> DataFrame:
     """Matching rows before limit/offset (one-row frame ``total_count``)."""
     return where_(logs, where).agg(F.count(F.lit(1)).alias("total_count"))

@@ -10,6 +10,7 @@ the Hadoop FileSystem API — no full-table rewrite.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,39 +94,38 @@ def expire_partitions(
 ) -> dict[str, int]:
     """M4 job: enforce a TTL on a ``dt``-partitioned Parquet table in place.
 
-    Days entirely before the cutoff are deleted as folders; the boundary day
-    is rewritten with its surviving rows through dynamic partition overwrite.
-    Returns the number of dropped day folders and rewritten days.
+    Days entirely before the cutoff are deleted as folders; the boundary day is
+    rewritten with its surviving rows. Restart-safe: the survivors are first
+    written to ``_retention_staging`` (ignored by partition discovery) and only
+    then replace the day; a rerun after a crash reuses a completed staging copy
+    instead of re-reading a boundary day that may already be half replaced.
+    ``as_of_ts`` is a UTC timestamp text (e.g. ``2024-01-31 00:00:00``).
     """
-    limit_ts = F.lit(as_of_ts).cast("timestamp")
-    limit = cutoff(limit_ts, ttl_days)
-    table = spark.read.parquet(path)
-    boundary = table.where((F.col(date_col) == F.to_date(limit)))
-    keep = boundary.where(F.col(ts_col) >= limit)
-    # Boundary day: survivors go to a staging folder first (lineage must not read
-    # the folder being overwritten), then replace the day.
-    staged = f"{path.rstrip('/')}/_retention_staging"
-    keep.write.mode("overwrite").partitionBy(date_col).parquet(staged)
-    rewritten = spark.read.parquet(staged)
-    rewritten_days = rewritten.select(date_col).distinct().count()
-    boundary_day = spark.range(1).select(F.to_date(limit).cast("string").alias("d")).first()["d"]
-
+    cutoff_dt = datetime.fromisoformat(as_of_ts.replace("Z", "")) - timedelta(days=_validate_days(ttl_days, "TTL"))
+    boundary_day = cutoff_dt.date().isoformat()
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
+    hpath = jvm.org.apache.hadoop.fs.Path
+    fs = hpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged = f"{path.rstrip('/')}/_retention_staging/{boundary_day}"
+
+    if not fs.exists(hpath(f"{staged}/_SUCCESS")):
+        boundary = spark.read.parquet(path).where(F.col(date_col) == F.lit(boundary_day).cast("date"))
+        keep = boundary.where(F.col(ts_col) >= F.lit(cutoff_dt.isoformat(sep=" ")).cast("timestamp"))
+        keep.write.mode("overwrite").partitionBy(date_col).parquet(staged)
+    rewritten = spark.read.parquet(staged) if fs.exists(hpath(f"{staged}/{date_col}={boundary_day}")) else None
+
     dropped = 0
-    for status in fs.listStatus(root):
+    for status in fs.listStatus(hpath(path)):
         name = status.getPath().getName()
         if name.startswith(f"{date_col}=") and name[len(date_col) + 1 :] < boundary_day:
             fs.delete(status.getPath(), True)
             dropped += 1
-    if rewritten_days:
-        rewritten.write.mode("overwrite").partitionBy(date_col).parquet(path)
+    if rewritten is not None:
+        rewritten.write.mode("overwrite").partitionBy(date_col).parquet(path)  # dynamic: only that day
     else:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{date_col}={boundary_day}"), True)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
-    return {"dropped_days": dropped, "rewritten_days": int(rewritten_days)}
+        fs.delete(hpath(f"{path.rstrip('/')}/{date_col}={boundary_day}"), True)
+    fs.delete(hpath(f"{path.rstrip('/')}/_retention_staging"), True)
+    return {"dropped_days": dropped, "rewritten_days": 0 if rewritten is None else 1}
 
 
 def renormalize_logs(logs: DataFrame) -> DataFrame:
