@@ -162,9 +162,23 @@ def resource_attributes(resource: Column) -> Column:
     )
 
 
-def _service(resource: Column, scope: Column) -> Column:
-    """Resource service.name, else the scope name, else ``unknown`` (no scope)."""
-    return F.coalesce(resource_service(resource), scope["name"], F.lit("unknown"))
+def _records(requests: DataFrame, resources: str, scopes: str, records: str) -> DataFrame:
+    """resource -> scope -> record rows, with the resource- and scope-level fields
+    (service, ``resource.*`` attributes) computed once per resource / scope, not
+    once per record: a request usually carries many records per resource.
+
+    O5: service = the resource's ``service.name`` string, else the scope name,
+    else ``unknown``.
+    """
+    res = unnest(requests, resources, []).select(
+        resource_service(F.col("resource")).alias("_res_service"),
+        resource_attributes(F.col("resource")).alias("_res_attrs"),
+        scopes,
+    )
+    scoped = unnest(res, scopes, ["_res_service", "_res_attrs"]).select(
+        F.coalesce("_res_service", F.col("scope.name"), F.lit("unknown")).alias("_service"), "_res_attrs", records
+    )
+    return unnest(scoped, records, ["_service", "_res_attrs"])
 
 
 def _id(col: Column, encoding: str) -> Column:
@@ -223,8 +237,7 @@ def read_otlp(spark: SparkSession, path: str, schema: str, multi_line: bool = Tr
 
 def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     """I4: ExportLogsServiceRequest rows -> LogEntry rows (+ ``reject_reason``)."""
-    recs = unnest(unnest(unnest(requests, "resourceLogs", []), "scopeLogs", ["resource"]), "logRecords",
-                  ["resource", "scope"])
+    recs = _records(requests, "resourceLogs", "scopeLogs", "logRecords")
     body_text = F.coalesce(
         F.col("body.stringValue"), F.to_json(any_value(F.col("body"), empty_is_null=True)), F.lit("")
     )
@@ -234,8 +247,8 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
         ns_to_ts(ts_ns).alias("ts"),
         severity_level(F.col("severityNumber")).alias("level"),
         body_text.alias("message"),
-        _service(F.col("resource"), F.col("scope")).alias("service"),
-        F.map_concat(attributes_map(F.col("attributes")), resource_attributes(F.col("resource"))).alias("attributes"),
+        F.col("_service").alias("service"),
+        F.map_concat(attributes_map(F.col("attributes")), F.col("_res_attrs")).alias("attributes"),
         _id(F.col("traceId"), id_encoding).alias("trace_id"),
         _id(F.col("spanId"), id_encoding).alias("span_id"),
     )
@@ -244,8 +257,7 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
 
 def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     """ExportTraceServiceRequest rows -> Span rows."""
-    recs = unnest(unnest(unnest(requests, "resourceSpans", []), "scopeSpans", ["resource"]), "spans",
-                  ["resource", "scope"])
+    recs = _records(requests, "resourceSpans", "scopeSpans", "spans")
     start = _nanos(F.col("startTimeUnixNano"), zero_is_now=False)
     end = _nanos(F.col("endTimeUnixNano"), zero_is_now=False)
     name = F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, F.lit("unknown")).otherwise(F.col("name"))
@@ -263,7 +275,7 @@ def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
         _id(F.col("parentSpanId"), id_encoding).alias("parent_span_id"),
         name.alias("name"),
         name.alias("operation"),
-        _service(F.col("resource"), F.col("scope")).alias("service"),
+        F.col("_service").alias("service"),
         span_kind(F.col("kind")).alias("kind"),
         span_status(F.col("status.code")).alias("status"),
         F.col("status.message").alias("status_message"),
@@ -271,7 +283,7 @@ def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
         end.alias("end_ns"),
         F.greatest(end - start, F.lit(0)).alias("duration_ns"),
         ns_to_ts(start).alias("ts"),
-        F.map_concat(attributes_map(F.col("attributes")), resource_attributes(F.col("resource"))).alias("attributes"),
+        F.map_concat(attributes_map(F.col("attributes")), F.col("_res_attrs")).alias("attributes"),
         events.alias("events"),
     )
     return out.withColumn("dt", F.to_date("ts"))
@@ -295,9 +307,12 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     summaries are not converted (the reference drops them with a warning);
     :func:`unsupported_metric_points` counts them.
     """
-    scopes = unnest(unnest(requests, "resourceMetrics", []), "scopeMetrics", ["resource"])
-    metrics = unnest(scopes.select("resource", F.col("metrics")), "metrics", ["resource"]).select(
-        "resource", F.struct("name", "unit", "description", "gauge", "sum", "histogram").alias("m")
+    res = unnest(requests, "resourceMetrics", []).select(
+        resource_service(F.col("resource")).alias("_res_service"), "scopeMetrics"
+    )
+    scopes = unnest(res, "scopeMetrics", ["_res_service"])
+    metrics = unnest(scopes.select("_res_service", F.col("metrics")), "metrics", ["_res_service"]).select(
+        "_res_service", F.struct("name", "unit", "description", "gauge", "sum", "histogram").alias("m")
     )
     no_buckets = F.lit(None).cast(f"array<{schemas.BUCKET}>")
     no_count = F.lit(None).cast("bigint")
@@ -323,11 +338,11 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
         _points(F.col("m.histogram.dataPoints"), histogram),
     ).cast(f"array<{_POINT}>")
     rows = (
-        metrics.select("resource", "m", F.posexplode_outer(points).alias("_pos", "p"))
+        metrics.select("_res_service", "m", F.posexplode_outer(points).alias("_pos", "p"))
         .where(F.col("_pos").isNotNull() & F.col("p.value").isNotNull())
     )
     ts_ns = _nanos(F.col("p.timeUnixNano"), zero_is_now=True)
-    svc = resource_service(F.col("resource"))
+    svc = F.col("_res_service")
     labels = F.map_concat(
         string_attributes(F.col("p.attributes")),
         F.when(svc.isNotNull(), F.map_from_arrays(F.array(F.lit("service")), F.array(svc))).otherwise(
