@@ -236,3 +236,15 @@ def test_otlp_anyvalue_nesting_and_empty(spark, tmp_dir):
     # four levels are unwrapped; the fifth stays as its OTLP JSON text
     assert r.five.startswith('[[[[') and "intValue" in r.five
     assert r.nan_null is True and r.bytes == "aGVsbG8="
+
+
+def test_otlp_base64_ids(spark, tmp_dir):
+    import base64
+
+    tid = base64.b64encode(bytes.fromhex("5b8efff798038103d269b633813fc60c")).decode()
+    sid = base64.b64encode(bytes.fromhex("eee19b7ec3c1b174")).decode()
+    req = {"resourceSpans": [{"scopeSpans": [{"scope": {"name": "x"}, "spans": [
+        {"traceId": tid, "spanId": sid, "name": "n", "startTimeUnixNano": "1", "endTimeUnixNano": "2"}]}]}]}
+    valid, _ = otlp.ingest_otlp_spans(spark, write(f"{tmp_dir}/b64", "s.json", req), id_encoding="base64")
+    r = valid.first()
+    assert (r.trace_id, r.span_id, r.service) == ("5b8efff798038103d269b633813fc60c", "eee19b7ec3c1b174", "x")

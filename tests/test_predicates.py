@@ -120,3 +120,17 @@ def test_search_after_matches_offset_pages(spark):
         pages += [r.log_id for r in page]
         after = (page[-1].timestamp_ns, page[-1].log_id)
     assert pages == offset_ids
+
+
+def test_page_caps(five):
+    from pyspark.sql import functions as F
+
+    from vigil.operators.logs import LOG_MAX_LIMIT, TRACE_DEFAULT_LIMIT, TRACE_MAX_LIMIT, effective_limit, page
+
+    assert effective_limit(None, 100, 1000) == 100
+    assert effective_limit(5000, 100, LOG_MAX_LIMIT) == 1000
+    assert effective_limit(50, TRACE_DEFAULT_LIMIT, TRACE_MAX_LIMIT) == 50
+    with pytest.raises(ValueError):
+        effective_limit(-1, 100, 1000)
+    got = [r.log_id for r in page(five, [F.col("log_id").desc()], limit=2, offset=1).collect()]
+    assert got == [3, 2]

@@ -92,3 +92,35 @@ def test_streaming_ingest_recompute_is_exact(spark, tmp_dir):
     assert [(r.normalized_message, r["count"]) for r in day] == [("Payment failed for user <NUM>", 3)]
     assert spark.read.parquet(f"{tmp_dir}/quarantine").count() == 1
     assert spark.read.parquet(f"{tmp_dir}/raw").count() == 3
+
+
+def test_streaming_span_and_trace_stats(spark, landing, tmp_dir):
+    from vigil.sources.views import spans_from_events
+
+    events = _stream(spark, landing)
+    spans = spans_from_events(events, with_parents=False)
+    q1 = srollups.start_parquet_sink(srollups.stream_span_stats(spans, "1day", watermark="1 hour"),
+                                     f"{tmp_dir}/s1d", "s1d_test", available_now=True, checkpoint=f"{tmp_dir}/ck3")
+    q2 = srollups.start_parquet_sink(srollups.stream_trace_stats(spans, "1day", watermark="1 hour"),
+                                     f"{tmp_dir}/t1d", "t1d_test", available_now=True, checkpoint=f"{tmp_dir}/ck4")
+    q1.awaitTermination(300)
+    q2.awaitTermination(300)
+    raw = spans_from_events(spark.read.parquet(f"{SF}/events.parquet"))
+    s_stream = spark.read.parquet(f"{tmp_dir}/s1d").drop("dt")
+    last = s_stream.agg(F.max("timestamp")).first()[0]
+    s_batch = rollups.span_stats_rollup(raw, "1day").where(F.col("timestamp") <= F.lit(last))
+    keys = ["timestamp", "service", "operation", "span_kind", "status_code"]
+    exact = keys + ["span_count", "avg_duration_ns", "min_duration_ns", "max_duration_ns"]
+    assert s_stream.select(exact).exceptAll(s_batch.select(exact)).count() == 0
+    assert s_batch.select(exact).exceptAll(s_stream.select(exact)).count() == 0
+    # percentile sketches return a sample value between the exact min and max
+    joined = s_stream.alias("s").join(s_batch.alias("b"), keys)
+    assert joined.where("s.p50_duration_ns < b.min_duration_ns or s.p50_duration_ns > b.max_duration_ns").count() == 0
+    t_stream = spark.read.parquet(f"{tmp_dir}/t1d").drop("dt")
+    t_batch = rollups.trace_stats_rollup(raw, "1day").where(F.col("timestamp") <= F.lit(last))
+    got = {(r.timestamp, r.service): (r.total_spans, r.unique_traces) for r in t_stream.collect()}
+    want = {(r.timestamp, r.service): (r.total_spans, r.unique_traces) for r in t_batch.collect()}
+    assert got.keys() == want.keys()
+    for k, (spans_n, uniq) in want.items():
+        assert got[k][0] == spans_n
+        assert abs(got[k][1] - uniq) <= max(1, 0.1 * uniq)  # HyperLogLog++ estimate

@@ -490,6 +490,20 @@ def q_span_parent_child(spark, d):
     return traces.span_tree(views.spans(spark, d))
 
 
+@query
+def q_span_orphans(spark, d):
+    """Spans whose parent is missing from their trace (left anti join)."""
+    return traces.orphan_spans(views.spans(spark, d)).select("trace_id", "span_id", "parent_span_id")
+
+
+@query
+def q_log_orphans(spark, d):
+    """Logs carrying span ids that match no span (left anti join)."""
+    return traces.correlate_logs(views.logs(spark, d), views.spans(spark, d), "left_anti").select(
+        "log_id", "trace_id", "span_id"
+    )
+
+
 # --- ingest I1–I8, O1–O7 (requests derived from the tables, one per row) ----------------------
 
 def _variant(col: str, key: str, typ: str):

@@ -410,6 +410,19 @@ from spans s left join (
 )
 
 
+ORACLE["q_span_orphans"] = sql(
+    """select c.trace_id, c.span_id, c.parent_span_id from spans c
+where c.parent_span_id is not null
+  and not exists (select 1 from spans p where p.trace_id = c.trace_id and p.span_id = c.parent_span_id)""",
+    "spans",
+)
+ORACLE["q_log_orphans"] = sql(
+    """select l.log_id, l.trace_id, l.span_id from logs l
+where l.trace_id is not null and l.span_id is not null
+  and not exists (select 1 from spans s where s.trace_id = l.trace_id and s.span_id = l.span_id)""",
+    "logs", "spans",
+)
+
 # ingest round trips
 _EVERY = C.wire.INVALID_EVERY
 ORACLE["q_ingest_native_logs"] = sql(

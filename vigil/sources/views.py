@@ -65,16 +65,26 @@ def metrics_from_events(events: DataFrame) -> DataFrame:
     ).withColumn("labels", F.expr("str_to_map(labels_key, ',', '=')")).withColumn("dt", F.to_date("ts"))
 
 
-def spans_from_events(events: DataFrame) -> DataFrame:
-    """Spans: one trace per user-day, rooted at its first event (view ``spans``)."""
+def spans_from_events(events: DataFrame, with_parents: bool = True) -> DataFrame:
+    """Spans: one trace per user-day, rooted at its first event (view ``spans``).
+
+    ``with_parents=False`` leaves ``parent_span_id`` NULL and skips the per-trace
+    root lookup — the form a stream can compute (the lookup is an aggregate
+    joined back, which needs the whole trace).
+    """
     keyed = events.selectExpr(f"{_DAYKEY} as trace_id", "event_id", "ts", "event_type", "value")
-    roots = keyed.groupBy("trace_id").agg(F.min("event_id").alias("_root_id"))
-    # Left join on a unique-key aggregate: when a query does not use
-    # parent_span_id, Catalyst removes the join and the aggregate entirely.
-    return keyed.join(roots, "trace_id", "left").selectExpr(
+    if with_parents:
+        roots = keyed.groupBy("trace_id").agg(F.min("event_id").alias("_root_id"))
+        # Left join on a unique-key aggregate: when a query does not use
+        # parent_span_id, Catalyst removes the join and the aggregate entirely.
+        joined = keyed.join(roots, "trace_id", "left")
+    else:
+        joined = keyed.withColumn("_root_id", F.lit(None).cast("bigint"))
+    return joined.selectExpr(
         "trace_id",
         "cast(event_id as string) as span_id",
-        "case when event_id = _root_id then cast(null as string) else cast(_root_id as string) end as parent_span_id",
+        "case when _root_id is null or event_id = _root_id then cast(null as string) "
+        "else cast(_root_id as string) end as parent_span_id",
         "event_type as name",
         "event_type as operation",
         f"{_SERVICE} as service",
