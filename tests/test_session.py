@@ -1,0 +1,21 @@
+"""Session helpers: runtime defaults, sizing, checkpoint folder."""
+
+from vigil.session import RUNTIME_CONF, checkpoint_dir, configure, scale_conf
+
+
+def test_runtime_conf_applied(spark):
+    configure(spark)
+    for key, value in RUNTIME_CONF.items():
+        assert spark.conf.get(key) == value
+
+
+def test_scale_conf():
+    big = scale_conf(100 * 2**40)
+    assert big["spark.sql.shuffle.partitions"] == "65536"
+    assert scale_conf(10 * 2**30)["spark.sql.shuffle.partitions"] == "40"
+    assert scale_conf(1000)["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_checkpoint_dir_reads_session_setting(spark):
+    # the environment (or the cluster) names the shared folder; it is read, not replaced
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -51,6 +51,24 @@ def get_session(
     return configure(spark)
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_partitions: int = 65_536) -> dict:
+    """Shuffle / scan sizing for an input of ``input_bytes`` (pass to ``get_session(extra=...)``).
+
+    Scan splits and the initial shuffle width aim at ~256 MB per task so a task's
+    sort/aggregation buffers fit executor memory without heavy spilling; AQE then
+    coalesces small post-shuffle partitions to the advisory size and splits skewed
+    ones. At 100 TB this gives ~65 k initial shuffle partitions (the cap).
+    """
+    partitions = max(8, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes * 2),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cutting folder named by ``spark.checkpoint.dir``.
 
