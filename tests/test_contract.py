@@ -27,3 +27,14 @@ def con():
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
     assert compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
+
+
+SCALAR_TYPES = ("string", "bigint", "int", "double", "boolean", "timestamp", "date")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_outputs_are_scalar(spark, name):
+    df = E.queries()[name](spark, SF)
+    bad = [(f.name, f.dataType.simpleString()) for f in df.schema.fields
+           if f.dataType.simpleString() not in SCALAR_TYPES]
+    assert not bad, bad

@@ -120,9 +120,8 @@ def _ordered(col: Column, op: str, lit: Column) -> Column:
 
 
 def _string_field(col: Column, cond: Cond, nullable: bool) -> Column:
-    if not _is_str(cond.value):
-        return _false()
-    test = F.coalesce(_text_compare(col, cond.op, cond.value), _false())
+    # A present value needs a string literal; the missing-id rule below does not.
+    test = F.coalesce(_text_compare(col, cond.op, cond.value), _false()) if _is_str(cond.value) else _false()
     if not nullable:
         return test
     when_missing = cond.value == "" or cond.op == "!="
