@@ -13,8 +13,9 @@ held by one executor. This operator instead uses a global sort:
 3. A window over that small segment table (per group at most #partitions rows)
    yields each segment's starting rank, and from it the rank(s) each wanted
    percentile needs (lower and upper neighbour for interpolation).
-4. The wanted row ids (a handful per group) are joined back to the sorted rows;
-   AQE broadcasts that small side when its measured size allows.
+4. The wanted row ids (a handful per group, carrying the group totals) are
+   joined back to the sorted rows and one aggregate assembles the result; AQE
+   broadcasts the id side when its measured size allows.
 
 Result equals ``percentile(value, p)`` / DuckDB ``quantile_cont``:
 ``v[lo] + (v[hi] - v[lo]) * (p*(n-1) - lo)``.
@@ -67,8 +68,14 @@ def grouped_percentiles(
     )
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    segments = segments.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn(
-        "_n", F.sum("_c").over(by_key)
+    # Group totals ride along on the segment rows (same window partitioning).
+    segments = segments.select(
+        *keys, "_pid", "_c", "_first",
+        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"),
+        F.sum("_c").over(by_key).alias("_n"),
+        F.sum("_s").over(by_key).alias("_sum"),
+        F.min("_lo_v").over(by_key).alias("_min"),
+        F.max("_hi_v").over(by_key).alias("_max"),
     )
 
     # Ranks each percentile needs, kept only on the segment that holds them.
@@ -78,28 +85,27 @@ def grouped_percentiles(
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             wanted_structs.append(F.struct(F.lit(f"{name}|{side}").alias("tag"), rank.cast("bigint").alias("rank")))
     wanted = segments.select(
-        *keys, "_pid", "_first", "_start", "_c", F.explode(F.array(*wanted_structs)).alias("w")
+        *keys, "_pid", "_first", "_start", "_c", "_n", "_sum", "_min", "_max",
+        F.explode(F.array(*wanted_structs)).alias("w"),
     ).where((F.col("w.rank") >= F.col("_start")) & (F.col("w.rank") < F.col("_start") + F.col("_c")))
     wanted = wanted.select(
-        *keys,
+        *keys, "_n", "_sum", "_min", "_max",
         F.col("w.tag").alias("_tag"),
         (F.shiftleft(F.col("_pid"), _POS_BITS) + F.col("_first") + F.col("w.rank") - F.col("_start")).alias("_rid"),
     )
+    # Every non-empty group has its wanted rows, so one aggregate assembles the result.
     tags = [f"{name}|{side}" for name in probs for side in ("lo", "hi")]
-    picked = (
+    out = (
         wanted.join(ordered.select("_rid", "_v"), "_rid")
         .groupBy(*keys)
-        .pivot("_tag", tags)
-        .agg(F.first("_v"))
-    )
-
-    totals = segments.groupBy(*keys).agg(
-        F.sum("_c").alias("n"),
-        F.sum("_s").alias("sum_v"),
-        F.min("_lo_v").alias("min_v"),
-        F.max("_hi_v").alias("max_v"),
+        .agg(
+            F.max("_n").alias("n"),
+            F.max("_sum").alias("sum_v"),
+            F.max("_min").alias("min_v"),
+            F.max("_max").alias("max_v"),
+            *[F.max(F.when(F.col("_tag") == F.lit(t), F.col("_v"))).alias(t) for t in tags],
+        )
     )
-    out = totals.join(picked, keys, "left")
     for name, p in probs.items():
         lo = F.col(f"`{name}|lo`").cast("double")
         hi = F.col(f"`{name}|hi`").cast("double")
