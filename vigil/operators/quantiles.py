@@ -52,7 +52,8 @@ def grouped_percentiles(
     ordered = (
         vals.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(*keys, "_v", "_tie")
-        .sortWithinPartitions(*keys, "_v")
+        # sorting by the tie-breaker too makes row ids identical on a task retry
+        .sortWithinPartitions(*keys, "_v", "_tie")
         .withColumn("_rid", F.monotonically_increasing_id())
     )
     mask = (1 << _POS_BITS) - 1
