@@ -124,3 +124,43 @@ def test_streaming_span_and_trace_stats(spark, landing, tmp_dir):
     for k, (spans_n, uniq) in want.items():
         assert got[k][0] == spans_n
         assert abs(got[k][1] - uniq) <= max(1, 0.1 * uniq)  # HyperLogLog++ estimate
+
+
+def test_streaming_otlp_span_ingest(spark, tmp_dir):
+    import json
+
+    from vigil import schemas
+    from vigil.sources import otlp
+    from vigil.sources.validate import span_reject_reason, split_valid
+
+    inbox = f"{tmp_dir}/otlp_inbox"
+    os.makedirs(inbox)
+
+    def request(trace, spans):
+        return {"resourceSpans": [{"resource": {"attributes": [
+            {"key": "service.name", "value": {"stringValue": "checkout"}}]},
+            "scopeSpans": [{"scope": {"name": "x"}, "spans": [
+                {"traceId": trace, "spanId": sid, "name": "op", "kind": 2,
+                 "startTimeUnixNano": str(start), "endTimeUnixNano": str(start + dur)}
+                for sid, start, dur in spans]}]}]}
+
+    day = 1704110400 * 10**9  # 2024-01-01T12:00:00Z
+    with open(f"{inbox}/r1.json", "w") as fh:
+        json.dump(request("AA01", [("0001", day, 5_000_000), ("0002", day + 1, 7_000_000)]), fh)
+    with open(f"{inbox}/r2.json", "w") as fh:
+        json.dump(request("AA02", [("0003", day + 2, 9_000_000), ("", day, 1)]), fh)
+
+    def validate(batch):
+        return split_valid(otlp.flatten_spans(batch), span_reject_reason())
+
+    stream = spark.readStream.schema(schemas.OTLP_SPANS).option("multiLine", "true").json(inbox)
+    q = ingest.start_ingest(stream, "spans", validate, f"{tmp_dir}/raw_spans", f"{tmp_dir}/q_spans",
+                            f"{tmp_dir}/span_rollups", "otlp_ingest_test", available_now=True,
+                            tiers=("1day",), checkpoint=f"{tmp_dir}/ck5")
+    q.awaitTermination(300)
+    traces = spark.read.parquet(f"{tmp_dir}/span_rollups/traces_1day_stats").collect()
+    assert [(r.service, r.unique_traces, r.total_spans) for r in traces] == [("checkout", 2, 3)]
+    stats = spark.read.parquet(f"{tmp_dir}/span_rollups/spans_1day_stats").first()
+    assert (stats.span_count, stats.min_duration_ns, stats.max_duration_ns, stats.p50_duration_ns) == (
+        3, 5_000_000, 9_000_000, 7_000_000.0)
+    assert spark.read.parquet(f"{tmp_dir}/q_spans").count() == 1
