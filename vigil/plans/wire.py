@@ -34,17 +34,6 @@ def _kv(key: str, value: Column) -> Column:
     return F.struct(F.lit(key).alias("key"), value.alias("value"))
 
 
-def _present(kvs: list[Column]) -> Column:
-    """Drop entries whose AnyValue is entirely null (an absent attribute)."""
-    return F.filter(
-        F.array(*kvs),
-        lambda e: e["value"]["stringValue"].isNotNull()
-        | e["value"]["intValue"].isNotNull()
-        | e["value"]["doubleValue"].isNotNull()
-        | e["value"]["boolValue"].isNotNull(),
-    )
-
-
 def _hex(col: str) -> Column:
     return F.upper(F.hex(F.col(col)))
 
@@ -70,18 +59,21 @@ def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
 
 
 def otlp_log_requests(logs: DataFrame) -> DataFrame:
-    attr = lambda k: F.col("attributes")[k]
+    attr = lambda key: F.col("attributes")[key]
+    k = F.try_variant_get(attr("k"), "$", "bigint")
+    always = [
+        _kv("log_id", _any(integer=F.col("log_id"))),
+        _kv("type", _any(string=F.try_variant_get(attr("type"), "$", "string"))),
+        _kv("value", _any(double=F.try_variant_get(attr("value"), "$", "double"))),
+        _kv("failed", _any(boolean=F.try_variant_get(attr("failed"), "$", "boolean"))),
+    ]
     record = F.struct(
         F.col("timestamp_ns").cast("string").alias("timeUnixNano"),
         _map_case("level", LEVEL_SEVERITY).alias("severityNumber"),
         F.struct(F.col("message").alias("stringValue")).alias("body"),
-        _present([
-            _kv("log_id", _any(integer=F.col("log_id"))),
-            _kv("k", _any(integer=F.try_variant_get(attr("k"), "$", "bigint"))),
-            _kv("type", _any(string=F.try_variant_get(attr("type"), "$", "string"))),
-            _kv("value", _any(double=F.try_variant_get(attr("value"), "$", "double"))),
-            _kv("failed", _any(boolean=F.try_variant_get(attr("failed"), "$", "boolean"))),
-        ]).alias("attributes"),
+        # only k can be absent: two literal arrays under CASE (no per-row lambda)
+        F.when(k.isNull(), F.array(*always)).otherwise(F.array(_kv("k", _any(integer=k)), *always))
+        .alias("attributes"),
         _hex("trace_id").alias("traceId"),
         _hex("span_id").alias("spanId"),
     )
