@@ -38,3 +38,12 @@ def test_label_filter(pts):
 def test_windowed(pts):
     rows = aggregate_metrics_windowed(pts, "sum", "1 hour", by=["name"]).collect()
     assert {r.name: r.value for r in rows} == {"requests": 1000.0, "other": 9.0}
+
+
+def test_histograms_only_when_asked(spark):
+    rows = [dict(name="lat", value=v, metric_type=t) for v, t in [(10, "gauge"), (20, "gauge"), (50, "histogram")]]
+    pts = metrics_df(spark, rows)
+    simple = aggregate_metrics(pts, "sum", name="lat").first()
+    both = aggregate_metrics(pts, "sum", include_histograms=True, name="lat").first()
+    assert (simple.value, simple["count"]) == (30.0, 2)
+    assert (both.value, both["count"]) == (80.0, 3)  # a histogram contributes its sum (D8)
