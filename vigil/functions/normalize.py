@@ -64,8 +64,9 @@ JAVA_RULES: tuple[tuple[str, str, str], ...] = tuple(
 # A match of each of these rules must contain the given literal, and no
 # replacement text contains any of them — so if the original message has none
 # of the literals, those seven rules are the identity at every step and only
-# the IPV4 / FLOAT / INT rules need to run. (Most prose has none of them.)
-RULE_LITERALS = {"TIMESTAMP": ":", "UUID": "-", "IPV6": ":", "HEX": "0x", "URL": "://", "EMAIL": "@", "PATH": "/"}
+# the IPV4 / FLOAT / INT rules need to run — and those only if there is a
+# digit. (Most prose has none of them.)
+RULE_LITERALS = {"TIMESTAMP": ":", "UUID": "-", "IPV6": ":", "HEX": "0x", "URL": ":", "EMAIL": "@", "PATH": "/"}
 
 
 def _fold(col: Column, rules) -> Column:
@@ -82,7 +83,13 @@ def normalize_message(message: Column | str) -> Column:
     for literal in sorted(set(RULE_LITERALS.values())):
         has = F.instr(col, literal) > 0
         needs_all = has if needs_all is None else needs_all | has
-    return F.when(needs_all, _fold(col, JAVA_RULES)).otherwise(_fold(col, short))
+    # The remaining rules (IPV4, FLOAT, INT) each need a digit: without one the
+    # message is already its own pattern.
+    return (
+        F.when(needs_all, _fold(col, JAVA_RULES))
+        .when(col.rlike("[0-9]"), _fold(col, short))
+        .otherwise(col)
+    )
 
 
 def normalize_sql(arg: str = "msg") -> str:
@@ -97,7 +104,7 @@ def normalize_sql(arg: str = "msg") -> str:
 
     short = [r for r in JAVA_RULES if r[0] not in RULE_LITERALS]
     cond = " or ".join(f"instr({arg}, '{lit}') > 0" for lit in sorted(set(RULE_LITERALS.values())))
-    return f"case when {cond} then {fold(JAVA_RULES)} else {fold(short)} end"
+    return f"case when {cond} then {fold(JAVA_RULES)} when {arg} rlike '[0-9]' then {fold(short)} else {arg} end"
 
 
 def register_normalize_function(spark: SparkSession, name: str = "normalize_log_message") -> str:
