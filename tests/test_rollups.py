@@ -138,3 +138,12 @@ def test_percentiles_hot_group_of_identical_values_is_split(spark):
         .agg(F.max("count")).first()[0]
     )
     assert spread < 2000
+
+
+def test_span_tier_without_percentiles_matches(spark):
+    sp = views.spans(spark, "/root/testdata/sf0.001")
+    cols = ["timestamp", "service", "operation", "span_kind", "status_code", "span_count", "avg_duration_ns",
+            "min_duration_ns", "max_duration_ns"]
+    full = rollups.span_stats_rollup(sp, "1hour").select(cols)
+    lite = rollups.span_stats_rollup(sp, "1hour", percentiles=False).select(cols)
+    assert full.exceptAll(lite).count() == 0 and lite.exceptAll(full).count() == 0

@@ -122,12 +122,13 @@ def log_count_rollup(logs: DataFrame, tier: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("count"), F.min("message").alias("sample_message"))
 
 
-def span_stats_rollup(spans: DataFrame, tier: str) -> DataFrame:
+def span_stats_rollup(spans: DataFrame, tier: str, percentiles: bool = True) -> DataFrame:
     """Span count, avg/min/max and exact p50/p95/p99 of duration_ns.
 
     Percentiles come from the sort-based :func:`grouped_percentiles`, which
     splits hot groups across range partitions instead of holding a whole group
-    in one task.
+    in one task. ``percentiles=False`` builds the tier without them — a plain
+    partial aggregate — for readers that only need counts and means.
     """
     _check_tier(tier)
     keys = ["timestamp", "service", "operation", "span_kind", "status_code"]
@@ -139,6 +140,20 @@ def span_stats_rollup(spans: DataFrame, tier: str) -> DataFrame:
         F.col("status").alias("status_code"),
         "duration_ns",
     )
+    if not percentiles:
+        stats = src.groupBy(*keys).agg(
+            F.count("duration_ns").alias("n"),
+            F.sum("duration_ns").alias("sum_v"),
+            F.min("duration_ns").alias("min_v"),
+            F.max("duration_ns").alias("max_v"),
+        )
+        return stats.select(
+            *keys,
+            F.col("n").alias("span_count"),
+            (F.col("sum_v").cast("double") / F.col("n")).alias("avg_duration_ns"),
+            F.col("min_v").alias("min_duration_ns"),
+            F.col("max_v").alias("max_duration_ns"),
+        )
     stats = grouped_percentiles(src, keys, "duration_ns", SPAN_PERCENTILES)
     return stats.select(
         *keys,

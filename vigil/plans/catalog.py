@@ -246,7 +246,8 @@ def q_span_perf_ms(spark, d):
 @query
 def q_error_rate(spark, d):
     """E6"""
-    return reports.error_rate(rollups.span_stats_rollup(views.spans(spark, d), "1day"), days=7, min_rate_pct=1.0)
+    stats = rollups.span_stats_rollup(views.spans(spark, d), "1day", percentiles=False)
+    return reports.error_rate(stats, days=7, min_rate_pct=1.0)
 
 
 def _rounded_day_stats(spark, d):
