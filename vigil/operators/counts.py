@@ -3,7 +3,7 @@ data-age report (M7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.timefn import age_days
@@ -23,12 +23,6 @@ def trace_count(spans: DataFrame) -> DataFrame:
     return spans.agg(F.count_distinct("trace_id").alias("trace_count"))
 
 
-def max_event_time(*frames: tuple[DataFrame, str]) -> Column:
-    """Default ``as_of``: the newest event time across frames, as a scalar subquery."""
-    cols = [df.select(F.max(col).alias("m")).scalar() for df, col in frames]
-    return cols[0] if len(cols) == 1 else F.greatest(*cols)
-
-
 def data_age(
     sources: dict[str, tuple[DataFrame, str]],
     ttl_days: dict[str, int],
@@ -36,18 +30,22 @@ def data_age(
 ) -> DataFrame:
     """Per data type — oldest, newest, count, oldest age in days and
     whether that age exceeds the type's TTL. ``as_of`` defaults to the newest
-    event in the data so the report is reproducible."""
-    as_of = as_of if as_of is not None else max_event_time(*sources.values())
+    event in the data so the report is reproducible; it is taken from the
+    per-type rows themselves (a window over one row per data type), so the
+    data is scanned once."""
     parts = []
     for name, (df, ts_col) in sources.items():
-        part = df.agg(
-            F.min(ts_col).alias("oldest"), F.max(ts_col).alias("newest"), F.count(F.lit(1)).alias("count")
-        ).select(F.lit(name).alias("data_type"), "oldest", "newest", "count")
-        part = part.withColumn("oldest_age_days", age_days(as_of, F.col("oldest"))).withColumn(
-            "exceeds_ttl", F.coalesce(F.col("oldest_age_days") > F.lit(float(ttl_days[name])), F.lit(False))
+        parts.append(
+            df.agg(F.min(ts_col).alias("oldest"), F.max(ts_col).alias("newest"), F.count(F.lit(1)).alias("count"))
+            .select(F.lit(name).alias("data_type"), "oldest", "newest", "count",
+                    F.lit(float(ttl_days[name])).alias("_ttl"))
         )
-        parts.append(part)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    ref = as_of if as_of is not None else F.max("newest").over(Window.partitionBy(F.lit(0)))
+    out = out.withColumn("oldest_age_days", age_days(ref, F.col("oldest")))
+    return out.select(
+        "data_type", "oldest", "newest", "count", "oldest_age_days",
+        F.coalesce(F.col("oldest_age_days") > F.col("_ttl"), F.lit(False)).alias("exceeds_ttl"),
+    )
