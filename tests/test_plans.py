@@ -55,3 +55,18 @@ def test_percentiles_split_by_range_not_by_group(spark):
     assert "rangepartitioning" in text
     assert "percentile" not in text.lower().replace("p50_duration_ns", "").replace("p95_duration_ns", "").replace(
         "p99_duration_ns", "")
+
+
+def test_bucketed_spans_need_no_shuffle_for_trace_work(spark, tmp_dir):
+    from vigil.operators import traces
+    from vigil.sources import views
+    from vigil.sources.sinks import write_bucketed_table
+
+    spans = views.spans(spark, SF)
+    write_bucketed_table(spans, "vigil_test_spans", f"{tmp_dir}/spans_b", 8)
+    stored = spark.table("vigil_test_spans")
+    summary = traces.trace_summary(stored)
+    text = summary._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text  # per-trace aggregate runs bucket-local
+    assert summary.count() == spans.select("trace_id").distinct().count()
+    spark.sql("DROP TABLE vigil_test_spans")
