@@ -19,6 +19,7 @@ from vigil.operators import counts, logs as logops, metrics as metricops, report
 from vigil.operators.predicates import And, Cond, Or, parse_rfc3339_ns, where_
 from vigil.operators.retention import apply_retention
 from vigil.plans import wire
+from vigil.plans.sql import register_views
 from vigil.session import configure
 from vigil.sources import native_json, otlp, views
 from vigil.sources.validate import (
@@ -505,6 +506,28 @@ def q_log_orphans(spark, d):
     )
 
 
+# --- Spark SQL over the registered views (F23, D24) -------------------------------------------
+
+@query
+def q_sql_select_star(spark, d):
+    """``SELECT *`` with WHERE / ORDER BY / LIMIT, written as Spark SQL on the logs view."""
+    register_views(spark, d)
+    return spark.sql(
+        f"SELECT * FROM logs WHERE level = '{LOG_LEVEL}' AND lower(service) = '{SERVICE}' "
+        "ORDER BY timestamp_ns DESC, log_id LIMIT 50"
+    ).select("log_id", "level", "service", "message", "timestamp_ns")
+
+
+@query
+def q_sql_rollup_read(spark, d):
+    """A documented rollup query (grouped read of a tier view) as Spark SQL."""
+    register_views(spark, d)
+    return spark.sql(
+        "SELECT service, normalized_message, sum(count) AS total_count, min(sample_message) AS example "
+        f"FROM logs_1day_counts WHERE level = '{LOG_LEVEL}' GROUP BY service, normalized_message"
+    )
+
+
 # --- ingest I1–I8, O1–O7 (requests derived from the tables, one per row) ----------------------
 
 def _variant(col: str, key: str, typ: str):

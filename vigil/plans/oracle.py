@@ -423,6 +423,18 @@ where l.trace_id is not null and l.span_id is not null
     "logs", "spans",
 )
 
+ORACLE["q_sql_select_star"] = sql(
+    f"""select log_id, level, service, message, timestamp_ns from logs
+where level = '{C.LOG_LEVEL}' and lower(service) = '{_SVC}'
+order by timestamp_ns desc, log_id limit 50""",
+    "logs",
+)
+ORACLE["q_sql_rollup_read"] = sql(
+    f"""select service, normalized_message, cast(sum(count) as bigint) as total_count, min(sample_message) as example
+from logs_1day_counts where level = '{C.LOG_LEVEL}' group by service, normalized_message""",
+    "logs_1day_counts",
+)
+
 # ingest round trips
 _EVERY = C.wire.INVALID_EVERY
 ORACLE["q_ingest_native_logs"] = sql(
