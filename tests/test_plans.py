@@ -70,3 +70,45 @@ def test_bucketed_spans_need_no_shuffle_for_trace_work(spark, tmp_dir):
     assert "Exchange" not in text  # per-trace aggregate runs bucket-local
     assert summary.count() == spans.select("trace_id").distinct().count()
     spark.sql("DROP TABLE vigil_test_spans")
+
+
+def test_hot_span_join_is_split_by_aqe(spark):
+    """A third+ of all logs in one span: AQE splits that join partition (skew join)."""
+    from pyspark.sql import functions as F
+
+    from vigil.operators import traces
+
+    logs = spark.range(60_000).select(
+        F.col("id").alias("log_id"),
+        F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 997).cast("string")))
+        .alias("trace_id"),
+        F.when(F.col("id") % 3 != 0, F.lit("s")).otherwise(F.lit("s")).alias("span_id"),
+        F.lit("m").alias("message"),
+    )
+    spans = spark.range(1000).select(
+        F.when(F.col("id") == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+        .alias("trace_id"),
+        F.lit("s").alias("span_id"), F.lit("op").alias("name"), F.lit("svc").alias("service"),
+        F.lit("ok").alias("status"), F.lit(1).cast("bigint").alias("duration_ns"),
+    )
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = traces.correlate_logs(logs, spans)
+        rows = joined.collect()
+        assert len(rows) == 40_000 + len([i for i in range(0, 60_000, 3) if 0 < i % 997 < 1000])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "isSkewJoin=true" in plan or "skew=true" in plan.lower(), plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
