@@ -112,3 +112,12 @@ def test_hot_span_join_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_exact_distinct_traces_shuffle_by_trace_first(spark):
+    import re
+
+    text = plan(spark, "q_traces_1hour_stats")
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", text)
+    # first level spreads a hot (bucket, service) by trace id; second carries partial counts
+    assert any("trace_id" in k for k in keys) and any("trace_id" not in k for k in keys), keys
