@@ -248,3 +248,23 @@ def test_otlp_base64_ids(spark, tmp_dir):
     valid, _ = otlp.ingest_otlp_spans(spark, write(f"{tmp_dir}/b64", "s.json", req), id_encoding="base64")
     r = valid.first()
     assert (r.trace_id, r.span_id, r.service) == ("5b8efff798038103d269b633813fc60c", "eee19b7ec3c1b174", "x")
+
+
+def test_reject_details_locate_bad_records(spark, tmp_dir):
+    from vigil.sources.validate import reject_details
+
+    valid, rejected = otlp.ingest_otlp_logs(spark, write(f"{tmp_dir}/loc", "l.json", OTLP_LOGS))
+    rows = reject_details(rejected).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert r.source_file.endswith("/loc/l.json")
+    assert (r.resource_index, r.scope_index, r.record_index) == (0, 0, 3)  # the 4th record has an empty body
+    assert r.reject_reason == "message must not be empty"
+    batch = [{"message": "ok", "service": "a"}, {"message": "", "service": "a"}]
+    _, bad = native_json.ingest_logs(spark, write(f"{tmp_dir}/nat", "n.json", batch))
+    assert [x.source_file.endswith("/nat/n.json") for x in reject_details(bad).collect()] == [True]
+
+
+def test_valid_rows_keep_the_entity_schema(spark, tmp_dir):
+    valid, _ = otlp.ingest_otlp_logs(spark, write(f"{tmp_dir}/schema", "l.json", OTLP_LOGS))
+    assert not {"source_file", "record_index"} & set(valid.columns)

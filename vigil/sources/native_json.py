@@ -43,14 +43,21 @@ def _now_ns() -> Column:
 
 
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Read request bodies with ``source_file`` provenance for the quarantine (I8)."""
     configure(spark)
-    return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    raw = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
+
+
+def _source(raw: DataFrame) -> list[str]:
+    return ["source_file"] if "source_file" in raw.columns else []
 
 
 def normalize_logs(raw: DataFrame) -> DataFrame:
     """Native log requests -> LogEntry rows."""
     ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), _now_ns())
     out = raw.select(
+        *_source(raw),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         decode_enum(F.coalesce("level", F.lit(DEFAULT_LEVEL)), LEVELS, DEFAULT_LEVEL).alias("level"),
@@ -68,6 +75,7 @@ def normalize_metrics(raw: DataFrame) -> DataFrame:
     ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), _now_ns())
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
     return raw.select(
+        *_source(raw),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         "name",
@@ -89,6 +97,7 @@ def normalize_spans(raw: DataFrame) -> DataFrame:
     start = F.coalesce(rfc3339_to_ns(F.col("start_time")), _now_ns())
     end = start + F.coalesce(F.col("duration_ms"), F.lit(0)) * F.lit(1_000_000)
     return raw.select(
+        *_source(raw),
         "trace_id",
         "span_id",
         empty_to_null("parent_span_id").alias("parent_span_id"),

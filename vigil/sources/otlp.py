@@ -18,6 +18,7 @@ from vigil import schemas
 from vigil.functions.model import level_order
 from vigil.functions.timefn import ns_to_ts
 from vigil.session import configure
+from vigil.sources.validate import LOCATION as VALIDATE_LOCATION
 from vigil.sources.validate import (
     log_reject_reason,
     metric_reject_reason,
@@ -170,15 +171,19 @@ def _records(requests: DataFrame, resources: str, scopes: str, records: str) ->
     O5: service = the resource's ``service.name`` string, else the scope name,
     else ``unknown``.
     """
-    res = unnest(requests, resources, []).select(
+    src = _passthrough(requests)
+    res = unnest(requests, resources, src, "resource_index").select(
+        *src,
+        "resource_index",
         resource_service(F.col("resource")).alias("_res_service"),
         resource_attributes(F.col("resource")).alias("_res_attrs"),
         scopes,
     )
-    scoped = unnest(res, scopes, ["_res_service", "_res_attrs"]).select(
-        F.coalesce("_res_service", F.col("scope.name"), F.lit("unknown")).alias("_service"), "_res_attrs", records
+    scoped = unnest(res, scopes, [*src, "resource_index", "_res_service", "_res_attrs"], "scope_index").select(
+        *src, "resource_index", "scope_index",
+        F.coalesce("_res_service", F.col("scope.name"), F.lit("unknown")).alias("_service"), "_res_attrs", records,
     )
-    return unnest(scoped, records, ["_service", "_res_attrs"])
+    return unnest(scoped, records, [*src, "resource_index", "scope_index", "_service", "_res_attrs"], "record_index")
 
 
 def _id(col: Column, encoding: str) -> Column:
@@ -219,20 +224,33 @@ def span_status(code: Column) -> Column:
     return F.when(F.coalesce(is_error, F.lit(False)), F.lit("error")).otherwise(F.lit("ok"))
 
 
-def unnest(df: DataFrame, array_col: str, keep: list[str]) -> DataFrame:
+def unnest(df: DataFrame, array_col: str, keep: list[str], position: str | None = None) -> DataFrame:
     """One row per element of ``array_col`` (struct fields expanded), empty arrays dropped.
 
     Written with ``posexplode_outer`` + a position filter rather than ``inline``:
     the result is the same, but no ``size(...) > 0`` filter is inferred and pushed
     below the input's projection (which would evaluate a computed request twice).
+    ``position`` keeps the element's index under that name.
     """
     out = df.select(*keep, F.posexplode_outer(array_col).alias("_pos", "_elem"))
-    return out.where(F.col("_pos").isNotNull()).select(*keep, "_elem.*")
+    pos = [F.col("_pos").alias(position)] if position else []
+    return out.where(F.col("_pos").isNotNull()).select(*keep, *pos, "_elem.*")
+
+
+def _passthrough(df: DataFrame) -> list[str]:
+    """Row provenance carried to the output when the reader supplied it."""
+    return ["source_file"] if "source_file" in df.columns else []
+
+
+# I8: a rejected record is located by its file and its position in the request.
+LOCATION = list(VALIDATE_LOCATION)
 
 
 def read_otlp(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Read OTLP/JSON export requests with ``source_file`` provenance (I8)."""
     configure(spark)
-    return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    raw = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
 def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
@@ -242,7 +260,9 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
         F.col("body.stringValue"), F.to_json(any_value(F.col("body"), empty_is_null=True)), F.lit("")
     )
     ts_ns = _nanos(F.col("timeUnixNano"), zero_is_now=True)
+    location = [c for c in LOCATION if c in recs.columns]
     out = recs.select(
+        *location,
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         severity_level(F.col("severityNumber")).alias("level"),
@@ -269,7 +289,9 @@ def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
             attributes_map(e["attributes"]).alias("attributes"),
         ),
     )
+    location = [c for c in LOCATION if c in recs.columns]
     out = recs.select(
+        *location,
         _id(F.col("traceId"), id_encoding).alias("trace_id"),
         _id(F.col("spanId"), id_encoding).alias("span_id"),
         _id(F.col("parentSpanId"), id_encoding).alias("parent_span_id"),
@@ -307,12 +329,14 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     summaries are not converted (the reference drops them with a warning);
     :func:`unsupported_metric_points` counts them.
     """
-    res = unnest(requests, "resourceMetrics", []).select(
-        resource_service(F.col("resource")).alias("_res_service"), "scopeMetrics"
+    src = _passthrough(requests)
+    res = unnest(requests, "resourceMetrics", src, "resource_index").select(
+        *src, "resource_index", resource_service(F.col("resource")).alias("_res_service"), "scopeMetrics"
     )
-    scopes = unnest(res, "scopeMetrics", ["_res_service"])
-    metrics = unnest(scopes.select("_res_service", F.col("metrics")), "metrics", ["_res_service"]).select(
-        "_res_service", F.struct("name", "unit", "description", "gauge", "sum", "histogram").alias("m")
+    scopes = unnest(res, "scopeMetrics", [*src, "resource_index", "_res_service"], "scope_index")
+    keep = [*src, "resource_index", "scope_index", "_res_service"]
+    metrics = unnest(scopes.select(*keep, "metrics"), "metrics", keep, "record_index").select(
+        *keep, "record_index", F.struct("name", "unit", "description", "gauge", "sum", "histogram").alias("m")
     )
     no_buckets = F.lit(None).cast(f"array<{schemas.BUCKET}>")
     no_count = F.lit(None).cast("bigint")
@@ -338,7 +362,7 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
         _points(F.col("m.histogram.dataPoints"), histogram),
     ).cast(f"array<{_POINT}>")
     rows = (
-        metrics.select("_res_service", "m", F.posexplode_outer(points).alias("_pos", "p"))
+        metrics.select(*keep, "record_index", "m", F.posexplode_outer(points).alias("_pos", "p"))
         .where(F.col("_pos").isNotNull() & F.col("p.value").isNotNull())
     )
     ts_ns = _nanos(F.col("p.timeUnixNano"), zero_is_now=True)
@@ -350,6 +374,7 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
         ),
     )
     out = rows.select(
+        *[c for c in LOCATION if c in rows.columns],
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         F.col("m.name").alias("name"),

@@ -37,6 +37,9 @@ def buckets_ascending(buckets: Column | str) -> Column:
     return F.when(b.isNull() | (F.size(b) < 2), F.lit(True)).otherwise(pairs)
 
 
+# Row provenance columns the readers add (I8); see sources/otlp.py.
+LOCATION = ("source_file", "resource_index", "scope_index", "record_index")
+
 LOG_RULES = [("message", "message must not be empty"), ("service", "service must not be empty")]
 SPAN_RULES = [
     ("trace_id", "trace_id must not be empty"),
@@ -69,7 +72,9 @@ def split_valid(df: DataFrame, reason: Column, on_error: str = "split") -> tuple
     action); otherwise both frames are returned lazily.
     """
     tagged = df.withColumn("reject_reason", reason)
-    valid = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    # provenance (file, positions) is kept for the quarantine only
+    location = [c for c in LOCATION if c in df.columns]
+    valid = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason", *location)
     rejected = tagged.where(F.col("reject_reason").isNotNull())
     if on_error == "fail":
         first = rejected.select("reject_reason").limit(1).collect()
@@ -85,6 +90,13 @@ def reject_report(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rejected"))
 
 
+def reject_details(rejected: DataFrame) -> DataFrame:
+    """I8: one row per rejected record — where it came from (file and, for OTLP,
+    its resource / scope / record position in the request) and why."""
+    where = [c for c in LOCATION if c in rejected.columns]
+    return rejected.select(*where, "reject_reason")
+
+
 def zip_buckets(bounds: Column | str, counts: Column | str) -> Column:
     """Parallel arrays -> ``array<struct<upper_bound, count>>``, truncated to the
     shorter array (like a zip; ``arrays_zip`` alone pads with NULL)."""
