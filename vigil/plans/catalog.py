@@ -511,7 +511,7 @@ def q_log_orphans(spark, d):
 @query
 def q_sql_select_star(spark, d):
     """``SELECT *`` with WHERE / ORDER BY / LIMIT, written as Spark SQL on the logs view."""
-    register_views(spark, d)
+    register_views(spark, d, ["logs"])
     return spark.sql(
         f"SELECT * FROM logs WHERE level = '{LOG_LEVEL}' AND lower(service) = '{SERVICE}' "
         "ORDER BY timestamp_ns DESC, log_id LIMIT 50"
@@ -521,7 +521,7 @@ def q_sql_select_star(spark, d):
 @query
 def q_sql_rollup_read(spark, d):
     """A documented rollup query (grouped read of a tier view) as Spark SQL."""
-    register_views(spark, d)
+    register_views(spark, d, ["logs_1day_counts"])
     return spark.sql(
         "SELECT service, normalized_message, sum(count) AS total_count, min(sample_message) AS example "
         f"FROM logs_1day_counts WHERE level = '{LOG_LEVEL}' GROUP BY service, normalized_message"

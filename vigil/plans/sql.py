@@ -18,26 +18,32 @@ METRIC_TIERS = ("1min", "5min", "1hour", "1day")
 LOG_TIERS = ("1hour", "1day")
 
 
-def register_views(spark: SparkSession, base_dir: str) -> list[str]:
-    """Register ``logs``, ``metrics``, ``spans`` and the ten rollups; returns their names.
+def register_views(spark: SparkSession, base_dir: str, names: list[str] | None = None) -> list[str]:
+    """Register ``logs``, ``metrics``, ``spans`` and the ten rollups (or just ``names``).
 
     Views are lazy: a SQL query over a rollup view plans the rollup's
     aggregate over the base tables, so filters on the base columns still
-    reach the scan.
+    reach the scan. Building a view costs driver-side analysis, so callers that
+    need a few views name them.
     """
     configure(spark)
     register_normalize_function(spark)
-    lg, mt, sp = views.logs(spark, base_dir), views.metrics(spark, base_dir), views.spans(spark, base_dir)
-    names = []
-    for name, df in (("logs", lg), ("metrics", mt), ("spans", sp)):
-        df.createOrReplaceTempView(name)
-        names.append(name)
+    base = {
+        "logs": lambda: views.logs(spark, base_dir),
+        "metrics": lambda: views.metrics(spark, base_dir),
+        "spans": lambda: views.spans(spark, base_dir),
+    }
+    builders = dict(base)
     for tier in METRIC_TIERS:
-        rollups.metric_rollup(mt, tier).createOrReplaceTempView(f"metrics_{tier}")
-        names.append(f"metrics_{tier}")
+        builders[f"metrics_{tier}"] = lambda t=tier: rollups.metric_rollup(base["metrics"](), t)
     for tier in LOG_TIERS:
-        rollups.log_count_rollup(lg, tier).createOrReplaceTempView(f"logs_{tier}_counts")
-        rollups.span_stats_rollup(sp, tier).createOrReplaceTempView(f"spans_{tier}_stats")
-        rollups.trace_stats_rollup(sp, tier).createOrReplaceTempView(f"traces_{tier}_stats")
-        names += [f"logs_{tier}_counts", f"spans_{tier}_stats", f"traces_{tier}_stats"]
-    return names
+        builders[f"logs_{tier}_counts"] = lambda t=tier: rollups.log_count_rollup(base["logs"](), t)
+        builders[f"spans_{tier}_stats"] = lambda t=tier: rollups.span_stats_rollup(base["spans"](), t)
+        builders[f"traces_{tier}_stats"] = lambda t=tier: rollups.trace_stats_rollup(base["spans"](), t)
+    wanted = list(builders) if names is None else list(names)
+    unknown = set(wanted) - set(builders)
+    if unknown:
+        raise ValueError(f"unknown views {sorted(unknown)}")
+    for name in wanted:
+        builders[name]().createOrReplaceTempView(name)
+    return wanted
