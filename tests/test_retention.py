@@ -83,3 +83,22 @@ def test_expire_partitions_resumes_from_staging(spark, tmp_dir):
     shutil.rmtree(f"{path}/dt={boundary}")
     expire_partitions(spark, path, ttl_days=2, as_of_ts="2023-11-19 12:00:00")
     assert sorted(r.message for r in read_stored(spark, path, "logs").collect()) == ["m6", "m7", "m8", "m9"]
+
+
+def test_batch_writes_are_idempotent(spark, tmp_dir):
+    logs = logs_df(spark, [dict(message=f"m{i}", service="s", ts_ns=BASE_NS + i * DAY // 3) for i in range(9)])
+    path = f"{tmp_dir}/idem"
+    write_table(logs, path, "logs", batch_id="b1")
+    write_table(logs, path, "logs", batch_id="b1")  # a re-run of the same batch
+    write_table(logs.limit(2), path, "logs", batch_id="b2")
+    assert spark.read.parquet(path).count() == 11
+
+
+def test_expire_partitions_with_batches(spark, tmp_dir):
+    logs = logs_df(spark, [dict(message=f"m{i}", service="s", ts_ns=BASE_NS + i * DAY // 2) for i in range(10)])
+    path = f"{tmp_dir}/batched"
+    write_table(logs, path, "logs", batch_id="b1")
+    expire_partitions(spark, path, ttl_days=2, as_of_ts="2023-11-19 12:00:00")
+    assert sorted(r.message for r in spark.read.parquet(path).collect()) == ["m6", "m7", "m8", "m9"]
+    expire_partitions(spark, path, ttl_days=2, as_of_ts="2023-11-19 12:00:00")  # idempotent
+    assert spark.read.parquet(path).count() == 4

@@ -108,10 +108,13 @@ def expire_partitions(
     fs = hpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     staged = f"{path.rstrip('/')}/_retention_staging/{boundary_day}"
 
+    table = spark.read.parquet(path)
+    # keep the table's own partition layout (dt, or dt/batch for idempotent batch writes)
+    parts = [date_col] + (["batch"] if "batch" in table.columns else [])
     if not fs.exists(hpath(f"{staged}/_SUCCESS")):
-        boundary = spark.read.parquet(path).where(F.col(date_col) == F.lit(boundary_day).cast("date"))
+        boundary = table.where(F.col(date_col) == F.lit(boundary_day).cast("date"))
         keep = boundary.where(F.col(ts_col) >= F.lit(cutoff_dt.isoformat(sep=" ")).cast("timestamp"))
-        keep.write.mode("overwrite").partitionBy(date_col).parquet(staged)
+        keep.write.mode("overwrite").partitionBy(*parts).parquet(staged)
     rewritten = spark.read.parquet(staged) if fs.exists(hpath(f"{staged}/{date_col}={boundary_day}")) else None
 
     dropped = 0
@@ -121,7 +124,8 @@ def expire_partitions(
             fs.delete(status.getPath(), True)
             dropped += 1
     if rewritten is not None:
-        rewritten.write.mode("overwrite").partitionBy(date_col).parquet(path)  # dynamic: only that day
+        fs.delete(hpath(f"{path.rstrip('/')}/{date_col}={boundary_day}"), True)  # the day, all its batches
+        rewritten.write.mode("append").partitionBy(*parts).parquet(path)
     else:
         fs.delete(hpath(f"{path.rstrip('/')}/{date_col}={boundary_day}"), True)
     fs.delete(hpath(f"{path.rstrip('/')}/_retention_staging"), True)

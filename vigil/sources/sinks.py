@@ -28,12 +28,29 @@ def _with_dt(df: DataFrame) -> DataFrame:
     return df if "dt" in df.columns else df.withColumn("dt", F.to_date("ts"))
 
 
-def write_table(df: DataFrame, path: str, kind: str, mode: str = "append", bloom_trace_id: bool = True) -> None:
-    """Append (or overwrite) rows to a day-partitioned Parquet table."""
+def write_table(
+    df: DataFrame,
+    path: str,
+    kind: str,
+    mode: str = "append",
+    bloom_trace_id: bool = True,
+    batch_id: str | None = None,
+) -> None:
+    """Append (or overwrite) rows to a day-partitioned Parquet table.
+
+    With ``batch_id`` the rows land in ``dt=…/batch=<id>`` and replace only those
+    partitions (dynamic overwrite), so re-running a batch after a failure —
+    or after it already succeeded — never duplicates rows.
+    """
     if kind not in SORT_KEYS:
         raise ValueError(f"unknown table kind {kind!r}")
-    out = _with_dt(df).sortWithinPartitions("dt", *SORT_KEYS[kind])
-    writer = out.write.mode(mode).partitionBy("dt")
+    parts = ["dt"]
+    out = _with_dt(df)
+    if batch_id is not None:
+        out, parts, mode = out.withColumn("batch", F.lit(str(batch_id))), ["dt", "batch"], "overwrite"
+        out.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    out = out.sortWithinPartitions(*parts, *SORT_KEYS[kind])
+    writer = out.write.mode(mode).partitionBy(*parts)
     if bloom_trace_id and "trace_id" in df.columns:
         writer = writer.option("parquet.bloom.filter.enabled#trace_id", "true")
     writer.parquet(path)
