@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.logs import time_range
+from vigil.operators.logs import METRIC_DEFAULT_LIMIT, METRIC_MAX_LIMIT, page, time_range
 from vigil.operators.rollups import exact_sum
 
 AGG_FUNCTIONS = ("sum", "avg", "min", "max", "count")
@@ -33,6 +33,15 @@ def filter_metrics(
     return metrics.where(cond)
 
 
+def list_metrics(
+    metrics: DataFrame, limit: int | None = None, offset: int | None = None, id_col: str = "point_id", **filters
+) -> DataFrame:
+    """F20–F22 + D1/D2: matching points newest first (unique ``id_col`` tie-break),
+    one page of at most 1000 (default 1000)."""
+    order = [F.col("timestamp_ns").desc(), F.col(id_col).asc()]
+    return page(filter_metrics(metrics, **filters), order, limit, offset, METRIC_DEFAULT_LIMIT, METRIC_MAX_LIMIT)
+
+
 def _agg_column(function: str):
     fn = function.lower()
     if fn not in AGG_FUNCTIONS:

@@ -419,6 +419,13 @@ def q_log_filter_range_level_service_contains(spark, d):
     )
 
 
+@query
+def q_metric_list(spark, d):
+    """F20 + D1/D2: one page of a metric's points, newest first."""
+    m = metricops.list_metrics(views.metrics(spark, d), limit=100, offset=100, name=METRIC_NAME)
+    return m.select("point_id", "name", "value", "timestamp_ns")
+
+
 @query
 def q_metric_filter_labels(spark, d):
     """F20–F22"""

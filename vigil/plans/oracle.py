@@ -357,6 +357,11 @@ where timestamp_ns >= {_ts_ns(C.TS_FROM)} and timestamp_ns < {_ts_ns(C.TS_TO)}
   and level = '{C.LOG_LEVEL}' and service = '{_SVC}' and contains(lower(message), 'ms')""",
     "logs",
 )
+ORACLE["q_metric_list"] = sql(
+    f"""select point_id, name, value, timestamp_ns from metrics where name = '{C.METRIC_NAME}'
+order by timestamp_ns desc, point_id limit 100 offset 100""",
+    "metrics",
+)
 ORACLE["q_metric_filter_labels"] = sql(
     f"select point_id, name, value, labels_key from metrics "
     f"where metric_type = 'gauge' and labels_key = 'host=1,service={_SVC}'",
