@@ -121,3 +121,25 @@ def test_exact_distinct_traces_shuffle_by_trace_first(spark):
     keys = re.findall(r"hashpartitioning\(([^)]*)\)", text)
     # first level spreads a hot (bucket, service) by trace id; second carries partial counts
     assert any("trace_id" in k for k in keys) and any("trace_id" not in k for k in keys), keys
+
+
+def test_stored_logs_prune_partitions_and_push_filters(spark, tmp_dir):
+    from vigil.operators.logs import filter_logs
+    from vigil.operators.predicates import parse_rfc3339_ns
+    from vigil.sources import views
+    from vigil.sources.sinks import read_stored, write_table
+
+    write_table(views.logs(spark, SF).drop("attributes"), f"{tmp_dir}/logs", "logs")
+    stored = read_stored(spark, f"{tmp_dir}/logs")
+    page = filter_logs(
+        stored, start_ns=parse_rfc3339_ns("2024-01-10T00:00:00Z"), end_ns=parse_rfc3339_ns("2024-01-12T00:00:00Z"),
+        service="svc-3", level="error",
+    ).select("log_id", "message")
+    text = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in text and "dt#" in text.split("PartitionFilters:")[1].split("]")[0]
+    pushed = text.split("PushedFilters: [")[1].split("]")[0]
+    assert "timestamp_ns" in pushed and "service" in pushed and "level" in pushed
+    schema = text.split("ReadSchema: ")[1].split("\n")[0]
+    assert "trace_id" not in schema and "attributes" not in schema
+    assert page.count() == views.logs(spark, SF).where(
+        "service = 'svc-3' and level = 'error' and ts >= '2024-01-10' and ts < '2024-01-12'").count()
