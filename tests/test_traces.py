@@ -1,6 +1,7 @@
 """A22, T1–T7, J1–J3, L7 on the reference's handy duration batch."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import BASE_NS, logs_df, spans_df
 from vigil.operators import traces
@@ -74,3 +75,13 @@ def test_log_correlation(spark, spans):
     joined = traces.correlate_logs(logs, spans).collect()
     assert [(r.message, r.span_name) for r in joined] == [("in span", "DB query")]
     assert [r.message for r in traces.correlate_logs(logs, spans, "left_anti").collect()] == ["orphan"]
+
+
+def test_prefilter_gives_the_same_traces(spark):
+    from vigil.sources import views
+
+    sp = views.spans(spark, "/root/testdata/sf0.001")
+    for kwargs in (dict(service="svc-3"), dict(status="error"), dict(service="svc-1", status="error")):
+        plain = traces.find_traces(sp, **kwargs).withColumn("services", F.array_join("services", ","))
+        pre = traces.find_traces(sp, prefilter=True, **kwargs).withColumn("services", F.array_join("services", ","))
+        assert plain.exceptAll(pre).count() == 0 and pre.exceptAll(plain).count() == 0

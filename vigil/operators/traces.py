@@ -43,9 +43,25 @@ def find_traces(
     min_duration_ms: int | None = None,
     max_duration_ms: int | None = None,
     status: str | None = None,
+    prefilter: bool = False,
 ) -> DataFrame:
     """T1–T4 at trace level (D7): each predicate may be met by a different span;
-    duration is the whole trace's, truncated to ms, inclusive bounds."""
+    duration is the whole trace's, truncated to ms, inclusive bounds.
+
+    Default plan: one aggregate over all traces, then the trace-level filter.
+    ``prefilter=True`` (for selective service / status searches over large
+    tables) first selects candidate trace ids with the span predicate — pushed
+    to the scan; the sinks sort by service — and semi-joins them back, so only
+    the matching traces' spans are shuffled and aggregated. The semi join keeps
+    all spans of a candidate, so the summaries stay whole-trace.
+    """
+    candidates = None
+    for col, wanted in (("service", service), ("status", status)):
+        if prefilter and wanted is not None:
+            ids = spans.where(F.col(col) == F.lit(wanted)).select("trace_id").distinct()
+            candidates = ids if candidates is None else candidates.join(ids, "trace_id", "left_semi")
+    if candidates is not None:
+        spans = spans.join(candidates, "trace_id", "left_semi")
     flags = []
     if service is not None:
         flags.append(F.bool_or(F.col("service") == F.lit(service)).alias("_svc"))
