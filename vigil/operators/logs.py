@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.model import level_order
 from vigil.operators.predicates import Pred, where_
 
 # ---------------------------------------------------------------------------
@@ -17,7 +18,10 @@ LOG_DEFAULT_LIMIT, LOG_MAX_LIMIT = 100, 1000
 METRIC_DEFAULT_LIMIT, METRIC_MAX_LIMIT = 1000, 1000
 TRACE_DEFAULT_LIMIT, TRACE_MAX_LIMIT = 100, 100
 
-SORT_FIELDS = {"timestamp": "timestamp_ns", "level": "level_order", "service": "service", "message": "message"}
+SORT_FIELDS = {"timestamp": "timestamp_ns", "level": None, "service": "service", "message": "message"}
+# Rows without a unique id are ordered by their content after the sort key:
+# rows equal on all of it are interchangeable, so pages stay deterministic.
+CONTENT_TIE_BREAK = ("service", "message", "trace_id", "span_id")
 
 
 def time_range(ts_ns: str, start_ns: int | None, end_ns: int | None, date_col: str | None = "dt") -> Column:
@@ -63,13 +67,18 @@ class OrderBy:
     field: str = "timestamp"
     descending: bool = True  # D26: the default direction is DESC
 
-    def columns(self, tie_break: str = "log_id") -> list[Column]:
-        name = SORT_FIELDS.get(self.field.lower())
-        if name is None:
+    def columns(self, tie_break: tuple[str, ...] = ("log_id",)) -> list[Column]:
+        field = self.field.lower()
+        if field not in SORT_FIELDS:
             raise ValueError(f"cannot order logs by {self.field!r}; sortable: {sorted(SORT_FIELDS)}")
-        primary = F.col(name).desc() if self.descending else F.col(name).asc()
-        # A unique tie-break keeps pages deterministic.
-        return [primary, F.col(tie_break).asc()]
+        key = level_order("level") if field == "level" else F.col(SORT_FIELDS[field])
+        primary = key.desc() if self.descending else key.asc()
+        # A tie-break keeps pages deterministic.
+        return [primary, *[F.col(c).asc_nulls_first() for c in tie_break]]
+
+
+def tie_break_for(logs: DataFrame) -> tuple[str, ...]:
+    return ("log_id",) if "log_id" in logs.columns else CONTENT_TIE_BREAK
 
 
 def effective_limit(limit: int | None, default: int, maximum: int) -> int:
@@ -83,7 +92,7 @@ def effective_limit(limit: int | None, default: int, maximum: int) -> int:
 
 def order_logs(logs: DataFrame, order: OrderBy | None = None) -> DataFrame:
     """L1–L3: a total order over the logs frame."""
-    return logs.orderBy(*(order or OrderBy()).columns())
+    return logs.orderBy(*(order or OrderBy()).columns(tie_break_for(logs)))
 
 
 def search_logs(
@@ -119,6 +128,8 @@ def search_after(
     each page is a range filter on the time column — prunable at the scan and
     by ``dt`` — followed by a bounded top-k.
     """
+    if "log_id" not in logs.columns:
+        raise ValueError("key-set paging needs a unique log_id column")
     out = where_(logs, where)
     if after is not None:
         ts, lid = after

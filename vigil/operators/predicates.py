@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.model import LEVELS
+from vigil.functions.model import LEVELS, level_order
 
 OPS = ("=", "!=", "<", "<=", ">", ">=", "contains", "starts_with", "ends_with")
 _TEXT_OPS = ("=", "!=", "contains", "starts_with", "ends_with")
@@ -138,7 +138,7 @@ def _level(cond: Cond) -> Column:
         return F.coalesce(_text_compare(level, cond.op, wanted), _false())
     if wanted not in LEVELS:
         return _false()
-    return F.coalesce(_ordered(F.col("level_order"), cond.op, F.lit(LEVELS.index(wanted))), _false())
+    return F.coalesce(_ordered(level_order("level"), cond.op, F.lit(LEVELS.index(wanted))), _false())
 
 
 def parse_rfc3339_ns(text: str) -> int | None:
