@@ -153,7 +153,7 @@ def test_streaming_otlp_span_ingest(spark, tmp_dir):
     def validate(batch):
         return split_valid(otlp.flatten_spans(batch), span_reject_reason())
 
-    stream = spark.readStream.schema(schemas.OTLP_SPANS).option("multiLine", "true").json(inbox)
+    stream = ingest.read_json_stream(spark, inbox, schemas.OTLP_SPANS, multi_line=True)
     q = ingest.start_ingest(stream, "spans", validate, f"{tmp_dir}/raw_spans", f"{tmp_dir}/q_spans",
                             f"{tmp_dir}/span_rollups", "otlp_ingest_test", available_now=True,
                             tiers=("1day",), checkpoint=f"{tmp_dir}/ck5")
@@ -163,4 +163,6 @@ def test_streaming_otlp_span_ingest(spark, tmp_dir):
     stats = spark.read.parquet(f"{tmp_dir}/span_rollups/spans_1day_stats").first()
     assert (stats.span_count, stats.min_duration_ns, stats.max_duration_ns, stats.p50_duration_ns) == (
         3, 5_000_000, 9_000_000, 7_000_000.0)
-    assert spark.read.parquet(f"{tmp_dir}/q_spans").count() == 1
+    quarantined = spark.read.parquet(f"{tmp_dir}/q_spans").collect()
+    assert len(quarantined) == 1 and quarantined[0].source_file.endswith("/r2.json")
+    assert (quarantined[0].resource_index, quarantined[0].scope_index, quarantined[0].record_index) == (0, 0, 1)

@@ -37,6 +37,14 @@ ROLLUPS: dict[str, dict[str, Rollup]] = {
 DEFAULT_TIERS = {"logs": ("1hour", "1day"), "metrics": tuple(TIERS), "spans": ("1hour", "1day")}
 
 
+def read_json_stream(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """M3: a JSON file stream (native or OTLP bodies) with ``source_file`` provenance,
+    as the batch readers add it, so quarantined rows name their file."""
+    configure(spark)
+    raw = spark.readStream.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
+
+
 def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
     (
         df.withColumn("epoch", F.lit(epoch_id))
