@@ -166,3 +166,17 @@ def test_streaming_otlp_span_ingest(spark, tmp_dir):
     quarantined = spark.read.parquet(f"{tmp_dir}/q_spans").collect()
     assert len(quarantined) == 1 and quarantined[0].source_file.endswith("/r2.json")
     assert (quarantined[0].resource_index, quarantined[0].scope_index, quarantined[0].record_index) == (0, 0, 1)
+
+
+def test_recompute_respects_aggregation_policy(spark, tmp_dir):
+    from vigil.operators.retention import AggregationPolicy
+    from vigil.sources.views import logs_from_events
+
+    raw = logs_from_events(spark.read.parquet(f"{SF}/events.parquet")).drop("attributes")
+    raw.write.partitionBy("dt").parquet(f"{tmp_dir}/raw_logs")
+    days = [r.dt for r in raw.select("dt").distinct().limit(2).collect()]
+    policy = AggregationPolicy(enabled={"logs_1hour_counts": False})
+    ingest.recompute_days(spark, f"{tmp_dir}/raw_logs", f"{tmp_dir}/roll", "logs", days, policy=policy)
+    assert os.path.exists(f"{tmp_dir}/roll/logs_1day_counts")
+    assert not os.path.exists(f"{tmp_dir}/roll/logs_1hour_counts")
+    assert spark.read.parquet(f"{tmp_dir}/roll/logs_1day_counts").select("dt").distinct().count() == 2

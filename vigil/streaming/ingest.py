@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.timefn import TIERS
 from vigil.operators import rollups
+from vigil.operators.retention import AggregationPolicy
 from vigil.session import checkpoint_dir, configure
 
 Rollup = Callable[[DataFrame, str], DataFrame]
@@ -54,7 +55,10 @@ def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
     )
 
 
-def recompute_days(spark: SparkSession, raw_path: str, out_root: str, kind: str, days: list, tiers=None) -> None:
+def recompute_days(
+    spark: SparkSession, raw_path: str, out_root: str, kind: str, days: list, tiers=None,
+    policy: AggregationPolicy | None = None,
+) -> None:
     """Rebuild the given days of every rollup of ``kind`` from the raw table.
 
     ``days`` are partition values (one per touched day, so at most the
@@ -66,6 +70,8 @@ def recompute_days(spark: SparkSession, raw_path: str, out_root: str, kind: str,
     raw = spark.read.parquet(raw_path).where(F.col("dt").isin(days)).drop("epoch")
     for tier in tiers or DEFAULT_TIERS[kind]:
         for name, fn in ROLLUPS[kind].items():
+            if policy is not None and not policy.is_enabled(name.format(tier=tier)):
+                continue  # M6: tier switched off
             table = fn(raw, tier)
             if "labels" in table.columns:
                 table = table.drop("labels")
@@ -85,6 +91,7 @@ def start_ingest(
     available_now: bool = False,
     tiers=None,
     checkpoint: str | None = None,
+    policy: AggregationPolicy | None = None,
 ) -> StreamingQuery:
     """Run M3 ingest + M2 recompute as one checkpointed streaming query.
 
@@ -105,7 +112,7 @@ def start_ingest(
             days = [r.dt for r in valid.select("dt").distinct().collect()]
         finally:
             batch.unpersist()
-        recompute_days(spark, raw_path, rollup_root, kind, days, tiers)
+        recompute_days(spark, raw_path, rollup_root, kind, days, tiers, policy)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", location).queryName(name)
     if available_now:
