@@ -147,3 +147,14 @@ def test_span_tier_without_percentiles_matches(spark):
     full = rollups.span_stats_rollup(sp, "1hour").select(cols)
     lite = rollups.span_stats_rollup(sp, "1hour", percentiles=False).select(cols)
     assert full.exceptAll(lite).count() == 0 and lite.exceptAll(full).count() == 0
+
+
+def test_write_rollups_job_is_rerunnable(spark, tmp_dir):
+    m = views.metrics(spark, "/root/testdata/sf0.001")
+    names = rollups.write_rollups(m, "metrics", f"{tmp_dir}/tiers")
+    assert names == ["metrics_1min", "metrics_5min", "metrics_1hour", "metrics_1day"]
+    rollups.write_rollups(m, "metrics", f"{tmp_dir}/tiers", tiers=("1day",))  # re-run one tier
+    day = spark.read.parquet(f"{tmp_dir}/tiers/metrics_1day").drop("dt")
+    direct = rollups.metric_rollup(m, "1day").drop("labels")
+    assert day.count() == direct.count()
+    assert day.select("count").groupBy().sum().first()[0] == m.count()

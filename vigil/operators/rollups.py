@@ -177,3 +177,39 @@ def trace_stats_rollup(spans: DataFrame, tier: str, approximate: bool = False) -
     return spans.groupBy(bucket_start("ts", tier).alias("timestamp"), "service").agg(
         distinct.alias("unique_traces"), F.count(F.lit(1)).alias("total_spans")
     )
+
+
+# Which rollups each entity feeds, by table name pattern.
+ROLLUPS_BY_KIND = {
+    "logs": {"logs_{tier}_counts": log_count_rollup},
+    "metrics": {"metrics_{tier}": metric_rollup},
+    "spans": {"spans_{tier}_stats": span_stats_rollup, "traces_{tier}_stats": trace_stats_rollup},
+}
+TIERS_BY_KIND = {"logs": ("1hour", "1day"), "metrics": ("1min", "5min", "1hour", "1day"), "spans": ("1hour", "1day")}
+
+
+def write_rollups(df: DataFrame, kind: str, out_root: str, tiers=None, policy=None) -> list[str]:
+    """Materialise the rollup tiers fed by ``df`` (an entity frame of ``kind``).
+
+    Each tier goes to ``<out_root>/<table>`` partitioned by ``dt`` with dynamic
+    partition overwrite, so a re-run replaces exactly the days it recomputes.
+    ``policy`` (an ``AggregationPolicy``) switches tiers off (M6). Returns the
+    tables written.
+    """
+    if kind not in ROLLUPS_BY_KIND:
+        raise ValueError(f"unknown entity kind {kind!r}")
+    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    written = []
+    for tier in tiers or TIERS_BY_KIND[kind]:
+        for pattern, fn in ROLLUPS_BY_KIND[kind].items():
+            name = pattern.format(tier=tier)
+            if policy is not None and not policy.is_enabled(name):
+                continue
+            table = fn(df, tier)
+            if "labels" in table.columns:
+                table = table.drop("labels")
+            table.withColumn("dt", F.to_date("timestamp")).write.mode("overwrite").partitionBy("dt").parquet(
+                f"{out_root.rstrip('/')}/{name}"
+            )
+            written.append(name)
+    return written

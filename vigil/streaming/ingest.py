@@ -24,17 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.timefn import TIERS
-from vigil.operators import rollups
+from vigil.operators.rollups import write_rollups
 from vigil.operators.retention import AggregationPolicy
 from vigil.session import checkpoint_dir, configure
 
-Rollup = Callable[[DataFrame, str], DataFrame]
 
-ROLLUPS: dict[str, dict[str, Rollup]] = {
-    "logs": {"logs_{tier}_counts": rollups.log_count_rollup},
-    "metrics": {"metrics_{tier}": rollups.metric_rollup},
-    "spans": {"spans_{tier}_stats": rollups.span_stats_rollup, "traces_{tier}_stats": rollups.trace_stats_rollup},
-}
 DEFAULT_TIERS = {"logs": ("1hour", "1day"), "metrics": tuple(TIERS), "spans": ("1hour", "1day")}
 
 
@@ -68,16 +62,7 @@ def recompute_days(
     if not days:
         return
     raw = spark.read.parquet(raw_path).where(F.col("dt").isin(days)).drop("epoch")
-    for tier in tiers or DEFAULT_TIERS[kind]:
-        for name, fn in ROLLUPS[kind].items():
-            if policy is not None and not policy.is_enabled(name.format(tier=tier)):
-                continue  # M6: tier switched off
-            table = fn(raw, tier)
-            if "labels" in table.columns:
-                table = table.drop("labels")
-            table.withColumn("dt", F.to_date("timestamp")).write.mode("overwrite").partitionBy("dt").parquet(
-                f"{out_root.rstrip('/')}/{name.format(tier=tier)}"
-            )
+    write_rollups(raw, kind, out_root, tiers or DEFAULT_TIERS[kind], policy)
 
 
 def start_ingest(
