@@ -1,11 +1,14 @@
 """The driver contract: entry(), and every query against its DuckDB oracle."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
 from oracle_compare import compare, duck
 
-SF = "/root/testdata/sf0.001"
+# VIGIL_ORACLE_SF=/root/testdata/sf0.01 runs the oracle contract at the driver's scale
+SF = os.environ.get("VIGIL_ORACLE_SF", "/root/testdata/sf0.001")
 
 
 def test_entry(spark):
