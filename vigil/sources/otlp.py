@@ -1,10 +1,12 @@
 """OTLP/JSON ingest (I4–I6) with the conversion rules O1–O7.
 
-``spark.read.schema(...).json`` parses export requests with every AnyValue
-typed VARIANT; ``inline`` flattens resource -> scope -> record; each rule is a
-column expression. A request file in ``multiLine`` mode is one task (request
-bodies are bounded, 10 MB in the reference); JSON-lines files (one request
-per line, as written by file exporters) split like any text input.
+``spark.read.schema(...).json`` parses export requests with each AnyValue as a
+struct of its scalar cases (nested arrays / kvlists as VARIANT); :func:`unnest`
+flattens resource -> scope -> record, computing resource-level fields once per
+resource; each conversion rule is a column expression. A request file in
+``multiLine`` mode is one task (request bodies are bounded, 10 MB in the
+reference); JSON-lines files (one request per line, as written by file
+exporters) split like any text input.
 """
 
 from __future__ import annotations
