@@ -99,3 +99,14 @@ def test_random_strings_match_re2(spark):
     for i, t in enumerate(texts):
         want = con.execute(f"select {duckdb_normalize_sql('?')}", [t]).fetchall()[0][0]
         assert got[i] == want, repr(t)
+
+
+def test_sql_function_equals_column_form_on_documents(spark):
+    from vigil.sources import views
+
+    name = register_normalize_function(spark)
+    docs = views.doc_logs(spark, "/root/testdata/sf0.001").select("log_id", "message")
+    docs.createOrReplaceTempView("doc_msgs")
+    via_sql = spark.sql(f"select log_id, {name}(message) as n from doc_msgs")
+    via_col = docs.select("log_id", normalize_message("message").alias("n"))
+    assert via_sql.exceptAll(via_col).count() == 0 and via_col.exceptAll(via_sql).count() == 0
