@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, where they were not started with it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_vigil_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="vigil-"), "vigil.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._vigil_shipped = True
+
+
 def whole_text(column: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, hilbert, packing, secrets
-from vigil.llm.common import table
+from vigil.llm import bpe, hilbert, multi_index, packing, secrets, simhash, topk
+from vigil.llm.common import ship_package, table
 from vigil.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ REGISTRY: dict[str, Query] = {}
 def query(fn: Query) -> Query:
     def wrapped(spark: SparkSession, base_dir: str) -> DataFrame:
         configure(spark)
+        ship_package(spark)
         return fn(spark, base_dir)
 
     wrapped.__name__, wrapped.__doc__ = fn.__name__, fn.__doc__
@@ -36,6 +37,12 @@ def op1_byte_bpe(spark, d):
     return bpe.encode_digests(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op2_simhash(spark, d):
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
 @query
 def op3_packing(spark, d):
     """Mixture-controlled packing of all documents into sequences of 1024 tokens."""
@@ -48,6 +55,18 @@ def op7_hilbert_shards(spark, d):
     return hilbert.shard_documents(table(spark, d, "documents"))
 
 
+@query
+def op8_top_products(spark, d):
+    """The 10 largest integer inner products of every hundredth vector, exactly."""
+    return topk.top_products(table(spark, d, "embeddings"))
+
+
+@query
+def op9_multi_index(spark, d):
+    """20 near neighbours of every twentieth vector."""
+    return multi_index.nearest(table(spark, d, "embeddings"))
+
+
 @query
 def op10_secrets(spark, d):
     """Credential spans of every text, with ownership counted over the corpus."""
