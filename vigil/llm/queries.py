@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, hilbert, multi_index, packing, secrets, simhash, topk
+from vigil.llm import bpe, hilbert, multi_index, packing, quality, secrets, simhash, topk, toxicity
 from vigil.llm.common import ship_package, table
 from vigil.session import configure
 
@@ -49,6 +49,18 @@ def op3_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op4_toxicity(spark, d):
+    """Toxicity score of every text after deobfuscation."""
+    return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op6_quality(spark, d):
+    """Quality score of every text from its statistics."""
+    return quality.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op7_hilbert_shards(spark, d):
     """All documents in 16 shards along a Hilbert curve through their metadata."""

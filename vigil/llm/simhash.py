@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from vigil.llm.common import materialize
 from vigil.llm.components import connected
@@ -55,11 +56,8 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-FINGERPRINT_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("print", T.LongType())])
-
-
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), size: int = SHINGLE) -> DataFrame:
+    """``keys`` and ``print`` (the fingerprint as a signed long) of every row; a null text has no words."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,10 +65,12 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 (fingerprint(t.as_py() or "", size) for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], names=FINGERPRINT_SCHEMA.names
+                [*[batch.column(k) for k in keys], pa.array(found.view(np.int64))], names=[*keys, "print"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(compute, FINGERPRINT_SCHEMA)
+    rows = docs.select(*keys, "text")
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("print", T.LongType())])
+    return rows.mapInArrow(compute, schema)
 
 
 def co_occurrence(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -231,6 +231,13 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, partitions: int = PA
     return p.join(x, on).select("a", "b")
 
 
+def _rooted(classes: DataFrame, distance: int, partitions: int) -> DataFrame:
+    """``classes`` (one row for each fingerprint) with ``root``, the least fingerprint of its component."""
+    found = connected(near_links(classes.select("print"), distance, partitions))
+    joined = classes.join(found.withColumnRenamed("node", "print"), "print", "left")
+    return joined.withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links).
 
@@ -239,14 +246,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     component, whose id is null only if no row of it has one. An empty table gives no rows;
     other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, size), "simhash-prints")
+    rows = materialize(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), size=size), "simhash-prints")
     classes = rows.groupBy("print").agg(F.min("doc_id").alias("first"))
-    found = connected(near_links(classes.select("print"), distance, partitions))
-    rooted = classes.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn(
-        "root", F.coalesce("root", "print")
-    )
+    rooted = _rooted(classes, distance, partitions)
     heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = rooted.join(heads, "root").select(F.col("print").alias("_print"), "component_id")
     return rows.join(ids, F.col("print") == F.col("_print")).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate component, unchanged: the least doc_id, then the least text hash.
+
+    Only fingerprints are grouped, by grouped minima; the kept rows are found again by
+    (doc_id, hash of the text), and of rows equal in both one stays. Rows without doc_id
+    come last in their component.
+    """
+    keyed = docs.withColumns({
+        "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
+    })
+    rows = materialize(fingerprints(keyed, ("doc_id", "_id", "_hash"), size), "simhash-prints")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_id", "_hash"))
+    rooted = _rooted(rows.groupBy("print").agg(head.alias("head")), distance, partitions)
+    kept = rooted.groupBy("root").agg(F.min("head").alias("head")).select("head._id", "head._hash").distinct()
+    found = keyed.join(kept, ["_id", "_hash"], "left_semi")
+    once = Window.partitionBy("_id", "_hash").orderBy("_id")
+    return found.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select(*docs.columns)
