@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, hilbert, multi_index, packing, quality, secrets, simhash, topk, toxicity
+from vigil.llm import bpe, hilbert, html_blocks, multi_index, packing, quality, secret_scan, simhash, topk, toxicity
 from vigil.llm.common import ship_package, table
 from vigil.session import configure
 
@@ -55,6 +55,12 @@ def op4_toxicity(spark, d):
     return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query
+def op5_main_text(spark, d):
+    """The main text of every page."""
+    return html_blocks.extract_main_text(table(spark, d, "pages"))
+
+
 @query
 def op6_quality(spark, d):
     """Quality score of every text from its statistics."""
@@ -82,7 +88,7 @@ def op9_multi_index(spark, d):
 @query
 def op10_secrets(spark, d):
     """Credential spans of every text, with ownership counted over the corpus."""
-    return secrets.scan_secrets(table(spark, d, "documents"))
+    return secret_scan.scan_secrets(table(spark, d, "documents"))
 
 
 def registry() -> dict[str, Query]:
