@@ -1,0 +1,76 @@
+"""op1: ids equal the public reference encoder's, decoding is the exact inverse."""
+
+import hashlib
+import random
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from vigil.llm import bpe
+
+PATH = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def model():
+    return bpe.load(PATH, P.PATTERN)
+
+
+def test_digests(spark, docs, rows, reference):
+    got = sorted(map(tuple, bpe.encode_digests(docs, PATH, P.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()), key=str)
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = reference.encode_ordinary(text or "")
+        want.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256((text or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_empty_table(no_docs):
+    assert bpe.encode_digests(no_docs, PATH, P.PATTERN).collect() == []
+
+
+def test_every_character_and_random_texts(model, reference):
+    entries = bpe.ChunkCache(model, lambda ids: ids)
+
+    def ids(text):
+        return [i for part in entries.of(text) for i in part]
+
+    for c in [*range(0xD800), *range(0xE000, 0x30000, 7), *range(0xE0000, 0x110000, 97)]:
+        text = f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} {chr(c)}"
+        assert ids(text) == reference.encode_ordinary(text), hex(c)
+    r = random.Random(1)
+    parts = list("ab'sS \n\t  !?é中ß1２") + ["'re", " 'll", "　", "\x85", "\x1c", "<|endoftext|>", "aaa"]
+    for _ in range(5000):
+        text = "".join(r.choices(parts, k=r.randint(1, 14)))
+        assert ids(text) == reference.encode_ordinary(text), repr(text)
+
+
+def test_offsets_and_stream(model):
+    text = "naïve 日本語 \U0001f600 don't"
+    ids, offsets = model.encode_with_offsets(text)
+    assert model.decode_bytes(ids).decode() == text
+    for i, (a, b) in zip(ids, offsets):  # the bytes of a token lie in the characters of its span
+        assert model.token_bytes[i] in text[a:b].encode()
+    assert {c for a, b in offsets for c in range(a, b)} == set(range(len(text)))
+    pieces = list(model.decode_stream(ids))
+    assert "".join(pieces) == text and "�" not in "".join(pieces)
+
+
+def test_round_trip_of_tables(docs, rows):
+    encoded = bpe.encode_documents(docs, PATH, P.PATTERN)
+    texts = sorted((r.text for r in bpe.decode_documents(encoded, PATH, P.PATTERN).collect()))
+    assert texts == sorted((r[1] or "") for r in rows)
+
+
+def test_cache_overflow_changes_nothing(model, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
+    entries = bpe.ChunkCache(model, lambda ids: ids)
+    text = "one two three four five one two six seven one"
+    assert [i for part in entries.of(text) for i in part] == reference.encode_ordinary(text)

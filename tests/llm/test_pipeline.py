@@ -1,0 +1,80 @@
+"""The pipeline: every stage's decisions take effect; and the registered queries."""
+
+import importlib
+import sys
+
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline
+from oracle_compare import compare, duck
+from vigil.llm import packing, quality, secret_scan, simhash, toxicity
+from vigil.llm.common import DOCUMENT_COLUMNS, materialize, table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_registered():
+    names = [q for q in E.queries() if q.startswith("op")]
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert E.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_stages(spark):
+    docs = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels")
+    by_stage = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, SF), f"test-{name}")
+        by_stage[name] = (before, docs)
+        if name != "packing":
+            assert docs.columns == list(DOCUMENT_COLUMNS)
+    before, after = by_stage["toxicity"]
+    bad = {r.doc_id for r in toxicity.score_toxicity(before, labels).collect() if r.predicted == 1}
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - bad
+    before, after = by_stage["quality"]
+    good = {r.doc_id for r in quality.score_quality(before, labels).collect() if r.predicted == 1}
+    assert {r.doc_id for r in after.collect()} == good
+    before, after = by_stage["near_duplicates"]
+    heads = {r.component_id for r in simhash.near_duplicates(before).collect()}
+    assert {r.doc_id for r in after.collect()} == heads
+    before, after = by_stage["secrets"]
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+    assert all(r.n_assign + r.n_access + r.n_hex == 0 for r in secret_scan.scan_secrets(after).collect())
+    before, after = by_stage["packing"]
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+    assert before.join(table(spark, SF, "documents").select("doc_id", "lang", "source"), ["doc_id", "lang", "source"]).count() == before.count()
+
+
+def test_empty_documents(spark, docs, no_docs):
+    current = no_docs
+    for name, stage in corpus_pipeline.STAGES:
+        current = materialize(stage(spark, current, SF), f"empty-{name}")
+        assert current.count() == 0
+
+
+def test_odd_documents_keep_their_rows(spark, docs):
+    current = docs
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        current = stage(spark, current, SF)
+    assert current.count() > 0 and current.columns == list(DOCUMENT_COLUMNS)
+
+
+@pytest.mark.parametrize("name", [q for q in E.oracle_sql() if q.startswith("op")])
+def test_oracle(spark, name):
+    assert compare(spark, duck(SF), name, E.queries()[name], E.oracle_sql()[name], SF)
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    real = importlib.import_module
+
+    def without(name, *rest):
+        if name.startswith("vigil.llm") or name == "corpus_pipeline":
+            raise ModuleNotFoundError(name=name)
+        return real(name, *rest)
+
+    monkeypatch.setattr(importlib, "import_module", without)
+    spec = importlib.util.spec_from_file_location("entry_alone", E.__file__)
+    alone = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(alone)
+    assert all(q.startswith("q_") for q in alone.queries()) and len(alone.queries()) >= 81

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.llm.common import ranked, whole_text
 
@@ -132,22 +133,19 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
 
     Rows are matched to their place by (doc_id, size, text_crc32); rows equal in all three
     hold equal places in the order, so they may swap slots but never get lost or doubled.
+    Columns of ``docs`` named shard or slot are replaced.
     """
     keys = ["_id", "_size", "_crc"]
     text = whole_text()
-    copy = F.row_number().over(_copies(keys))
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
     plan = shard_documents(docs, shards).select(
         F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot"
     ).withColumn("_copy", copy)
-    rows = docs.withColumns({
-        "_id": F.col("doc_id"), "_size": (F.octet_length(text) + 1).cast("long"), "_crc": F.crc32(text.cast("binary")),
-    }).withColumn("_copy", copy)
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    rows = docs.select(
+        F.struct(*own).alias("row"), F.col("doc_id").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"),
+        F.crc32(text.cast("binary")).alias("_crc"),
+    ).withColumn("_copy", copy)
     on = [rows[k].eqNullSafe(plan[k]) for k in [*keys, "_copy"]]
-    joined = rows.join(plan, on).select(*[rows[c] for c in docs.columns], plan["shard"], plan["slot"])
+    joined = rows.join(plan, on).select("row.*", "shard", "slot")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-
-
-def _copies(keys: list[str]):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(*keys).orderBy(*keys)

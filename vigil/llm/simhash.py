@@ -263,13 +263,14 @@ def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, distance: int = DISTA
     (doc_id, hash of the text), and of rows equal in both one stays. Rows without doc_id
     come last in their component.
     """
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
-    })
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"),
+    )
     rows = materialize(fingerprints(keyed, ("doc_id", "_id", "_hash"), size), "simhash-prints")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_id", "_hash"))
     rooted = _rooted(rows.groupBy("print").agg(head.alias("head")), distance, partitions)
     kept = rooted.groupBy("root").agg(F.min("head").alias("head")).select("head._id", "head._hash").distinct()
-    found = keyed.join(kept, ["_id", "_hash"], "left_semi")
+    found = keyed.select("row", "_id", "_hash").join(kept, ["_id", "_hash"], "left_semi")
     once = Window.partitionBy("_id", "_hash").orderBy("_id")
-    return found.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select(*docs.columns)
+    return found.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").select("row.*")
