@@ -72,7 +72,9 @@ def test_tier_up_equals_direct(spark):
     for fine in ("1min", "5min", "1hour"):
         up = rollups.tier_up(rollups.metric_rollup(m, fine), "1day")
         cols = ["timestamp", "name", "metric_type", "service", "labels_key", "count", "sum", "min", "max", "avg"]
-        assert up.select(cols).exceptAll(direct.select(cols)).count() == 0
+        # the sums agree to the rounding of DOUBLE addition
+        up, same = (df.withColumns({c: F.round(c, 6) for c in ("sum", "avg")}).select(cols) for df in (up, direct))
+        assert up.exceptAll(same).count() == 0
         assert direct.select(cols).exceptAll(up.select(cols)).count() == 0
 
 

@@ -42,8 +42,15 @@ def empty_to_null(col: Column | str) -> Column:
 
 
 def labels_key(labels: Column | str) -> Column:
-    """Canonical text of a label map — sorted ``k=v`` joined by ``,``."""
-    entries = F.transform(F.map_entries(_c(labels)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    """Canonical text of a label map — sorted ``k=v`` joined by ``,``.
+
+    A backslash, comma or equals sign inside a key or value is written after a
+    backslash, so different label sets never share a key.
+    """
+    def plain(c: Column) -> Column:
+        return F.regexp_replace(c, r"([\\,=])", r"\\$1")
+
+    entries = F.transform(F.map_entries(_c(labels)), lambda e: F.concat(plain(e["key"]), F.lit("="), plain(e["value"])))
     return F.array_join(F.array_sort(entries), ",")
 
 

@@ -25,9 +25,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _div(col: Column, by: int) -> Column:
+    """Integer division towards zero; ``/`` would go through DOUBLE and lose digits beyond 2^53."""
+    return F.call_function("div", col, F.lit(by).cast("bigint"))
+
+
 def ns_to_ts(ns: Column | str) -> Column:
-    """Epoch nanoseconds -> TIMESTAMP (truncates sub-µs, like the reference's seconds cast)."""
-    return F.timestamp_micros(F.floor(_c(ns) / F.lit(1000)).cast("bigint"))
+    """Epoch nanoseconds -> TIMESTAMP (the microsecond the instant lies in)."""
+    c = _c(ns)
+    return F.timestamp_micros(_div(c - F.pmod(c, F.lit(1000)), 1000))
 
 
 def ts_to_ns(ts: Column | str) -> Column:
@@ -46,12 +52,10 @@ def bucket_start(ts: Column | str, tier: str) -> Column:
 
 def ns_to_ms(ns: Column | str) -> Column:
     """Whole milliseconds, truncated toward zero."""
-    c = _c(ns)
-    return F.when(c >= 0, F.floor(c / NS_PER_MS)).otherwise(F.ceil(c / NS_PER_MS)).cast("bigint")
+    return _div(_c(ns), NS_PER_MS)
 
 
 def age_days(as_of: Column, oldest: Column) -> Column:
     """The whole seconds of ``as_of - oldest`` (truncated) divided by 86400."""
     micros = F.unix_micros(as_of) - F.unix_micros(oldest)
-    whole_seconds = F.when(micros >= 0, F.floor(micros / 1_000_000)).otherwise(F.ceil(micros / 1_000_000))
-    return whole_seconds.cast("double") / F.lit(float(SECONDS_PER_DAY))
+    return _div(micros, 1_000_000).cast("double") / F.lit(float(SECONDS_PER_DAY))

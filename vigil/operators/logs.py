@@ -138,7 +138,7 @@ def search_after(
         )
         if "dt" in logs.columns:
             out = out.where(F.col("dt") <= F.to_date(F.timestamp_micros(F.lit(ts // 1000))))
-    return out.orderBy(*OrderBy().columns()).limit(effective_limit(limit, LOG_DEFAULT_LIMIT, LOG_MAX_LIMIT))
+    return out.orderBy(*OrderBy().columns()).limit(limit)
 
 
 def total_count(logs: DataFrame, where: Pred | None = None) -> DataFrame:

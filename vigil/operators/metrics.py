@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.logs import METRIC_DEFAULT_LIMIT, METRIC_MAX_LIMIT, page, time_range
-from vigil.operators.rollups import exact_sum
+from vigil.operators.logs import time_range
 
 AGG_FUNCTIONS = ("sum", "avg", "min", "max", "count")
 
@@ -36,21 +35,24 @@ def filter_metrics(
 def list_metrics(
     metrics: DataFrame, limit: int | None = None, offset: int | None = None, id_col: str = "point_id", **filters
 ) -> DataFrame:
-    """F20–F22 + D1/D2: matching points newest first (unique ``id_col`` tie-break),
-    one page of at most 1000 (default 1000)."""
-    order = [F.col("timestamp_ns").desc(), F.col(id_col).asc()]
-    return page(filter_metrics(metrics, **filters), order, limit, offset, METRIC_DEFAULT_LIMIT, METRIC_MAX_LIMIT)
+    """F20–F22 + D1: matching points newest first (unique ``id_col`` tie-break).
+
+    ``limit`` is taken as given; :func:`vigil.operators.logs.page` has the API's page sizes (D2).
+    """
+    out = filter_metrics(metrics, **filters).orderBy(F.col("timestamp_ns").desc(), F.col(id_col).asc())
+    if offset:
+        out = out.offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def _agg_column(function: str):
     fn = function.lower()
     if fn not in AGG_FUNCTIONS:
         raise ValueError(f"unknown aggregation {function!r}; expected one of {AGG_FUNCTIONS}")
-    exact = exact_sum("value")
     if fn == "sum":
-        return F.coalesce(exact.cast("double"), F.lit(0.0))
+        return F.coalesce(F.sum("value"), F.lit(0.0))
     if fn == "avg":
-        return F.coalesce(exact.cast("double") / F.count("value"), F.lit(0.0))
+        return F.coalesce(F.avg("value"), F.lit(0.0))
     if fn == "min":
         return F.coalesce(F.min("value"), F.lit(0.0))
     if fn == "max":

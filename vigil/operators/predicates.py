@@ -16,7 +16,10 @@ follows the reference's two-valued semantics:
   trace_id/span_id also matches any operator when the literal is ``''``;
 * a literal of the wrong type is FALSE, even for ``!=``.
 
-Every leaf is wrapped so it is never NULL, hence AND/OR/NOT stay two-valued.
+There is no NOT, so a NULL leaf acts as FALSE wherever the tree filters rows:
+:func:`where_` uses bare comparisons, which the scan can take, and adds the
+``dt`` bounds that follow from a timestamp condition. :func:`compile_predicate`
+gives the same condition as a value that is never NULL.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.model import LEVELS, level_order
+from vigil.functions.model import LEVELS
 
 OPS = ("=", "!=", "<", "<=", ">", ">=", "contains", "starts_with", "ends_with")
 _TEXT_OPS = ("=", "!=", "contains", "starts_with", "ends_with")
@@ -121,24 +124,27 @@ def _ordered(col: Column, op: str, lit: Column) -> Column:
 
 def _string_field(col: Column, cond: Cond, nullable: bool) -> Column:
     # A present value needs a string literal; the missing-id rule below does not.
-    test = F.coalesce(_text_compare(col, cond.op, cond.value), _false()) if _is_str(cond.value) else _false()
-    if not nullable:
-        return test
-    when_missing = cond.value == "" or cond.op == "!="
-    return F.when(col.isNull(), F.lit(when_missing)).otherwise(test)
+    test = _text_compare(col, cond.op, cond.value) if _is_str(cond.value) else _false()
+    when_missing = nullable and (cond.value == "" or cond.op == "!=")
+    return col.isNull() | test if when_missing else test
 
 
 def _level(cond: Cond) -> Column:
-    """F6/F7."""
+    """F6/F7. Stored levels are canonical lower case, so ``=`` and the severity order are plain value tests."""
     if not _is_str(cond.value):
         return _false()
-    wanted = cond.value.lower()
-    level = F.col("level")
+    wanted, level = cond.value.lower(), F.col("level")
+    if cond.op == "=":
+        return level == F.lit(wanted)
+    if cond.op == "!=":
+        return level != F.lit(wanted)
     if cond.op in _TEXT_OPS:
-        return F.coalesce(_text_compare(level, cond.op, wanted), _false())
+        return _text_compare(level, cond.op, wanted)
     if wanted not in LEVELS:
         return _false()
-    return F.coalesce(_ordered(level_order("level"), cond.op, F.lit(LEVELS.index(wanted))), _false())
+    rank = LEVELS.index(wanted)
+    within = {"<": LEVELS[:rank], "<=": LEVELS[: rank + 1], ">": LEVELS[rank + 1 :], ">=": LEVELS[rank:]}[cond.op]
+    return level.isin(*within) if within else _false()
 
 
 def parse_rfc3339_ns(text: str) -> int | None:
@@ -161,8 +167,8 @@ def parse_rfc3339_ns(text: str) -> int | None:
     return int(dt.timestamp()) * 1_000_000_000 + frac_ns
 
 
-def _timestamp(cond: Cond) -> Column:
-    """F8/F9 — compared at nanosecond precision on ``timestamp_ns``."""
+def _timestamp(cond: Cond, date_col: str | None) -> Column:
+    """F8/F9 — compared at nanosecond precision on ``timestamp_ns``; ``date_col`` gets the day bound that follows."""
     if cond.op not in ("=", "!=", *_ORDER_OPS):
         return _false()
     if _is_str(cond.value):
@@ -173,7 +179,11 @@ def _timestamp(cond: Cond) -> Column:
         ns = None
     if ns is None:
         return _false()
-    return F.coalesce(_ordered(F.col("timestamp_ns"), cond.op, F.lit(ns)), _false())
+    test = _ordered(F.col("timestamp_ns"), cond.op, F.lit(ns))
+    if date_col is None or cond.op == "!=":
+        return test
+    day_op = {"<": "<=", ">": ">="}.get(cond.op, cond.op)
+    return test & _ordered(F.col(date_col), day_op, F.to_date(F.timestamp_micros(F.lit(ns // 1000))))
 
 
 def _attribute(cond: Cond) -> Column:
@@ -215,10 +225,15 @@ def _guard_missing(attr: Column, op: str, present: Column) -> Column:
 
 def compile_predicate(pred: Pred) -> Column:
     """Compile a predicate tree to one boolean Column (never NULL)."""
+    return F.coalesce(_condition(pred, None), _false())
+
+
+def _condition(pred: Pred, date_col: str | None) -> Column:
+    """The tree as a filter condition: NULL where a field is missing, which a filter takes as FALSE."""
     if isinstance(pred, And):
-        return compile_predicate(pred.left) & compile_predicate(pred.right)
+        return _condition(pred.left, date_col) & _condition(pred.right, date_col)
     if isinstance(pred, Or):
-        return compile_predicate(pred.left) | compile_predicate(pred.right)
+        return _condition(pred.left, date_col) | _condition(pred.right, date_col)
     field = pred.field.lower()
     if field == "level":
         return _level(pred)
@@ -227,7 +242,7 @@ def compile_predicate(pred: Pred) -> Column:
     if field in ("trace_id", "span_id"):
         return _string_field(F.col(field), pred, nullable=True)
     if field == "timestamp":
-        return _timestamp(pred)
+        return _timestamp(pred, date_col)
     return _attribute(pred)
 
 
@@ -241,4 +256,6 @@ def any_of(*preds: Pred) -> Pred:
 
 def where_(df: DataFrame, pred: Pred | None) -> DataFrame:
     """Filter a logs frame by a predicate tree (F15: AND binds tighter — build it so)."""
-    return df if pred is None else df.where(compile_predicate(pred))
+    if pred is None:
+        return df
+    return df.where(_condition(pred, "dt" if "dt" in df.columns else None))

@@ -2,20 +2,19 @@
 
 Spark's built-in ``percentile`` keeps a value->count map per group and merges
 a group's maps in one task, so one hot group (a third of all rows) would be
-held by one executor. This operator instead uses a global sort:
+held by one executor. This operator instead counts:
 
-1. ``repartitionByRange(keys, value, row id)`` samples the composite key, so a
-   hot group is split across many range partitions (the row id splits even runs
-   of identical values); each partition is sorted and every row gets
-   ``monotonically_increasing_id`` = (partition << 33) | position.
-2. A partial aggregate per (group, partition) gives segment counts and the
-   first position of each segment — at most #groups + #partitions rows.
-3. A window over that small segment table (per group at most #partitions rows)
-   yields each segment's starting rank, and from it the rank(s) each wanted
-   percentile needs (lower and upper neighbour for interpolation).
-4. The wanted row ids (a handful per group, carrying the group totals) are
-   joined back to the sorted rows and one aggregate assembles the result; AQE
-   broadcasts the id side when its measured size allows.
+1. one row per (group, value) with its count, after a map-side partial count; the
+   shuffle is by group and value, so a hot group is spread by its values and a value
+   that repeats is one row;
+2. counts per (group, bin), a bin being a fixed narrow range of values (``_bin``): a
+   window over a group's bins, of which there are a bounded number, gives each bin's
+   first rank, hence the bins that hold the wanted ranks and where in them;
+3. the values of those few bins are joined back, ranked inside their bin, and the
+   wanted ones are assembled.
+
+Every step is a function of the values alone: nothing depends on how rows fall into
+partitions, or on two readers sharing one exchange.
 
 Result equals ``percentile(value, p)`` / DuckDB ``quantile_cont``:
 ``v[lo] + (v[hi] - v[lo]) * (p*(n-1) - lo)``.
@@ -25,10 +24,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_POS_BITS = 33  # monotonically_increasing_id layout: partition id in the upper 31 bits
+BINS_PER_DOUBLING = 1024  # a bin spans a factor of 2^(1/1024)
+_FAR = 1100 * BINS_PER_DOUBLING  # beyond the exponents of a double
+
+
+def _bin(value: Column) -> Column:
+    """A bin number that never falls as the value rises: logarithmic, mirrored for negative values."""
+    v = value.cast("double")
+    place = F.floor(F.log2(F.abs(v)) * BINS_PER_DOUBLING) + _FAR
+    return F.when(v == 0, F.lit(0)).when(v > 0, place).otherwise(-place).cast("bigint")
 
 
 def grouped_percentiles(
@@ -46,66 +53,43 @@ def grouped_percentiles(
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"percentile {name}={p} outside [0, 1]")
     vals = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    # The row id (assigned map-side, reproducible from the same input split) breaks
-    # ties in the range key: a hot group whose rows all carry the same value is
-    # still split across partitions instead of landing in one.
-    ordered = (
-        vals.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(*keys, "_v", "_tie")
-        # sorting by the tie-breaker too makes row ids identical on a task retry
-        .sortWithinPartitions(*keys, "_v", "_tie")
-        .withColumn("_rid", F.monotonically_increasing_id())
-    )
-    mask = (1 << _POS_BITS) - 1
-    segments = (
-        ordered.groupBy(*keys, F.shiftright("_rid", _POS_BITS).alias("_pid"))
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.min(F.col("_rid").bitwiseAND(F.lit(mask))).alias("_first"),
-            F.sum("_v").alias("_s"),
-            F.min("_v").alias("_lo_v"),
-            F.max("_v").alias("_hi_v"),
-        )
+    counted = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"))
+    counted = counted.withColumn("_bin", _bin(F.col("_v")))
+    bins = counted.groupBy(*keys, "_bin").agg(
+        F.sum("_c").alias("_bc"), F.sum("_s").alias("_bs"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     by_key = Window.partitionBy(*keys)
-    before = by_key.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # Group totals ride along on the segment rows (same window partitioning).
-    segments = segments.select(
-        *keys, "_pid", "_c", "_first",
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"),
-        F.sum("_c").over(by_key).alias("_n"),
-        F.sum("_s").over(by_key).alias("_sum"),
-        F.min("_lo_v").over(by_key).alias("_min"),
-        F.max("_hi_v").over(by_key).alias("_max"),
+    earlier = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(
+        *keys, "_bin", "_bc", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_bc").over(by_key).alias("_n"), F.sum("_bs").over(by_key).alias("_sum"),
+        F.min("_lo").over(by_key).alias("_min"), F.max("_hi").over(by_key).alias("_max"),
     )
-
-    # Ranks each percentile needs, kept only on the segment that holds them.
-    wanted_structs = []
+    # the ranks each percentile needs, kept on the bin that holds them, counted from the bin's first
+    wanted = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1).cast("double")
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            wanted_structs.append(F.struct(F.lit(f"{name}|{side}").alias("tag"), rank.cast("bigint").alias("rank")))
-    wanted = segments.select(
-        *keys, "_pid", "_first", "_start", "_c", "_n", "_sum", "_min", "_max",
-        F.explode(F.array(*wanted_structs)).alias("w"),
-    ).where((F.col("w.rank") >= F.col("_start")) & (F.col("w.rank") < F.col("_start") + F.col("_c")))
-    wanted = wanted.select(
-        *keys, "_n", "_sum", "_min", "_max",
-        F.col("w.tag").alias("_tag"),
-        (F.shiftleft(F.col("_pid"), _POS_BITS) + F.col("_first") + F.col("w.rank") - F.col("_start")).alias("_rid"),
-    )
-    # Every non-empty group has its wanted rows, so one aggregate assembles the result.
+            wanted.append(F.struct(F.lit(f"{name}|{side}").alias("tag"), (rank.cast("bigint") - F.col("_start")).alias("rank")))
+    inside = F.filter(F.array(*wanted), lambda w: (w["rank"] >= 0) & (w["rank"] < F.col("_bc")))
+    bins = bins.withColumn("_wanted", inside).where(F.size("_wanted") > 0).drop("_start", "_bc")
+    held = counted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), "_v", "_c")
+    on = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = held.join(bins, on).withColumn("_upto", F.sum("_c").over(in_bin))
+    hits = placed.withColumn(
+        "_hit", F.filter("_wanted", lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("_c")))
+    ).select(*keys, "_n", "_sum", "_min", "_max", "_v", F.explode("_hit.tag").alias("_tag"))
+    # every non-empty group has its wanted values, so one aggregate assembles the result
     tags = [f"{name}|{side}" for name in probs for side in ("lo", "hi")]
-    out = (
-        wanted.join(ordered.select("_rid", "_v"), "_rid")
-        .groupBy(*keys)
-        .agg(
-            F.max("_n").alias("n"),
-            F.max("_sum").alias("sum_v"),
-            F.max("_min").alias("min_v"),
-            F.max("_max").alias("max_v"),
-            *[F.max(F.when(F.col("_tag") == F.lit(t), F.col("_v"))).alias(t) for t in tags],
-        )
+    out = hits.groupBy(*keys).agg(
+        F.max("_n").alias("n"),
+        F.max("_sum").alias("sum_v"),
+        F.max("_min").alias("min_v"),
+        F.max("_max").alias("max_v"),
+        *[F.max(F.when(F.col("_tag") == F.lit(t), F.col("_v"))).alias(t) for t in tags],
     )
     for name, p in probs.items():
         lo = F.col(f"`{name}|lo`").cast("double")

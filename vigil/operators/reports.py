@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.model import is_error_status
 from vigil.functions.normalize import normalize_message
-from vigil.operators.rollups import exact_sum
+from vigil.functions.timefn import bucket_start
 
 NS_PER_MS = 1_000_000.0
 
@@ -28,9 +28,13 @@ def _since(tier: DataFrame, days: int | None, as_of: Column | None) -> DataFrame
     return tier.where(F.col("timestamp") >= _as_of(tier, as_of) - F.make_interval(days=F.lit(days)))
 
 
-def exact_avg(col: str) -> Column:
-    """Order-independent mean of a DOUBLE column (decimal sum / count)."""
-    return exact_sum(col).cast("double") / F.count(col)
+def newest_bucket(entities: DataFrame, tier: str, ts: str = "ts") -> Column:
+    """The newest bucket of a tier, from the raw rows it is built of.
+
+    A report whose tier is computed rather than stored should take its ``as_of``
+    from here: the default plans the whole tier once more for its newest bucket.
+    """
+    return entities.select(bucket_start(F.max(ts), tier)).scalar()
 
 
 def metric_tier_read(tier: DataFrame, name: str, service: str | None = None, limit: int = 30) -> DataFrame:
@@ -125,7 +129,7 @@ def slowest_operations(
     return (
         _since(day_stats, days, as_of)
         .groupBy("service", "operation")
-        .agg((exact_avg("p99_duration_ns") / NS_PER_MS).alias("p99_ms"), F.sum("span_count").alias("total_spans"))
+        .agg((F.avg("p99_duration_ns") / NS_PER_MS).alias("p99_ms"), F.sum("span_count").alias("total_spans"))
         .orderBy(F.col("p99_ms").desc(), "service", "operation")
         .limit(limit)
     )
@@ -137,9 +141,9 @@ def latency_trend(day_stats: DataFrame, days: int | None = 30, as_of: Column | N
         _since(day_stats, days, as_of)
         .groupBy(F.to_date("timestamp").alias("date"), "service", "operation")
         .agg(
-            (exact_avg("avg_duration_ns") / NS_PER_MS).alias("avg_ms"),
-            (exact_avg("p95_duration_ns") / NS_PER_MS).alias("p95_ms"),
-            (exact_avg("p99_duration_ns") / NS_PER_MS).alias("p99_ms"),
+            (F.avg("avg_duration_ns") / NS_PER_MS).alias("avg_ms"),
+            (F.avg("p95_duration_ns") / NS_PER_MS).alias("p95_ms"),
+            (F.avg("p99_duration_ns") / NS_PER_MS).alias("p99_ms"),
         )
     )
 

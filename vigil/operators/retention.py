@@ -28,11 +28,9 @@ DEFAULT_TTL_DAYS = {"logs": 30, "metrics": 90, "traces": 30}
 
 def _validate_days(days: int, what: str) -> int:
     if not isinstance(days, int) or isinstance(days, bool):
-        raise ValueError(f"{what} must be an integer number of days")
-    if days < MIN_TTL_DAYS:
-        raise ValueError(f"{what} must be greater than zero")
-    if days > MAX_TTL_DAYS:
-        raise ValueError(f"{what} cannot exceed {MAX_TTL_DAYS} days (10 years)")
+        raise ValueError(f"{what}: whole days expected, got {days!r}")
+    if not MIN_TTL_DAYS <= days <= MAX_TTL_DAYS:
+        raise ValueError(f"{what}: {days} days lies outside {MIN_TTL_DAYS} to {MAX_TTL_DAYS}")
     return days
 
 
@@ -89,47 +87,100 @@ def apply_retention(df: DataFrame, ttl_days: int, as_of: Column, ts_col: str = "
     return df.where(cond)
 
 
+STAGING = "_retention_staging"  # partition discovery ignores names with an underscore
+
+
+def _partition_columns(fs, hpath, path: str) -> list[str]:
+    """The table's own partition columns, read from its folders (``dt``, ``dt/batch``, ``dt/run/epoch``, ...)."""
+    columns, at = [], hpath(path)
+    while True:
+        below = [s for s in fs.listStatus(at) if s.isDirectory() and "=" in s.getPath().getName()]
+        if not below:
+            return columns
+        columns.append(below[0].getPath().getName().split("=")[0])
+        at = below[0].getPath()
+
+
+def _replace_day(spark: SparkSession, fs, hpath, path: str, date_col: str, day: str, staged: str, parts: list[str]) -> int:
+    """Put the staged survivors in the place of ``day``, then drop the staging copy. Repeatable until that last step."""
+    survivors = fs.exists(hpath(f"{staged}/{date_col}={day}"))
+    fs.delete(hpath(f"{path}/{date_col}={day}"), True)
+    if survivors:
+        spark.read.parquet(staged).write.mode("append").partitionBy(*parts).parquet(path)
+    fs.delete(hpath(staged), True)
+    return int(survivors)
+
+
 def expire_partitions(
     spark: SparkSession, path: str, ttl_days: int, as_of_ts: str, ts_col: str = "ts", date_col: str = "dt"
 ) -> dict[str, int]:
     """M4 job: enforce a TTL on a ``dt``-partitioned Parquet table in place.
 
     Days entirely before the cutoff are deleted as folders; the boundary day is
-    rewritten with its surviving rows. Restart-safe: the survivors are first
-    written to ``_retention_staging`` (ignored by partition discovery) and only
-    then replace the day; a rerun after a crash reuses a completed staging copy
-    instead of re-reading a boundary day that may already be half replaced.
+    rewritten with its surviving rows, in the table's own partition layout.
+    Restart-safe: the survivors are first written to a staging folder named by day
+    and cutoff and only then replace the day; a rerun first completes what an earlier
+    run had staged, whatever its cutoff, since the day itself may be half replaced.
     ``as_of_ts`` is a UTC timestamp text (e.g. ``2024-01-31 00:00:00``).
     """
+    path = path.rstrip("/")
     cutoff_dt = datetime.fromisoformat(as_of_ts.replace("Z", "")) - timedelta(days=_validate_days(ttl_days, "TTL"))
     boundary_day = cutoff_dt.date().isoformat()
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path
     fs = hpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    staged = f"{path.rstrip('/')}/_retention_staging/{boundary_day}"
 
-    table = spark.read.parquet(path)
-    # keep the table's own partition layout (dt, or dt/batch for idempotent batch writes)
-    parts = [date_col] + (["batch"] if "batch" in table.columns else [])
-    if not fs.exists(hpath(f"{staged}/_SUCCESS")):
-        boundary = table.where(F.col(date_col) == F.lit(boundary_day).cast("date"))
+    left = fs.listStatus(hpath(f"{path}/{STAGING}")) if fs.exists(hpath(f"{path}/{STAGING}")) else []
+    parts = _partition_columns(fs, hpath, path) or [date_col]
+    for status in left:
+        staged = status.getPath().toString()
+        if fs.exists(hpath(f"{staged}/_SUCCESS")):
+            _replace_day(spark, fs, hpath, path, date_col, status.getPath().getName()[:10], staged, parts)
+    fs.delete(hpath(f"{path}/{STAGING}"), True)
+
+    dropped = rewritten = 0
+    days = {s.getPath().getName()[len(date_col) + 1 :] for s in fs.listStatus(hpath(path))
+            if s.getPath().getName().startswith(f"{date_col}=")}
+    if boundary_day in days:
+        staged = f"{path}/{STAGING}/{boundary_day}-{cutoff_dt:%H%M%S%f}"
+        boundary = spark.read.parquet(path).where(F.col(date_col) == F.lit(boundary_day).cast("date"))
         keep = boundary.where(F.col(ts_col) >= F.lit(cutoff_dt.isoformat(sep=" ")).cast("timestamp"))
-        keep.write.mode("overwrite").partitionBy(*parts).parquet(staged)
-    rewritten = spark.read.parquet(staged) if fs.exists(hpath(f"{staged}/{date_col}={boundary_day}")) else None
-
-    dropped = 0
-    for status in fs.listStatus(hpath(path)):
-        name = status.getPath().getName()
-        if name.startswith(f"{date_col}=") and name[len(date_col) + 1 :] < boundary_day:
-            fs.delete(status.getPath(), True)
+        keep.write.partitionBy(*parts).parquet(staged)
+        rewritten = _replace_day(spark, fs, hpath, path, date_col, boundary_day, staged, parts)
+        fs.delete(hpath(f"{path}/{STAGING}"), True)
+    for day in sorted(days):
+        if day < boundary_day:
+            fs.delete(hpath(f"{path}/{date_col}={day}"), True)
             dropped += 1
-    if rewritten is not None:
-        fs.delete(hpath(f"{path.rstrip('/')}/{date_col}={boundary_day}"), True)  # the day, all its batches
-        rewritten.write.mode("append").partitionBy(*parts).parquet(path)
-    else:
-        fs.delete(hpath(f"{path.rstrip('/')}/{date_col}={boundary_day}"), True)
-    fs.delete(hpath(f"{path.rstrip('/')}/_retention_staging"), True)
-    return {"dropped_days": dropped, "rewritten_days": 0 if rewritten is None else 1}
+    return {"dropped_days": dropped, "rewritten_days": rewritten}
+
+
+# which policy entry governs a raw table
+RAW_TABLES = {"logs": "logs", "metrics": "metrics", "spans": "traces"}
+
+
+def enforce_retention(
+    spark: SparkSession, raw_tables: dict[str, str], tier_root: str, as_of_ts: str,
+    retention: RetentionPolicy | None = None, aggregation: AggregationPolicy | None = None,
+) -> dict[str, dict[str, int]]:
+    """M4 + M6: one job over the raw tables and the stored rollup tiers, each with its own days.
+
+    ``raw_tables`` maps ``logs`` / ``metrics`` / ``spans`` to their paths; tiers are the
+    folders of ``tier_root`` as :func:`vigil.operators.rollups.write_rollups` names them,
+    those that exist. Returns what each table dropped and rewrote.
+    """
+    retention, aggregation = retention or RetentionPolicy(), aggregation or AggregationPolicy()
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path
+    fs = hpath(tier_root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = {
+        kind: expire_partitions(spark, path, retention.ttl_days[RAW_TABLES[kind]], as_of_ts) for kind, path in raw_tables.items()
+    }
+    for tier, days in aggregation.tiers.items():
+        path = f"{tier_root.rstrip('/')}/{tier}"
+        if fs.exists(hpath(path)):
+            done[tier] = expire_partitions(spark, path, days, as_of_ts, ts_col="timestamp")
+    return done
 
 
 def renormalize_logs(logs: DataFrame) -> DataFrame:
@@ -141,10 +192,9 @@ def renormalize_logs(logs: DataFrame) -> DataFrame:
 def rebuild_log_rollups(spark: SparkSession, logs_path: str, out_root: str, tiers=("1hour", "1day")) -> None:
     """M8: after a rule change, re-normalise the stored logs and rebuild the log
     rollups (overwrites each tier's ``dt`` partitions present in the logs)."""
-    from vigil.operators.rollups import log_count_rollup
+    from vigil.operators.rollups import log_count_rollup, overwrite_days
 
     logs = renormalize_logs(spark.read.parquet(logs_path))
     for tier in tiers:
-        log_count_rollup(logs, tier).withColumn("dt", F.to_date("timestamp")).write.mode("overwrite").partitionBy(
-            "dt"
-        ).parquet(f"{out_root.rstrip('/')}/logs_{tier}_counts")
+        table = log_count_rollup(logs, tier).withColumn("dt", F.to_date("timestamp"))
+        overwrite_days(table, f"{out_root.rstrip('/')}/logs_{tier}_counts")

@@ -4,15 +4,14 @@ Each rollup is the materialised view's SELECT over the full data (D12/D13):
 a ``groupBy`` whose partial aggregate runs map-side, so the shuffle carries
 one row per (map task, group) rather than raw rows.
 
-Metric sums are exact: values are summed as DECIMAL(38, SUM_SCALE) and cast
-back to DOUBLE. That makes ``sum``/``avg`` independent of row order — a
-retried or re-partitioned job gives bit-identical output, and re-aggregating
-a finer tier (A11) equals aggregating the raw points directly.
+Metric values are summed in their own type (DOUBLE), so small, huge and
+non-finite values come through; the last bits of a sum depend on the order in
+which Spark merges partial sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.model import labels_hash, labels_key
@@ -20,10 +19,6 @@ from vigil.functions.normalize import normalize_message
 from vigil.functions.timefn import TIERS, bucket_start
 from vigil.operators.quantiles import grouped_percentiles
 
-SUM_SCALE = 6
-SUM_TYPE = f"decimal(38,{SUM_SCALE})"
-_VALUE_TYPE = f"decimal(24,{SUM_SCALE})"
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — tier retention in days, as configured by the reference.
 # ---------------------------------------------------------------------------
@@ -49,12 +44,6 @@ def _check_tier(tier: str) -> None:
         raise ValueError(f"unknown tier {tier!r}; expected one of {sorted(TIERS)}")
 
 
-def exact_sum(col: Column | str) -> Column:
-    """Order-independent sum of a DOUBLE column (see module docstring)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.cast(_VALUE_TYPE))
-
-
 def metric_rollup(metrics: DataFrame, tier: str) -> DataFrame:
     """A1–A4: per bucket, name, type, service and label set — count/sum/min/max/avg."""
     _check_tier(tier)
@@ -65,7 +54,7 @@ def metric_rollup(metrics: DataFrame, tier: str) -> DataFrame:
         bucket_start("ts", tier).alias("timestamp"), "name", "metric_type", "service", "labels_key"
     ).agg(
         F.count(F.lit(1)).alias("count"),
-        exact_sum("value").alias("_sum"),
+        F.sum("value").alias("_sum"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.any_value("labels").alias("labels"),
@@ -77,10 +66,10 @@ def _finish_metric(grouped: DataFrame) -> DataFrame:
     return grouped.select(
         *METRIC_KEYS,
         "count",
-        F.col("_sum").cast("double").alias("sum"),
+        F.col("_sum").alias("sum"),
         "min",
         "max",
-        (F.col("_sum").cast("double") / F.col("count")).alias("avg"),
+        (F.col("_sum") / F.col("count")).alias("avg"),
         labels_hash("labels_key").alias("labels_hash"),
         "labels",
     )
@@ -89,16 +78,15 @@ def _finish_metric(grouped: DataFrame) -> DataFrame:
 def tier_up(rollup: DataFrame, tier: str) -> DataFrame:
     """Build a coarser metric tier from a finer one.
 
-    count and sum add, min/max reduce, avg = sum / count. The stored DOUBLE
-    sums are re-read at the exact decimal scale, so the result equals the
-    direct rollup of the raw points.
+    count and sum add, min/max reduce, avg = sum / count: the direct rollup of
+    the raw points, to the rounding of the sums.
     """
     _check_tier(tier)
     grouped = rollup.groupBy(
         bucket_start("timestamp", tier).alias("timestamp"), "name", "metric_type", "service", "labels_key"
     ).agg(
         F.sum("count").alias("count"),
-        F.sum(F.col("sum").cast(_VALUE_TYPE)).alias("_sum"),
+        F.sum("sum").alias("_sum"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
         F.any_value("labels").alias("labels"),
@@ -188,6 +176,11 @@ ROLLUPS_BY_KIND = {
 TIERS_BY_KIND = {"logs": ("1hour", "1day"), "metrics": ("1min", "5min", "1hour", "1day"), "spans": ("1hour", "1day")}
 
 
+def overwrite_days(table: DataFrame, path: str) -> None:
+    """Replace exactly the ``dt`` partitions that ``table`` holds, whatever the session's overwrite mode."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+
+
 def write_rollups(df: DataFrame, kind: str, out_root: str, tiers=None, policy=None) -> list[str]:
     """Materialise the rollup tiers fed by ``df`` (an entity frame of ``kind``).
 
@@ -198,18 +191,13 @@ def write_rollups(df: DataFrame, kind: str, out_root: str, tiers=None, policy=No
     """
     if kind not in ROLLUPS_BY_KIND:
         raise ValueError(f"unknown entity kind {kind!r}")
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     written = []
     for tier in tiers or TIERS_BY_KIND[kind]:
         for pattern, fn in ROLLUPS_BY_KIND[kind].items():
             name = pattern.format(tier=tier)
             if policy is not None and not policy.is_enabled(name):
                 continue
-            table = fn(df, tier)
-            if "labels" in table.columns:
-                table = table.drop("labels")
-            table.withColumn("dt", F.to_date("timestamp")).write.mode("overwrite").partitionBy("dt").parquet(
-                f"{out_root.rstrip('/')}/{name}"
-            )
+            out = f"{out_root.rstrip('/')}/{name}"
+            overwrite_days(fn(df, tier).withColumn("dt", F.to_date("timestamp")), out)
             written.append(name)
     return written

@@ -9,11 +9,11 @@ joins back to spans rely on AQE skew-join splitting for hot traces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.timefn import ns_to_ms
-from vigil.operators.logs import TRACE_MAX_LIMIT
+from vigil.operators.logs import time_range
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:
@@ -43,25 +43,29 @@ def find_traces(
     min_duration_ms: int | None = None,
     max_duration_ms: int | None = None,
     status: str | None = None,
-    prefilter: bool = False,
+    prefilter: bool = True,
 ) -> DataFrame:
     """T1–T4 at trace level (D7): each predicate may be met by a different span;
     duration is the whole trace's, truncated to ms, inclusive bounds.
 
-    Default plan: one aggregate over all traces, then the trace-level filter.
-    ``prefilter=True`` (for selective service / status searches over large
-    tables) first selects candidate trace ids with the span predicate — pushed
-    to the scan; the sinks sort by service — and semi-joins them back, so only
-    the matching traces' spans are shuffled and aggregated. The semi join keeps
-    all spans of a candidate, so the summaries stay whole-trace.
+    Candidate trace ids come first: those with a span that meets the predicate,
+    for each of service, status and time range (a trace that overlaps the range has
+    a span that starts at or after ``start_ns``, and one before ``end_ns``). These
+    filters are pushed to the scan, with ``dt`` bounds for the range; a semi join
+    then leaves only the candidates' spans to shuffle and aggregate, all of them, so
+    the summaries stay whole-trace. ``prefilter=False`` aggregates every trace.
     """
-    candidates = None
-    for col, wanted in (("service", service), ("status", status)):
-        if prefilter and wanted is not None:
-            ids = spans.where(F.col(col) == F.lit(wanted)).select("trace_id").distinct()
-            candidates = ids if candidates is None else candidates.join(ids, "trace_id", "left_semi")
-    if candidates is not None:
-        spans = spans.join(candidates, "trace_id", "left_semi")
+    tests = [F.col(c) == F.lit(v) for c, v in (("service", service), ("status", status)) if v is not None]
+    day = "dt" if "dt" in spans.columns else None
+    if start_ns is not None:
+        tests.append(time_range("start_ns", start_ns, None, day))
+    elif end_ns is not None:
+        tests.append(time_range("start_ns", None, end_ns, day))
+    if prefilter and tests:
+        source = spans
+        for test in tests:
+            ids = source.where(test).select("trace_id").distinct()
+            spans = spans.join(ids, "trace_id", "left_semi")
     flags = []
     if service is not None:
         flags.append(F.bool_or(F.col("service") == F.lit(service)).alias("_svc"))
@@ -95,18 +99,18 @@ def find_traces(
 
 
 def recent_traces(traces: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest first by earliest start, ``trace_id`` tie-break; at most 100."""
-    return traces.orderBy(F.col("start_ns").desc(), F.col("trace_id").desc()).limit(min(limit, TRACE_MAX_LIMIT))
+    """Newest first by earliest start, ``trace_id`` tie-break (page sizes are the API's, D2)."""
+    return traces.orderBy(F.col("start_ns").desc(), F.col("trace_id").desc()).limit(limit)
 
 
-def fetch_spans(spans: DataFrame, trace_ids: DataFrame, bounded: bool = False) -> DataFrame:
+def fetch_spans(spans: DataFrame, trace_ids: DataFrame, bounded: bool = False, most: int = 10_000) -> DataFrame:
     """All spans of the given traces as one left-semi join.
 
-    ``bounded=True`` says ``trace_ids`` is a page (≤ TRACE_MAX_LIMIT rows), so it
-    is broadcast; otherwise AQE chooses from the measured size.
+    With ``bounded`` the ids are counted first, up to ``most``; only if they are no
+    more are they broadcast. Otherwise AQE chooses from the measured size.
     """
-    ids = trace_ids.select("trace_id").distinct() if not bounded else trace_ids.select("trace_id")
-    if bounded:
+    ids = trace_ids.select("trace_id").distinct()
+    if bounded and ids.limit(most + 1).count() <= most:
         ids = F.broadcast(ids)
     return spans.join(ids, "trace_id", "left_semi")
 
@@ -138,9 +142,9 @@ def find_trace_ids_span_level(
     return spans.where(cond).select("trace_id").distinct()
 
 
-def trace_by_id(spans: DataFrame, trace_id: str) -> DataFrame:
-    """The spans of one trace ordered by start (empty frame = not found)."""
-    return spans.where(F.col("trace_id") == F.lit(trace_id)).orderBy("start_ns", "span_id")
+def trace_by_id(spans: DataFrame, trace_id: str | Column) -> DataFrame:
+    """The spans of one trace (an id or a scalar column) ordered by start (empty frame = not found)."""
+    return spans.where(F.col("trace_id") == (trace_id if isinstance(trace_id, Column) else F.lit(trace_id))).orderBy("start_ns", "span_id")
 
 
 def correlate_logs(logs: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.model import labels_key
@@ -41,6 +41,7 @@ TS_FROM = "2024-01-08T00:00:00Z"
 TS_TO = "2024-01-21T12:30:00.5+02:00"
 EPOCH_SECONDS = 1704931200  # 2024-01-11T00:00:00Z
 RETENTION_TTL = {"logs": 7, "metrics": 14, "traces": 10}
+MS_ROUND = 5  # means of milliseconds are compared at 0.01 µs
 PCT_ROUND = 2  # percentile-derived ns values are compared at 0.01 ns
 
 
@@ -55,8 +56,27 @@ def query(fn: Query) -> Query:
     return wrapped
 
 
+def _comparable(total: Column) -> Column:
+    """A DOUBLE sum of values with few decimals, freed of the rounding that summation order leaves.
+
+    For the comparison with the oracle only; the operators sum in DOUBLE.
+    """
+    return total.cast("decimal(38,6)").cast("double")
+
+
 def _metric_cols(df: DataFrame) -> DataFrame:
-    return df.select(*rollups.METRIC_KEYS, "count", "sum", "min", "max", "avg", "labels_hash")
+    total = _comparable(F.col("sum"))
+    return df.select(*rollups.METRIC_KEYS, "count", total.alias("sum"), "min", "max", (total / F.col("count")).alias("avg"),
+                     "labels_hash")
+
+
+def _comparable_value(df: DataFrame, function: str) -> DataFrame:
+    value = F.col("value")
+    if function == "sum":
+        return df.withColumn("value", _comparable(value))
+    if function == "avg":
+        return df.withColumn("value", F.when(F.col("count") > 0, _comparable(value * F.col("count")) / F.col("count")).otherwise(value))
+    return df
 
 
 def _span_cols(df: DataFrame) -> DataFrame:
@@ -149,7 +169,7 @@ def q_traces_1day_stats(spark, d):
 
 def _metric_agg(fn: str):
     def run(spark, d):
-        return metricops.aggregate_metrics(views.metrics(spark, d), fn, name=METRIC_NAME)
+        return _comparable_value(metricops.aggregate_metrics(views.metrics(spark, d), fn, name=METRIC_NAME), fn)
 
     run.__name__ = f"q_metric_agg_{fn}"
     run.__doc__ = f"A13–A17: {fn} over the simple points of one metric"
@@ -163,7 +183,7 @@ for _fn in metricops.AGG_FUNCTIONS:
 @query
 def q_metric_agg_windowed(spark, d):
     """Hourly average per metric name."""
-    return metricops.aggregate_metrics_windowed(views.metrics(spark, d), "avg", "1 hour", by=["name"])
+    return _comparable_value(metricops.aggregate_metrics_windowed(views.metrics(spark, d), "avg", "1 hour", by=["name"]), "avg")
 
 
 @query
@@ -261,13 +281,17 @@ def _rounded_day_stats(spark, d):
 @query
 def q_slowest_operations(spark, d):
     """E7"""
-    return reports.slowest_operations(_rounded_day_stats(spark, d), days=7, limit=10)
+    newest = reports.newest_bucket(views.spans(spark, d), "1day")
+    out = reports.slowest_operations(_rounded_day_stats(spark, d), days=7, limit=10, as_of=newest)
+    return out.withColumn("p99_ms", F.round("p99_ms", MS_ROUND))
 
 
 @query
 def q_latency_trend(spark, d):
     """E8"""
-    return reports.latency_trend(_rounded_day_stats(spark, d), days=30)
+    newest = reports.newest_bucket(views.spans(spark, d), "1day")
+    out = reports.latency_trend(_rounded_day_stats(spark, d), days=30, as_of=newest)
+    return out.withColumns({c: F.round(c, MS_ROUND) for c in ("avg_ms", "p95_ms", "p99_ms")})
 
 
 @query
@@ -422,7 +446,8 @@ def q_log_filter_range_level_service_contains(spark, d):
 @query
 def q_metric_list(spark, d):
     """F20 + D1/D2: one page of a metric's points, newest first."""
-    m = metricops.list_metrics(views.metrics(spark, d), limit=100, offset=100, name=METRIC_NAME)
+    m = metricops.list_metrics(views.metrics(spark, d), limit=logops.effective_limit(100, logops.METRIC_DEFAULT_LIMIT, logops.METRIC_MAX_LIMIT),
+                               offset=100, name=METRIC_NAME)
     return m.select("point_id", "name", "value", "timestamp_ns")
 
 
@@ -480,7 +505,7 @@ def q_trace_by_id(spark, d):
     """The trace with the smallest id."""
     sp = views.spans(spark, d)
     first = sp.select(F.min("trace_id")).scalar()
-    return sp.where(F.col("trace_id") == first).orderBy("start_ns", "span_id").select(
+    return traces.trace_by_id(sp, first).select(
         "trace_id", "span_id", "parent_span_id", "name", "service", "start_ns", "end_ns"
     )
 
@@ -558,6 +583,34 @@ def q_ingest_native_log_rejects(spark, d):
     return reject_report(rejected)
 
 
+def _accepted_and_rejected(raw: DataFrame, flat: DataFrame, reason: Column) -> DataFrame:
+    """The reject report with a row for what was accepted: the counts add up to the requests sent."""
+    valid, rejected = otlp.split_requests(raw, flat, reason)
+    accepted = valid.agg(F.count(F.lit(1)).alias("rejected")).select(F.lit("accepted").alias("reject_reason"), "rejected")
+    return reject_report(rejected).unionByName(accepted)
+
+
+@query
+def q_ingest_otlp_log_rejects(spark, d):
+    """I4 + I7 + I8: requests of which some are cut short or hold a malformed time."""
+    raw = wire.otlp_log_requests(views.logs(spark, d), damaged=True)
+    return _accepted_and_rejected(raw, otlp.flatten_logs(raw), log_reject_reason())
+
+
+@query
+def q_ingest_metric_rejects(spark, d):
+    """I5 + I7 + I8: also points without a value."""
+    raw = wire.otlp_metric_requests(views.metrics(spark, d), damaged=True)
+    return _accepted_and_rejected(raw, otlp.flatten_metrics(raw), metric_reject_reason())
+
+
+@query
+def q_ingest_span_rejects(spark, d):
+    """I6 + I7 + I8: also spans that end before they start."""
+    raw = wire.otlp_span_requests(views.spans(spark, d), damaged=True)
+    return _accepted_and_rejected(raw, otlp.flatten_spans(raw), span_reject_reason())
+
+
 @query
 def q_ingest_native_spans(spark, d):
     """Native span requests (end = start + duration_ms)."""

@@ -258,12 +258,12 @@ where error_count * 100.0 / total_count > 1.0""",
 )
 
 
-def _exact_avg(col: str) -> str:
-    return f"cast(sum(cast({col} as {_EXACT})) as double) / count({col})"
+def _mean_ms(col: str) -> str:
+    return f"round(avg({col}) / 1000000.0, {C.MS_ROUND})"
 
 
 ORACLE["q_slowest_operations"] = sql(
-    f"""select service, operation, {_exact_avg('p99_duration_ns')} / 1000000.0 as p99_ms,
+    f"""select service, operation, {_mean_ms('p99_duration_ns')} as p99_ms,
   cast(sum(span_count) as bigint) as total_spans
 from spans_1day_stats where {_LAST.format(n=7)}
 group by all order by p99_ms desc, service, operation limit 10""",
@@ -271,9 +271,9 @@ group by all order by p99_ms desc, service, operation limit 10""",
 )
 ORACLE["q_latency_trend"] = sql(
     f"""select cast(timestamp as date) as date, service, operation,
-  {_exact_avg('avg_duration_ns')} / 1000000.0 as avg_ms,
-  {_exact_avg('p95_duration_ns')} / 1000000.0 as p95_ms,
-  {_exact_avg('p99_duration_ns')} / 1000000.0 as p99_ms
+  {_mean_ms('avg_duration_ns')} as avg_ms,
+  {_mean_ms('p95_duration_ns')} as p95_ms,
+  {_mean_ms('p99_duration_ns')} as p99_ms
 from spans_1day_stats where {_LAST.format(n=30)} group by all""",
     "spans_1day_stats",
 )
@@ -480,5 +480,19 @@ ORACLE["q_ingest_otlp_metrics"] = sql(
 )
 
 
+def _rejects(entity: str, key: str, time_field: str, third: str) -> str:
+    return sql(
+        f"""select case {key} % 5 when 0 then 'request is not readable' when 1 then '{time_field} is not an integer'
+  when 2 then '{third}' else 'accepted' end as reject_reason, count(*) as rejected
+from {entity} group by 1""",
+        entity,
+    )
+
+
+ORACLE["q_ingest_otlp_log_rejects"] = _rejects("logs", "log_id", "timeUnixNano", "accepted")
+ORACLE["q_ingest_metric_rejects"] = _rejects("metrics", "point_id", "timeUnixNano", "value must be present")
+ORACLE["q_ingest_span_rejects"] = _rejects("spans", "(start_ns // 1000)", "startTimeUnixNano", "end time must not be before start time")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

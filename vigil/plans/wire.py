@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import schemas
+from vigil.functions.timefn import ns_to_ms
 from vigil.sources.otlp import unnest
 
 # severity number sent for each level (the first number of its OTLP range)
@@ -49,16 +50,29 @@ def _map_case(col: str, table: dict[str, int]) -> Column:
     return out
 
 
+def _damaged(body: Column, key: Column, time_field: str, *edit: str) -> Column:
+    """Three fifths of the bodies damaged by ``key``: cut short, with a time that is no number, and with
+    ``edit`` (a pattern and its replacement, if given) applied."""
+    kind = key % 5
+    out = F.when(kind == 0, F.substring(body, F.lit(1), F.length(body) - 2)).when(
+        kind == 1, F.regexp_replace(body, rf'"{time_field}":"[0-9]+"', f'"{time_field}":"12x"')
+    )
+    if edit:
+        out = out.when(kind == 2, F.regexp_replace(body, *edit))
+    return out.otherwise(body)
+
+
 def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
-    """Parse each body once with the ingest schema.
+    """Parse each body once with the ingest schema, keeping what cannot be read as the readers do.
 
     The parse sits under a generator, so predicates (validation) cannot be
     pushed below it and re-inline ``from_json`` once per referenced field.
     """
-    return unnest(bodies.select(F.array(F.from_json("body", schema)).alias("_request")), "_request", [])
+    request = F.from_json("body", f"{schema}, {schemas.CORRUPT} string", {"columnNameOfCorruptRecord": schemas.CORRUPT})
+    return unnest(bodies.select(F.array(request).alias("_request")), "_request", [])
 
 
-def otlp_log_requests(logs: DataFrame) -> DataFrame:
+def otlp_log_requests(logs: DataFrame, damaged: bool = False) -> DataFrame:
     attr = lambda key: F.col("attributes")[key]
     k = F.try_variant_get(attr("k"), "$", "bigint")
     always = [
@@ -86,10 +100,12 @@ def otlp_log_requests(logs: DataFrame) -> DataFrame:
         F.array(F.struct(F.struct(F.lit("vigil").alias("name")).alias("scope"), F.array(record).alias("logRecords")))
         .alias("scopeLogs"),
     )).alias("resourceLogs")))
+    if damaged:
+        body = _damaged(body, F.col("log_id"), "timeUnixNano")
     return _parsed(logs.select(body.alias("body")), schemas.OTLP_LOGS)
 
 
-def otlp_span_requests(spans: DataFrame) -> DataFrame:
+def otlp_span_requests(spans: DataFrame, damaged: bool = False) -> DataFrame:
     span = F.struct(
         _hex("trace_id").alias("traceId"),
         _hex("span_id").alias("spanId"),
@@ -107,10 +123,12 @@ def otlp_span_requests(spans: DataFrame) -> DataFrame:
         F.array(F.struct(F.struct(F.lit("vigil").alias("name")).alias("scope"), F.array(span).alias("spans")))
         .alias("scopeSpans"),
     )).alias("resourceSpans")))
+    if damaged:
+        body = _damaged(body, F.unix_micros("ts"), "startTimeUnixNano", r'"endTimeUnixNano":"[0-9]+"', '"endTimeUnixNano":"1"')
     return _parsed(spans.select(body.alias("body")), schemas.OTLP_SPANS)
 
 
-def otlp_metric_requests(metrics: DataFrame) -> DataFrame:
+def otlp_metric_requests(metrics: DataFrame, damaged: bool = False) -> DataFrame:
     point = F.struct(
         F.array(_kv("host", _any(string=F.col("labels")["host"]))).alias("attributes"),
         F.col("timestamp_ns").cast("string").alias("timeUnixNano"),
@@ -128,6 +146,8 @@ def otlp_metric_requests(metrics: DataFrame) -> DataFrame:
         resource.alias("resource"),
         F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"),
     )).alias("resourceMetrics")))
+    if damaged:
+        body = _damaged(body, F.col("point_id"), "timeUnixNano", r',"asDouble":[-0-9.E]+', "")
     return _parsed(metrics.select(body.alias("body")), schemas.OTLP_METRICS)
 
 
@@ -149,7 +169,7 @@ def native_log_requests(logs: DataFrame) -> DataFrame:
 def native_span_requests(spans: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(
         "trace_id", "span_id", "parent_span_id", "name", "service", "kind", "status",
-        F.floor(F.col("duration_ns") / 1_000_000).cast("bigint").alias("duration_ms"),
+        ns_to_ms("duration_ns").alias("duration_ms"),
         _rfc3339("ts").alias("start_time"),
     ))
     return _parsed(spans.select(body.alias("body")), schemas.NATIVE_SPAN)

@@ -22,6 +22,9 @@ SPAN = (
     f"ts timestamp, attributes map<string, variant>, events array<{SPAN_EVENT}>"
 )
 
+# What a reader could not fit into its schema, as it stood in the file (readers add it to every request).
+CORRUPT = "_corrupt_record"
+
 # Native JSON request bodies (one object, an array of objects, or JSON lines).
 NATIVE_LOG = (
     "timestamp string, level string, message string, service string, attributes map<string, variant>, "

@@ -2,7 +2,9 @@
 
 Defaults follow the reference's request types: level ``info``, timestamp
 now, attributes ``{}``, metric type ``gauge``, span kind ``internal`` and
-status ``ok``; a span's end is start + ``duration_ms``. Rows are validated
+status ``ok``; a span's end is start + ``duration_ms``. A default stands for an
+absent field only: a time that does not parse, an unknown enumeration name, a
+metric without a value or a body that is no JSON is rejected. Rows are validated
 (D32: metrics and spans too) and split into ``(valid, rejected)``.
 """
 
@@ -27,7 +29,17 @@ from vigil.functions.model import (
 )
 from vigil.functions.timefn import ns_to_ts
 from vigil.session import configure
-from vigil.sources.validate import log_reject_reason, metric_reject_reason, span_reject_reason, split_valid
+from vigil.sources.validate import (
+    INPUT_ERROR,
+    UNREADABLE,
+    first_error,
+    log_reject_reason,
+    metric_reject_reason,
+    sent,
+    span_reject_reason,
+    split_valid,
+    unreadable,
+)
 
 
 def rfc3339_to_ns(text: Column) -> Column:
@@ -45,19 +57,34 @@ def _now_ns() -> Column:
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Read request bodies with ``source_file`` provenance for the quarantine (I8)."""
     configure(spark)
-    raw = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    raw = (
+        spark.read.schema(f"{schema}, {schemas.CORRUPT} string")
+        .option("multiLine", str(multi_line).lower())
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
+        .json(path)
+    )
     return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
-def _source(raw: DataFrame) -> list[str]:
-    return ["source_file"] if "source_file" in raw.columns else []
+def _source(raw: DataFrame, *checks: tuple[Column, str]) -> list[Column]:
+    """Provenance of a record, the record as sent, and why it cannot be read as sent."""
+    file = [F.col("source_file")] if "source_file" in raw.columns else []
+    return [*file, sent(raw).alias("raw_body"), first_error((unreadable(raw), UNREADABLE), *checks).alias(INPUT_ERROR)]
+
+
+def _bad_time(column: str) -> tuple[Column, str]:
+    return F.col(column).isNotNull() & rfc3339_to_ns(F.col(column)).isNull(), f"{column} is not an RFC 3339 time"
+
+
+def _unknown(column: str, allowed: tuple[str, ...]) -> tuple[Column, str]:
+    return F.col(column).isNotNull() & ~F.lower(F.col(column)).isin(*allowed), f"unknown {column}"
 
 
 def normalize_logs(raw: DataFrame) -> DataFrame:
     """Native log requests -> LogEntry rows."""
     ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), _now_ns())
     out = raw.select(
-        *_source(raw),
+        *_source(raw, _bad_time("timestamp"), _unknown("level", LEVELS)),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         decode_enum(F.coalesce("level", F.lit(DEFAULT_LEVEL)), LEVELS, DEFAULT_LEVEL).alias("level"),
@@ -75,7 +102,7 @@ def normalize_metrics(raw: DataFrame) -> DataFrame:
     ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), _now_ns())
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
     return raw.select(
-        *_source(raw),
+        *_source(raw, _bad_time("timestamp"), _unknown("metric_type", METRIC_TYPES)),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         "name",
@@ -97,7 +124,7 @@ def normalize_spans(raw: DataFrame) -> DataFrame:
     start = F.coalesce(rfc3339_to_ns(F.col("start_time")), _now_ns())
     end = start + F.coalesce(F.col("duration_ms"), F.lit(0)) * F.lit(1_000_000)
     return raw.select(
-        *_source(raw),
+        *_source(raw, _bad_time("start_time"), _unknown("kind", SPAN_KINDS), _unknown("status", SPAN_STATUSES)),
         "trace_id",
         "span_id",
         empty_to_null("parent_span_id").alias("parent_span_id"),

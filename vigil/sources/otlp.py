@@ -11,8 +11,6 @@ exporters) split like any text input.
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +20,16 @@ from vigil.functions.timefn import ns_to_ts
 from vigil.session import configure
 from vigil.sources.validate import LOCATION as VALIDATE_LOCATION
 from vigil.sources.validate import (
+    INPUT_ERROR,
+    first_error,
     log_reject_reason,
     metric_reject_reason,
     span_reject_reason,
     split_valid,
+    unreadable_requests,
     zip_buckets,
 )
 
-log = logging.getLogger(__name__)
-
-MAX_ANYVALUE_DEPTH = 4  # deeper arrays / kvlists stay as raw OTLP JSON text
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — OTLP enumerations as the reference maps them.
 # severity_number ranges -> level; anything else is info.
@@ -48,63 +45,54 @@ def _now_ns() -> Column:
     return F.unix_micros(F.current_timestamp()) * F.lit(1000)
 
 
-def _choose(s, b, i, d, has_d, raw, arr_v, kv_v, depth: int, empty: Column | None) -> Column:
-    """Pick the populated AnyValue case (O1). ``empty`` is the result when no case is set."""
-    finite = ~(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))))
-    out = (
-        F.when(s.isNotNull(), s.cast("variant"))
-        .when(b.isNotNull(), b.cast("variant"))
-        .when(i.isNotNull(), i.cast("variant"))
-        .when(has_d, F.when(finite, d.cast("variant")))
-        .when(raw.isNotNull(), raw.cast("variant"))
-    )
-    if depth < MAX_ANYVALUE_DEPTH:
-        # Arrays and kvlists share one list of (key, value) entries and one JSON
-        # text assembly, so the recursive conversion appears once per level and the
-        # expression grows linearly with the depth.
-        is_array = arr_v.isNotNull()
-        items = F.try_variant_get(arr_v, "$.values", "array<variant>")
-        pairs = F.try_variant_get(kv_v, "$.values", "array<struct<key:string,value:variant>>")
-        entries = F.coalesce(
-            F.transform(items, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value"))),
-            F.filter(pairs, lambda p: p["value"].isNotNull()),
-            F.array().cast("array<struct<key:string,value:variant>>"),
-        )
-        parts = F.transform(
-            entries,
-            lambda p: F.concat(
-                F.when(is_array, F.lit("")).otherwise(F.concat(F.to_json(p["key"].cast("variant")), F.lit(":"))),
-                F.coalesce(F.to_json(_from_variant(p["value"], depth + 1)), F.lit("null")),
-            ),
-        )
-        nested = F.parse_json(
-            F.concat(
-                F.when(is_array, F.lit("[")).otherwise(F.lit("{")),
-                F.array_join(parts, ","),
-                F.when(is_array, F.lit("]")).otherwise(F.lit("}")),
-            )
-        )
-    else:  # deeper levels stay as their OTLP JSON text
-        nested = F.to_json(F.coalesce(arr_v, kv_v)).cast("variant")
-    out = out.when(arr_v.isNotNull() | kv_v.isNotNull(), nested)
-    return out if empty is None else out.otherwise(empty)
-
-
-def _from_variant(v: Column, depth: int) -> Column:
-    """A nested AnyValue (held as VARIANT inside an array / kvlist) -> JSON VARIANT."""
-    get = lambda path, typ: F.try_variant_get(v, path, typ)
-    return _choose(
-        get("$.stringValue", "string"),
-        get("$.boolValue", "boolean"),
-        get("$.intValue", "bigint"),
-        get("$.doubleValue", "double"),
-        get("$.doubleValue", "variant").isNotNull(),
-        get("$.bytesValue", "string"),
-        get("$.arrayValue", "variant"),
-        get("$.kvlistValue", "variant"),
-        depth,
-        F.parse_json(F.lit("null")),
-    )
+# A JSON string, and text without brackets of its own, of compact JSON
+_STR = r'"(?:[^"\\]|\\.)*+"'
+_FLAT = rf'(?:{_STR}|[^\[\]{{}}"])*+'
+# One conversion pass, innermost values first. Converted objects and arrays get control
+# characters for brackets (compact JSON holds none), so user keys that look like wire fields
+# are not converted twice; \x01 marks an entry without a value.
+_PASS = (
+    (rf'\{{"(?:stringValue|bytesValue)":({_STR})\}}', "$1"),
+    (r'\{"boolValue":(true|false)\}', "$1"),
+    (r'\{"intValue":"?(-?[0-9]+)"?\}', "$1"),
+    (r'\{"doubleValue":(-?[0-9][0-9.eE+-]*)\}', "$1"),
+    (r'\{"doubleValue":"?[A-Za-z-]+"?\}|\{\}|\{"(?:string|bool|int|double|bytes)Value":null\}', "null"),
+    (r'\{"arrayValue":null\}|\{"arrayValue":\{"values":null\}\}', "\x04\x05"),
+    (r'\{"kvlistValue":null\}|\{"kvlistValue":\{"values":null\}\}', "\x02\x03"),
+    (rf'\{{"key":({_STR}),"value":null\}}|\{{"key":({_STR})\}}', "\x01"),
+    (rf'\{{"key":({_STR}),"value":({_FLAT})\}}', "$1:$2"),
+    (rf'\{{"arrayValue":(?:\{{"values":\[({_FLAT})\]\}}|null)\}}', "\x04$1\x05"),
+    (rf'\{{"kvlistValue":(?:\{{"values":\[({_FLAT})\]\}}|null)\}}', "\x02$1\x03"),
+)
+
+
+def _nesting(text: Column) -> Column:
+    """How deep the brackets of compact JSON text nest (strings left out)."""
+    brackets = F.regexp_replace(text, rf"{_STR}|[^\[\]{{}}]", "")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        at = acc["at"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(acc["most"], at).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["most"])
+
+
+def nested_value(text: Column) -> Column:
+    """An array or kvlist AnyValue as compact OTLP JSON text -> its plain JSON value, at any depth.
+
+    Each pass converts the innermost values, so there are as many passes as levels; the
+    expression does not grow with the depth. Text that is no well-formed AnyValue stays text.
+    """
+    def one_pass(t: Column, _: Column) -> Column:
+        for pattern, to in _PASS:
+            t = F.regexp_replace(t, pattern, to)
+        return t
+
+    plain = F.aggregate(F.sequence(F.lit(1), F.greatest(_nesting(text), F.lit(1))), text, one_pass)
+    plain = F.regexp_replace(plain, r"(?<=[\x02\x04])(?:\x01,?)+|,\x01", "")
+    plain = F.translate(plain, "\x02\x03\x04\x05", "{}[]")
+    return F.coalesce(F.try_parse_json(plain), text.cast("variant"))
 
 
 def any_value(av: Column, empty_is_null: bool = False) -> Column:
@@ -112,21 +100,26 @@ def any_value(av: Column, empty_is_null: bool = False) -> Column:
 
     string/bool/int/double/bytes map to scalars (int64 arrives as a JSON string;
     non-finite doubles become null; bytes stay base64 text); arrays and kvlists
-    recurse up to MAX_ANYVALUE_DEPTH. A value with no case set is JSON null, or
-    SQL NULL with ``empty_is_null`` (a log body).
+    recurse without bound. A value with no case set is JSON null, or SQL NULL with
+    ``empty_is_null`` (a log body).
     """
-    return _choose(
-        av["stringValue"],
-        av["boolValue"],
-        av["intValue"].try_cast("bigint"),
-        av["doubleValue"],
-        av["doubleValue"].isNotNull(),
-        av["bytesValue"],
-        av["arrayValue"],
-        av["kvlistValue"],
-        0,
-        None if empty_is_null else F.when(av.isNotNull(), F.parse_json(F.lit("null"))),
+    d = av["doubleValue"]
+    finite = ~(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))))
+    array, kvlist = av["arrayValue"], av["kvlistValue"]
+    nested = F.concat(
+        F.when(array.isNotNull(), F.lit('{"arrayValue":')).otherwise(F.lit('{"kvlistValue":')),
+        F.to_json(F.coalesce(array, kvlist)), F.lit("}"),
+    )
+    nested = F.regexp_replace(nested, r'^\{"(arrayValue|kvlistValue)":\{\}\}$', '{"$1":null}')
+    out = (
+        F.when(av["stringValue"].isNotNull(), av["stringValue"].cast("variant"))
+        .when(av["boolValue"].isNotNull(), av["boolValue"].cast("variant"))
+        .when(av["intValue"].isNotNull(), av["intValue"].try_cast("bigint").cast("variant"))
+        .when(d.isNotNull(), F.when(finite, d.cast("variant")))
+        .when(av["bytesValue"].isNotNull(), av["bytesValue"].cast("variant"))
+        .when(array.isNotNull() | kvlist.isNotNull(), nested_value(nested))
     )
+    return out if empty_is_null else out.otherwise(F.when(av.isNotNull(), F.parse_json(F.lit("null"))))
 
 
 def attributes_map(kvs: Column) -> Column:
@@ -198,10 +191,23 @@ def _id(col: Column, encoding: str) -> Column:
 
 
 def _nanos(col: Column, zero_is_now: bool) -> Column:
-    ns = col.cast("bigint")
+    """Wire time -> ns; a malformed one reads as absent and is reported by :func:`_not_integer`."""
+    ns = col.try_cast("bigint")
     return F.coalesce(F.nullif(ns, F.lit(0)), _now_ns()) if zero_is_now else F.coalesce(ns, F.lit(0))
 
 
+def _not_integer(col: Column, name: str) -> tuple[Column, str]:
+    """A 64-bit integer that was sent but does not read as one."""
+    return col.isNotNull() & col.try_cast("bigint").isNull(), f"{name} is not an integer"
+
+
+def _readable(requests: DataFrame) -> DataFrame:
+    """Without the requests that could not be read; those are quarantined whole (``unreadable_requests``)."""
+    if schemas.CORRUPT not in requests.columns:
+        return requests
+    return requests.where(F.col(schemas.CORRUPT).isNull()).drop(schemas.CORRUPT)
+
+
 def severity_level(sev: Column) -> Column:
     """Severity number (or its enum name) -> level."""
     num = sev.try_cast("int")
@@ -251,13 +257,18 @@ LOCATION = list(VALIDATE_LOCATION)
 def read_otlp(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Read OTLP/JSON export requests with ``source_file`` provenance (I8)."""
     configure(spark)
-    raw = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    raw = (
+        spark.read.schema(f"{schema}, {schemas.CORRUPT} string")
+        .option("multiLine", str(multi_line).lower())
+        .option("columnNameOfCorruptRecord", schemas.CORRUPT)
+        .json(path)
+    )
     return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
 def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     """I4: ExportLogsServiceRequest rows -> LogEntry rows (+ ``reject_reason``)."""
-    recs = _records(requests, "resourceLogs", "scopeLogs", "logRecords")
+    recs = _records(_readable(requests), "resourceLogs", "scopeLogs", "logRecords")
     body_text = F.coalesce(
         F.col("body.stringValue"), F.to_json(any_value(F.col("body"), empty_is_null=True)), F.lit("")
     )
@@ -265,6 +276,8 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     location = [c for c in LOCATION if c in recs.columns]
     out = recs.select(
         *location,
+        F.to_json(F.struct("timeUnixNano", "severityNumber", "severityText", "body", "attributes", "traceId", "spanId")).alias("raw_body"),
+        first_error(_not_integer(F.col("timeUnixNano"), "timeUnixNano")).alias(INPUT_ERROR),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         severity_level(F.col("severityNumber")).alias("level"),
@@ -279,7 +292,7 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
 
 def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     """ExportTraceServiceRequest rows -> Span rows."""
-    recs = _records(requests, "resourceSpans", "scopeSpans", "spans")
+    recs = _records(_readable(requests), "resourceSpans", "scopeSpans", "spans")
     start = _nanos(F.col("startTimeUnixNano"), zero_is_now=False)
     end = _nanos(F.col("endTimeUnixNano"), zero_is_now=False)
     name = F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, F.lit("unknown")).otherwise(F.col("name"))
@@ -292,8 +305,18 @@ def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
         ),
     )
     location = [c for c in LOCATION if c in recs.columns]
+    bad_event = F.exists(
+        F.coalesce(F.col("events"), F.array()),
+        lambda e: e["timeUnixNano"].isNotNull() & e["timeUnixNano"].try_cast("bigint").isNull(),
+    )
     out = recs.select(
         *location,
+        F.to_json(F.struct("traceId", "spanId", "parentSpanId", "name", "kind", "startTimeUnixNano", "endTimeUnixNano", "attributes",
+                           "events", "status")).alias("raw_body"),
+        first_error(
+            _not_integer(F.col("startTimeUnixNano"), "startTimeUnixNano"), _not_integer(F.col("endTimeUnixNano"), "endTimeUnixNano"),
+            (bad_event, "event timeUnixNano is not an integer"),
+        ).alias(INPUT_ERROR),
         _id(F.col("traceId"), id_encoding).alias("trace_id"),
         _id(F.col("spanId"), id_encoding).alias("span_id"),
         _id(F.col("parentSpanId"), id_encoding).alias("parent_span_id"),
@@ -315,7 +338,7 @@ def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
 
 _POINT = (
     f"struct<metric_type: string, attributes: {schemas.KV}, timeUnixNano: string, value: double, "
-    f"buckets: array<{schemas.BUCKET}>, hist_count: bigint>"
+    f"buckets: array<{schemas.BUCKET}>, hist_count: bigint, error: string>"
 )
 
 
@@ -327,10 +350,11 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     """Gauge / sum / histogram points -> Metric rows.
 
     The three point kinds of a metric are mapped to one struct and exploded
-    together, so each request is read once. Exponential histograms and
-    summaries are not converted (the reference drops them with a warning);
-    :func:`unsupported_metric_points` counts them.
+    together, so each request is read once. Exponential histogram and summary
+    points are not converted; they come out as records with an input error, as do
+    malformed numbers, so they reach the quarantine.
     """
+    requests = _readable(requests)
     src = _passthrough(requests)
     res = unnest(requests, "resourceMetrics", src, "resource_index").select(
         *src, "resource_index", resource_service(F.col("resource")).alias("_res_service"), "scopeMetrics"
@@ -338,7 +362,8 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     scopes = unnest(res, "scopeMetrics", [*src, "resource_index", "_res_service"], "scope_index")
     keep = [*src, "resource_index", "scope_index", "_res_service"]
     metrics = unnest(scopes.select(*keep, "metrics"), "metrics", keep, "record_index").select(
-        *keep, "record_index", F.struct("name", "unit", "description", "gauge", "sum", "histogram").alias("m")
+        *keep, "record_index",
+        F.struct("name", "unit", "description", "gauge", "sum", "histogram", "exponentialHistogram", "summary").alias("m"),
     )
     no_buckets = F.lit(None).cast(f"array<{schemas.BUCKET}>")
     no_count = F.lit(None).cast("bigint")
@@ -346,8 +371,8 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     def number(kind: Column):
         return lambda p: F.struct(
             kind.alias("metric_type"), p["attributes"].alias("attributes"), p["timeUnixNano"].alias("timeUnixNano"),
-            F.coalesce(p["asDouble"], p["asInt"].cast("double")).alias("value"), no_buckets.alias("buckets"),
-            no_count.alias("hist_count"),
+            F.coalesce(p["asDouble"], p["asInt"].try_cast("bigint").cast("double")).alias("value"), no_buckets.alias("buckets"),
+            no_count.alias("hist_count"), first_error(_not_integer(p["asInt"], "asInt")).alias("error"),
         )
 
     monotonic = F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))
@@ -356,16 +381,30 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
         p["timeUnixNano"].alias("timeUnixNano"), F.coalesce(p["sum"], F.lit(0.0)).alias("value"),
         zip_buckets(F.coalesce(p["explicitBounds"], F.array().cast("array<double>")),
                     F.coalesce(p["bucketCounts"], F.array().cast("array<string>"))).alias("buckets"),
-        p["count"].cast("bigint").alias("hist_count"),
+        p["count"].try_cast("bigint").alias("hist_count"),
+        first_error(
+            _not_integer(p["count"], "count"),
+            (F.exists(F.coalesce(p["bucketCounts"], F.array().cast("array<string>")), lambda n: n.try_cast("bigint").isNull()),
+             "bucketCounts is not an integer"),
+        ).alias("error"),
     )
+
+    def unsupported(reason: str):
+        return lambda p: F.struct(
+            F.lit(None).cast("string").alias("metric_type"), F.lit(None).cast(schemas.KV).alias("attributes"),
+            F.lit(None).cast("string").alias("timeUnixNano"), F.lit(None).cast("double").alias("value"), no_buckets.alias("buckets"),
+            no_count.alias("hist_count"), F.lit(reason).alias("error"),
+        )
     points = F.concat(
         _points(F.col("m.gauge.dataPoints"), number(F.lit("gauge"))),
         _points(F.col("m.sum.dataPoints"), number(F.when(monotonic, F.lit("counter")).otherwise(F.lit("gauge")))),
         _points(F.col("m.histogram.dataPoints"), histogram),
+        _points(F.col("m.exponentialHistogram.dataPoints"), unsupported("exponential histogram points are not supported")),
+        _points(F.col("m.summary.dataPoints"), unsupported("summary points are not supported")),
     ).cast(f"array<{_POINT}>")
     rows = (
         metrics.select(*keep, "record_index", "m", F.posexplode_outer(points).alias("_pos", "p"))
-        .where(F.col("_pos").isNotNull() & F.col("p.value").isNotNull())
+        .where(F.col("_pos").isNotNull())
     )
     ts_ns = _nanos(F.col("p.timeUnixNano"), zero_is_now=True)
     svc = F.col("_res_service")
@@ -377,6 +416,8 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     )
     out = rows.select(
         *[c for c in LOCATION if c in rows.columns],
+        F.to_json(F.struct(F.col("m.name").alias("name"), F.col("p").alias("point"))).alias("raw_body"),
+        F.coalesce(F.col("p.error"), first_error(_not_integer(F.col("p.timeUnixNano"), "timeUnixNano"))).alias(INPUT_ERROR),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         F.col("m.name").alias("name"),
@@ -406,19 +447,25 @@ def unsupported_metric_points(requests: DataFrame) -> DataFrame:
     )
 
 
+def split_requests(raw: DataFrame, flat: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """The records of ``flat`` split, with the requests of ``raw`` that could not be read among the rejected."""
+    valid, rejected = split_valid(flat, reason)
+    return valid, rejected.unionByName(unreadable_requests(raw), allowMissingColumns=True)
+
+
 def ingest_otlp_logs(spark: SparkSession, path: str, multi_line: bool = True, id_encoding: str = "hex"):
     """I4 + I7: returns ``(valid, rejected)`` — row-by-row partial success."""
-    flat = flatten_logs(read_otlp(spark, path, schemas.OTLP_LOGS, multi_line), id_encoding)
-    return split_valid(flat, log_reject_reason())
+    raw = read_otlp(spark, path, schemas.OTLP_LOGS, multi_line)
+    return split_requests(raw, flatten_logs(raw, id_encoding), log_reject_reason())
 
 
 def ingest_otlp_spans(spark: SparkSession, path: str, multi_line: bool = True, id_encoding: str = "hex"):
     """I6 + I7"""
-    flat = flatten_spans(read_otlp(spark, path, schemas.OTLP_SPANS, multi_line), id_encoding)
-    return split_valid(flat, span_reject_reason())
+    raw = read_otlp(spark, path, schemas.OTLP_SPANS, multi_line)
+    return split_requests(raw, flatten_spans(raw, id_encoding), span_reject_reason())
 
 
 def ingest_otlp_metrics(spark: SparkSession, path: str, multi_line: bool = True):
     """I5 + I7"""
-    flat = flatten_metrics(read_otlp(spark, path, schemas.OTLP_METRICS, multi_line))
-    return split_valid(flat, metric_reject_reason())
+    raw = read_otlp(spark, path, schemas.OTLP_METRICS, multi_line)
+    return split_requests(raw, flatten_metrics(raw), metric_reject_reason())

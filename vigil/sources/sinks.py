@@ -48,9 +48,10 @@ def write_table(
     out = _with_dt(df)
     if batch_id is not None:
         out, parts, mode = out.withColumn("batch", F.lit(str(batch_id))), ["dt", "batch"], "overwrite"
-        out.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     out = out.sortWithinPartitions(*parts, *SORT_KEYS[kind])
     writer = out.write.mode(mode).partitionBy(*parts)
+    # stated for this write, so neither the session's mode nor another write's matters
+    writer = writer.option("partitionOverwriteMode", "dynamic" if batch_id is not None else "static")
     if bloom_trace_id and "trace_id" in df.columns:
         writer = writer.option("parquet.bloom.filter.enabled#trace_id", "true")
     writer.parquet(path)
@@ -80,11 +81,7 @@ def write_bucketed_table(
 def truncate_table(spark: SparkSession, path: str, kind: str) -> None:
     """Replace the table with an empty one of the same schema."""
     empty = spark.createDataFrame([], SCHEMAS[kind]).withColumn("dt", F.to_date("ts"))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    try:
-        empty.write.mode("overwrite").partitionBy("dt").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("dt").parquet(path)
 
 
 def read_stored(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Row validation and quarantine (I7, I8), row decoding (I14) and histogram
 encoding (I15).
 
-Validation never drops silently: each frame gets a ``reject_reason`` (the
-first failing rule, NULL when valid) and is split into ``(valid, rejected)``.
+Every input record ends up in one of the two frames: each gets a ``reject_reason``
+(an input error found while reading it, else the first failing rule, NULL when
+valid) and is split into ``(valid, rejected)``; the rejected ones keep the record as
+it was sent and where it came from.
 Callers that want the reference's all-or-nothing log batches pass
 ``on_error="fail"``.
 """
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.schemas import CORRUPT
+
 
 def _nonempty(c: str) -> Column:
     return F.col(c).isNotNull() & (F.length(F.col(c)) > 0)
@@ -38,7 +42,38 @@ def buckets_ascending(buckets: Column | str) -> Column:
 
 
 # Row provenance columns the readers add (I8); see sources/otlp.py.
-LOCATION = ("source_file", "resource_index", "scope_index", "record_index")
+LOCATION = ("source_file", "resource_index", "scope_index", "record_index", "raw_body")
+# Why a record could not be read as sent (NULL: it could), set by the normalising functions.
+INPUT_ERROR = "input_error"
+UNREADABLE = "record is not readable"
+
+
+def first_error(*checks: tuple[Column, str]) -> Column:
+    """The reason of the first check that is TRUE, else NULL."""
+    return F.coalesce(*[F.when(bad, F.lit(reason)) for bad, reason in checks])
+
+
+def unreadable(raw: DataFrame) -> Column:
+    """TRUE for a record that the reader could not fit into its schema."""
+    return F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
+
+
+def sent(raw: DataFrame) -> Column:
+    """The record as it was sent: the reader's text if it is unreadable, else its fields as JSON."""
+    fields = F.to_json(F.struct(*[c for c in raw.columns if c not in (CORRUPT, "source_file")]))
+    return F.coalesce(F.col(CORRUPT), fields) if CORRUPT in raw.columns else fields
+
+
+def unreadable_requests(raw: DataFrame) -> DataFrame:
+    """The requests that could not be read, as quarantine rows."""
+    where = ["source_file"] if "source_file" in raw.columns else []
+    if CORRUPT not in raw.columns:
+        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+    # the reader refuses a query on the corrupt text alone, so the (always true) size test names a field as well
+    fields = next(c for c in raw.columns if c not in (CORRUPT, "source_file"))
+    return raw.where(F.col(CORRUPT).isNotNull() & (F.coalesce(F.size(fields), F.lit(-1)) >= -1)).select(
+        *where, F.col(CORRUPT).alias("raw_body"), F.lit("request is not readable").alias("reject_reason")
+    )
 
 LOG_RULES = [("message", "message must not be empty"), ("service", "service must not be empty")]
 SPAN_RULES = [
@@ -55,7 +90,8 @@ def log_reject_reason() -> Column:
 
 def metric_reject_reason() -> Column:
     return _first_failure(
-        [(_nonempty("name"), "name must not be empty"), (buckets_ascending("buckets"), "histogram buckets must be sorted")]
+        [(_nonempty("name"), "name must not be empty"), (F.col("value").isNotNull(), "value must be present"),
+         (buckets_ascending("buckets"), "histogram buckets must be sorted")]
     )
 
 
@@ -71,7 +107,9 @@ def split_valid(df: DataFrame, reason: Column, on_error: str = "split") -> tuple
     ``on_error="fail"`` raises if any row is invalid (one small aggregate
     action); otherwise both frames are returned lazily.
     """
-    tagged = df.withColumn("reject_reason", reason)
+    if INPUT_ERROR in df.columns:
+        reason = F.coalesce(F.col(INPUT_ERROR), reason)
+    tagged = df.withColumn("reject_reason", reason).drop(INPUT_ERROR)
     # provenance (file, positions) is kept for the quarantine only
     location = [c for c in LOCATION if c in df.columns]
     valid = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason", *location)
@@ -92,7 +130,7 @@ def reject_report(rejected: DataFrame) -> DataFrame:
 
 def reject_details(rejected: DataFrame) -> DataFrame:
     """I8: one row per rejected record — where it came from (file and, for OTLP,
-    its resource / scope / record position in the request) and why."""
+    its resource / scope / record position in the request), as it was sent, and why."""
     where = [c for c in LOCATION if c in rejected.columns]
     return rejected.select(*where, "reject_reason")
 
@@ -103,7 +141,7 @@ def zip_buckets(bounds: Column | str, counts: Column | str) -> Column:
     b = F.col(bounds) if isinstance(bounds, str) else bounds
     c = F.col(counts) if isinstance(counts, str) else counts
     n = F.least(F.size(b), F.size(c))
-    zipped = F.arrays_zip(b.alias("upper_bound"), c.cast("array<bigint>").alias("count"))
+    zipped = F.arrays_zip(b.alias("upper_bound"), F.transform(c, lambda x: x.try_cast("bigint")).alias("count"))
     return F.when(n > 0, F.slice(zipped, 1, n)).otherwise(F.array().cast("array<struct<upper_bound:double,count:bigint>>"))
 
 

@@ -2,12 +2,14 @@
 
 Each micro-batch (``foreachBatch``):
 
-1. validates and appends raw rows to a table partitioned by ``dt`` and
-   ``epoch`` — dynamic partition overwrite of ``epoch=<batch id>`` makes a
-   replayed batch idempotent; rejected rows go to a quarantine table the
-   same way;
-2. collects the day keys the batch touched (at most the retention span,
-   ≤ 3650 values) and recomputes those days of every rollup from the raw table
+1. validates and appends raw rows to a table partitioned by ``dt``, ``run`` and
+   ``epoch`` — dynamic partition overwrite of ``run=<id>/epoch=<batch id>`` makes a
+   replayed batch idempotent, and the run id, which lives in the checkpoint, keeps
+   the rows of other checkpoints apart: a new or lost checkpoint counts its epochs
+   from zero again but under a new run id. Rejected rows go to a quarantine table
+   the same way, with rows whose event time lies outside the accepted span;
+2. collects the day keys the batch touched (at most the accepted span,
+   ≤ 3651 values) and recomputes those days of every rollup from the raw table
    with the batch operators, overwriting only those ``dt`` partitions.
 
 Late rows are never dropped: they land in their day and that day is rebuilt,
@@ -17,6 +19,7 @@ only the touched days (static partition pruning on ``dt``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +28,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.timefn import TIERS
 from vigil.operators.rollups import write_rollups
-from vigil.operators.retention import AggregationPolicy
+from vigil.operators.retention import MAX_TTL_DAYS, AggregationPolicy
+from vigil.schemas import CORRUPT
 from vigil.session import checkpoint_dir, configure
 
 
@@ -36,15 +40,31 @@ def read_json_stream(spark: SparkSession, path: str, schema: str, multi_line: bo
     """M3: a JSON file stream (native or OTLP bodies) with ``source_file`` provenance,
     as the batch readers add it, so quarantined rows name their file."""
     configure(spark)
-    raw = spark.readStream.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    raw = (
+        spark.readStream.schema(f"{schema}, {CORRUPT} string")
+        .option("multiLine", str(multi_line).lower())
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .json(path)
+    )
     return raw.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
-def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the checkpoint: made once and stored inside it, so it goes when the checkpoint goes."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/run_id")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/run_id/_SUCCESS")):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.mode("overwrite").text(path.toString())
+    return spark.read.text(path.toString()).first()[0]
+
+
+def _write_epoch(df: DataFrame, path: str, run: str, epoch_id: int) -> None:
     (
-        df.withColumn("epoch", F.lit(epoch_id))
+        df.withColumns({"run": F.lit(run), "epoch": F.lit(epoch_id)})
         .write.mode("overwrite")
-        .partitionBy("dt", "epoch")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dt", "run", "epoch")
         .parquet(path)
     )
 
@@ -61,7 +81,7 @@ def recompute_days(
     """
     if not days:
         return
-    raw = spark.read.parquet(raw_path).where(F.col("dt").isin(days)).drop("epoch")
+    raw = spark.read.parquet(raw_path).where(F.col("dt").isin(days)).drop("run", "epoch")
     write_rollups(raw, kind, out_root, tiers or DEFAULT_TIERS[kind], policy)
 
 
@@ -77,23 +97,35 @@ def start_ingest(
     tiers=None,
     checkpoint: str | None = None,
     policy: AggregationPolicy | None = None,
+    max_age_days: int = MAX_TTL_DAYS,
 ) -> StreamingQuery:
     """Run M3 ingest + M2 recompute as one checkpointed streaming query.
 
-    The checkpoint defaults to ``<spark.checkpoint.dir>/<name>``.
+    The checkpoint defaults to ``<spark.checkpoint.dir>/<name>``. Event time is what
+    clients claim: rows older than ``max_age_days`` or more than a day ahead are
+    quarantined, which also bounds the days that a batch can touch.
     """
     spark = stream.sparkSession
     configure(spark)
     location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
+    run = _run_id(spark, location)
+
     def process(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()  # read once, used by the two writes and the day scan
         try:
             valid, rejected = validate(batch)
             valid = valid if "dt" in valid.columns else valid.withColumn("dt", F.to_date("ts"))
-            _write_epoch(valid, raw_path, epoch_id)
-            _write_epoch(rejected.withColumn("dt", F.to_date("ts")), quarantine_path, epoch_id)
-            # Distinct day keys of this batch: a handful of values, bounded by the retention span.
+            in_span = F.col("dt").between(F.date_sub(F.current_date(), max_age_days), F.date_add(F.current_date(), 1))
+            outside = valid.where(~F.coalesce(in_span, F.lit(False))).withColumn("reject_reason", F.lit("event time out of range"))
+            valid = valid.where(in_span)
+            rejected = rejected.unionByName(outside.drop("dt"), allowMissingColumns=True)
+            _write_epoch(valid, raw_path, run, epoch_id)
+            # a day of the row's own, so that a replay meets the same partitions; 1970 for far-off times
+            day = F.to_date("ts")
+            day = F.when(F.year(day).between(2000, 2100), day).otherwise(F.lit("1970-01-01").cast("date"))
+            _write_epoch(rejected.withColumn("dt", day), quarantine_path, run, epoch_id)
+            # Distinct day keys of this batch: bounded by the accepted span.
             days = [r.dt for r in valid.select("dt").distinct().collect()]
         finally:
             batch.unpersist()

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vigil.functions.model import labels_hash
+from vigil.functions.model import labels_hash, labels_key
 from vigil.functions.normalize import normalize_message
-from vigil.operators.rollups import SPAN_PERCENTILES, exact_sum
+from vigil.operators.rollups import SPAN_PERCENTILES
 from vigil.session import checkpoint_dir
 
 # Tier -> tumbling window width for event-time windows.
@@ -34,20 +34,22 @@ def _window(tier: str):
 
 
 def stream_metric_rollup(metrics: DataFrame, tier: str, watermark: str = "10 minutes") -> DataFrame:
+    if "labels_key" not in metrics.columns:  # as ingested
+        metrics = metrics.withColumn("labels_key", labels_key("labels"))
     out = (
         metrics.withWatermark("ts", watermark)
         .groupBy(_window(tier).alias("w"), "name", "metric_type", "service", "labels_key")
         .agg(
             F.count(F.lit(1)).alias("count"),
-            exact_sum("value").alias("_sum"),
+            F.sum("value").alias("_sum"),
             F.min("value").alias("min"),
             F.max("value").alias("max"),
         )
     )
     return out.select(
         F.col("w.start").alias("timestamp"), "name", "metric_type", "service", "labels_key", "count",
-        F.col("_sum").cast("double").alias("sum"), "min", "max",
-        (F.col("_sum").cast("double") / F.col("count")).alias("avg"), labels_hash("labels_key").alias("labels_hash"),
+        F.col("_sum").alias("sum"), "min", "max",
+        (F.col("_sum") / F.col("count")).alias("avg"), labels_hash("labels_key").alias("labels_hash"),
     )
 
 
