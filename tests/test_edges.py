@@ -239,3 +239,25 @@ def test_metric_stream_takes_ingested_rows(spark, tmp_dir):
     out = srollups.stream_metric_rollup(native_json.normalize_metrics(raw), "1day", "1 hour")
     srollups.start_parquet_sink(out, f"{tmp_dir}/out", "edge_metrics", available_now=True, checkpoint=f"{tmp_dir}/ck").awaitTermination()
     assert [(r["count"], r["sum"]) for r in spark.read.parquet(f"{tmp_dir}/out").filter("dt = '2024-01-01'").collect()] == [(2, 3.0)]
+
+
+def test_compaction_keeps_rows_and_merges_files(spark, tmp_dir):
+    from vigil.sources.sinks import compact_days
+
+    path = f"{tmp_dir}/logs"
+    for i in range(4):
+        write_table(logs_df(spark, [dict(message=f"m{i}{j}", service="s", ts_ns=BASE_NS + j * 1000) for j in range(20)]), path, "logs")
+    files = lambda: [f for f in os.listdir(f"{path}/dt=2023-11-14") if f.endswith(".parquet")]
+    before = len(files())
+    compact_days(spark, path, "logs", ["2023-11-14"], files_per_day=1)
+    assert read_stored(spark, path).count() == 80 and len(files()) < before
+
+
+def test_stored_coarse_tiers_equal_direct_rollups(spark, tmp_dir):
+    logs = logs_df(spark, [dict(message=f"user {i % 3} failed", service="s", ts_ns=BASE_NS + i * DAY // 9) for i in range(30)])
+    rollups.write_rollups(logs, "logs", f"{tmp_dir}/t")
+    stored = spark.read.parquet(f"{tmp_dir}/t/logs_1day_counts").drop("dt")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, rollups.log_count_rollup(logs, "1day").collect()))
+    later = logs.filter("ts >= '2023-11-16'")
+    rollups.write_rollups(later.limit(1), "logs", f"{tmp_dir}/t")  # replaces one day in both tiers, the others stay
+    assert spark.read.parquet(f"{tmp_dir}/t/logs_1day_counts").agg(F.countDistinct("dt")).first()[0] == 4

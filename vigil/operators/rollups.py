@@ -110,6 +110,14 @@ def log_count_rollup(logs: DataFrame, tier: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("count"), F.min("message").alias("sample_message"))
 
 
+def log_tier_up(rollup: DataFrame, tier: str) -> DataFrame:
+    """Build a coarser log tier from a finer one: counts add, the sample is the least message."""
+    _check_tier(tier)
+    return rollup.groupBy(
+        bucket_start("timestamp", tier).alias("timestamp"), "level", "service", "normalized_message"
+    ).agg(F.sum("count").alias("count"), F.min("sample_message").alias("sample_message"))
+
+
 def span_stats_rollup(spans: DataFrame, tier: str, percentiles: bool = True) -> DataFrame:
     """Span count, avg/min/max and exact p50/p95/p99 of duration_ns.
 
@@ -176,6 +184,10 @@ ROLLUPS_BY_KIND = {
 TIERS_BY_KIND = {"logs": ("1hour", "1day"), "metrics": ("1min", "5min", "1hour", "1day"), "spans": ("1hour", "1day")}
 
 
+# How a coarser tier of a kind follows from a finer one (percentiles and distinct counts do not).
+TIER_UP = {"metrics": tier_up, "logs": log_tier_up}
+
+
 def overwrite_days(table: DataFrame, path: str) -> None:
     """Replace exactly the ``dt`` partitions that ``table`` holds, whatever the session's overwrite mode."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
@@ -185,19 +197,29 @@ def write_rollups(df: DataFrame, kind: str, out_root: str, tiers=None, policy=No
     """Materialise the rollup tiers fed by ``df`` (an entity frame of ``kind``).
 
     Each tier goes to ``<out_root>/<table>`` partitioned by ``dt`` with dynamic
-    partition overwrite, so a re-run replaces exactly the days it recomputes.
+    partition overwrite, so a re-run replaces exactly the days it recomputes. Raw
+    metrics and logs are read for the finest tier only; a coarser one is built from
+    the stored days of the finer one just written (A11).
     ``policy`` (an ``AggregationPolicy``) switches tiers off (M6). Returns the
     tables written.
     """
     if kind not in ROLLUPS_BY_KIND:
         raise ValueError(f"unknown entity kind {kind!r}")
     written = []
-    for tier in tiers or TIERS_BY_KIND[kind]:
+    finer = None  # the stored finer tier that a coarser one can be built from
+    days = (df if "dt" in df.columns else df.withColumn("dt", F.to_date("ts"))).select("dt").distinct()
+    for tier in sorted(tiers or TIERS_BY_KIND[kind], key=list(TIERS).index):
         for pattern, fn in ROLLUPS_BY_KIND[kind].items():
             name = pattern.format(tier=tier)
             if policy is not None and not policy.is_enabled(name):
                 continue
             out = f"{out_root.rstrip('/')}/{name}"
-            overwrite_days(fn(df, tier).withColumn("dt", F.to_date("timestamp")), out)
+            if finer is not None and kind in TIER_UP:
+                stored = df.sparkSession.read.parquet(finer).join(days, "dt", "left_semi")
+                table = TIER_UP[kind](stored, tier)
+            else:
+                table = fn(df, tier)
+            overwrite_days(table.withColumn("dt", F.to_date("timestamp")), out)
+            finer = out
             written.append(name)
     return written

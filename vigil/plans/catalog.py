@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.model import labels_key
+from vigil.functions.model import attributes_as_text, labels_key
 from vigil.functions.normalize import normalize_message
 from vigil.operators import counts, logs as logops, metrics as metricops, reports, rollups, traces
 from vigil.operators.predicates import And, Cond, Or, parse_rfc3339_ns, where_
@@ -23,6 +23,7 @@ from vigil.plans.sql import register_views
 from vigil.session import configure
 from vigil.sources import native_json, otlp, views
 from vigil.sources.validate import (
+    bucket_total,
     log_reject_reason,
     metric_reject_reason,
     reject_report,
@@ -583,6 +584,38 @@ def q_ingest_native_log_rejects(spark, d):
     return reject_report(rejected)
 
 
+@query
+def q_ingest_otlp_log_batches(spark, d):
+    """I4 + O5/O6: requests of many records under several resources."""
+    valid, _ = split_valid(otlp.flatten_logs(wire.otlp_log_batches(views.logs(spark, d))), log_reject_reason())
+    return valid.select(_variant("log_id", "log_id", "bigint"), "timestamp_ns", "level", "message", "service", "trace_id", "span_id")
+
+
+@query
+def q_ingest_otlp_histograms(spark, d):
+    """I5 + I15: histogram points with bounds and counts."""
+    valid, _ = split_valid(otlp.flatten_metrics(wire.otlp_histogram_requests(views.metrics(spark, d))), metric_reject_reason())
+    return valid.select(
+        F.col("labels")["point_id"].cast("bigint").alias("point_id"), "name", "metric_type", "value", "hist_count", "service",
+        F.size("buckets").alias("n_buckets"), bucket_total("buckets").alias("bucket_total"),
+        F.element_at("buckets", -1)["upper_bound"].alias("last_bound"),
+    )
+
+
+@query
+def q_metric_filter_time(spark, d):
+    """one metric's points in a time range."""
+    m = metricops.filter_metrics(views.metrics(spark, d), name=METRIC_NAME, start_ns=parse_rfc3339_ns(TS_FROM), end_ns=parse_rfc3339_ns(TS_TO))
+    return m.select("point_id", "name", "value", "timestamp_ns")
+
+
+@query
+def q_attributes_text(spark, d):
+    """Attributes as JSON text."""
+    text = attributes_as_text("attributes")
+    return views.logs(spark, d).select("log_id", text["type"].alias("type_text"), text["failed"].alias("failed_text"), text["k"].alias("k_text"))
+
+
 def _accepted_and_rejected(raw: DataFrame, flat: DataFrame, reason: Column) -> DataFrame:
     """The reject report with a row for what was accepted: the counts add up to the requests sent."""
     valid, rejected = otlp.split_requests(raw, flat, reason)

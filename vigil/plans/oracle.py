@@ -7,6 +7,7 @@ CTEs over the raw tables; each query text carries only the CTEs it uses.
 from __future__ import annotations
 
 from vigil.functions.normalize import duckdb_normalize_sql
+from vigil.operators.predicates import parse_rfc3339_ns
 from vigil.plans import catalog as C
 
 _NS = "epoch_us(ts) * 1000"
@@ -480,6 +481,29 @@ ORACLE["q_ingest_otlp_metrics"] = sql(
 )
 
 
+ORACLE["q_ingest_otlp_log_batches"] = sql(
+    """select log_id, timestamp_ns, level, message, service, lower(hex(trace_id)) as trace_id, lower(hex(span_id)) as span_id
+from logs""",
+    "logs",
+)
+ORACLE["q_ingest_otlp_histograms"] = sql(
+    """select point_id, name, 'histogram' as metric_type, value, cast(3 as bigint) as hist_count, service, 2 as n_buckets,
+  cast(3 as bigint) as bucket_total, value + 1 as last_bound
+from metrics""",
+    "metrics",
+)
+ORACLE["q_metric_filter_time"] = sql(
+    f"select point_id, name, value, timestamp_ns from metrics where name = '{C.METRIC_NAME}' "
+    f"and timestamp_ns >= {parse_rfc3339_ns(C.TS_FROM)} and timestamp_ns < {parse_rfc3339_ns(C.TS_TO)}",
+    "metrics",
+)
+ORACLE["q_attributes_text"] = sql(
+    """select log_id, '"' || attr_type || '"' as type_text, cast(attr_failed as varchar) as failed_text, cast(attr_k as varchar) as k_text
+from logs""",
+    "logs",
+)
+
+
 def _rejects(entity: str, key: str, time_field: str, third: str) -> str:
     return sql(
         f"""select case {key} % 5 when 0 then 'request is not readable' when 1 then '{time_field} is not an integer'

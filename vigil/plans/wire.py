@@ -72,7 +72,57 @@ def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
     return unnest(bodies.select(F.array(request).alias("_request")), "_request", [])
 
 
+RECORDS_PER_REQUEST = 50
+
+
+def otlp_log_batches(logs: DataFrame) -> DataFrame:
+    """Requests of up to RECORDS_PER_REQUEST records, with a resource for each service in them."""
+    record = _log_record()
+    per_service = logs.groupBy("service", F.call_function("div", F.col("log_id"), F.lit(RECORDS_PER_REQUEST)).alias("_request")).agg(
+        F.collect_list(record).alias("records")
+    )
+    resource = F.struct(
+        F.struct(F.array(_kv("service.name", _any(string=F.col("service")))).alias("attributes")).alias("resource"),
+        F.array(F.struct(F.struct(F.lit("vigil").alias("name")).alias("scope"), F.col("records").alias("logRecords"))).alias("scopeLogs"),
+    )
+    requests = per_service.groupBy("_request").agg(F.collect_list(resource).alias("resourceLogs"))
+    return _parsed(requests.select(F.to_json(F.struct("resourceLogs")).alias("body")), schemas.OTLP_LOGS)
+
+
+def otlp_histogram_requests(metrics: DataFrame) -> DataFrame:
+    """Each value as a histogram of three observations around it: one below, two up to one above."""
+    point = F.struct(
+        F.array(_kv("point_id", _any(string=F.col("point_id").cast("string")))).alias("attributes"),
+        F.col("timestamp_ns").cast("string").alias("timeUnixNano"),
+        F.lit("3").alias("count"), F.col("value").alias("sum"),
+        F.array(F.lit("1"), F.lit("2"), F.lit("0")).alias("bucketCounts"),
+        F.array(F.col("value"), F.col("value") + 1).alias("explicitBounds"),
+    )
+    metric = F.struct(F.col("name").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("histogram"))
+    body = F.to_json(F.struct(F.array(F.struct(
+        F.struct(F.array(_kv("service.name", _any(string=F.col("service")))).alias("attributes")).alias("resource"),
+        F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"),
+    )).alias("resourceMetrics")))
+    return _parsed(metrics.select(body.alias("body")), schemas.OTLP_METRICS)
+
+
 def otlp_log_requests(logs: DataFrame, damaged: bool = False) -> DataFrame:
+    record = _log_record()
+    resource = F.struct(F.array(
+        _kv("service.name", _any(string=F.col("service"))),
+        _kv("host", _any(string=F.concat(F.lit("h-"), (F.col("log_id") % 3).cast("string")))),
+    ).alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(
+        resource.alias("resource"),
+        F.array(F.struct(F.struct(F.lit("vigil").alias("name")).alias("scope"), F.array(record).alias("logRecords")))
+        .alias("scopeLogs"),
+    )).alias("resourceLogs")))
+    if damaged:
+        body = _damaged(body, F.col("log_id"), "timeUnixNano")
+    return _parsed(logs.select(body.alias("body")), schemas.OTLP_LOGS)
+
+
+def _log_record() -> Column:
     attr = lambda key: F.col("attributes")[key]
     k = F.try_variant_get(attr("k"), "$", "bigint")
     always = [
@@ -81,7 +131,7 @@ def otlp_log_requests(logs: DataFrame, damaged: bool = False) -> DataFrame:
         _kv("value", _any(double=F.try_variant_get(attr("value"), "$", "double"))),
         _kv("failed", _any(boolean=F.try_variant_get(attr("failed"), "$", "boolean"))),
     ]
-    record = F.struct(
+    return F.struct(
         F.col("timestamp_ns").cast("string").alias("timeUnixNano"),
         _map_case("level", LEVEL_SEVERITY).alias("severityNumber"),
         F.struct(F.col("message").alias("stringValue")).alias("body"),
@@ -91,18 +141,6 @@ def otlp_log_requests(logs: DataFrame, damaged: bool = False) -> DataFrame:
         _hex("trace_id").alias("traceId"),
         _hex("span_id").alias("spanId"),
     )
-    resource = F.struct(F.array(
-        _kv("service.name", _any(string=F.col("service"))),
-        _kv("host", _any(string=F.concat(F.lit("h-"), (F.col("log_id") % 3).cast("string")))),
-    ).alias("attributes"))
-    body = F.to_json(F.struct(F.array(F.struct(
-        resource.alias("resource"),
-        F.array(F.struct(F.struct(F.lit("vigil").alias("name")).alias("scope"), F.array(record).alias("logRecords")))
-        .alias("scopeLogs"),
-    )).alias("resourceLogs")))
-    if damaged:
-        body = _damaged(body, F.col("log_id"), "timeUnixNano")
-    return _parsed(logs.select(body.alias("body")), schemas.OTLP_LOGS)
 
 
 def otlp_span_requests(spans: DataFrame, damaged: bool = False) -> DataFrame:
@@ -186,6 +224,8 @@ __all__ = [
     "native_log_requests",
     "native_metric_requests",
     "native_span_requests",
+    "otlp_histogram_requests",
+    "otlp_log_batches",
     "otlp_log_requests",
     "otlp_metric_requests",
     "otlp_span_requests",

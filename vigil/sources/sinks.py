@@ -2,8 +2,9 @@
 
 Tables are partitioned by day (``dt``) and sorted within files by the
 reference's sort keys, so min/max statistics prune row groups for the common
-filters. Rows are sorted inside each task (no extra shuffle); each task
-writes one file per day it holds.
+filters. Rows are dealt by day and a salt before they are sorted and written, so a
+day is a few files of a task each rather than one from every task;
+:func:`compact_days` merges the small files that many batches leave.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ def write_table(
     mode: str = "append",
     bloom_trace_id: bool = True,
     batch_id: str | None = None,
+    files_per_day: int = 8,
 ) -> None:
     """Append (or overwrite) rows to a day-partitioned Parquet table.
 
@@ -48,7 +50,7 @@ def write_table(
     out = _with_dt(df)
     if batch_id is not None:
         out, parts, mode = out.withColumn("batch", F.lit(str(batch_id))), ["dt", "batch"], "overwrite"
-    out = out.sortWithinPartitions(*parts, *SORT_KEYS[kind])
+    out = _by_day(out, files_per_day).sortWithinPartitions(*parts, *SORT_KEYS[kind])
     writer = out.write.mode(mode).partitionBy(*parts)
     # stated for this write, so neither the session's mode nor another write's matters
     writer = writer.option("partitionOverwriteMode", "dynamic" if batch_id is not None else "static")
@@ -57,6 +59,28 @@ def write_table(
     writer.parquet(path)
 
 
+def _by_day(df: DataFrame, files_per_day: int) -> DataFrame:
+    """Rows of a day together in at most ``files_per_day`` tasks: a hot day is spread, a small one is few files."""
+    salt = F.pmod(F.xxhash64(*[c for c in ("timestamp_ns", "start_ns", "service") if c in df.columns]), F.lit(files_per_day))
+    return df.withColumn("_salt", salt).repartition("dt", "_salt").drop("_salt")
+
+
+def compact_days(spark: SparkSession, path: str, kind: str, days: list[str], files_per_day: int = 8) -> None:
+    """Rewrite the given days (``YYYY-MM-DD``) of a ``dt``-partitioned table as a few sorted files each.
+
+    The rows are staged next to the table first, so each day is replaced from a complete copy.
+    Tables with partitions below the day keep them: they name batches and epochs that must
+    stay replaceable.
+    """
+    table = spark.read.parquet(path).where(F.col("dt").cast("string").isin(days))
+    below = [c for c in ("batch", "run", "epoch") if c in table.columns]
+    if below:
+        raise ValueError(f"days of this table are divided by {below}; compact the tables built from it instead")
+    staged = f"{path.rstrip('/')}/_compaction_staging"
+    _by_day(table, files_per_day).sortWithinPartitions("dt", *SORT_KEYS[kind]).write.mode("overwrite").partitionBy("dt").parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+
+
 def write_bucketed_table(
     df: DataFrame, table: str, path: str, num_buckets: int, key: str = "trace_id", mode: str = "overwrite"
 ) -> None:
