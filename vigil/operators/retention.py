@@ -180,6 +180,12 @@ def enforce_retention(
         path = f"{tier_root.rstrip('/')}/{tier}"
         if fs.exists(hpath(path)):
             done[tier] = expire_partitions(spark, path, days, as_of_ts, ts_col="timestamp")
+    # the partial rows of streamed tiers stay as long as any tier that is merged from them
+    partials = hpath(f"{tier_root.rstrip('/')}/_partials")
+    for status in fs.listStatus(partials) if fs.exists(partials) else []:
+        name = status.getPath().getName()
+        days = max([d for t, d in aggregation.tiers.items() if t.split("_")[0] == name.split("_")[0]], default=MAX_TTL_DAYS)
+        done[f"_partials/{name}"] = expire_partitions(spark, status.getPath().toString(), days, as_of_ts, ts_col="timestamp")
     return done
 
 

@@ -62,6 +62,11 @@ def _damaged(body: Column, key: Column, time_field: str, *edit: str) -> Column:
     return out.otherwise(body)
 
 
+def _spread(entities: DataFrame) -> DataFrame:
+    """The rows over all cores: requests come from many senders, the test table is one small file."""
+    return entities.repartition(entities.sparkSession.sparkContext.defaultParallelism)
+
+
 def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
     """Parse each body once with the ingest schema, keeping what cannot be read as the readers do.
 
@@ -78,7 +83,7 @@ RECORDS_PER_REQUEST = 50
 def otlp_log_batches(logs: DataFrame) -> DataFrame:
     """Requests of up to RECORDS_PER_REQUEST records, with a resource for each service in them."""
     record = _log_record()
-    per_service = logs.groupBy("service", F.call_function("div", F.col("log_id"), F.lit(RECORDS_PER_REQUEST)).alias("_request")).agg(
+    per_service = _spread(logs).groupBy("service", F.call_function("div", F.col("log_id"), F.lit(RECORDS_PER_REQUEST)).alias("_request")).agg(
         F.collect_list(record).alias("records")
     )
     resource = F.struct(
@@ -103,7 +108,7 @@ def otlp_histogram_requests(metrics: DataFrame) -> DataFrame:
         F.struct(F.array(_kv("service.name", _any(string=F.col("service")))).alias("attributes")).alias("resource"),
         F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"),
     )).alias("resourceMetrics")))
-    return _parsed(metrics.select(body.alias("body")), schemas.OTLP_METRICS)
+    return _parsed(_spread(metrics).select(body.alias("body")), schemas.OTLP_METRICS)
 
 
 def otlp_log_requests(logs: DataFrame, damaged: bool = False) -> DataFrame:
@@ -119,7 +124,7 @@ def otlp_log_requests(logs: DataFrame, damaged: bool = False) -> DataFrame:
     )).alias("resourceLogs")))
     if damaged:
         body = _damaged(body, F.col("log_id"), "timeUnixNano")
-    return _parsed(logs.select(body.alias("body")), schemas.OTLP_LOGS)
+    return _parsed(_spread(logs).select(body.alias("body")), schemas.OTLP_LOGS)
 
 
 def _log_record() -> Column:
@@ -163,7 +168,7 @@ def otlp_span_requests(spans: DataFrame, damaged: bool = False) -> DataFrame:
     )).alias("resourceSpans")))
     if damaged:
         body = _damaged(body, F.unix_micros("ts"), "startTimeUnixNano", r'"endTimeUnixNano":"[0-9]+"', '"endTimeUnixNano":"1"')
-    return _parsed(spans.select(body.alias("body")), schemas.OTLP_SPANS)
+    return _parsed(_spread(spans).select(body.alias("body")), schemas.OTLP_SPANS)
 
 
 def otlp_metric_requests(metrics: DataFrame, damaged: bool = False) -> DataFrame:
@@ -186,7 +191,7 @@ def otlp_metric_requests(metrics: DataFrame, damaged: bool = False) -> DataFrame
     )).alias("resourceMetrics")))
     if damaged:
         body = _damaged(body, F.col("point_id"), "timeUnixNano", r',"asDouble":[-0-9.E]+', "")
-    return _parsed(metrics.select(body.alias("body")), schemas.OTLP_METRICS)
+    return _parsed(_spread(metrics).select(body.alias("body")), schemas.OTLP_METRICS)
 
 
 def native_log_requests(logs: DataFrame) -> DataFrame:
@@ -201,7 +206,7 @@ def native_log_requests(logs: DataFrame) -> DataFrame:
         F.col("trace_id").alias("trace_id"),
         F.col("span_id").alias("span_id"),
     ))
-    return _parsed(logs.select(body.alias("body")), schemas.NATIVE_LOG)
+    return _parsed(_spread(logs).select(body.alias("body")), schemas.NATIVE_LOG)
 
 
 def native_span_requests(spans: DataFrame) -> DataFrame:
@@ -210,14 +215,14 @@ def native_span_requests(spans: DataFrame) -> DataFrame:
         ns_to_ms("duration_ns").alias("duration_ms"),
         _rfc3339("ts").alias("start_time"),
     ))
-    return _parsed(spans.select(body.alias("body")), schemas.NATIVE_SPAN)
+    return _parsed(_spread(spans).select(body.alias("body")), schemas.NATIVE_SPAN)
 
 
 def native_metric_requests(metrics: DataFrame) -> DataFrame:
     body = F.to_json(F.struct(
         "name", "metric_type", "value", "labels", _rfc3339("ts").alias("timestamp"),
     ))
-    return _parsed(metrics.select(body.alias("body")), schemas.NATIVE_METRIC)
+    return _parsed(_spread(metrics).select(body.alias("body")), schemas.NATIVE_METRIC)
 
 
 __all__ = [

@@ -8,8 +8,12 @@ Each micro-batch (``foreachBatch``):
    the rows of other checkpoints apart: a new or lost checkpoint counts its epochs
    from zero again but under a new run id. Rejected rows go to a quarantine table
    the same way, with rows whose event time lies outside the accepted span;
-2. collects the day keys the batch touched (at most the accepted span,
-   ≤ 3651 values) and recomputes those days of every rollup from the raw table
+2. for metrics and logs, whose tiers merge, writes the batch's own rollup as
+   partial rows (``<rollup_root>/_partials``, replaceable like the raw rows) and
+   builds the touched days of every tier from the partial rows: the day's raw rows
+   are not read again;
+3. for spans, or where a touched day holds raw rows without partial ones, collects the
+   day keys (at most the accepted span, ≤ 3651 values) and recomputes those days of every rollup from the raw table
    with the batch operators, overwriting only those ``dt`` partitions.
 
 Late rows are never dropped: they land in their day and that day is rebuilt,
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.timefn import TIERS
-from vigil.operators.rollups import write_rollups
+from vigil.operators.rollups import ROLLUPS_BY_KIND, TIER_UP, overwrite_days, write_rollups
 from vigil.operators.retention import MAX_TTL_DAYS, AggregationPolicy
 from vigil.schemas import CORRUPT
 from vigil.session import checkpoint_dir, configure
@@ -69,6 +73,39 @@ def _write_epoch(df: DataFrame, path: str, run: str, epoch_id: int) -> None:
     )
 
 
+def _epochs(spark: SparkSession, path: str, day) -> set[str]:
+    """The ``run=…/epoch=…`` folders that a table has for a day."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/dt={day}/run=*/epoch=*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return {f"{s.getPath().getParent().getName()}/{s.getPath().getName()}" for s in found}
+
+
+def merge_days(
+    spark: SparkSession, valid: DataFrame, raw_path: str, out_root: str, kind: str, run: str, epoch_id: int, days: list,
+    tiers=None, policy: AggregationPolicy | None = None,
+) -> list:
+    """Add a batch to the tiers of ``kind`` through its partial rows; returns the days that need a rebuild from raw rows.
+
+    The partial rows of an epoch replace themselves on a replay, and a tier's day is always
+    the merge of all partial rows of the day, so every step can be repeated.
+    """
+    if kind not in TIER_UP or not days:
+        return days
+    (pattern, rollup), = ROLLUPS_BY_KIND[kind].items()
+    wanted = sorted(tiers or DEFAULT_TIERS[kind], key=list(TIERS).index)
+    partials = f"{out_root.rstrip('/')}/_partials/{pattern.format(tier=wanted[0])}"
+    _write_epoch(rollup(valid, wanted[0]).withColumn("dt", F.to_date("timestamp")), partials, run, epoch_id)
+    whole = [d for d in days if _epochs(spark, raw_path, d) <= _epochs(spark, partials, d)]
+    if whole:
+        rows = spark.read.parquet(partials).where(F.col("dt").isin(whole)).drop("dt", "run", "epoch")
+        for tier in wanted:
+            name = pattern.format(tier=tier)
+            if policy is None or policy.is_enabled(name):
+                overwrite_days(TIER_UP[kind](rows, tier).withColumn("dt", F.to_date("timestamp")), f"{out_root.rstrip('/')}/{name}")
+    return [d for d in days if d not in whole]
+
+
 def recompute_days(
     spark: SparkSession, raw_path: str, out_root: str, kind: str, days: list, tiers=None,
     policy: AggregationPolicy | None = None,
@@ -99,11 +136,15 @@ def start_ingest(
     policy: AggregationPolicy | None = None,
     max_age_days: int = MAX_TTL_DAYS,
 ) -> StreamingQuery:
-    """Run M3 ingest + M2 recompute as one checkpointed streaming query.
+    """Run M3 ingest + M2 tier maintenance as one checkpointed streaming query.
+
+    ``validate`` splits a batch into valid and rejected rows; for OTLP use
+    ``otlp.split_requests``, which also rejects the requests that could not be read.
 
     The checkpoint defaults to ``<spark.checkpoint.dir>/<name>``. Event time is what
     clients claim: rows older than ``max_age_days`` or more than a day ahead are
-    quarantined, which also bounds the days that a batch can touch.
+    quarantined, which also bounds the days that a batch can touch. It should not
+    exceed the retention of the raw table: span tiers are rebuilt from raw rows.
     """
     spark = stream.sparkSession
     configure(spark)
@@ -127,6 +168,7 @@ def start_ingest(
             _write_epoch(rejected.withColumn("dt", day), quarantine_path, run, epoch_id)
             # Distinct day keys of this batch: bounded by the accepted span.
             days = [r.dt for r in valid.select("dt").distinct().collect()]
+            days = merge_days(spark, valid, raw_path, rollup_root, kind, run, epoch_id, days, tiers, policy)
         finally:
             batch.unpersist()
         recompute_days(spark, raw_path, rollup_root, kind, days, tiers, policy)
