@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+
+
+def _kind(number: int, pattern: str, least: int, group: int = 0) -> str:
+    return f"""
+  SELECT r, o, p, {number} AS kind, unnest(a) AS m, unnest(v) AS v, unnest(g[1:len(a)]) AS gap, generate_subscripts(a, 1) AS i,
+    {least} AS least
+  FROM (SELECT r, o, p, regexp_extract_all(t, '{pattern}') AS a, regexp_extract_all(t, '{pattern}', {group}) AS v,
+          string_split_regex(t, '{pattern}') AS g FROM d)"""
+
+
 ORACLE: dict[str, str] = {
     "op8_top_products": """
 WITH v AS (
@@ -17,6 +28,41 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10
+""",    "op10_secrets": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o,
+    coalesce(source, '') || chr(1) || coalesce(lang, '') AS p
+  FROM documents
+), e AS ({_kind(0, _ASSIGN, 12, 2)}
+  UNION ALL {_kind(1, "AKIA[A-Z0-9]+", 18)}
+  UNION ALL {_kind(2, "[0-9a-f]+", 16)}
+  UNION ALL {_kind(3, "[A-Za-z0-9+/_-]+", 20)}
+), placed AS (
+  SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM e
+), found AS (
+  SELECT *, stop - length(m) AS start, len(list_distinct(string_split(v, ''))) >= 10 AND regexp_matches(v, '[0-9]')
+      AND regexp_matches(v, '[A-Za-z]')
+      AND NOT regexp_matches(v, '(?i)example|sample|dummy|placeholder|changeme|your|test|xxxx|0000|1234|abcd') AS looks
+  FROM placed WHERE length(v) >= least AND (kind < 3 OR regexp_matches(v, '[0-9]'))
+), held AS (
+  SELECT v, count(DISTINCT o) AS owners, bool_or(kind < 3) AS base FROM found GROUP BY v
+), spans AS (
+  SELECT f.*, h.owners, h.base, f.looks AND h.owners <= 2 AS live,
+    coalesce(max(CASE WHEN kind < 3 THEN stop END) OVER (PARTITION BY r ORDER BY start, kind
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) >= stop AS covered
+  FROM found f JOIN held h USING (v)
+), kept AS (
+  SELECT *, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || start || ':' || stop AS said
+  FROM spans WHERE kind < 3 OR ((live OR base) AND NOT covered)
+), per_row AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(said, ',' ORDER BY start, kind) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (owners > 2) AS n_copied
+  FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN per_row USING (r)
 """,
 }
 
