@@ -237,7 +237,9 @@ def test_metric_stream_takes_ingested_rows(spark, tmp_dir):
                    lines=True)
     raw = ingest.read_json_stream(spark, source, schemas.NATIVE_METRIC)
     out = srollups.stream_metric_rollup(native_json.normalize_metrics(raw), "1day", "1 hour")
-    srollups.start_parquet_sink(out, f"{tmp_dir}/out", "edge_metrics", available_now=True, checkpoint=f"{tmp_dir}/ck").awaitTermination()
+    query = srollups.start_parquet_sink(out, f"{tmp_dir}/out", "edge_metrics", available_now=True, checkpoint=f"{tmp_dir}/ck")
+    query.awaitTermination()
+    assert srollups.late_rows_dropped(query) == 0
     assert [(r["count"], r["sum"]) for r in spark.read.parquet(f"{tmp_dir}/out").filter("dt = '2024-01-01'").collect()] == [(2, 3.0)]
 
 
@@ -276,3 +278,17 @@ def test_second_batch_does_not_read_the_days_raw_rows(spark, tmp_dir):
     for tier in ("1hour", "1day"):
         rows = spark.read.parquet(f"{tmp_dir}/tiers/logs_{tier}_counts").collect()
         assert [(r.normalized_message, r["count"]) for r in rows] == [("user <NUM> failed", 4)]
+
+
+def test_streams_do_without_scratch_checkpoints(spark):
+    from vigil.session import stream_checkpoint
+
+    assert stream_checkpoint(spark, "q", "/given") == "/given"
+    assert stream_checkpoint(spark, "q", None) == f"{spark.conf.get('spark.checkpoint.dir')}/q"
+
+    class Bare:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError):
+        stream_checkpoint(Bare, "q", None)

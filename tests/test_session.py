@@ -11,7 +11,7 @@ def test_runtime_conf_applied(spark):
 
 def test_scale_conf():
     big = scale_conf(100 * 2**40)
-    assert big["spark.sql.shuffle.partitions"] == "65536"
+    assert big["spark.sql.shuffle.partitions"] == "409600"
     assert scale_conf(10 * 2**30)["spark.sql.shuffle.partitions"] == "40"
     assert scale_conf(1000)["spark.sql.shuffle.partitions"] == "8"
 

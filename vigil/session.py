@@ -51,13 +51,14 @@ def get_session(
     return configure(spark)
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_partitions: int = 65_536) -> dict:
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_partitions: int = 500_000) -> dict:
     """Shuffle / scan sizing for an input of ``input_bytes`` (pass to ``get_session(extra=...)``).
 
     Scan splits and the initial shuffle width aim at ~256 MB per task so a task's
     sort/aggregation buffers fit executor memory without heavy spilling; AQE then
     coalesces small post-shuffle partitions to the advisory size and splits skewed
-    ones. At 100 TB this gives ~65 k initial shuffle partitions (the cap).
+    ones. At 100 TB this gives ~410 k initial shuffle partitions of 256 MB; the cap
+    only guards against a mistaken size.
     """
     partitions = max(8, min(max_partitions, -(-input_bytes // target_partition_bytes)))
     return {
@@ -88,3 +89,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def stream_checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
+    """Where a stream keeps its progress: the given path, else ``<spark.checkpoint.dir>/<name>``.
+
+    Never a scratch folder: a stream that restarts with an empty checkpoint reads its
+    source from the start again.
+    """
+    if checkpoint:
+        return checkpoint
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        raise ValueError("give the stream a checkpoint path, or set spark.checkpoint.dir")
+    return f"{configured.rstrip('/')}/{name}"

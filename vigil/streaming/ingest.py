@@ -34,7 +34,7 @@ from vigil.functions.timefn import TIERS
 from vigil.operators.rollups import ROLLUPS_BY_KIND, TIER_UP, overwrite_days, write_rollups
 from vigil.operators.retention import MAX_TTL_DAYS, AggregationPolicy
 from vigil.schemas import CORRUPT
-from vigil.session import checkpoint_dir, configure
+from vigil.session import configure, stream_checkpoint
 
 
 DEFAULT_TIERS = {"logs": ("1hour", "1day"), "metrics": tuple(TIERS), "spans": ("1hour", "1day")}
@@ -148,8 +148,7 @@ def start_ingest(
     """
     spark = stream.sparkSession
     configure(spark)
-    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-
+    location = stream_checkpoint(spark, name, checkpoint)
     run = _run_id(spark, location)
 
     def process(batch: DataFrame, epoch_id: int) -> None:

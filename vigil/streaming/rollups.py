@@ -2,7 +2,8 @@
 
 Tumbling event-time windows with a watermark, emitted in append mode to a
 Parquet file sink (exactly-once through the sink's metadata log and the
-query checkpoint). Data later than the watermark is dropped here — use
+query checkpoint). Data later than the watermark is dropped here and counted
+(:func:`late_rows_dropped`) — use
 :mod:`vigil.streaming.ingest` (M2) when every late row must count, as it
 does in the reference's materialised views.
 
@@ -13,6 +14,8 @@ distinct traces (exact distinct is not supported on streams, D14) and a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vigil.functions.model import labels_hash, labels_key
 from vigil.functions.normalize import normalize_message
 from vigil.operators.rollups import SPAN_PERCENTILES
-from vigil.session import checkpoint_dir
+from vigil.session import stream_checkpoint
 
 # Tier -> tumbling window width for event-time windows.
 WINDOWS = {"1min": "1 minute", "5min": "5 minutes", "1hour": "1 hour", "1day": "1 day"}
@@ -104,8 +107,7 @@ def start_parquet_sink(
     The checkpoint defaults to ``<spark.checkpoint.dir>/<name>`` (shared storage
     on a cluster), so a restarted or relocated driver resumes where it stopped.
     """
-    spark = rollup.sparkSession
-    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    location = stream_checkpoint(rollup.sparkSession, name, checkpoint)
     writer = (
         rollup.withColumn("dt", F.to_date("timestamp"))
         .writeStream.format("parquet")
@@ -119,3 +121,12 @@ def start_parquet_sink(
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start(path)
+
+
+def late_rows_dropped(query: StreamingQuery) -> int:
+    """Rows the watermark has dropped, as far as the query's recent progress tells."""
+    return sum(
+        int(state.get("numRowsDroppedByWatermark", 0))
+        for progress in query.recentProgress
+        for state in (progress if isinstance(progress, dict) else json.loads(progress.json)).get("stateOperators", [])
+    )
