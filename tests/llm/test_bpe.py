@@ -37,7 +37,7 @@ def test_empty_table(no_docs):
 
 
 def test_every_character_and_random_texts(model, reference):
-    entries = bpe.ChunkCache(model, lambda ids: ids)
+    entries = bpe.ChunkCache(model, lambda ids: ids, list.__add__)
 
     def ids(text):
         return [i for part in entries.of(text) for i in part]
@@ -46,6 +46,8 @@ def test_every_character_and_random_texts(model, reference):
         text = f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)} {chr(c)}"
         assert ids(text) == reference.encode_ordinary(text), hex(c)
     r = random.Random(1)
+    for text in ("a word.\nNext, it's one.\n", "x,\ny z!\n!w", "don't.\n'twas \nß.\té", "a.\n\nb c's", "the&&& 's'll a'll.\nre've"):
+        assert ids(text) == reference.encode_ordinary(text), text
     parts = list("ab'sS \n\t  !?é中ß1２") + ["'re", " 'll", "　", "\x85", "\x1c", "<|endoftext|>", "aaa"]
     for _ in range(5000):
         text = "".join(r.choices(parts, k=r.randint(1, 14)))
@@ -71,6 +73,6 @@ def test_round_trip_of_tables(docs, rows):
 
 def test_cache_overflow_changes_nothing(model, reference, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
-    entries = bpe.ChunkCache(model, lambda ids: ids)
+    entries = bpe.ChunkCache(model, lambda ids: ids, list.__add__)
     text = "one two three four five one two six seven one"
     assert [i for part in entries.of(text) for i in part] == reference.encode_ordinary(text)

@@ -30,6 +30,12 @@ CACHE_CHUNKS = 500_000  # per cache of a worker process; it starts afresh beyond
 LONG_CHUNK = 256  # longer chunks are encoded each time
 # letters under any version of Unicode, then ASCII signs to the end: one match of the pattern each
 WORD_AND_SIGNS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
+# a chunk after its space: a word, signs, and perhaps a line's end with a word and signs after it. The
+# pattern ends a match between any two of these parts.
+PARTS = re.compile(
+    r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)"
+    r"(?:\n([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*))?"
+).fullmatch
 # a space inside white space: what follows may belong to the match before it
 INNER_SPACE = re.compile(r"\s (?:\s|$)")
 
@@ -128,14 +134,37 @@ class ByteBpe:
 
 
 class ChunkCache(dict):
-    """What ``make(ids)`` gives for each chunk after the first of a text, by the chunk without its space."""
+    """What ``make(ids)`` gives for each chunk after the first of a text, by the chunk without its space.
 
-    def __init__(self, bpe: ByteBpe, make: Callable[[list[int]], object]):
+    A word with signs or a line's end behind it is joined (``join``) from its parts, so the
+    library encodes each word once, not once for each way it is punctuated.
+    """
+
+    def __init__(self, bpe: ByteBpe, make: Callable[[list[int]], object], join: Callable[[object, object], object]):
         super().__init__()
-        self.bpe, self.make = bpe, make
+        self.bpe, self.make, self.join = bpe, make, join
+        self.bare: dict[str, object] = {}  # parts that no space precedes
+
+    def part(self, text: str):
+        found = self.bare.get(text)
+        if found is None:
+            if len(self.bare) >= CACHE_CHUNKS // 4:
+                self.bare.clear()
+            found = self.bare[text] = self.make(self.bpe.encode_chunk(text))
+        return found
 
     def __missing__(self, rest: str):
-        found = self.make(self.bpe.encode_chunk(" " + rest))
+        parts = PARTS(rest)
+        if parts is None or len(parts[1]) == len(rest):
+            found = self.make(self.bpe.encode_chunk(" " + rest))
+        else:
+            found = self[parts[1]]
+            if parts[2]:
+                found = self.join(found, self.part(parts[2]))
+            if parts[3]:
+                found = self.join(self.join(found, self.part("\n")), self.part(parts[3]))
+                if parts[4]:
+                    found = self.join(found, self.part(parts[4]))
         if len(rest) < LONG_CHUNK:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
@@ -159,9 +188,9 @@ _LOADED: dict[tuple[str, str | None], ByteBpe] = {}
 _CACHES: dict[tuple, ChunkCache] = {}
 
 
-def cache(bpe: ByteBpe, name: str, make: Callable[[list[int]], object]) -> ChunkCache:
+def cache(bpe: ByteBpe, name: str, make: Callable[[list[int]], object], join: Callable[[object, object], object]) -> ChunkCache:
     """The process's cache of this vocabulary for one use (``name``)."""
-    return _CACHES.setdefault((id(bpe), name), ChunkCache(bpe, make))
+    return _CACHES.setdefault((id(bpe), name), ChunkCache(bpe, make, join))
 
 
 def load(path: str, pattern: str | None = None) -> ByteBpe:
@@ -205,7 +234,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str | None) -> DataFrame
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        entries = cache(bpe, "digest", lambda ids: (",".join(map(str, ids)), bpe.decode_bytes(ids)))
+        entries = cache(
+            bpe, "digest", lambda ids: (",".join(map(str, ids)), bpe.decode_bytes(ids)),
+            lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1]),
+        )
         for batch in batches:
             rows: list[tuple] = []
             for scalar in batch.column("text"):

@@ -18,6 +18,7 @@ fills sequences whose lengths are powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -134,7 +135,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str | None, source: str, max_
         model = bpe.load(path, pattern)
         narrow = len(model.token_bytes) <= 1 << 16
         kind = "<u2" if narrow else "<u4"
-        entries = bpe.cache(model, kind, lambda ids: np.asarray(ids, dtype=kind).tobytes())
+        code = "H" if narrow else "I"
+        entries = bpe.cache(model, kind, lambda ids: struct.pack(f"<{len(ids)}{code}", *ids), bytes.__add__)
         width, end = (2 if narrow else 4), np.asarray([END], dtype=kind).tobytes()
         part = TaskContext.get().partitionId()
         seen: dict[str, int] = {}
