@@ -1,0 +1,38 @@
+"""op4: every part of a token counts, spacing is undone, obfuscated tokens reach the lattice."""
+
+import os
+
+import pytest
+
+from vigil.llm import toxicity
+from vigil.llm.common import table
+
+SF = os.environ.get("VIGIL_LLM_SF", "/root/testdata/sf0.01")
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return toxicity.character_model(table(spark, SF, "documents"))
+
+
+@pytest.fixture(scope="module")
+def weights(model):
+    return toxicity.Weights({"=idiot": 4.0, "=stupid": 3.5, "=moron": 3.0, "=nice": 1.5, "=clown": 2.0, "=scum": 2.5, "=ass": 2.2}, model)
+
+
+def of(weights, text):
+    """The weights that a text of few tokens shows, counted and summed."""
+    top, total, n, *_ = weights.summary(text)
+    return round(top * 5, 6), round(2.718281828459045**total - 1, 4), round(2.718281828459045**n - 1)
+
+
+@pytest.mark.parametrize("token,want", [
+    ("nice/idiot", [1.5, 4.0]), ("nice,stupid", [1.5, 3.5]), ("idiot_moron-nice", [4.0, 3.0, 1.5]),
+    ("nice...1d10t", [1.5, 4.0]), ("idiot/s.t.u.p.i.d", [4.0, 3.5]), ("1d10t", [4.0]), ("ídiot", [4.0]),
+])
+def test_every_part_of_a_token_counts(weights, token, want):
+    assert sorted(weights.token(token)) == sorted(want)
+
+
+def test_long_text_without_white_space(weights):
+    assert of(weights, "/".join(["idiot", "plain", "moron", "stupid"] * 5)) == (4.0, 52.5, 15)

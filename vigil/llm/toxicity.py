@@ -1,11 +1,13 @@
 """Toxicity by noisy-channel deobfuscation: decode what hides a word, then score the restored text.
 
-A token that mixes letters with look-alike signs, stretches letters, or spells a word in
-single letters is a noisy reading of a word. Its lattice holds, for every run of equal
-characters, what the writer may have meant (a sign's letters, one or two of a stretched
-letter, nothing for a separator, any letter for an asterisk) with the cost of that noise;
-Viterbi search finds the likeliest word under a character trigram model counted over the
-whole corpus. Tokens of plain letters have a single path and are taken as they are.
+A token that has look-alike signs, doubles or stretches letters, or spells a word in single
+letters is a noisy reading of words. Its lattice holds, for every run of equal characters,
+what the writer may have meant (a sign's letters, one or two of a stretched letter, nothing
+or the end of a word for a separator or a gap, any letter for an asterisk) with the cost of
+that noise; Viterbi search finds the likeliest words under a character trigram model counted
+over the whole corpus. The plain reading is kept beside it. Other tokens of plain letters have
+a single path and are taken as they are, numbers are numbers. Each part of a token counts;
+only alternative readings of one part are merged.
 
 The restored words are scored: words and word beginnings weigh the log odds of the class in
 labelled rows, a logistic curve over the strongest weights of a document gives the score.
@@ -18,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +49,25 @@ LOOK_ALIKE = {
 }
 SEPARATORS = "._-*~'’`^/\\,:; ​‌‍­"
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = 28  # word end, a to z, anything else
 END, OTHER = 0, 27
+SLACK = 4.0  # log probability that a word's own ends among spelled letters may lack
 SIGN_COST, SEPARATOR_COST, DOUBLE_COST, STRETCH_COST, ANY_COST = 0.7, 0.4, 3.0, 0.3, 2.0
 
 WORD = re.compile(r"[^\W\d_]+")
-STRETCHED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1\1")
 SPELLED = re.compile(r"(?<!\S)(?:[^\s.,;:*_\-][ .\-_*]{1,2}){2,}[^\s.,;:*_\-](?!\w)")
+GAP = re.compile(r"[\s.,;:/*_\-]+")
 EDGE = ".,;:!?\"'’»«)(…[]{}&%#*~^=<>/\\"
+STRICT = re.compile(r"\*|([^\w\s]|\d)\1")
+PLAIN_EDGE = EDGE
+BETWEEN = re.compile(rf"[^{re.escape(SEPARATORS.replace('*', ''))}]+")
 BYTE_SYMBOL = bytes(b - 96 if 97 <= b <= 122 else OTHER if b >= 128 else END for b in range(256))
 
 
 def symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else OTHER
+    return ord(c) - 96 if "a" <= c <= "z" else END if c == " " else OTHER
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
@@ -93,49 +102,84 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
 
 def runs(token: str) -> list[tuple[str, int]]:
     found: list[tuple[str, int]] = []
+    stars = "***" not in token
     for c in token:
-        if found and found[-1][0] == c:
+        if found and found[-1][0] == c and not (c == "*" and stars):  # two asterisks are two letters
             found[-1] = (c, found[-1][1] + 1)
         else:
             found.append((c, 1))
     return found
 
 
-def readings(c: str, n: int) -> list[tuple[str, float]]:
-    """What a run of ``n`` characters ``c`` may stand for, with the cost of the noise."""
+def readings(c: str, n: int, strict: bool = False) -> list[tuple[str, float]]:
+    """What a run of ``n`` characters ``c`` may stand for, with the cost of the noise.
+
+    Strictly, two equal signs are two letters, and an asterisk is a letter.
+    """
     if "a" <= c <= "z" or (c.isalpha() and c not in LOOK_ALIKE):
         if n == 1:
             return [(c, 0.0)]
         return [(c, DOUBLE_COST if n == 2 else STRETCH_COST), (c * 2, 0.0 if n == 2 else STRETCH_COST + 0.5)]
     found = []
     for letter in LOOK_ALIKE.get(c, ""):
-        found.append((letter, SIGN_COST + (0.0, DOUBLE_COST, STRETCH_COST)[min(n, 3) - 1]))
+        if not (strict and n == 2):
+            found.append((letter, SIGN_COST + (0.0, DOUBLE_COST, STRETCH_COST)[min(n, 3) - 1]))
         if n > 1:
             found.append((letter * 2, SIGN_COST))
-    if c in SEPARATORS or not found:
+    if c == " ":  # a gap between spelled letters
+        return [("", 0.0), (" ", 0.0)]
+    if (c in SEPARATORS or not found) and not (strict and c == "*" and n == 1):
         found.append(("", SEPARATOR_COST))
-    if c == "*" and n <= 2:  # letters struck out
-        found += [(x * n if n == 1 else x, ANY_COST * n) for x in "aeiou"]
+        if c != "*":
+            found.append((" ", 0.0))
+    if c == "*" and n == 1:  # a letter struck out
+        found += [(x, ANY_COST) for x in LETTERS]
     return found
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word that the lower-case token is a noisy reading of."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(END, END): (0.0, "")}
+def decoded(token: str, model: np.ndarray, strict: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the likeliest words that the lower-case token is a noisy reading of."""
+    # paths are linked backwards, so long runs are not copied: (path before, letters, start of the run)
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(END, END): (0.0, None)}
+    at = 0
     for c, n in runs(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        options = readings(c, n)
-        for (a, b), (score, word) in states.items():
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        options = readings(c, n, strict)
+        for (a, b), (score, path) in states.items():
             for letters, cost in options:
+                if letters == " " and b == END:
+                    letters = ""  # no word to end
                 x, y, total = a, b, score - cost
                 for letter in letters:
                     s = symbol(letter)
                     total += model[x, y, s]
                     x, y = y, s
                 if (x, y) not in following or following[x, y][0] < total:
-                    following[x, y] = (total, word + letters)
+                    following[x, y] = (total, (path, letters, at))
         states = following
-    return max((score + model[a, b, END], word) for (a, b), (score, word) in states.items())[1]
+        at += n
+    path = max(((score + model[a, b, END], path) for (a, b), (score, path) in states.items()), key=lambda x: x[0])[1]
+    found, letters, end = [], [], len(token)
+    while path:
+        path, part, start = path
+        if part == " ":
+            found.append((start, end, "".join(reversed(letters))))
+            letters, end = [], start
+        else:
+            letters.append(part)
+    found.append((0, end, "".join(reversed(letters))))
+    return [x for x in reversed(found) if x[2]]
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest reading of the lower-case token, words parted by spaces."""
+    return " ".join(w for _, _, w in decoded(token, model))
+
+
+def likelihood(words: str, model: np.ndarray) -> float:
+    """Log probability of words parted by spaces."""
+    s = [END, END, *map(symbol, words), END]
+    return float(sum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:])))
 
 
 def folded(word: str) -> str:
@@ -143,32 +187,68 @@ def folded(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
-def restored_words(token: str, model: np.ndarray) -> list[str]:
-    """The words of a lower-case token without white space: itself, its parts, its decoded reading."""
+def noisy(core: str) -> bool:
+    """Whether the characters may stand for others: the lattice has more than one path that matters."""
+    if core.isalpha():
+        return bool(len(core) > 2 and DOUBLED.search(core)) or any(c in LOOK_ALIKE for c in core if c > "z")
+    return len(core) > 2 and any(map(str.isalpha, core))
+
+
+def token_parts(token: str, model: np.ndarray) -> list[list[list[str]]]:
+    """The parts of a lower-case token without white space, in order; of each its alternative readings, as words.
+
+    The first reading is the plain one. Readings whose words overlap belong to one part.
+    """
     core = token.strip(EDGE)
-    plain = core.isalpha()
-    words = [core] if plain else WORD.findall(core)
-    if not core.isascii():
-        words += [f for f in map(folded, words) if f not in words]
-    if plain and not STRETCHED.search(core) and not any(c in LOOK_ALIKE for c in core if c > "z"):
-        return words
-    letters = sum(map(str.isalpha, core))
-    if letters and (letters < len(core) or plain) and len(core) > 2:
-        word = decode(core, model)
-        if word not in words and len(word) > 2:
-            words.append(word)
-    return words
+    if core.isascii() and core.isalpha() and not DOUBLED.search(core) and core == token.strip(PLAIN_EDGE):
+        return [[[core]]]
+    plain = [m.span() + (m[0],) for m in WORD.finditer(token)]
+    paths = [plain]
+    if not token.isascii():
+        paths.append([(a, b, f) for a, b, w in plain if (f := folded(w)) != w])
+    # the whole without and with look-alike signs at its edges, and what stands between separators
+    left, right = len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE))
+    far_left, far_right = len(token) - len(token.lstrip(PLAIN_EDGE)), len(token.rstrip(PLAIN_EDGE))
+    spans = {(i, j): None for i in (left, far_left) for j in (right, far_right) if i < j}
+    spans.update((m.span(), None) for m in BETWEEN.finditer(token))
+    for i, j in spans:
+        if noisy(token[i:j]):
+            for strict in (False, True) if STRICT.search(token, i, j) else (False,):
+                paths.append([(i + a, i + b, w) for a, b, w in decoded(token[i:j], model, strict) if len(w) > 2])
+    parts: list[list[list[str]]] = []
+    until = -1
+    for a, b, path, word in sorted((a, b, k, w) for k, words in enumerate(paths) for a, b, w in words):
+        if a >= until:
+            parts.append([[] for _ in paths])
+        until = max(until, b)
+        parts[-1][path].append(word)
+    return [[r for k, r in enumerate(p) if k == 0 or (r and r not in p[:k])] for p in parts]
+
+
+def restored_words(token: str, model: np.ndarray) -> list[str]:
+    """The words of a lower-case token without white space: itself, its parts, its decoded readings."""
+    parts = token_parts(token, model)
+    return list(dict.fromkeys([w for p in parts for w in p[0]] + [w for p in parts for r in p[1:] for w in r]))
+
+
+def spelled_readings(text: str, model: np.ndarray) -> list[list[list[str]]]:
+    """Words spelled in single characters with white space or signs between: for each run its alternative readings."""
+    found = []
+    for m in SPELLED.findall(text):
+        if not m.isalnum() and any(map(str.isspace, m)):  # others are single tokens
+            found.append([decode(GAP.sub(" ", m), model).split(), decode(GAP.sub("", m), model).split()])
+    return found
 
 
 def spelled_words(text: str, model: np.ndarray) -> list[str]:
-    """Words spelled in single characters with spaces or signs between."""
-    return [decode(m.replace(" ", ""), model) for m in SPELLED.findall(text)]
+    """The words of all readings of spelled runs."""
+    return [w for readings in spelled_readings(text, model) for w in dict.fromkeys(w for r in readings for w in r)]
 
 
 def restore(text: str, model: np.ndarray) -> str:
     """The text in lower case with every obfuscated token replaced by its reading."""
-    text = SPELLED.sub(lambda m: decode(m[0].replace(" ", ""), model), text.lower())
-    return " ".join((restored_words(t, model) or [t])[-1] for t in text.split())
+    text = SPELLED.sub(lambda m: decode(GAP.sub(" ", m[0]), model), text.lower())
+    return " ".join(" ".join(w for p in token_parts(t, model) for w in p[-1]) or t for t in text.split())
 
 
 def features(word: str) -> list[str]:
@@ -187,16 +267,24 @@ class Weights:
 
     def __init__(self, weights: dict[str, float], model: np.ndarray):
         self.weights, self.model = weights, model
+        self.whole = {f[1:] for f in weights if f[0] == "=" and len(f) > 4}
+        self.beginnings = {w[:k] for w in self.whole for k in range(1, len(w))}
         self.tokens: dict[str, tuple[float, ...]] = {}
 
     def word(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
+    def merged(self, readings: list[list[str]]) -> list[float]:
+        """Weights above zero of one part: the strongest of its alternative readings, then the second strongest, and so on."""
+        ranked = (sorted(map(self.word, words), reverse=True) for words in readings)
+        return [w for w in map(max, zip_longest(*ranked, fillvalue=0.0)) if w > 0]
+
     def token(self, token: str) -> tuple[float, ...]:
-        """The weights above zero of the token's words."""
+        """The weights above zero of all parts of the token."""
         if len(self.tokens) >= CACHED:
             self.tokens.clear()
-        found = tuple(w for w in map(self.word, restored_words(token, self.model)) if w > 0)[:1]
+        parts = token_parts(token, self.model)
+        found = tuple(w for p in parts for w in self.merged(p))
         self.tokens[token] = found
         return found
 
@@ -204,14 +292,16 @@ class Weights:
         """Strongest weight, sum and number of weighted words, their share, and the distinct words."""
         text = text.lower()
         known, found = self.tokens, []
-        distinct = set(text.split())
+        tokens = text.split()
+        distinct = set(tokens)
         for t in distinct:
             w = known.get(t)
             if w is None:
                 w = self.token(t)
             if w:
                 found.extend(w)
-        found += [w for w in map(self.word, spelled_words(text, self.model)) if w > 0]
+        for readings in spelled_readings(text, self.model):
+            found += self.merged(readings)
         n = max(1, len(distinct))
         return [max(found, default=0.0) / 5, float(np.log1p(sum(found))), float(np.log1p(len(found))),
                 float(np.log1p(100 * len(found) / n)), float(np.log(n)) / 5]
