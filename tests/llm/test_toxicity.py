@@ -36,3 +36,20 @@ def test_every_part_of_a_token_counts(weights, token, want):
 
 def test_long_text_without_white_space(weights):
     assert of(weights, "/".join(["idiot", "plain", "moron", "stupid"] * 5)) == (4.0, 52.5, 15)
+
+
+@pytest.mark.parametrize("text,word,weight", [
+    ("a i d i o t", "idiot", 4.0), ("y o u a r e s t u p i d", "stupid", 3.5), ("see (i d i o t) there", "idiot", 4.0),
+    ("i   d   i   o   t", "idiot", 4.0), ("i\nd\ni\no\nt", "idiot", 4.0), ("i, d, i, o, t", "idiot", 4.0),
+    ("you stu pid thing", "stupid", 3.5), ("st up id!", "stupid", 3.5), ("i d i o t", "idiot", 4.0),
+])
+def test_spacing_is_undone(weights, text, word, weight):
+    assert of(weights, text) == (weight, weight, 1), word
+
+
+def test_words_apart_stay_apart(weights):
+    assert of(weights, "a way to see the sea, as sure as it is")[2] == 0
+
+
+def test_long_runs_end(weights):
+    assert of(weights, "x " * 50_000)[2] == 0

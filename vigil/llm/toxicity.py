@@ -57,7 +57,7 @@ SIGN_COST, SEPARATOR_COST, DOUBLE_COST, STRETCH_COST, ANY_COST = 0.7, 0.4, 3.0,
 
 WORD = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"(.)\1\1")
-SPELLED = re.compile(r"(?<!\S)(?:[^\s.,;:*_\-][ .\-_*]{1,2}){2,}[^\s.,;:*_\-](?!\w)")
+SPELLED = re.compile(r"(?<![^\s(\[{<«\"'])[^\s.,;:/*_\-](?:[\s.,;:/*_\-]+[^\s.,;:/*_\-]){2,}(?!\w)")
 GAP = re.compile(r"[\s.,;:/*_\-]+")
 EDGE = ".,;:!?\"'’»«)(…[]{}&%#*~^=<>/\\"
 STRICT = re.compile(r"\*|([^\w\s]|\d)\1")
@@ -279,6 +279,51 @@ class Weights:
         ranked = (sorted(map(self.word, words), reverse=True) for words in readings)
         return [w for w in map(max, zip_longest(*ranked, fillvalue=0.0)) if w > 0]
 
+    def joined(self, tokens: list[str]) -> list[float]:
+        """Weights of words that stand in several bits with white space between ('stu pid').
+
+        The bits together are a weighted word that none of them outweighs, and the lattice
+        takes them as one word rather than as several. Single letters are spelled runs.
+        """
+        found = {}
+        for i, first in enumerate(tokens):
+            if first not in self.beginnings:
+                first = first.lstrip(EDGE)
+                if first not in self.beginnings:
+                    continue
+            bits = [first]
+            for bit in tokens[i + 1 : i + 8]:
+                bits.append(bit)
+                whole = "".join(bits)
+                end = whole.rstrip(EDGE)
+                if end in self.whole and end not in found and any(len(b.strip(EDGE)) > 1 for b in bits):
+                    weight = self.word(end)
+                    spaced = " ".join(bits).rstrip(EDGE)
+                    if weight > max(map(self.word, spaced.split())) and decode(spaced, self.model) == end:
+                        found[end] = weight
+                if whole not in self.beginnings:
+                    break
+        return list(found.values())
+
+    def inside(self, letters: str) -> list[str]:
+        """Weighted words among spelled letters where their own ends are not much less likely than the likeliest ones."""
+        found, i = [], 0
+        while i < len(letters):
+            k, longest = i + 1, i
+            while k <= len(letters) and (letters[i:k] in self.beginnings or letters[i:k] in self.whole):
+                longest = k if letters[i:k] in self.whole else longest
+                k += 1
+            if longest > i:
+                around = [" ".join(x) for x in (letters[max(0, i - 8) : i], letters[i:longest], letters[longest : longest + 8])]
+                before, after = decode(around[0], self.model), decode(around[2], self.model)
+                own = likelihood(" ".join(filter(None, (before, letters[i:longest], after))), self.model)
+                if own >= likelihood(decode(" ".join(filter(None, around)), self.model), self.model) - SLACK:
+                    found.append(letters[i:longest])
+                    i = longest
+                    continue
+            i += 1
+        return found
+
     def token(self, token: str) -> tuple[float, ...]:
         """The weights above zero of all parts of the token."""
         if len(self.tokens) >= CACHED:
@@ -301,7 +346,8 @@ class Weights:
             if w:
                 found.extend(w)
         for readings in spelled_readings(text, self.model):
-            found += self.merged(readings)
+            found += self.merged([*readings, self.inside("".join(readings[0])), self.inside("".join(readings[1]))])
+        found += self.joined(tokens)
         n = max(1, len(distinct))
         return [max(found, default=0.0) / 5, float(np.log1p(sum(found))), float(np.log1p(len(found))),
                 float(np.log1p(100 * len(found) / n)), float(np.log(n)) / 5]
