@@ -51,5 +51,20 @@ def test_words_apart_stay_apart(weights):
     assert of(weights, "a way to see the sea, as sure as it is")[2] == 0
 
 
+@pytest.mark.parametrize("noisy,word", [
+    ("stuupid", "stupid"), ("cllown", "clown"), ("sscum", "scum"), ("(lown", "clown"), ("!diot", "idiot"), ("@$$", "ass"), ("4$$", "ass"),
+])
+def test_gates(model, noisy, word):
+    words = toxicity.restored_words(noisy, model)
+    assert word in words
+    plain = toxicity.WORD.findall(noisy)
+    assert words[: len(plain)] == plain  # the undecoded reading stays
+
+
+@pytest.mark.parametrize("noisy,weight", [("*oron", 3.0), ("i**ot", 4.0), ("*idiot*", 4.0), ("cl*wn!", 2.0)])
+def test_struck_letters(weights, noisy, weight):
+    assert list(weights.token(noisy)) == [weight]
+
+
 def test_long_runs_end(weights):
     assert of(weights, "x " * 50_000)[2] == 0

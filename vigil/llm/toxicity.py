@@ -56,12 +56,12 @@ SLACK = 4.0  # log probability that a word's own ends among spelled letters may
 SIGN_COST, SEPARATOR_COST, DOUBLE_COST, STRETCH_COST, ANY_COST = 0.7, 0.4, 3.0, 0.3, 2.0
 
 WORD = re.compile(r"[^\W\d_]+")
-DOUBLED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
 SPELLED = re.compile(r"(?<![^\s(\[{<«\"'])[^\s.,;:/*_\-](?:[\s.,;:/*_\-]+[^\s.,;:/*_\-]){2,}(?!\w)")
 GAP = re.compile(r"[\s.,;:/*_\-]+")
 EDGE = ".,;:!?\"'’»«)(…[]{}&%#*~^=<>/\\"
 STRICT = re.compile(r"\*|([^\w\s]|\d)\1")
-PLAIN_EDGE = EDGE
+PLAIN_EDGE = "".join(c for c in EDGE if c not in LOOK_ALIKE and c != "*")
 BETWEEN = re.compile(rf"[^{re.escape(SEPARATORS.replace('*', ''))}]+")
 BYTE_SYMBOL = bytes(b - 96 if 97 <= b <= 122 else OTHER if b >= 128 else END for b in range(256))
 
@@ -191,7 +191,7 @@ def noisy(core: str) -> bool:
     """Whether the characters may stand for others: the lattice has more than one path that matters."""
     if core.isalpha():
         return bool(len(core) > 2 and DOUBLED.search(core)) or any(c in LOOK_ALIKE for c in core if c > "z")
-    return len(core) > 2 and any(map(str.isalpha, core))
+    return len(core) > 2 and any(c.isalpha() or (c in LOOK_ALIKE and not c.isdigit()) for c in core)
 
 
 def token_parts(token: str, model: np.ndarray) -> list[list[list[str]]]:
@@ -324,11 +324,24 @@ class Weights:
             i += 1
         return found
 
+    def struck(self, token: str) -> list[str]:
+        """Weighted words that the token is with one or two letters struck out by asterisks."""
+        core = token.strip(PLAIN_EDGE)
+        if not 1 <= core.count("*") <= 2 or not core.replace("*", "").isalpha():
+            return []
+        found = [""]
+        for c in core:
+            found = [w + x for w in found for x in (LETTERS if c == "*" else c)]
+            found = [w for w in found if w in self.beginnings or w in self.whole]
+        return [w for w in found if w in self.whole]
+
     def token(self, token: str) -> tuple[float, ...]:
         """The weights above zero of all parts of the token."""
         if len(self.tokens) >= CACHED:
             self.tokens.clear()
         parts = token_parts(token, self.model)
+        if "*" in token and (struck := self.struck(token)):
+            parts = [[*(r for p in parts for r in p), *([w] for w in struck)]]  # without separators, one part
         found = tuple(w for p in parts for w in self.merged(p))
         self.tokens[token] = found
         return found
