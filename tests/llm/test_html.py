@@ -90,3 +90,25 @@ def test_odd_rows(spark):
     found = H.extract_main_text(spark.createDataFrame(rows, schema)).collect()
     assert len(found) == 5 and all(r.text == "" and r.n_chars == 0 for r in found if r.page_id in (1, None))
     assert H.extract_main_text(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize("tag", "noscript object svg math canvas audio video template".split())
+def test_unclosed_elements_keep_the_rest_of_the_page(tag):
+    page = f"<body><article><p>before</p><{tag} class=x><p>after one</p><p>after two</p></article><footer>end</footer>"
+    found = H.blocks(page)
+    assert [b.text for b in found] == ["before", "after one", "after two", "end"]
+    assert "tag:" + tag not in found[3].path  # the end of an ancestor ends it
+    closed = H.blocks(f"<article><p>before</p><{tag}>inside</{tag}><p>after</p></article>")
+    assert " ".join(b.text for b in closed) == "before inside after"
+
+
+@pytest.mark.parametrize("tag", "script style textarea iframe".split())
+def test_raw_text_is_no_text_of_the_page(tag):
+    assert [b.text for b in H.blocks(f"<p>a</p><{tag}><p>x</p></{tag}><p>b</p>")] == ["a", "b"]
+    assert [b.text for b in H.blocks(f"<p>a</p><{tag}><p>x</p>")] == ["a"]
+
+
+def test_formula_stays_in_its_sentence():
+    page = "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></math> hold.<svg><path d='M0'/><circle/></svg></p><p>b</p>"
+    found = H.blocks(page)
+    assert [b.text for b in found] == ["Let x=1 hold.", "b"] and "tag:svg" not in found[1].path

@@ -38,10 +38,12 @@ NUMBERS = 9
 BATCH = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template noscript iframe object svg math textarea canvas audio video".split())
+RAW = frozenset("script style textarea iframe".split())  # no markup inside, none of it is text of the page
+FOREIGN = frozenset("svg math".split())  # inside them any element may close itself
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong"
-    " sub sup time tt u var img wbr".split()
+    " sub sup time tt u var img wbr math mi mn mo ms mrow mtext mspace msub msup msubsup mfrac msqrt mroot munder mover munderover"
+    " mstyle mpadded mphantom menclose semantics".split()
 )
 CLOSES = {  # an opening tag ends an open element of these kinds, up to the given ancestors
     "p": (("p",), ("div", "article", "section", "td", "li", "body", "main", "aside", "blockquote")),
@@ -110,7 +112,7 @@ def blocks(page: str) -> list[Block]:
                     close_to(i)
                     break
             continue
-        if tag in SKIPPED:
+        if tag in RAW:
             if not m[3].rstrip().endswith("/"):
                 over = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = over.end() if over else end
@@ -125,6 +127,8 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
+        if m[3].rstrip().endswith("/") and (tag in FOREIGN or any(e[0] in FOREIGN for e in stack)):
+            continue
         tokens, label = ["tag:" + tag], None
         if m[3] and "=" in m[3]:
             for name, a, b, c in NAMED.findall(m[3]):
