@@ -68,3 +68,19 @@ def test_struck_letters(weights, noisy, weight):
 
 def test_long_runs_end(weights):
     assert of(weights, "x " * 50_000)[2] == 0
+
+
+def test_the_sample_holds_one_row_for_each_id(spark, monkeypatch):
+    stored = {}
+    real = toxicity.materialize
+
+    def keep(df, tag):
+        stored[tag] = real(df, tag)
+        return stored[tag]
+
+    monkeypatch.setattr(toxicity, "materialize", keep)
+    rows = [(i, f"text {i}") for i in range(40)] + [(3, f"other {i % 2}") for i in range(300)] + [(5, None)] * 2
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=20)
+    ids = [r.doc_id for r in stored["toxicity-sample"].collect()]
+    assert len(ids) == len(set(ids)) == 20

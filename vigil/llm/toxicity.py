@@ -33,7 +33,7 @@ from vigil.llm.labels import logistic, sigmoid, training_labels
 
 FOLDS, HELD = 3, 1
 TOXIC = 0.7  # least score of a toxic document
-SAMPLE_ROWS = 20_000  # labelled rows for fitting, drawn by hash
+SAMPLE_ROWS = 20_000  # labelled rows for fitting, drawn by hash, one for each doc_id
 MAX_WEIGHTS = 5_000  # strongest features kept
 LEAST_ROWS = 4  # toxic rows that must show a feature
 LEAST_ODDS = 1.5  # least log odds of a feature
@@ -399,8 +399,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> tuple[
     model = character_model(docs)
     # the ids are bounded by the sample, so they may be broadcast
     drawn = training_labels(labels, "toxic", FOLDS, HELD).orderBy(F.xxhash64("doc_id")).limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
-    rows = materialize(rows.repartition(F.col("doc_id")), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # of rows that repeat a doc_id one counts, so the sample is as many rows as ids
+    first = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")).alias("first")
+    rows = rows.groupBy("doc_id").agg(first, F.min("y").alias("y")).select("doc_id", "first.text", "y")
+    rows = materialize(rows, "toxicity-sample")
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(10))
     weights = Weights(feature_weights(rows.filter(part < 7), model), model)
 
