@@ -3,13 +3,16 @@
 ``STAGES`` lists (name, function) in order; each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which ``run`` stores as Parquet and reads again as the next one's docs.
 All stages but the last return the columns of ``documents``. Toxic and low-quality documents
-go, one document of each near-duplicate group (five-word Jaccard of 0.8 or more, chained) stays (the one
-with the smallest doc_id),
-secrets are masked in the texts, and what is left is packed.
+go, one document of each near-duplicate group (SimHash fingerprints of three-word shingles
+within two bits, chained) stays (the one with the smallest doc_id), secrets are masked in the
+texts, and what is left is packed.
 
 Nulls: a null text is an empty text for every decision and stays null in what is kept; rows
 without doc_id are judged like others, and of a near-duplicate group without any doc_id one
-row stays. Empty tables give empty results.
+row stays. Ties: of a group's rows with the smallest doc_id the one with the least text hash
+stays, of rows equal in both one. Repeated rows are judged alike until then. Very long texts
+are read whole by every stage. Columns other than those of ``documents`` are dropped before a
+stage sees them, so their names cannot clash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import jaccard, packing, quality, secret_scan, toxicity
+from vigil.llm import packing, quality, secret_scan, simhash, toxicity
 from vigil.llm.common import DOCUMENT_COLUMNS, materialize, ship_package, table
 from vigil.session import configure
 
@@ -37,7 +40,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one_of_each(_documents(spark, docs))
+    return simhash.keep_one_of_each(
+        _documents(spark, docs), size=simhash.SHINGLE, distance=simhash.DISTANCE, partitions=simhash.PARTITIONS
+    )
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
