@@ -1,0 +1,76 @@
+"""op13: hits, items and spans against a search of every window in every document."""
+
+import re
+
+import pytest
+
+from vigil.llm import decontaminate
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def plain_loop(text, items, size):
+    w, hit, found = words(text), set(), set()
+    for item, test in items:
+        t = words(test)
+        for x in [t] if 0 < len(t) <= size else [t[i : i + size] for i in range(len(t) - size + 1)]:
+            for i in range(len(w) - len(x) + 1):
+                if w[i : i + len(x)] == x:
+                    hit.update(range(i, i + len(x)))
+                    found.add("" if item is None else str(item))
+    return len(w), len(hit), sorted(found)
+
+
+ITEMS = [
+    (1, "The river runs Ünder old bridges and turns north."), (2, "runs ünder OLD bridges"), (2, "日本語"), (10, "and and the"), (3, None), (4, ""),
+    (5, "..."), (None, "north naïve"), (1, "The river runs Ünder old bridges and turns north."), (7, "x y z " * 12), (8, "don't"),
+]
+TEXTS = [
+    "the RIVER, runs (ünder) old\nbridges and turns north -- the river runs ünder old bridges and turns north",
+    "runs ünder old bridges", "runs under old bridges", "x y z " * 30, "x y z x y z", "日本語", "north. Naïve", "don 't", None, "", "\x00", "a " * 500,
+]
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, n_hit int")
+
+
+@pytest.mark.parametrize("size,most", [(10, 200_000), (3, 200_000), (3, 4)])
+def test_against_a_plain_search(spark, docs, rows, benchmark, size, most):
+    texts = [(r[0], r[1]) for r in rows if r[1] is None or len(r[1]) < 50_000] + [(1000 + i, t) for i, t in enumerate(TEXTS)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = decontaminate.find_contamination(table, benchmark, window=size, most=most).collect()
+    want = [(d, *plain_loop(t, ITEMS, size)) for d, t in texts]
+    order = lambda r: ((r[0] is None, r[0]), *r[1:])
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=order) == sorted(want, key=order)
+    by_id = dict(texts)
+    for r in got:
+        if r.doc_id is not None:
+            assert sum(len(words(by_id[r.doc_id][s.start : s.end])) for s in r.spans) == r.n_hit
+            ends = [x for s in r.spans for x in (s.start, s.end)]
+            assert ends == sorted(ends)
+
+
+def test_spans_are_of_the_original(spark, benchmark):
+    table = spark.createDataFrame([(1, "éé: “Runs, ÜNDER runs ÜNDER, old -bridges!”"), (2, "Runs; Ünder\nold bridges!")], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in decontaminate.find_contamination(table, benchmark, window=4).collect()}
+    assert got == {1: [(17, 41)], 2: [(0, 23)]}
+
+
+def test_several_text_columns(spark):
+    benchmark = spark.createDataFrame([("q1", "what is it", "the answer is long"), ("q2", None, "short one")], "id string, question string, answer string")
+    table = spark.createDataFrame([(1, "The answer is long."), (2, "what IS it? a short one")], "doc_id long, text string")
+    got = decontaminate.find_contamination(table, benchmark, item="id", columns=("question", "answer")).collect()
+    assert {r.doc_id: r["items"] for r in got} == {1: ["q1"], 2: ["q1", "q2"]}
+
+
+def test_empty_tables(spark, docs, no_docs, benchmark, rows):
+    assert decontaminate.contamination_digests(no_docs, benchmark).collect() == []
+    got = decontaminate.contamination_digests(docs, benchmark.limit(0)).collect()
+    assert len(got) == len(rows) and not any(r.contaminated or r.n_items for r in got)

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert E.queries()["pipeline"] is corpus_pipeline.run
 
 

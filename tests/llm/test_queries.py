@@ -17,6 +17,9 @@ COLUMNS = {
     "op8": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9": "query_id bigint, rank int, vec_id bigint, score double",
     "op10": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op11": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op12": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op13": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
 }
 
 
@@ -28,7 +31,7 @@ def test_columns(spark, op):
     for column in COLUMNS[op].split(", "):
         key, kind = column.split(" ")
         assert types[key] == kind, (op, key, types[key])
-    if op in ("op1", "op2", "op4", "op6", "op7", "op10"):
+    if op in ("op1", "op2", "op4", "op6", "op7", "op10", "op11", "op12", "op13"):
         ids = sorted(r.doc_id for r in df.select("doc_id").collect())
         assert ids == sorted(r.doc_id for r in table(spark, SF, "documents").select("doc_id").collect())
     if op == "op5":

@@ -7,7 +7,11 @@ import tempfile
 import uuid
 import zipfile
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +42,22 @@ def ship_package(spark: SparkSession) -> None:
     context._vigil_shipped = True
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of ``batch`` with about ``size`` bytes of text each (a longer text is one by itself), and their texts.
+
+    Null texts come as empty ones. Kernels that copy texts several times stay within a fixed
+    multiple of ``size`` and of the longest text, however many rows a batch has.
+    """
+    texts = pc.fill_null(batch.column(column).cast(pa.string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        until = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, until - at), texts.slice(at, until - at)
+        at = until
+
+
 def whole_text(column: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

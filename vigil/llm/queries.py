@@ -11,7 +11,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, hilbert, html_blocks, multi_index, packing, quality, secret_scan, simhash, topk, toxicity
+from vigil.llm import (
+    bpe, decontaminate, fill_middle, hilbert, html_blocks, multi_index, packing, quality, resample, secret_scan, simhash, topk,
+    toxicity,
+)
 from vigil.llm.common import ship_package, table
 from vigil.session import configure
 
@@ -91,5 +94,23 @@ def op10_secrets(spark, d):
     return secret_scan.scan_secrets(table(spark, d, "documents"))
 
 
+@query
+def op11_resample(spark, d):
+    """A tenth of the documents, drawn to follow the benchmark's words."""
+    return resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("n_words")
+
+
+@query
+def op12_fill_middle(spark, d):
+    """Every text, half of them cut in three and put out with the middle last."""
+    return fill_middle.fill_in_middle_digests(table(spark, d, "documents"))
+
+
+@query
+def op13_decontaminate(spark, d):
+    """The benchmark passages in every document."""
+    return decontaminate.contamination_digests(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def registry() -> dict[str, Query]:
     return dict(REGISTRY)
