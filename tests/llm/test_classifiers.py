@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import quality, toxicity
 from vigil.llm.common import fold, fold_column, table
+from vigil.llm.labels import least_hashes
 
 SF = os.environ.get("VIGIL_LLM_SF", "/root/testdata/sf0.01")
 
@@ -99,3 +100,13 @@ def test_discriminant_equals_direct_densities():
         direct.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
     gap = direct[1] - direct[0] + np.log(301 / 81)
     assert np.allclose(model.difference(point), np.sign(gap) * np.log1p(np.abs(gap)), atol=1e-4)
+
+
+def test_least_hashes_are_a_bounded_sample(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "id % 7 AS x").repartition(6)
+    every = sorted((r.h, r.doc_id) for r in rows.selectExpr("shiftrightunsigned(xxhash64(doc_id), 1) AS h", "doc_id").collect())
+    drawn = [r.doc_id for r in least_hashes(rows, 500, "doc_id").collect()]
+    assert sorted(drawn) == sorted(i for _, i in every[:500])
+    assert least_hashes(rows.limit(30), 500, "doc_id").count() == 30
+    plan = least_hashes(rows, 500, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan  # what the sort sees is bounded by the sample, not by the partitions

@@ -83,6 +83,24 @@ def test_unseen_layouts(labeller, pages):
     assert right / total >= 0.97
 
 
+def test_pages_without_semantic_tags_keep_their_articles(spark, pages):
+    """The same pages with div in place of article and main: what the tags marked is still found."""
+    import re
+
+    rows = [(p.page_id, p.url, p.html) for p in pages.collect()]
+    bare = [(i, u, re.sub(r"<(/?)(?:article|main)\b", r"<\1div", h)) for i, u, h in rows]
+    found = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    kept = wanted = extra = 0
+    for i, _, page in rows:
+        sequence = H.blocks(page)
+        main = {b.text for b, keep in zip(sequence, H._teacher(sequence)) if keep}
+        rest = {b.text for b, keep in zip(sequence, H._teacher(sequence)) if not keep} - main
+        wanted += len(main)
+        kept += sum(t in found[i] for t in main)
+        extra += sum(len(t) > 12 and t in found[i] for t in rest)
+    assert kept >= 0.9 * wanted and extra <= 0.1 * wanted, (kept, wanted, extra)
+
+
 def test_odd_rows(spark):
     schema = "page_id long, url string, html string, text int, n_chars string"
     rows = [(1, None, None, 1, "x"), (None, "u", "", 1, "x"), (2, "u", "<article><p>" + "long text here. " * 5000 + "</p></article>", 1, "x"),

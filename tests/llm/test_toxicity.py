@@ -1,6 +1,7 @@
 """op4: every part of a token counts, spacing is undone, obfuscated tokens reach the lattice."""
 
 import os
+import random
 
 import pytest
 
@@ -70,6 +71,62 @@ def test_long_runs_end(weights):
     assert of(weights, "x " * 50_000)[2] == 0
 
 
+def every_path(token, model, strict=False):
+    """(score, words) of every path through the lattice."""
+    paths = [(0.0, "")]
+    for c, n in toxicity.runs(token):
+        following = []
+        for score, said in paths:
+            for letters, cost in toxicity.readings(c, n, strict):
+                if letters == " " and (not said or said[-1] == " "):
+                    letters = ""
+                following.append((score - cost, said + letters))
+        paths = following
+    return [(score + toxicity.likelihood(said, model), said) for score, said in paths]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_viterbi_finds_the_likeliest_path(model, strict):
+    r = random.Random(4)
+    tokens = ["1d10t", "st*pid", "cl0wn", "a.b", "i d i o t", "$$um", "(l0wn", "f**l"]
+    tokens += ["".join(r.choices("abisto10$!*.-_ é", k=r.randint(1, 6))).strip() or "x" for _ in range(150)]
+    for token in tokens:
+        best = max(score for score, _ in every_path(token, model, strict))
+        words = toxicity.decoded(token, model, strict)
+        said = " ".join(w for _, _, w in words)
+        assert any(abs(score - best) < 1e-6 and w.split() == said.split() for score, w in every_path(token, model, strict)), token
+
+
+def test_the_trie_skips_no_weighted_reading(model, monkeypatch):
+    r = random.Random(5)
+    features = {"=idiot": 4.0, "stup": 3.5, "=scum": 2.5, "clow": 2.0, "=ass": 2.2, "=ío": 1.0, "=no": 1.1, "=für": 1.7}
+    quick, slow = toxicity.Weights(features, model), toxicity.Weights(features, model)
+    monkeypatch.setattr(slow, "undecoded", lambda token: None)
+    parts = ["idiot", "1d10t", "st*pid", "stuupid", "(lown", "clowwn", "sc.um", "@$$", "ass", "assume", "no", "n0", "für", "fur", "ío", "a", "é",
+             "-", "/", "!", "*", "...", "42", "x", "ss", "letter", "Idiot".lower(), "'"]
+    tokens = {"".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(1500)}
+    assert sum(bool(slow.token(t)) for t in tokens) > 200
+    for token in tokens:
+        assert quick.token(token) == slow.token(token), token
+
+
+def test_spelled_runs_are_skipped_only_without_weighted_words(weights):
+    r = random.Random(6)
+    for _ in range(300):
+        letters = list(r.choice(["idiot", "stupid", "scum", "xidiotx", "whatever", "thisisidiot", "5cum", "aabbcc", "sccum"]))
+        text = r.choice([" ", "  ", ", ", ". ", "\n"]).join(letters)
+        full = toxicity.spelled_readings(text, weights.model)
+        cut = toxicity.spelled_readings(text, weights.model, weights.spellings)
+        weigh = lambda found: [weights.merged([*x, weights.inside("".join(x[0])), weights.inside("".join(x[1]))]) for x in found]
+        assert [w for w in weigh(full) if w] == [w for w in weigh(cut) if w], text
+
+
+def test_words_in_very_many_bits(model, monkeypatch):
+    weights = toxicity.Weights({"=donaudampfschiff": 3.0}, model)
+    monkeypatch.setattr(toxicity, "decode", lambda spaced, model: spaced.replace(" ", ""))  # its choice is not what is tested
+    assert weights.joined("do n a u da mpf s ch i ff".split()) == [3.0]
+
+
 def test_the_sample_holds_one_row_for_each_id(spark, monkeypatch):
     stored = {}
     real = toxicity.materialize

@@ -27,8 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.llm.labels import least_hashes
+
+# bounds of what the labeller is fitted on; every page is labelled whole
 SAMPLE_PAGES = 240  # pages for training, drawn by hash
 REWRITES = 4  # of each sampled page
+MAIN_BLOCKS = 60  # main blocks of a sampled page that go into its rewritten forms
+POOL_TEXTS = 20_000  # texts of the sample that boilerplate is made of
+PROSE_WORDS = 8  # words that a block of a page without semantic tags needs to be rewritten as main text
 EPOCHS = 5
 PATH_BUCKETS = 1024
 WORD_BUCKETS = 64
@@ -360,6 +366,19 @@ BOILERPLATE = (
 CHROME = frozenset("nav header footer aside form head button select menu dialog".split())
 
 
+def _semantic(sequence: list[Block]) -> bool:
+    """Whether the page marks its main text at all."""
+    return any(t in ("tag:article", "tag:main") for b in sequence for t in b.path)
+
+
+def _prose(sequence: list[Block]) -> list[Block]:
+    """Blocks of running text outside page chrome, of a page whose tags tell nothing."""
+    return [
+        b for b in sequence
+        if len(b.text.split()) >= PROSE_WORDS and 3 * b.links < len(b.text.split()) and not {t[4:] for t in b.path} & CHROME
+    ]
+
+
 def _teacher(sequence: list[Block]) -> np.ndarray:
     """Main text by semantic tags: inside an article or main, outside page chrome and named boilerplate."""
     names = {w for opening, _, _ in BOILERPLATE for w in re.findall(r'(?:class|id)="([^"]*)"', opening) for w in NAME_PART.findall(w.lower())}
@@ -441,16 +460,24 @@ def rewritten(r: random.Random, main: list[Block], pool: list[str]) -> str:
     return f"<html><head><title>{title}</title></head><body>{body}</body></html>"
 
 
-def training_data(pages: list[str], rewrites: int = REWRITES, seed: int = 11):
-    """(features, labels) of the sampled pages by the teacher, and of their rewritten forms by construction."""
+def training_data(pages: list[str], rewrites: int = REWRITES, seed: int = 11, main_blocks: int = MAIN_BLOCKS, pool_texts: int = POOL_TEXTS):
+    """(features, labels) of the sampled pages by the teacher, and of their rewritten forms by construction.
+
+    The teacher knows nothing about a page without semantic tags: such a page is not learnt
+    from as it is, but its running text is main text in its rewritten forms, so there are
+    examples of both classes however the pages are marked.
+    """
     r = random.Random(seed)
     parsed = [s for s in (blocks(p) for p in pages) if s]
-    pool = [b.text for s in parsed for b in s][:20_000] or ["text"]
+    pool = [b.text for s in parsed for b in s][:pool_texts] or ["text"]
     data = []
     for sequence in parsed:
-        y = _teacher(sequence)
-        data.append((block_features(sequence), y.astype(np.float32)))
-        main = [b for b, keep in zip(sequence, y) if keep][:60]
+        if _semantic(sequence):
+            y = _teacher(sequence)
+            data.append((block_features(sequence), y.astype(np.float32)))
+            main = [b for b, keep in zip(sequence, y) if keep][:main_blocks]
+        else:
+            main = _prose(sequence)[:main_blocks]
         for _ in range(rewrites):
             again = blocks(rewritten(r, main, pool)) if main else []
             if again:
@@ -459,12 +486,13 @@ def training_data(pages: list[str], rewrites: int = REWRITES, seed: int = 11):
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller trained on at most ``sample`` pages, those with the smallest hashes of their html.
+    """A labeller trained on at most ``sample`` pages, those with the smallest hashes of page_id and html.
 
-    Training runs in a task of its own; its input is bounded by the sample, its output are
+    Of a sampled page at most ``MAIN_BLOCKS`` blocks and of the sample ``POOL_TEXTS`` texts go
+    into rewritten pages. Training runs in a task of its own; its input is bounded by the sample, its output are
     the weights.
     """
-    drawn = pages.filter(F.length("html") > 0).select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
+    drawn = least_hashes(pages.filter(F.length("html") > 0).select("page_id", "html"), sample, "page_id", "html")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller()

@@ -18,6 +18,21 @@ def training_labels(labels: DataFrame, column: str, folds: int, held: int) -> Da
     return known.filter(fold_column(folds) != held).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
 
 
+def least_hashes(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The ``n`` rows of ``df`` with the smallest hashes of ``columns``, all if there are fewer.
+
+    Rows whose hash lies above what ``n`` rows of the counted total need, with room for
+    chance, are filtered where they are read. So about ``n`` rows reach the sort, however
+    many rows or partitions the table has, unless very many of them hold the same values.
+    """
+    total = df.count()
+    place = F.shiftrightunsigned(F.xxhash64(*columns), 1)
+    if total > n:
+        share = (n + 8 * n**0.5 + 16) / total
+        df = df.filter(place <= F.lit(min((1 << 63) - 1, int(share * (1 << 63)))))
+    return df.orderBy(place, *columns).limit(n)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weights (the last is the intercept) of a ridge-penalised logistic regression by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import materialize
+from vigil.llm.labels import least_hashes
 from vigil.llm.vectors import best, first_k, matrix, packed_vectors
 
 CENTROIDS = 16  # of each half: 256 cells
@@ -131,7 +132,7 @@ def _one_dimension(rows: DataFrame, dim: int, every: int, k: int, centroids: int
                    row_block: int, query_block: int) -> DataFrame:
     total, longest = rows.agg(F.count(F.lit(1)), F.max("norm")).first()
     # the sample: the rows with the smallest hashes, a bounded number whatever the table
-    drawn = rows.select("vec", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()
+    drawn = least_hashes(rows, sample, "vec_id").select("vec").collect()
     index, share = fit(np.frombuffer(b"".join(bytes(r["vec"]) for r in drawn), dtype="<f8").reshape(-1, dim), longest, k, centroids)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

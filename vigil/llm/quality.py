@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.common import fold, materialize
-from vigil.llm.labels import logistic, sigmoid, training_labels
+from vigil.llm.labels import least_hashes, logistic, sigmoid, training_labels
 
 FOLDS, HELD = 5, 0
 KEEP = 0.3  # least score of a document that is kept
@@ -151,7 +151,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = CALIBRATION_ROWS) ->
         stats.join(training_labels(labels, "quality", FOLDS, HELD), "doc_id").select("doc_id", "x", "y"), "quality-labelled"
     )
     model = Discriminant(*class_sums(labelled))
-    drawn = labelled.orderBy(F.xxhash64("doc_id")).limit(sample).select("x", "y").collect()
+    drawn = least_hashes(labelled, sample, "doc_id", "x").select("x", "y").collect()
     if len({r["y"] for r in drawn}) < 2:
         return model, np.array([0.0, 4.0 if not drawn or drawn[0]["y"] else -4.0])
     z = model.difference(np.array([r["x"] for r in drawn]))

@@ -16,10 +16,12 @@ Weights and curve come from disjoint parts of a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import zip_longest
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.common import fold, materialize
-from vigil.llm.labels import logistic, sigmoid, training_labels
+from vigil.llm.labels import least_hashes, logistic, sigmoid, training_labels
 
 FOLDS, HELD = 3, 1
 TOXIC = 0.7  # least score of a toxic document
@@ -38,6 +40,7 @@ MAX_WEIGHTS = 5_000  # strongest features kept
 LEAST_ROWS = 4  # toxic rows that must show a feature
 LEAST_ODDS = 1.5  # least log odds of a feature
 STEMS = (4, 5, 6, 7, 8)  # word beginnings that are features
+LEAST_LETTERS = 2  # decoded words are longer
 SUMMARY = 5  # numbers that describe a document
 CACHED = 300_000  # tokens per worker process; the cache starts afresh beyond
 
@@ -57,6 +60,7 @@ SIGN_COST, SEPARATOR_COST, DOUBLE_COST, STRETCH_COST, ANY_COST = 0.7, 0.4, 3.0,
 
 WORD = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"(.)\1")
+SAME = re.compile(r"(.)\1+")
 SPELLED = re.compile(r"(?<![^\s(\[{<«\"'])[^\s.,;:/*_\-](?:[\s.,;:/*_\-]+[^\s.,;:/*_\-]){2,}(?!\w)")
 GAP = re.compile(r"[\s.,;:/*_\-]+")
 EDGE = ".,;:!?\"'’»«)(…[]{}&%#*~^=<>/\\"
@@ -194,27 +198,41 @@ def noisy(core: str) -> bool:
     return len(core) > 2 and any(c.isalpha() or (c in LOOK_ALIKE and not c.isdigit()) for c in core)
 
 
-def token_parts(token: str, model: np.ndarray) -> list[list[list[str]]]:
-    """The parts of a lower-case token without white space, in order; of each its alternative readings, as words.
-
-    The first reading is the plain one. Readings whose words overlap belong to one part.
-    """
+def plain_word(token: str) -> str:
+    """The token without signs at its edges if that is a word with a single reading, else empty."""
     core = token.strip(EDGE)
-    if core.isascii() and core.isalpha() and not DOUBLED.search(core) and core == token.strip(PLAIN_EDGE):
-        return [[[core]]]
+    single = core.isascii() and core.isalpha() and not DOUBLED.search(core) and core == token.strip(PLAIN_EDGE)
+    return core if single else ""
+
+
+def plain_paths(token: str) -> list[list[tuple[int, int, str]]]:
+    """The undecoded readings: the words as they are, and those with accents without them."""
     plain = [m.span() + (m[0],) for m in WORD.finditer(token)]
-    paths = [plain]
-    if not token.isascii():
-        paths.append([(a, b, f) for a, b, w in plain if (f := folded(w)) != w])
-    # the whole without and with look-alike signs at its edges, and what stands between separators
+    if token.isascii():
+        return [plain]
+    return [plain, [(a, b, f) for a, b, w in plain if (f := folded(w)) != w]]
+
+
+def noisy_spans(token: str) -> list[tuple[int, int]]:
+    """What is decoded: the whole without and with look-alike signs at its edges, and what stands between separators."""
     left, right = len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE))
     far_left, far_right = len(token) - len(token.lstrip(PLAIN_EDGE)), len(token.rstrip(PLAIN_EDGE))
     spans = {(i, j): None for i in (left, far_left) for j in (right, far_right) if i < j}
     spans.update((m.span(), None) for m in BETWEEN.finditer(token))
-    for i, j in spans:
-        if noisy(token[i:j]):
-            for strict in (False, True) if STRICT.search(token, i, j) else (False,):
-                paths.append([(i + a, i + b, w) for a, b, w in decoded(token[i:j], model, strict) if len(w) > 2])
+    return [(i, j) for i, j in spans if noisy(token[i:j])]
+
+
+def token_parts(token: str, model: np.ndarray) -> list[list[list[str]]]:
+    """The parts of a lower-case token without white space, in order; of each its alternative readings, as words.
+
+    The first reading is the plain one. Readings whose words overlap belong to one part.
+    """
+    if word := plain_word(token):
+        return [[[word]]]
+    paths = plain_paths(token)
+    for i, j in noisy_spans(token):
+        for strict in (False, True) if STRICT.search(token, i, j) else (False,):
+            paths.append([(i + a, i + b, w) for a, b, w in decoded(token[i:j], model, strict) if len(w) > LEAST_LETTERS])
     parts: list[list[list[str]]] = []
     until = -1
     for a, b, path, word in sorted((a, b, k, w) for k, words in enumerate(paths) for a, b, w in words):
@@ -231,12 +249,17 @@ def restored_words(token: str, model: np.ndarray) -> list[str]:
     return list(dict.fromkeys([w for p in parts for w in p[0]] + [w for p in parts for r in p[1:] for w in r]))
 
 
-def spelled_readings(text: str, model: np.ndarray) -> list[list[list[str]]]:
-    """Words spelled in single characters with white space or signs between: for each run its alternative readings."""
+def spelled_readings(text: str, model: np.ndarray, wanted: Spellings | None = None) -> list[list[list[str]]]:
+    """Words spelled in single characters with white space or signs between: for each run its alternative readings.
+
+    With ``wanted``, only of runs that may hold one of its words, wherever they begin.
+    """
     found = []
     for m in SPELLED.findall(text):
         if not m.isalnum() and any(map(str.isspace, m)):  # others are single tokens
-            found.append([decode(GAP.sub(" ", m), model).split(), decode(GAP.sub("", m), model).split()])
+            apart, close = GAP.sub(" ", m), GAP.sub("", m)
+            if wanted is None or wanted.reach(apart, anywhere=True) or wanted.reach(close, anywhere=True):
+                found.append([decode(apart, model).split(), decode(close, model).split()])
     return found
 
 
@@ -262,16 +285,105 @@ def document_words(text: str, model: np.ndarray) -> set[str]:
     return words
 
 
+@lru_cache(maxsize=100_000)
+def letters_of(c: str, n: int) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(letters for letters, _ in readings(c, n)))
+
+
+class Spellings:
+    """The weighted words and word beginnings as a trie, walked by all paths of a token's lattice at once.
+
+    A lattice without a path into a weighted word or beginning cannot decode to one, so its
+    likeliest path need not be searched for: an unweighted reading adds nothing.
+    """
+
+    OFF = -1  # inside a word that no weighted one begins like
+
+    def __init__(self, features: Iterable[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.word, self.stem = [0], [False]  # length of the weighted word that ends here, or 0; a weighted beginning ends here
+        for f in features:
+            at = 0
+            for c in f.removeprefix("="):
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.word.append(0)
+                    self.stem.append(False)
+                at = self.next[at][c]
+            if f[0] == "=":
+                self.word[at] = len(f) - 1
+            else:
+                self.stem[at] = True
+
+    def reach(self, noisy: str, least: int = 0, anywhere: bool = False) -> bool:
+        """Whether some path of the lattice has a weighted word of more than ``least`` letters, or a word with a weighted beginning.
+
+        ``anywhere``: words may begin and end inside others. Costs are not looked at, and the
+        strict lattice has no path beside these.
+        """
+        nodes, word, stem = self.next, self.word, self.stem
+        states = {0}
+        for c, n in runs(noisy):
+            following = set()
+            for letters in letters_of(c, min(n, 3)):
+                if letters == " ":
+                    if any(word[s] > least for s in states if s > 0):
+                        return True
+                    following.add(0)
+                elif not letters:
+                    following |= states
+                else:
+                    for s in states:
+                        for letter in letters:
+                            if s == self.OFF:
+                                break
+                            if stem[s]:
+                                return True
+                            s = nodes[s].get(letter, self.OFF)
+                            if anywhere and s > 0 and word[s]:
+                                return True
+                        following.add(s)
+            if anywhere:
+                following.add(0)
+            states = following
+        return any(word[s] > least for s in states if s > 0)
+
+
+HEAD = 3  # letters by which most words are told from all weighted ones
+
+
+def squeezed(word: str) -> str:
+    """The word with every run of equal letters as one."""
+    return SAME.sub(r"\1", word)
+
+
+_TOKENS: list = [b"", {}]  # of a worker process: which weights, and the weights of the tokens met so far
+
+
 class Weights:
     """Weights of words, and a document's summary of the strongest."""
 
     def __init__(self, weights: dict[str, float], model: np.ndarray):
         self.weights, self.model = weights, model
+        self.key = hashlib.sha256(repr(sorted(weights.items())).encode() + model.tobytes()).digest()
+        self.spellings = Spellings(weights)
+        bare = [f.removeprefix("=") for f in weights]
+        self.heads = {f[:HEAD] for f in bare}
+        self.squeezed_heads = {squeezed(f)[:HEAD] for f in bare}
         self.whole = {f[1:] for f in weights if f[0] == "=" and len(f) > 4}
         self.beginnings = {w[:k] for w in self.whole for k in range(1, len(w))}
-        self.tokens: dict[str, tuple[float, ...]] = {}
+
+    @property
+    def tokens(self) -> dict[str, tuple[float, ...]]:
+        """Known tokens; tasks of one worker process share them."""
+        if _TOKENS[0] != self.key:
+            _TOKENS[:] = [self.key, {}]
+        return _TOKENS[1]
 
     def word(self, word: str) -> float:
+        if word[:HEAD] not in self.heads:
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def merged(self, readings: list[list[str]]) -> list[float]:
@@ -291,9 +403,10 @@ class Weights:
                 first = first.lstrip(EDGE)
                 if first not in self.beginnings:
                     continue
-            bits = [first]
-            for bit in tokens[i + 1 : i + 8]:
-                bits.append(bit)
+            bits, j = [first], i + 1
+            while j < len(tokens):  # ends with the longest weighted word
+                bits.append(tokens[j])
+                j += 1
                 whole = "".join(bits)
                 end = whole.rstrip(EDGE)
                 if end in self.whole and end not in found and any(len(b.strip(EDGE)) > 1 for b in bits):
@@ -337,13 +450,36 @@ class Weights:
 
     def token(self, token: str) -> tuple[float, ...]:
         """The weights above zero of all parts of the token."""
-        if len(self.tokens) >= CACHED:
-            self.tokens.clear()
-        parts = token_parts(token, self.model)
-        if "*" in token and (struck := self.struck(token)):
-            parts = [[*(r for p in parts for r in p), *([w] for w in struck)]]  # without separators, one part
-        found = tuple(w for p in parts for w in self.merged(p))
-        self.tokens[token] = found
+        known = self.tokens
+        if len(known) >= CACHED:
+            known.clear()
+        found = self.undecoded(token)
+        if found is None:
+            parts = token_parts(token, self.model)
+            if "*" in token and (struck := self.struck(token)):
+                parts = [[*(r for p in parts for r in p), *([w] for w in struck)]]  # without separators, one part
+            found = tuple(w for p in parts for w in self.merged(p))
+        known[token] = found
+        return found
+
+    def undecoded(self, token: str) -> tuple[float, ...] | None:
+        """The token's weights where decoding it can add none, or None.
+
+        Several weighted words of the plain readings are left to the parts that decoding makes.
+        """
+        if word := plain_word(token):
+            return (w,) if (w := self.word(word)) > 0 else ()
+        core = token.strip(EDGE)
+        if core.isalpha() and core == token.strip(PLAIN_EDGE) and not any(c in LOOK_ALIKE for c in core if c > "z"):
+            # one word, of which only doubled letters and accents have other readings
+            ways = (core,) if core.isascii() else (core, folded(core))
+            if not any(squeezed(w)[:k] in self.squeezed_heads for w in ways for k in range(1, HEAD + 1)):
+                return ()
+        found = tuple(w for path in plain_paths(token) for _, _, x in path if (w := self.word(x)) > 0)
+        if len(found) > 1 or ("*" in token and self.struck(token)):
+            return None
+        if any(self.spellings.reach(token[i:j], LEAST_LETTERS) for i, j in noisy_spans(token)):
+            return None
         return found
 
     def summary(self, text: str) -> list[float]:
@@ -358,7 +494,7 @@ class Weights:
                 w = self.token(t)
             if w:
                 found.extend(w)
-        for readings in spelled_readings(text, self.model):
+        for readings in spelled_readings(text, self.model, self.spellings):
             found += self.merged([*readings, self.inside("".join(readings[0])), self.inside("".join(readings[1]))])
         found += self.joined(tokens)
         n = max(1, len(distinct))
@@ -398,7 +534,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> tuple[
     """Weights and curve from at most ``sample`` labelled rows outside the held-out fold."""
     model = character_model(docs)
     # the ids are bounded by the sample, so they may be broadcast
-    drawn = training_labels(labels, "toxic", FOLDS, HELD).orderBy(F.xxhash64("doc_id")).limit(sample)
+    drawn = least_hashes(training_labels(labels, "toxic", FOLDS, HELD), sample, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     # of rows that repeat a doc_id one counts, so the sample is as many rows as ids
     first = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")).alias("first")
