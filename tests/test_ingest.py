@@ -186,8 +186,8 @@ def test_otlp_metrics(spark, tmp_dir):
     assert (lat.metric_type, lat.value, lat.hist_count, len(lat.buckets)) == ("histogram", 50.0, 100, 4)
     assert {r.reject_reason: r.rejected for r in reject_report(rejected).collect()} == {
         "value must be present": 1, "exponential histogram points are not supported": 1, "summary points are not supported": 2}
-    dropped = otlp.unsupported_metric_points(otlp.read_otlp(spark, path, otlp.schemas.OTLP_METRICS)).first()
-    assert (dropped.exponential_histogram_points, dropped.summary_points) == (1, 2)
+    sent = [json.loads(r.raw_body) for r in rejected.collect() if "not supported" in r.reject_reason]
+    assert sorted(s["summaryPoint"]["count"] for s in sent if "summaryPoint" in s) == ["1", "2"]  # as sent
 
 
 def test_bucket_helpers(spark):
@@ -268,3 +268,72 @@ def test_reject_details_locate_bad_records(spark, tmp_dir):
 def test_valid_rows_keep_the_entity_schema(spark, tmp_dir):
     valid, _ = otlp.ingest_otlp_logs(spark, write(f"{tmp_dir}/schema", "l.json", OTLP_LOGS))
     assert not {"source_file", "record_index"} & set(valid.columns)
+
+
+def any_values(spark, tmp_dir, *values, resource=()):
+    """The attribute ``v`` of one log for each value, as JSON text, and the rejected records."""
+    records = [{"timeUnixNano": "1", "body": {"stringValue": f"m{i}"}, "attributes": [{"key": "v", "value": v}]} for i, v in enumerate(values)]
+    req = {"resourceLogs": [{"resource": {"attributes": list(resource)}, "scopeLogs": [{"scope": {"name": "s"}, "logRecords": records}]}]}
+    valid, rejected = otlp.ingest_otlp_logs(spark, write(f"{tmp_dir}/any", "v.json", req))
+    got = {r.message: r.v for r in valid.select("message", F.to_json(F.col("attributes")["v"]).alias("v")).collect()}
+    return [got.get(f"m{i}") for i in range(len(values))], rejected
+
+
+@pytest.mark.parametrize("text", [
+    "user {} failed", "[]", "{", "}", "]", '"', "\\", '\\"', '{"stringValue":"x"}', '{"key":"a","value":{}}', "\x01\x02\x0e", "é{}日本", "{}" * 5000,
+    '"values":[{}]', "", "a\nb\tc",
+])
+def test_strings_in_nested_values_are_opaque(spark, tmp_dir, text):
+    string = {"stringValue": text}
+    listed = {"arrayValue": {"values": [string, {"kvlistValue": {"values": [kv("k " + text, **string), kv("z", arrayValue={"values": [string]})]}}]}}
+    (found,), rejected = any_values(spark, tmp_dir, listed)
+    assert json.loads(found) == [text, {"k " + text: text, "z": [text]}]
+    assert rejected.count() == 0
+
+
+def test_missing_keys_and_values(spark, tmp_dir):
+    nested = {"kvlistValue": {"values": [{"value": {"intValue": "1"}}, {"key": "none"}, kv("case"), kv("twice", intValue="1"), kv("twice", intValue="2")]}}
+    resource = [{"value": {"stringValue": "x"}}, kv("service.name", stringValue="api"), {"key": "none"}]
+    req = {"resourceLogs": [{"resource": {"attributes": resource}, "scopeLogs": [{"logRecords": [
+        {"timeUnixNano": "1", "body": {"stringValue": "m"}, "attributes": [{"value": {"boolValue": True}}, kv("n", **nested), {"key": "none"}, {}]}]}]}]}
+    valid, _ = otlp.ingest_otlp_logs(spark, write(f"{tmp_dir}/keys", "k.json", req))
+    r = valid.select("service", F.transform_values("attributes", lambda _, v: F.to_json(v)).alias("a")).first()
+    assert r.service == "api" and set(r.a) == {"", "n", "resource."}
+    assert json.loads(r.a["n"]) == {"": 1, "case": None, "twice": 2} and r.a["resource."] == '"x"'
+    point = {"attributes": [{"value": {"stringValue": "h"}}, kv("k", stringValue="v")], "timeUnixNano": "1", "asDouble": 1.0}
+    req = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "m", "gauge": {"dataPoints": [point]}}]}]}]}
+    valid, _ = otlp.ingest_otlp_metrics(spark, write(f"{tmp_dir}/keys_m", "m.json", req))
+    assert valid.first().labels == {"": "h", "k": "v"}
+
+
+def test_integers_that_are_none_are_rejected(spark, tmp_dir):
+    bad = {"arrayValue": {"values": [{"intValue": "99999999999999999999"}]}}
+    found, rejected = any_values(
+        spark, tmp_dir, {"intValue": "12"}, {"intValue": "abc"}, {"intValue": "99999999999999999999"}, bad,
+        {"arrayValue": {"values": [{"stringValue": '{"intValue":"abc"}'}, {"intValue": "-7"}]}}, {"intValue": str(-(2**63))},
+    )
+    assert found == ["12", None, None, None, '["{\\"intValue\\":\\"abc\\"}",-7]', str(-(2**63))]
+    assert {r.reject_reason: r.rejected for r in reject_report(rejected).collect()} == {"attribute intValue is not an integer": 3}
+    _, rejected = any_values(spark, f"{tmp_dir}/res", {"intValue": "1"}, resource=[kv("pid", intValue="x")])
+    assert [r.reject_reason for r in rejected.collect()] == ["resource attribute intValue is not an integer"]
+
+
+def test_quarantined_points_are_kept_as_sent(spark, tmp_dir):
+    exp = {"count": "4", "sum": 2.5, "scale": 3, "positive": {"offset": 1, "bucketCounts": ["1", "3"]}, "attributes": [kv("host", stringValue="h {}")]}
+    gauge = {"attributes": [], "timeUnixNano": "soon", "asDouble": 1.0}
+    req = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [
+        {"name": "e", "gauge": {"dataPoints": [gauge]}, "exponentialHistogram": {"dataPoints": [{"count": "1"}, exp]}}]}]}]}
+    _, rejected = otlp.ingest_otlp_metrics(spark, write(f"{tmp_dir}/exp", "e.json", req))
+    rows = [json.loads(r.raw_body) for r in rejected.collect()]
+    assert [r["exponentialHistogramPoint"] for r in rows if "exponentialHistogramPoint" in r][1] == exp
+    assert [r["gaugePoint"]["timeUnixNano"] for r in rows if "gaugePoint" in r] == ["soon"] and {r["name"] for r in rows} == {"e"}
+
+
+@pytest.mark.parametrize("text,ns", [
+    ("12:30", None), ("2024", None), ("2024-01-01", None), ("2024-01-01 10:00", None), ("2024-01-01T10:00:00", None), ("now", None),
+    ("2024-13-01T10:00:00Z", None), (" 2024-01-01T10:00:00Z", None), ("2024-01-01T10:00:00Z", 1704103200 * 10**9),
+    ("2024-01-01t10:00:00z", 1704103200 * 10**9), ("2024-01-01 10:00:00.123456789+02:00", 1704096000123456789),
+])
+def test_request_times_are_rfc3339(spark, text, ns):
+    got = spark.createDataFrame([(text,)], "t string").select(native_json.rfc3339_to_ns(F.col("t")).alias("ns")).first()
+    assert got.ns == ns

@@ -159,3 +159,19 @@ def test_search_on_stored_otlp_logs(spark, tmp_dir):
     again = [r.message for r in search_logs(stored, pred, OrderBy("level"), limit=5).collect()]
     assert first == again and len(first) == 5
     assert all(int(m.split()[-1]) % 3 for m in first)  # only the error-severity records
+
+
+@pytest.mark.parametrize("value,after", [
+    (1704067200000, True), (-1704067200000, False), ("9999-01-01T00:00:00Z", True), ("0001-01-01T00:00:00Z", False), (8210266876799, True),
+])
+def test_times_beyond_every_row_compare_like_any_other(spark, value, after):
+    df = logs_df(spark, [{"message": "m", "service": "s"}])
+    want = {"<": after, "<=": after, ">": not after, ">=": not after, "=": False, "!=": True, "contains": False}
+    for op, holds in want.items():
+        assert search_logs(df, Cond("timestamp", op, value)).count() == int(holds), op
+
+
+@pytest.mark.parametrize("value", [8210266876800, -8334601228801, 2**63])
+def test_seconds_that_are_no_date_match_nothing(spark, value):
+    df = logs_df(spark, [{"message": "m", "service": "s"}])
+    assert all(search_logs(df, Cond("timestamp", op, value)).count() == 0 for op in ("<", "<=", ">", ">=", "=", "!="))

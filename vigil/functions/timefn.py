@@ -12,6 +12,9 @@ NS_PER_MS = 1_000_000
 NS_PER_SECOND = 1_000_000_000
 SECONDS_PER_DAY = 86_400
 
+# An RFC 3339 time: date, time of day with seconds, and an offset; nothing may be left out.
+RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+
 # Rollup tiers: name -> (bucket kind, width). 5 minutes uses a tumbling window.
 TIERS = {
     "1min": "minute",

@@ -33,12 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.model import LEVELS
+from vigil.functions.timefn import RFC3339
 
 OPS = ("=", "!=", "<", "<=", ">", ">=", "contains", "starts_with", "ends_with")
 _TEXT_OPS = ("=", "!=", "contains", "starts_with", "ends_with")
 _ORDER_OPS = ("<", "<=", ">", ">=")
 FLOAT_EPSILON = 2.220446049250313e-16  # f64::EPSILON
-_RFC3339 = re.compile(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+_RFC3339 = re.compile(RFC3339, re.ASCII)
+_LEAST_NS, _MOST_NS = -(1 << 63), (1 << 63) - 1
+# FIXED VALUES: the first and last epoch second of the reference's date type; a literal beyond is no time
+LEAST_SECOND, MOST_SECOND = -8334601228800, 8210266876799
 _INT_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
@@ -173,12 +177,16 @@ def _timestamp(cond: Cond, date_col: str | None) -> Column:
         return _false()
     if _is_str(cond.value):
         ns = parse_rfc3339_ns(cond.value)
-    elif _is_int(cond.value):
+    elif _is_int(cond.value) and LEAST_SECOND <= cond.value <= MOST_SECOND:
         ns = cond.value * 1_000_000_000
     else:
         ns = None
     if ns is None:
         return _false()
+    if not _LEAST_NS <= ns <= _MOST_NS:
+        # before or after every time that a row can have
+        holds = cond.op in (("!=", "<", "<=") if ns > 0 else ("!=", ">", ">="))
+        return F.col("timestamp_ns").isNotNull() if holds else _false()
     test = _ordered(F.col("timestamp_ns"), cond.op, F.lit(ns))
     if date_col is None or cond.op == "!=":
         return test

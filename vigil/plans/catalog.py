@@ -673,6 +673,17 @@ def q_ingest_otlp_logs(spark, d):
     )
 
 
+@query
+def q_ingest_otlp_nested(spark, d):
+    """O1–O3 + O6 + N3: strings with brackets and escapes, wire-like and missing keys, values nested ten deep."""
+    valid, _ = split_valid(otlp.flatten_logs(wire.otlp_nested_requests(views.logs(spark, d))), log_reject_reason())
+    text = attributes_as_text("attributes")
+    return valid.select(
+        _variant("log_id", "log_id", "bigint"), "ts", "message", text["list"].alias("list_text"), text["deep"].alias("deep_text"),
+        text[""].alias("unnamed_text"), text["resource."].alias("resource_text"), F.size("attributes").alias("n_attributes"),
+    )
+
+
 @query
 def q_ingest_otlp_spans(spark, d):
     """I6 + O5/O7: OTLP span requests flattened."""

@@ -513,7 +513,16 @@ from {entity} group by 1""",
     )
 
 
-ORACLE["q_ingest_otlp_log_rejects"] = _rejects("logs", "log_id", "timeUnixNano", "accepted")
+ORACLE["q_ingest_otlp_log_rejects"] = _rejects("logs", "log_id", "timeUnixNano", "attribute intValue is not an integer")
+ORACLE["q_ingest_otlp_nested"] = sql(
+    r"""select log_id, ts, 'tpl {} ' || message || ' [end]' as message,
+  '[' || cast(to_json(message || ' {} "[{\') as varchar) || ',null,' || log_id || ',true,[],{"":' || (log_id % 7) || ',"a {} b":"' || service
+    || '","stringValue":["{\"intValue\":\"1\"}"]}]' as list_text,
+  repeat('[', 10) || log_id || repeat(']', 10) as deep_text, '"' || service || '"' as unnamed_text, '"' || service || '"' as resource_text,
+  5 as n_attributes
+from logs""",
+    "logs",
+)
 ORACLE["q_ingest_metric_rejects"] = _rejects("metrics", "point_id", "timeUnixNano", "value must be present")
 ORACLE["q_ingest_span_rejects"] = _rejects("spans", "(start_ns // 1000)", "startTimeUnixNano", "end time must not be before start time")
 

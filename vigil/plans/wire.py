@@ -123,7 +123,7 @@ def otlp_log_requests(logs: DataFrame, damaged: bool = False) -> DataFrame:
         .alias("scopeLogs"),
     )).alias("resourceLogs")))
     if damaged:
-        body = _damaged(body, F.col("log_id"), "timeUnixNano")
+        body = _damaged(body, F.col("log_id"), "timeUnixNano", r'"intValue":"[0-9]+"', '"intValue":"99999999999999999999"')
     return _parsed(_spread(logs).select(body.alias("body")), schemas.OTLP_LOGS)
 
 
@@ -148,6 +148,34 @@ def _log_record() -> Column:
     )
 
 
+def _text(value: Column) -> Column:
+    """A string as JSON text."""
+    return F.regexp_replace(F.to_json(F.struct(value.alias("s"))), r'^\{"s":|\}$', "")
+
+
+def otlp_nested_requests(logs: DataFrame, depth: int = 10) -> DataFrame:
+    """Log requests whose strings and keys hold brackets, escapes and names of wire fields, with nested values,
+    entries without key or value, and arrays nested ``depth`` deep."""
+    number = F.concat(F.lit('{"intValue":"'), F.col("log_id").cast("string"), F.lit('"}'))
+    service = F.concat(F.lit('{"stringValue":'), _text(F.col("service")), F.lit("}"))
+    small = F.concat(F.lit('{"intValue":'), (F.col("log_id") % 7).cast("string"), F.lit("}"))
+    listed = F.concat(
+        F.lit('{"arrayValue":{"values":[{"stringValue":'), _text(F.concat("message", F.lit(' {} "[{\\'))), F.lit("},{},"), number,
+        F.lit(',{"boolValue":true},{"arrayValue":{}},{"kvlistValue":{"values":[{"key":"a {} b","value":'), service,
+        F.lit('},{"key":"dropped"},{"value":'), small,
+        F.lit('},{"value":{"arrayValue":{"values":[{"stringValue":"{\\"intValue\\":\\"1\\"}"}]}},"key":"stringValue"}]}}]}}'),
+    )
+    deep = F.concat(F.lit('{"arrayValue":{"values":[' * depth), number, F.lit("]}}" * depth))
+    body = F.concat(
+        F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":'), service, F.lit('},{"value":'), service,
+        F.lit('}]},"scopeLogs":[{"logRecords":[{"timeUnixNano":"'), F.col("timestamp_ns").cast("string"),
+        F.lit('","body":{"stringValue":'), _text(F.concat(F.lit("tpl {} "), "message", F.lit(" [end]"))),
+        F.lit('},"attributes":[{"key":"log_id","value":'), number, F.lit('},{"key":"list","value":'), listed,
+        F.lit('},{"key":"deep","value":'), deep, F.lit('},{"value":'), service, F.lit('},{"key":"valueless"}]}]}]}]}'),
+    )
+    return _parsed(_spread(logs).select(body.alias("body")), schemas.OTLP_LOGS)
+
+
 def otlp_span_requests(spans: DataFrame, damaged: bool = False) -> DataFrame:
     span = F.struct(
         _hex("trace_id").alias("traceId"),
@@ -233,5 +261,6 @@ __all__ = [
     "otlp_log_batches",
     "otlp_log_requests",
     "otlp_metric_requests",
+    "otlp_nested_requests",
     "otlp_span_requests",
 ]

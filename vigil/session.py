@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # OTLP resource attributes override same-named record attributes.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # So does a later entry of a nested key-value list.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

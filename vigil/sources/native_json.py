@@ -27,7 +27,7 @@ from vigil.functions.model import (
     empty_to_null,
     level_order,
 )
-from vigil.functions.timefn import ns_to_ts
+from vigil.functions.timefn import RFC3339, ns_to_ts
 from vigil.session import configure
 from vigil.sources.validate import (
     INPUT_ERROR,
@@ -43,8 +43,11 @@ from vigil.sources.validate import (
 
 
 def rfc3339_to_ns(text: Column) -> Column:
-    """RFC 3339 text -> epoch ns, keeping the sub-microsecond digits."""
-    micros = F.unix_micros(text.try_cast("timestamp"))
+    """RFC 3339 text -> epoch ns, keeping the sub-microsecond digits; NULL for any other text.
+
+    A cast alone would read a time of day as today's and fill in missing parts.
+    """
+    micros = F.unix_micros(F.when(text.rlike(RFC3339), F.upper(text)).try_cast("timestamp"))
     extra = F.regexp_extract(text, r"\.\d{6}(\d{1,3})", 1)
     extra_ns = F.when(extra == "", F.lit(0)).otherwise(F.rpad(extra, 3, "0").cast("bigint"))
     return micros * F.lit(1000) + extra_ns

@@ -45,30 +45,42 @@ def _now_ns() -> Column:
     return F.unix_micros(F.current_timestamp()) * F.lit(1000)
 
 
-# A JSON string, and text without brackets of its own, of compact JSON
-_STR = r'"(?:[^"\\]|\\.)*+"'
-_FLAT = rf'(?:{_STR}|[^\[\]{{}}"])*+'
+# A string of compact JSON, and text without brackets (of masked JSON text)
+_STR = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_FLAT = r"[^\[\]{}]*+"
+# Brackets inside strings are masked before any conversion: compact JSON holds no bare control
+# characters, so what a user wrote is never taken for structure.
+_BRACKETS, _MASKS = "{}[]", "\x0e\x0f\x10\x11"
 # One conversion pass, innermost values first. Converted objects and arrays get control
-# characters for brackets (compact JSON holds none), so user keys that look like wire fields
-# are not converted twice; \x01 marks an entry without a value.
+# characters for brackets, so user keys that look like wire fields are not converted twice;
+# \x01 marks an entry without a value, \x06 a value without a case (JSON null).
 _PASS = (
     (rf'\{{"(?:stringValue|bytesValue)":({_STR})\}}', "$1"),
     (r'\{"boolValue":(true|false)\}', "$1"),
     (r'\{"intValue":"?(-?[0-9]+)"?\}', "$1"),
     (r'\{"doubleValue":(-?[0-9][0-9.eE+-]*)\}', "$1"),
-    (r'\{"doubleValue":"?[A-Za-z-]+"?\}|\{\}|\{"(?:string|bool|int|double|bytes)Value":null\}', "null"),
-    (r'\{"arrayValue":null\}|\{"arrayValue":\{"values":null\}\}', "\x04\x05"),
-    (r'\{"kvlistValue":null\}|\{"kvlistValue":\{"values":null\}\}', "\x02\x03"),
-    (rf'\{{"key":({_STR}),"value":null\}}|\{{"key":({_STR})\}}', "\x01"),
+    (r'\{"doubleValue":"?[A-Za-z-]+"?\}|\{\}|\{"(?:string|bool|int|double|bytes)Value":null\}', "\x06"),
+    (r'\{"arrayValue":(?:null|\x06)\}|\{"arrayValue":\{"values":null\}\}', "\x04\x05"),
+    (r'\{"kvlistValue":(?:null|\x06)\}|\{"kvlistValue":\{"values":null\}\}', "\x02\x03"),
+    (rf'\{{"key":{_STR},"value":null\}}|\{{"key":{_STR}\}}|\{{"value":null\}}', "\x01"),
     (rf'\{{"key":({_STR}),"value":({_FLAT})\}}', "$1:$2"),
-    (rf'\{{"arrayValue":(?:\{{"values":\[({_FLAT})\]\}}|null)\}}', "\x04$1\x05"),
-    (rf'\{{"kvlistValue":(?:\{{"values":\[({_FLAT})\]\}}|null)\}}', "\x02$1\x03"),
+    (rf'\{{"value":({_FLAT})\}}', '"":$1'),
+    (rf'\{{"arrayValue":\{{"values":\[({_FLAT})\]\}}\}}', "\x04$1\x05"),
+    (rf'\{{"kvlistValue":\{{"values":\[({_FLAT})\]\}}\}}', "\x02$1\x03"),
 )
 
 
+def masked(text: Column) -> Column:
+    """Compact JSON text with the brackets inside its strings masked, in one pass over the text."""
+    parts = F.regexp_extract_all(text, F.lit(rf'({_STR}|[^"]++)'))
+    return F.array_join(
+        F.transform(parts, lambda p: F.when(p.startswith('"'), F.translate(p, _BRACKETS, _MASKS)).otherwise(p)), ""
+    )
+
+
 def _nesting(text: Column) -> Column:
-    """How deep the brackets of compact JSON text nest (strings left out)."""
-    brackets = F.regexp_replace(text, rf"{_STR}|[^\[\]{{}}]", "")
+    """How deep the brackets of masked JSON text nest."""
+    brackets = F.regexp_replace(text, r"[^\[\]{}]++", "")
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -81,20 +93,51 @@ def _nesting(text: Column) -> Column:
 def nested_value(text: Column) -> Column:
     """An array or kvlist AnyValue as compact OTLP JSON text -> its plain JSON value, at any depth.
 
-    Each pass converts the innermost values, so there are as many passes as levels; the
-    expression does not grow with the depth. Text that is no well-formed AnyValue stays text.
+    Strings are opaque: what they hold never counts as structure. Each pass converts the
+    innermost values, so there are as many passes as levels; the expression does not grow
+    with the depth. Text that is no well-formed AnyValue stays text.
     """
     def one_pass(t: Column, _: Column) -> Column:
         for pattern, to in _PASS:
             t = F.regexp_replace(t, pattern, to)
         return t
 
-    plain = F.aggregate(F.sequence(F.lit(1), F.greatest(_nesting(text), F.lit(1))), text, one_pass)
-    plain = F.regexp_replace(plain, r"(?<=[\x02\x04])(?:\x01,?)+|,\x01", "")
-    plain = F.translate(plain, "\x02\x03\x04\x05", "{}[]")
+    # in an array of its own, the masked text is computed once and not per use
+    def convert(safe: Column) -> Column:
+        plain = F.aggregate(F.sequence(F.lit(1), F.greatest(_nesting(safe), F.lit(1))), safe, one_pass)
+        plain = F.regexp_replace(F.regexp_replace(plain, r"(?<=[\x02\x04])(?:\x01,?)+|,\x01", ""), r"\x06", "null")
+        return F.translate(plain, "\x02\x03\x04\x05" + _MASKS, "{}[]" + _BRACKETS)
+
+    plain = F.get(F.transform(F.array(masked(text)), convert), F.lit(0))
     return F.coalesce(F.try_parse_json(plain), text.cast("variant"))
 
 
+def _nested_text(av: Column) -> Column:
+    """The array or kvlist of an AnyValue as compact OTLP JSON text."""
+    array, kvlist = av["arrayValue"], av["kvlistValue"]
+    nested = F.concat(
+        F.when(array.isNotNull(), F.lit('{"arrayValue":')).otherwise(F.lit('{"kvlistValue":')),
+        F.to_json(F.coalesce(array, kvlist)), F.lit("}"),
+    )
+    return F.regexp_replace(nested, r'^\{"(arrayValue|kvlistValue)":\{\}\}$', '{"$1":null}')
+
+
+def not_integer(av: Column) -> Column:
+    """TRUE if an AnyValue, or one inside it, was sent as an integer that does not read as one."""
+    def bad(text: Column) -> Column:
+        found = F.regexp_extract_all(masked(text), F.lit(r'\{"intValue":"?([^"}]*+)"?\}'))
+        return F.exists(found, lambda n: (n != "null") & n.try_cast("bigint").isNull())
+
+    holds = av["arrayValue"].isNotNull() | av["kvlistValue"].isNotNull()
+    own = av["intValue"].isNotNull() & av["intValue"].try_cast("bigint").isNull()
+    return F.coalesce(own, F.lit(False)) | F.when(holds, bad(_nested_text(av))).otherwise(F.lit(False))
+
+
+def any_not_integer(kvs: Column) -> Column:
+    """TRUE if the value of some attribute is such an integer."""
+    return F.exists(F.coalesce(kvs, F.array()), lambda kv: F.coalesce(not_integer(kv["value"]), F.lit(False)))
+
+
 def any_value(av: Column, empty_is_null: bool = False) -> Column:
     """O1: an OTLP AnyValue struct -> its plain JSON value as VARIANT.
 
@@ -105,27 +148,26 @@ def any_value(av: Column, empty_is_null: bool = False) -> Column:
     """
     d = av["doubleValue"]
     finite = ~(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))))
-    array, kvlist = av["arrayValue"], av["kvlistValue"]
-    nested = F.concat(
-        F.when(array.isNotNull(), F.lit('{"arrayValue":')).otherwise(F.lit('{"kvlistValue":')),
-        F.to_json(F.coalesce(array, kvlist)), F.lit("}"),
-    )
-    nested = F.regexp_replace(nested, r'^\{"(arrayValue|kvlistValue)":\{\}\}$', '{"$1":null}')
     out = (
         F.when(av["stringValue"].isNotNull(), av["stringValue"].cast("variant"))
         .when(av["boolValue"].isNotNull(), av["boolValue"].cast("variant"))
         .when(av["intValue"].isNotNull(), av["intValue"].try_cast("bigint").cast("variant"))
         .when(d.isNotNull(), F.when(finite, d.cast("variant")))
         .when(av["bytesValue"].isNotNull(), av["bytesValue"].cast("variant"))
-        .when(array.isNotNull() | kvlist.isNotNull(), nested_value(nested))
+        .when(av["arrayValue"].isNotNull() | av["kvlistValue"].isNotNull(), nested_value(_nested_text(av)))
     )
     return out if empty_is_null else out.otherwise(F.when(av.isNotNull(), F.parse_json(F.lit("null"))))
 
 
+def _key(kv: Column) -> Column:
+    """The key of an attribute; JSON leaves out empty strings."""
+    return F.coalesce(kv["key"], F.lit(""))
+
+
 def attributes_map(kvs: Column) -> Column:
-    """O2: KeyValue list -> MAP<STRING, VARIANT>, valueless keys dropped, last key wins."""
+    """O2: KeyValue list -> MAP<STRING, VARIANT>, valueless keys dropped, a missing key is empty, last key wins."""
     present = F.filter(F.coalesce(kvs, F.array()), lambda kv: kv["value"].isNotNull())
-    entries = F.transform(present, lambda kv: F.struct(kv["key"].alias("key"), any_value(kv["value"]).alias("value")))
+    entries = F.transform(present, lambda kv: F.struct(_key(kv).alias("key"), any_value(kv["value"]).alias("value")))
     return F.map_from_entries(entries)
 
 
@@ -133,7 +175,7 @@ def string_attributes(kvs: Column) -> Column:
     """O3: metric labels keep string-valued attributes only."""
     strs = F.transform(
         F.coalesce(kvs, F.array()),
-        lambda kv: F.struct(kv["key"].alias("key"), kv["value"]["stringValue"].alias("value")),
+        lambda kv: F.struct(_key(kv).alias("key"), kv["value"]["stringValue"].alias("value")),
     )
     return F.map_from_entries(F.filter(strs, lambda kv: kv["value"].isNotNull()))
 
@@ -148,12 +190,12 @@ def resource_attributes(resource: Column) -> Column:
     """Other resource attributes as ``resource.<key>``."""
     others = F.filter(
         F.coalesce(resource["attributes"], F.array()),
-        lambda kv: (kv["key"] != F.lit(SERVICE_NAME_KEY)) & kv["value"].isNotNull(),
+        lambda kv: (_key(kv) != F.lit(SERVICE_NAME_KEY)) & kv["value"].isNotNull(),
     )
     return F.map_from_entries(
         F.transform(
             others,
-            lambda kv: F.struct(F.concat(F.lit(RESOURCE_PREFIX), kv["key"]).alias("key"), any_value(kv["value"]).alias("value")),
+            lambda kv: F.struct(F.concat(F.lit(RESOURCE_PREFIX), _key(kv)).alias("key"), any_value(kv["value"]).alias("value")),
         )
     )
 
@@ -172,13 +214,14 @@ def _records(requests: DataFrame, resources: str, scopes: str, records: str) ->
         "resource_index",
         resource_service(F.col("resource")).alias("_res_service"),
         resource_attributes(F.col("resource")).alias("_res_attrs"),
+        any_not_integer(F.col("resource.attributes")).alias("_res_bad"),
         scopes,
     )
-    scoped = unnest(res, scopes, [*src, "resource_index", "_res_service", "_res_attrs"], "scope_index").select(
+    scoped = unnest(res, scopes, [*src, "resource_index", "_res_service", "_res_attrs", "_res_bad"], "scope_index").select(
         *src, "resource_index", "scope_index",
-        F.coalesce("_res_service", F.col("scope.name"), F.lit("unknown")).alias("_service"), "_res_attrs", records,
+        F.coalesce("_res_service", F.col("scope.name"), F.lit("unknown")).alias("_service"), "_res_attrs", "_res_bad", records,
     )
-    return unnest(scoped, records, [*src, "resource_index", "scope_index", "_service", "_res_attrs"], "record_index")
+    return unnest(scoped, records, [*src, "resource_index", "scope_index", "_service", "_res_attrs", "_res_bad"], "record_index")
 
 
 def _id(col: Column, encoding: str) -> Column:
@@ -201,6 +244,11 @@ def _not_integer(col: Column, name: str) -> tuple[Column, str]:
     return col.isNotNull() & col.try_cast("bigint").isNull(), f"{name} is not an integer"
 
 
+def _bad_attributes(kvs: Column) -> list[tuple[Column, str]]:
+    return [(any_not_integer(kvs), "attribute intValue is not an integer"),
+            (F.col("_res_bad"), "resource attribute intValue is not an integer")]
+
+
 def _readable(requests: DataFrame) -> DataFrame:
     """Without the requests that could not be read; those are quarantined whole (``unreadable_requests``)."""
     if schemas.CORRUPT not in requests.columns:
@@ -277,7 +325,10 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     out = recs.select(
         *location,
         F.to_json(F.struct("timeUnixNano", "severityNumber", "severityText", "body", "attributes", "traceId", "spanId")).alias("raw_body"),
-        first_error(_not_integer(F.col("timeUnixNano"), "timeUnixNano")).alias(INPUT_ERROR),
+        first_error(
+            _not_integer(F.col("timeUnixNano"), "timeUnixNano"), *_bad_attributes(F.col("attributes")),
+            (F.coalesce(not_integer(F.col("body")), F.lit(False)), "body intValue is not an integer"),
+        ).alias(INPUT_ERROR),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
         severity_level(F.col("severityNumber")).alias("level"),
@@ -315,7 +366,9 @@ def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
                            "events", "status")).alias("raw_body"),
         first_error(
             _not_integer(F.col("startTimeUnixNano"), "startTimeUnixNano"), _not_integer(F.col("endTimeUnixNano"), "endTimeUnixNano"),
-            (bad_event, "event timeUnixNano is not an integer"),
+            (bad_event, "event timeUnixNano is not an integer"), *_bad_attributes(F.col("attributes")),
+            (F.exists(F.coalesce(F.col("events"), F.array()), lambda e: any_not_integer(e["attributes"])),
+             "event attribute intValue is not an integer"),
         ).alias(INPUT_ERROR),
         _id(F.col("traceId"), id_encoding).alias("trace_id"),
         _id(F.col("spanId"), id_encoding).alias("span_id"),
@@ -368,11 +421,14 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     no_buckets = F.lit(None).cast(f"array<{schemas.BUCKET}>")
     no_count = F.lit(None).cast("bigint")
 
+    def bad_label(p: Column) -> tuple[Column, str]:
+        return any_not_integer(p["attributes"]), "attribute intValue is not an integer"
+
     def number(kind: Column):
         return lambda p: F.struct(
             kind.alias("metric_type"), p["attributes"].alias("attributes"), p["timeUnixNano"].alias("timeUnixNano"),
             F.coalesce(p["asDouble"], p["asInt"].try_cast("bigint").cast("double")).alias("value"), no_buckets.alias("buckets"),
-            no_count.alias("hist_count"), first_error(_not_integer(p["asInt"], "asInt")).alias("error"),
+            no_count.alias("hist_count"), first_error(_not_integer(p["asInt"], "asInt"), bad_label(p)).alias("error"),
         )
 
     monotonic = F.coalesce(F.col("m.sum.isMonotonic"), F.lit(False))
@@ -386,6 +442,7 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
             _not_integer(p["count"], "count"),
             (F.exists(F.coalesce(p["bucketCounts"], F.array().cast("array<string>")), lambda n: n.try_cast("bigint").isNull()),
              "bucketCounts is not an integer"),
+            bad_label(p),
         ).alias("error"),
     )
 
@@ -406,6 +463,13 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
         metrics.select(*keep, "record_index", "m", F.posexplode_outer(points).alias("_pos", "p"))
         .where(F.col("_pos").isNotNull())
     )
+    # the point as it was sent, found again by its position among the metric's points; read for rejected rows only
+    sent_points, before = [], F.lit(0)
+    for kind in ("gauge", "sum", "histogram", "exponentialHistogram", "summary"):
+        own = F.col(f"m.{kind}.dataPoints")
+        at = F.col("_pos") - before
+        sent_points.append(F.when(at >= 0, F.get(own, at)).alias(f"{kind}Point"))
+        before = before + F.greatest(F.coalesce(F.size(own), F.lit(0)), F.lit(0))
     ts_ns = _nanos(F.col("p.timeUnixNano"), zero_is_now=True)
     svc = F.col("_res_service")
     labels = F.map_concat(
@@ -416,7 +480,7 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     )
     out = rows.select(
         *[c for c in LOCATION if c in rows.columns],
-        F.to_json(F.struct(F.col("m.name").alias("name"), F.col("p").alias("point"))).alias("raw_body"),
+        F.to_json(F.struct(F.col("m.name").alias("name"), F.col("m.unit").alias("unit"), *sent_points)).alias("raw_body"),
         F.coalesce(F.col("p.error"), first_error(_not_integer(F.col("p.timeUnixNano"), "timeUnixNano"))).alias(INPUT_ERROR),
         ts_ns.alias("timestamp_ns"),
         ns_to_ts(ts_ns).alias("ts"),
@@ -434,19 +498,6 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     )
 
 
-def unsupported_metric_points(requests: DataFrame) -> DataFrame:
-    """Counts of exponential-histogram and summary points that were not converted."""
-    metrics = (
-        requests.select(F.inline("resourceMetrics"))
-        .select(F.inline("scopeMetrics"))
-        .select(F.explode("metrics").alias("m"))
-    )
-    return metrics.agg(
-        F.sum(F.coalesce(F.size("m.exponentialHistogram.dataPoints"), F.lit(0))).alias("exponential_histogram_points"),
-        F.sum(F.coalesce(F.size("m.summary.dataPoints"), F.lit(0))).alias("summary_points"),
-    )
-
-
 def split_requests(raw: DataFrame, flat: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """The records of ``flat`` split, with the requests of ``raw`` that could not be read among the rejected."""
     valid, rejected = split_valid(flat, reason)
