@@ -1,6 +1,7 @@
 """Values and layouts off the main path: tiny, huge and non-finite metrics, bucket edges, unreadable input,
 deep attributes, tables of several streams, plans on stored tables."""
 
+import hashlib
 import json
 import os
 
@@ -251,8 +252,46 @@ def test_compaction_keeps_rows_and_merges_files(spark, tmp_dir):
         write_table(logs_df(spark, [dict(message=f"m{i}{j}", service="s", ts_ns=BASE_NS + j * 1000) for j in range(20)]), path, "logs")
     files = lambda: [f for f in os.listdir(f"{path}/dt=2023-11-14") if f.endswith(".parquet")]
     before = len(files())
-    compact_days(spark, path, "logs", ["2023-11-14"], files_per_day=1)
+    compact_days(spark, path, "logs", ["2023-11-14"])
     assert read_stored(spark, path).count() == 80 and len(files()) < before
+    assert not [f for f in os.listdir(path) if "staging" in f]  # nothing is stored twice
+
+
+def test_compaction_completes_a_broken_one(spark, tmp_dir):
+    from vigil.sources.sinks import COMPACTION, compact_days
+
+    path = f"{tmp_dir}/logs"
+    rows = logs_df(spark, [dict(message=f"m{j}", service="s", ts_ns=BASE_NS + j * 1000) for j in range(20)])
+    write_table(rows, path, "logs")
+    read_stored(spark, path).write.partitionBy("dt").parquet(f"{path}/{COMPACTION}")  # staged, then the day was lost
+    os.rename(f"{path}/dt=2023-11-14", f"{tmp_dir}/lost")
+    write_table(logs_df(spark, [dict(message="later", service="s", ts_ns=BASE_NS + DAY)]), path, "logs")
+    compact_days(spark, path, "logs", ["2023-11-15"])
+    assert read_stored(spark, path).count() == 21
+
+
+def test_writing_tasks_of_a_day_follow_its_bytes(spark, tmp_dir):
+    rows = [dict(message="".join(hashlib.md5(f"{i}-{j}".encode()).hexdigest() for j in range(6)), service=f"s{i % 5}", ts_ns=BASE_NS + i * 1000) for i in range(4000)]
+    rows += [dict(message="small day", service="s", ts_ns=BASE_NS + DAY + i) for i in range(5)]
+    logs = logs_df(spark, rows).repartition(16)
+    files = lambda path, day: [f for f in os.listdir(f"{path}/dt={day}") if f.endswith(".parquet")]
+    write_table(logs, f"{tmp_dir}/large", "logs")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        write_table(logs, f"{tmp_dir}/small", "logs")
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        else:
+            spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(files(f"{tmp_dir}/large", "2023-11-14")) == 1
+    many = files(f"{tmp_dir}/small", "2023-11-14")
+    assert len(many) >= 4 and len(files(f"{tmp_dir}/small", "2023-11-15")) == 1
+    for f in many:  # each file is sorted by the table's keys
+        got = [(r.service, r.level, r.timestamp_ns) for r in spark.read.parquet(f"{tmp_dir}/small/dt=2023-11-14/{f}").collect()]
+        assert got == sorted(got)
+    assert read_stored(spark, f"{tmp_dir}/small").count() == len(rows)
 
 
 def test_stored_coarse_tiers_equal_direct_rollups(spark, tmp_dir):

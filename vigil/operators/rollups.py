@@ -150,9 +150,13 @@ def span_stats_rollup(spans: DataFrame, tier: str, percentiles: bool = True) ->
             F.col("min_v").alias("min_duration_ns"),
             F.col("max_v").alias("max_duration_ns"),
         )
-    stats = grouped_percentiles(src, keys, "duration_ns", SPAN_PERCENTILES)
+    return span_columns(grouped_percentiles(src, keys, "duration_ns", SPAN_PERCENTILES))
+
+
+def span_columns(stats: DataFrame) -> DataFrame:
+    """Grouped statistics of durations under the names of the span tiers."""
     return stats.select(
-        *keys,
+        "timestamp", "service", "operation", "span_kind", "status_code",
         F.col("n").alias("span_count"),
         (F.col("sum_v").cast("double") / F.col("n")).alias("avg_duration_ns"),
         F.col("min_v").alias("min_duration_ns"),
@@ -161,14 +165,19 @@ def span_stats_rollup(spans: DataFrame, tier: str, percentiles: bool = True) ->
     )
 
 
-def trace_stats_rollup(spans: DataFrame, tier: str, approximate: bool = False) -> DataFrame:
-    """Distinct traces and span count per bucket and service.
+def trace_stats_rollup(spans: DataFrame, tier: str, approximate: bool = False, sketch: bool = False) -> DataFrame:
+    """Distinct traces and span count per bucket and service; ``sketch`` adds the traces'
+    mergeable sketch (:mod:`vigil.operators.states`), as stored tiers have it.
 
     Batch uses an exact distinct count (D14); Spark plans it as a two-level
     aggregate keyed first by (group, trace_id), so a hot service is spread by
     trace id. ``approximate=True`` uses HyperLogLog++ (needed on streams).
     """
     _check_tier(tier)
+    if sketch:
+        from vigil.operators.states import trace_members, trace_stats
+
+        return trace_stats(trace_members(spans, tier), tier)
     distinct = F.approx_count_distinct("trace_id") if approximate else F.count_distinct("trace_id")
     return spans.groupBy(bucket_start("ts", tier).alias("timestamp"), "service").agg(
         distinct.alias("unique_traces"), F.count(F.lit(1)).alias("total_spans")
@@ -218,7 +227,7 @@ def write_rollups(df: DataFrame, kind: str, out_root: str, tiers=None, policy=No
                 stored = df.sparkSession.read.parquet(finer).join(days, "dt", "left_semi")
                 table = TIER_UP[kind](stored, tier)
             else:
-                table = fn(df, tier)
+                table = fn(df, tier, sketch=True) if fn is trace_stats_rollup else fn(df, tier)
             overwrite_days(table.withColumn("dt", F.to_date("timestamp")), out)
             finer = out
             written.append(name)

@@ -2,8 +2,9 @@
 
 Tables are partitioned by day (``dt``) and sorted within files by the
 reference's sort keys, so min/max statistics prune row groups for the common
-filters. Rows are dealt by day and a salt before they are sorted and written, so a
-day is a few files of a task each rather than one from every task;
+filters. Rows are dealt by day before they are sorted and written, in tasks sized by
+the measured bytes of the shuffle (``REBALANCE``): a small day is one file, a large one as
+many tasks and files as its bytes ask for, whatever share of the rows it holds.
 :func:`compact_days` merges the small files that many batches leave.
 """
 
@@ -36,10 +37,11 @@ def write_table(
     mode: str = "append",
     bloom_trace_id: bool = True,
     batch_id: str | None = None,
-    files_per_day: int = 8,
 ) -> None:
     """Append (or overwrite) rows to a day-partitioned Parquet table.
 
+    Tasks of the write hold about ``spark.sql.adaptive.advisoryPartitionSizeInBytes``.
+
     With ``batch_id`` the rows land in ``dt=…/batch=<id>`` and replace only those
     partitions (dynamic overwrite), so re-running a batch after a failure —
     or after it already succeeded — never duplicates rows.
@@ -50,7 +52,7 @@ def write_table(
     out = _with_dt(df)
     if batch_id is not None:
         out, parts, mode = out.withColumn("batch", F.lit(str(batch_id))), ["dt", "batch"], "overwrite"
-    out = _by_day(out, files_per_day).sortWithinPartitions(*parts, *SORT_KEYS[kind])
+    out = _by_day(out).sortWithinPartitions(*parts, *SORT_KEYS[kind])
     writer = out.write.mode(mode).partitionBy(*parts)
     # stated for this write, so neither the session's mode nor another write's matters
     writer = writer.option("partitionOverwriteMode", "dynamic" if batch_id is not None else "static")
@@ -59,26 +61,42 @@ def write_table(
     writer.parquet(path)
 
 
-def _by_day(df: DataFrame, files_per_day: int) -> DataFrame:
-    """Rows of a day together in at most ``files_per_day`` tasks: a hot day is spread, a small one is few files."""
-    salt = F.pmod(F.xxhash64(*[c for c in ("timestamp_ns", "start_ns", "service") if c in df.columns]), F.lit(files_per_day))
-    return df.withColumn("_salt", salt).repartition("dt", "_salt").drop("_salt")
+def _by_day(df: DataFrame) -> DataFrame:
+    """Rows of a day together, in tasks of the advisory size: AQE splits large days and merges small ones by measured bytes."""
+    return df.hint("rebalance", "dt")
+
+
+COMPACTION = "_compaction_staging"  # partition discovery ignores names with an underscore
 
 
-def compact_days(spark: SparkSession, path: str, kind: str, days: list[str], files_per_day: int = 8) -> None:
-    """Rewrite the given days (``YYYY-MM-DD``) of a ``dt``-partitioned table as a few sorted files each.
+def compact_days(spark: SparkSession, path: str, kind: str, days: list[str]) -> None:
+    """Rewrite the given days (``YYYY-MM-DD``) of a ``dt``-partitioned table as sorted files of the advisory size.
 
-    The rows are staged next to the table first, so each day is replaced from a complete copy.
-    Tables with partitions below the day keep them: they name batches and epochs that must
-    stay replaceable.
+    The rows are staged next to the table first, so each day is replaced from a complete copy,
+    which goes when all days are in place. A later call completes what a broken one had staged.
+    Tables with partitions below the day keep them: batches and epochs must stay
+    replaceable (streams fold theirs, :mod:`vigil.streaming.folding`).
     """
-    table = spark.read.parquet(path).where(F.col("dt").cast("string").isin(days))
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path
+    fs = hpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged = f"{path.rstrip('/')}/{COMPACTION}"
+
+    def put_in_place() -> None:
+        # each day of the copy replaces that day; repeatable until the copy is gone
+        copy = read_stored(spark, staged, kind)
+        copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+        fs.delete(hpath(staged), True)
+
+    if fs.exists(hpath(f"{staged}/_SUCCESS")):
+        put_in_place()
+    table = spark.read.parquet(path)
     below = [c for c in ("batch", "run", "epoch") if c in table.columns]
     if below:
         raise ValueError(f"days of this table are divided by {below}; compact the tables built from it instead")
-    staged = f"{path.rstrip('/')}/_compaction_staging"
-    _by_day(table, files_per_day).sortWithinPartitions("dt", *SORT_KEYS[kind]).write.mode("overwrite").partitionBy("dt").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    table = read_stored(spark, path, kind).where(F.col("dt").cast("string").isin(days))
+    _by_day(table).sortWithinPartitions("dt", *SORT_KEYS[kind]).write.mode("overwrite").partitionBy("dt").parquet(staged)
+    put_in_place()
 
 
 def write_bucketed_table(

@@ -8,14 +8,17 @@ Each micro-batch (``foreachBatch``):
    the rows of other checkpoints apart: a new or lost checkpoint counts its epochs
    from zero again but under a new run id. Rejected rows go to a quarantine table
    the same way, with rows whose event time lies outside the accepted span;
-2. for metrics and logs, whose tiers merge, writes the batch's own rollup as
-   partial rows (``<rollup_root>/_partials``, replaceable like the raw rows) and
-   builds the touched days of every tier from the partial rows: the day's raw rows
-   are not read again;
-3. for spans, or where a touched day holds raw rows without partial ones, collects the
+2. writes the batch's own state of each tier as partial rows (``<rollup_root>/_partials``,
+   replaceable like the raw rows; :mod:`vigil.operators.states`) and builds the touched days
+   of every tier from the partial rows: the day's raw rows are not read again, whatever
+   the kind — the states of the span tiers give exact percentiles and distinct counts;
+3. where a touched day holds raw rows without partial ones (of an older layout), collects the
    day keys (at most the accepted span, ≤ 3651 values) and recomputes those days of every rollup from the raw table
    with the batch operators, overwriting only those ``dt`` partitions.
 
+Closed epochs are folded as the stream goes (:mod:`vigil.streaming.folding`), so a day's
+folders stay few however many batches touch it.
+
 Late rows are never dropped: they land in their day and that day is rebuilt,
 which is what the reference's insert-triggered views do. The recompute reads
 only the touched days (static partition pruning on ``dt``).
@@ -25,16 +28,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.timefn import TIERS
-from vigil.operators.rollups import ROLLUPS_BY_KIND, TIER_UP, overwrite_days, write_rollups
+from vigil.operators.rollups import overwrite_days, write_rollups
 from vigil.operators.retention import MAX_TTL_DAYS, AggregationPolicy
+from vigil.operators.states import STATES, State
 from vigil.schemas import CORRUPT
 from vigil.session import configure, stream_checkpoint
+from vigil.sources.sinks import SORT_KEYS
+from vigil.streaming.folding import fold_day, recover
 
 
 DEFAULT_TIERS = {"logs": ("1hour", "1day"), "metrics": tuple(TIERS), "spans": ("1hour", "1day")}
@@ -81,6 +88,12 @@ def _epochs(spark: SparkSession, path: str, day) -> set[str]:
     return {f"{s.getPath().getParent().getName()}/{s.getPath().getName()}" for s in found}
 
 
+def partial_tables(out_root: str, kind: str, tiers) -> dict[State, str]:
+    """Where each state of a kind keeps the partial rows of its batches, at the finest of the tiers."""
+    finest = min(tiers, key=list(TIERS).index)
+    return {state: f"{out_root.rstrip('/')}/_partials/{state.partials.format(tier=finest)}" for state in STATES[kind]}
+
+
 def merge_days(
     spark: SparkSession, valid: DataFrame, raw_path: str, out_root: str, kind: str, run: str, epoch_id: int, days: list,
     tiers=None, policy: AggregationPolicy | None = None,
@@ -90,19 +103,20 @@ def merge_days(
     The partial rows of an epoch replace themselves on a replay, and a tier's day is always
     the merge of all partial rows of the day, so every step can be repeated.
     """
-    if kind not in TIER_UP or not days:
+    if not days:
         return days
-    (pattern, rollup), = ROLLUPS_BY_KIND[kind].items()
     wanted = sorted(tiers or DEFAULT_TIERS[kind], key=list(TIERS).index)
-    partials = f"{out_root.rstrip('/')}/_partials/{pattern.format(tier=wanted[0])}"
-    _write_epoch(rollup(valid, wanted[0]).withColumn("dt", F.to_date("timestamp")), partials, run, epoch_id)
-    whole = [d for d in days if _epochs(spark, raw_path, d) <= _epochs(spark, partials, d)]
-    if whole:
-        rows = spark.read.parquet(partials).where(F.col("dt").isin(whole)).drop("dt", "run", "epoch")
+    root = out_root.rstrip("/")
+    partials = partial_tables(out_root, kind, wanted)
+    for state, path in partials.items():
+        _write_epoch(state.rows(valid, wanted[0]).withColumn("dt", F.to_date("timestamp")), path, run, epoch_id)
+    whole = [d for d in days if all(_epochs(spark, raw_path, d) <= _epochs(spark, path, d) for path in partials.values())]
+    for state, path in partials.items() if whole else ():
+        rows = spark.read.parquet(path).where(F.col("dt").isin(whole)).drop("dt", "run", "epoch")
         for tier in wanted:
-            name = pattern.format(tier=tier)
+            name = state.table.format(tier=tier)
             if policy is None or policy.is_enabled(name):
-                overwrite_days(TIER_UP[kind](rows, tier).withColumn("dt", F.to_date("timestamp")), f"{out_root.rstrip('/')}/{name}")
+                overwrite_days(state.finish(rows, tier).withColumn("dt", F.to_date("timestamp")), f"{root}/{name}")
     return [d for d in days if d not in whole]
 
 
@@ -143,15 +157,20 @@ def start_ingest(
 
     The checkpoint defaults to ``<spark.checkpoint.dir>/<name>``. Event time is what
     clients claim: rows older than ``max_age_days`` or more than a day ahead are
-    quarantined, which also bounds the days that a batch can touch. It should not
-    exceed the retention of the raw table: span tiers are rebuilt from raw rows.
+    quarantined, which also bounds the days that a batch can touch.
     """
     spark = stream.sparkSession
     configure(spark)
     location = stream_checkpoint(spark, name, checkpoint)
     run = _run_id(spark, location)
 
+    wanted = tiers or DEFAULT_TIERS[kind]
+    finest = min(wanted, key=list(TIERS).index)
+    merges = {path: partial(state.merge, tier=finest) for state, path in partial_tables(rollup_root, kind, wanted).items()}
+
     def process(batch: DataFrame, epoch_id: int) -> None:
+        for table in (raw_path, quarantine_path, *merges):
+            recover(spark, table, run)
         batch = batch.persist()  # read once, used by the two writes and the day scan
         try:
             valid, rejected = validate(batch)
@@ -167,10 +186,16 @@ def start_ingest(
             _write_epoch(rejected.withColumn("dt", day), quarantine_path, run, epoch_id)
             # Distinct day keys of this batch: bounded by the accepted span.
             days = [r.dt for r in valid.select("dt").distinct().collect()]
-            days = merge_days(spark, valid, raw_path, rollup_root, kind, run, epoch_id, days, tiers, policy)
+            rebuild = merge_days(spark, valid, raw_path, rollup_root, kind, run, epoch_id, days, tiers, policy)
+            quarantined = [r.day for r in rejected.select(day.alias("day")).distinct().collect()]  # bounded by the years above
         finally:
             batch.unpersist()
-        recompute_days(spark, raw_path, rollup_root, kind, days, tiers, policy)
+        recompute_days(spark, raw_path, rollup_root, kind, rebuild, tiers, policy)
+        # every epoch before this one is committed: it will not be replayed
+        for touched in days:
+            fold_day(spark, raw_path, touched, run, epoch_id, SORT_KEYS[kind], merges)
+        for touched in quarantined:
+            fold_day(spark, quarantine_path, touched, run, epoch_id)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", location).queryName(name)
     if available_now:
