@@ -102,3 +102,20 @@ def test_expire_partitions_with_batches(spark, tmp_dir):
     assert sorted(r.message for r in spark.read.parquet(path).collect()) == ["m6", "m7", "m8", "m9"]
     expire_partitions(spark, path, ttl_days=2, as_of_ts="2023-11-19 12:00:00")  # idempotent
     assert spark.read.parquet(path).count() == 4
+
+
+def test_batch_names_survive_expiry_and_a_rerun(spark, tmp_dir):
+    logs = logs_df(spark, [dict(message=f"m{i}", service="s", ts_ns=BASE_NS + i * DAY // 12) for i in range(24)])
+    path = f"{tmp_dir}/named"
+    for batch in ("007", "1e3", "2024-01-01"):  # names that look like values
+        write_table(logs, path, "logs", batch_id=batch)
+    expire_partitions(spark, path, ttl_days=2, as_of_ts="2023-11-17 12:00:00")
+    import os
+
+    kept = {name for day in os.listdir(path) if day.startswith("dt=") for name in os.listdir(f"{path}/{day}")}
+    assert kept == {"batch=007", "batch=1e3", "batch=2024-01-01"}
+    before = spark.read.parquet(path).count()
+    young = logs.where("ts >= '2023-11-15 12:00:00'")
+    for batch in ("007", "1e3", "2024-01-01"):  # a rerun replaces its own rows
+        write_table(young, path, "logs", batch_id=batch)
+    assert spark.read.parquet(path).count() == before == 3 * young.count()

@@ -149,3 +149,13 @@ def test_folds_of_partial_rows_follow_the_raw_epochs():
     assert folding.size_classes({0: 5000, 1: 100, 2: 90, 3: 110}, 3) == [[1, 2, 3]]
     assert folding.covered([2, 5], [0, 1, 2, 3, 4, 5]) == [[0, 1, 2], [3, 4, 5]]
     assert folding.covered([2, 5], [2, 5]) == [] and folding.covered([2, 5], [3, 5, 6]) == [[3, 5]]
+
+
+def test_a_replay_gives_absent_times_the_time_of_the_first_run(spark, tmp_dir):
+    send(f"{tmp_dir}/in", "a.json", [{k: v for k, v in span(i).items() if k != "start_time"} for i in range(3)])
+    run_stream(spark, tmp_dir)
+    first = sorted((r.span_id, r.ts, str(r.dt)) for r in spark.read.parquet(f"{tmp_dir}/raw").collect())
+    for f in os.listdir(f"{tmp_dir}/ck/commits"):
+        os.remove(f"{tmp_dir}/ck/commits/{f}")
+    run_stream(spark, tmp_dir)
+    assert sorted((r.span_id, r.ts, str(r.dt)) for r in spark.read.parquet(f"{tmp_dir}/raw").collect()) == first and len(first) == 3

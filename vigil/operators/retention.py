@@ -14,6 +14,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.normalize import normalize_message
 from vigil.operators.rollups import ROLLUP_RETENTION_DAYS
@@ -101,12 +102,22 @@ def _partition_columns(fs, hpath, path: str) -> list[str]:
         at = below[0].getPath()
 
 
+def _as_named(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """The rows of a partitioned table with its partition columns as the text that names their folders.
+
+    Inferred types would turn ``batch=007`` into the number 7 and write it back under another name.
+    """
+    schema = spark.read.parquet(path).schema
+    fields = [f for f in schema.fields if f.name not in parts] + [T.StructField(p, T.StringType()) for p in parts]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def _replace_day(spark: SparkSession, fs, hpath, path: str, date_col: str, day: str, staged: str, parts: list[str]) -> int:
     """Put the staged survivors in the place of ``day``, then drop the staging copy. Repeatable until that last step."""
     survivors = fs.exists(hpath(f"{staged}/{date_col}={day}"))
     fs.delete(hpath(f"{path}/{date_col}={day}"), True)
     if survivors:
-        spark.read.parquet(staged).write.mode("append").partitionBy(*parts).parquet(path)
+        _as_named(spark, staged, parts).write.mode("append").partitionBy(*parts).parquet(path)
     fs.delete(hpath(staged), True)
     return int(survivors)
 
@@ -143,7 +154,7 @@ def expire_partitions(
             if s.getPath().getName().startswith(f"{date_col}=")}
     if boundary_day in days:
         staged = f"{path}/{STAGING}/{boundary_day}-{cutoff_dt:%H%M%S%f}"
-        boundary = spark.read.parquet(path).where(F.col(date_col) == F.lit(boundary_day).cast("date"))
+        boundary = _as_named(spark, path, parts).where(F.col(date_col) == F.lit(boundary_day))
         keep = boundary.where(F.col(ts_col) >= F.lit(cutoff_dt.isoformat(sep=" ")).cast("timestamp"))
         keep.write.partitionBy(*parts).parquet(staged)
         rewritten = _replace_day(spark, fs, hpath, path, date_col, boundary_day, staged, parts)

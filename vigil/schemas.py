@@ -25,6 +25,9 @@ SPAN = (
 # What a reader could not fit into its schema, as it stood in the file (readers add it to every request).
 CORRUPT = "_corrupt_record"
 
+# When a batch of a stream was received (streams add it to every request): stands for absent times, the same on a replay.
+RECEIVED = "received_at"
+
 # Native JSON request bodies (one object, an array of objects, or JSON lines).
 NATIVE_LOG = (
     "timestamp string, level string, message string, service string, attributes map<string, variant>, "

@@ -35,6 +35,7 @@ from vigil.sources.validate import (
     first_error,
     log_reject_reason,
     metric_reject_reason,
+    received_ns,
     sent,
     span_reject_reason,
     split_valid,
@@ -53,10 +54,6 @@ def rfc3339_to_ns(text: Column) -> Column:
     return micros * F.lit(1000) + extra_ns
 
 
-def _now_ns() -> Column:
-    return F.unix_micros(F.current_timestamp()) * F.lit(1000)
-
-
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """Read request bodies with ``source_file`` provenance for the quarantine (I8)."""
     configure(spark)
@@ -85,7 +82,7 @@ def _unknown(column: str, allowed: tuple[str, ...]) -> tuple[Column, str]:
 
 def normalize_logs(raw: DataFrame) -> DataFrame:
     """Native log requests -> LogEntry rows."""
-    ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), _now_ns())
+    ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), received_ns(raw))
     out = raw.select(
         *_source(raw, _bad_time("timestamp"), _unknown("level", LEVELS)),
         ts_ns.alias("timestamp_ns"),
@@ -102,7 +99,7 @@ def normalize_logs(raw: DataFrame) -> DataFrame:
 
 def normalize_metrics(raw: DataFrame) -> DataFrame:
     """Native metric requests -> Metric rows (simple values; optional buckets)."""
-    ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), _now_ns())
+    ts_ns = F.coalesce(rfc3339_to_ns(F.col("timestamp")), received_ns(raw))
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
     return raw.select(
         *_source(raw, _bad_time("timestamp"), _unknown("metric_type", METRIC_TYPES)),
@@ -124,7 +121,7 @@ def normalize_metrics(raw: DataFrame) -> DataFrame:
 
 def normalize_spans(raw: DataFrame) -> DataFrame:
     """Native span requests -> Span rows."""
-    start = F.coalesce(rfc3339_to_ns(F.col("start_time")), _now_ns())
+    start = F.coalesce(rfc3339_to_ns(F.col("start_time")), received_ns(raw))
     end = start + F.coalesce(F.col("duration_ms"), F.lit(0)) * F.lit(1_000_000)
     return raw.select(
         *_source(raw, _bad_time("start_time"), _unknown("kind", SPAN_KINDS), _unknown("status", SPAN_STATUSES)),

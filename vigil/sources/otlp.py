@@ -24,6 +24,7 @@ from vigil.sources.validate import (
     first_error,
     log_reject_reason,
     metric_reject_reason,
+    received_ns,
     span_reject_reason,
     split_valid,
     unreadable_requests,
@@ -41,10 +42,6 @@ SERVICE_NAME_KEY = "service.name"
 RESOURCE_PREFIX = "resource."
 
 
-def _now_ns() -> Column:
-    return F.unix_micros(F.current_timestamp()) * F.lit(1000)
-
-
 # A string of compact JSON, and text without brackets (of masked JSON text)
 _STR = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _FLAT = r"[^\[\]{}]*+"
@@ -233,10 +230,10 @@ def _id(col: Column, encoding: str) -> Column:
     return F.nullif(F.lower(col), F.lit(""))
 
 
-def _nanos(col: Column, zero_is_now: bool) -> Column:
-    """Wire time -> ns; a malformed one reads as absent and is reported by :func:`_not_integer`."""
+def _nanos(col: Column, absent: Column | None = None) -> Column:
+    """Wire time -> ns; a zero reads as ``absent``, and so does a malformed one, which :func:`_not_integer` reports."""
     ns = col.try_cast("bigint")
-    return F.coalesce(F.nullif(ns, F.lit(0)), _now_ns()) if zero_is_now else F.coalesce(ns, F.lit(0))
+    return F.coalesce(ns, F.lit(0)) if absent is None else F.coalesce(F.nullif(ns, F.lit(0)), absent)
 
 
 def _not_integer(col: Column, name: str) -> tuple[Column, str]:
@@ -294,8 +291,8 @@ def unnest(df: DataFrame, array_col: str, keep: list[str], position: str | None
 
 
 def _passthrough(df: DataFrame) -> list[str]:
-    """Row provenance carried to the output when the reader supplied it."""
-    return ["source_file"] if "source_file" in df.columns else []
+    """Row provenance and time of receipt, carried along when the reader supplied them."""
+    return [c for c in ("source_file", schemas.RECEIVED) if c in df.columns]
 
 
 # I8: a rejected record is located by its file and its position in the request.
@@ -320,7 +317,7 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     body_text = F.coalesce(
         F.col("body.stringValue"), F.to_json(any_value(F.col("body"), empty_is_null=True)), F.lit("")
     )
-    ts_ns = _nanos(F.col("timeUnixNano"), zero_is_now=True)
+    ts_ns = _nanos(F.col("timeUnixNano"), received_ns(recs))
     location = [c for c in LOCATION if c in recs.columns]
     out = recs.select(
         *location,
@@ -344,13 +341,13 @@ def flatten_logs(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
 def flatten_spans(requests: DataFrame, id_encoding: str = "hex") -> DataFrame:
     """ExportTraceServiceRequest rows -> Span rows."""
     recs = _records(_readable(requests), "resourceSpans", "scopeSpans", "spans")
-    start = _nanos(F.col("startTimeUnixNano"), zero_is_now=False)
-    end = _nanos(F.col("endTimeUnixNano"), zero_is_now=False)
+    start = _nanos(F.col("startTimeUnixNano"))
+    end = _nanos(F.col("endTimeUnixNano"))
     name = F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, F.lit("unknown")).otherwise(F.col("name"))
     events = F.transform(
         F.coalesce(F.col("events"), F.array()),
         lambda e: F.struct(
-            _nanos(e["timeUnixNano"], zero_is_now=False).alias("ts_ns"),
+            _nanos(e["timeUnixNano"]).alias("ts_ns"),
             e["name"].alias("name"),
             attributes_map(e["attributes"]).alias("attributes"),
         ),
@@ -470,7 +467,7 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
         at = F.col("_pos") - before
         sent_points.append(F.when(at >= 0, F.get(own, at)).alias(f"{kind}Point"))
         before = before + F.greatest(F.coalesce(F.size(own), F.lit(0)), F.lit(0))
-    ts_ns = _nanos(F.col("p.timeUnixNano"), zero_is_now=True)
+    ts_ns = _nanos(F.col("p.timeUnixNano"), received_ns(rows))
     svc = F.col("_res_service")
     labels = F.map_concat(
         string_attributes(F.col("p.attributes")),

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.schemas import CORRUPT
+from vigil.schemas import CORRUPT, RECEIVED
 
 
 def _nonempty(c: str) -> Column:
@@ -58,9 +58,15 @@ def unreadable(raw: DataFrame) -> Column:
     return F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
 
 
+def received_ns(raw: DataFrame) -> Column:
+    """The time that stands for an absent one, in ns: when the batch was received, if the reader knows, else now."""
+    when = F.col(RECEIVED) if RECEIVED in raw.columns else F.current_timestamp()
+    return F.unix_micros(when) * F.lit(1000)
+
+
 def sent(raw: DataFrame) -> Column:
     """The record as it was sent: the reader's text if it is unreadable, else its fields as JSON."""
-    fields = F.to_json(F.struct(*[c for c in raw.columns if c not in (CORRUPT, "source_file")]))
+    fields = F.to_json(F.struct(*[c for c in raw.columns if c not in (CORRUPT, RECEIVED, "source_file")]))
     return F.coalesce(F.col(CORRUPT), fields) if CORRUPT in raw.columns else fields
 
 
@@ -70,7 +76,7 @@ def unreadable_requests(raw: DataFrame) -> DataFrame:
     if CORRUPT not in raw.columns:
         raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
     # the reader refuses a query on the corrupt text alone, so the (always true) size test names a field as well
-    fields = next(c for c in raw.columns if c not in (CORRUPT, "source_file"))
+    fields = next(c for c in raw.columns if c not in (CORRUPT, RECEIVED, "source_file"))
     return raw.where(F.col(CORRUPT).isNotNull() & (F.coalesce(F.size(fields), F.lit(-1)) >= -1)).select(
         *where, F.col(CORRUPT).alias("raw_body"), F.lit("request is not readable").alias("reject_reason")
     )

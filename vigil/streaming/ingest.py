@@ -4,7 +4,8 @@ Each micro-batch (``foreachBatch``):
 
 1. validates and appends raw rows to a table partitioned by ``dt``, ``run`` and
    ``epoch`` — dynamic partition overwrite of ``run=<id>/epoch=<batch id>`` makes a
-   replayed batch idempotent, and the run id, which lives in the checkpoint, keeps
+   replayed batch idempotent (absent times are the batch's, which the checkpoint keeps, so
+   a replay meets the same day however late it comes), and the run id, which lives in the checkpoint, keeps
    the rows of other checkpoints apart: a new or lost checkpoint counts its epochs
    from zero again but under a new run id. Rejected rows go to a quarantine table
    the same way, with rows whose event time lies outside the accepted span;
@@ -38,7 +39,7 @@ from vigil.functions.timefn import TIERS
 from vigil.operators.rollups import overwrite_days, write_rollups
 from vigil.operators.retention import MAX_TTL_DAYS, AggregationPolicy
 from vigil.operators.states import STATES, State
-from vigil.schemas import CORRUPT
+from vigil.schemas import CORRUPT, RECEIVED
 from vigil.session import configure, stream_checkpoint
 from vigil.sources.sinks import SORT_KEYS
 from vigil.streaming.folding import fold_day, recover
@@ -175,7 +176,8 @@ def start_ingest(
         try:
             valid, rejected = validate(batch)
             valid = valid if "dt" in valid.columns else valid.withColumn("dt", F.to_date("ts"))
-            in_span = F.col("dt").between(F.date_sub(F.current_date(), max_age_days), F.date_add(F.current_date(), 1))
+            received = F.to_date(F.lit(batch.agg(F.max(RECEIVED)).first()[0]))  # a replay's as the first run's
+            in_span = F.col("dt").between(F.date_sub(received, max_age_days), F.date_add(received, 1))
             outside = valid.where(~F.coalesce(in_span, F.lit(False))).withColumn("reject_reason", F.lit("event time out of range"))
             valid = valid.where(in_span)
             rejected = rejected.unionByName(outside.drop("dt"), allowMissingColumns=True)
@@ -197,6 +199,8 @@ def start_ingest(
         for touched in quarantined:
             fold_day(spark, quarantine_path, touched, run, epoch_id)
 
+    # in a stream this is the batch's time, which the checkpoint keeps
+    stream = stream.withColumn(RECEIVED, F.current_timestamp())
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", location).queryName(name)
     if available_now:
         writer = writer.trigger(availableNow=True)
