@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.normalize import normalize_message
+from vigil.operators import trace_index
 from vigil.operators.rollups import ROLLUP_RETENTION_DAYS
 
 MIN_TTL_DAYS, MAX_TTL_DAYS = 1, 3650
@@ -191,6 +192,9 @@ def enforce_retention(
         path = f"{tier_root.rstrip('/')}/{tier}"
         if fs.exists(hpath(path)):
             done[tier] = expire_partitions(spark, path, days, as_of_ts, ts_col="timestamp")
+    index = f"{tier_root.rstrip('/')}/{trace_index.DAYS}"
+    if fs.exists(hpath(index)):  # the index goes with the spans that it tells of
+        done[trace_index.DAYS] = expire_partitions(spark, index, retention.ttl_days["traces"], as_of_ts, ts_col="last_ts")
     # the partial rows of streamed tiers stay as long as any tier that is merged from them
     partials = hpath(f"{tier_root.rstrip('/')}/_partials")
     for status in fs.listStatus(partials) if fs.exists(partials) else []:

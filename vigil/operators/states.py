@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.timefn import bucket_start
-from vigil.operators import rollups
+from vigil.operators import rollups, trace_index
 from vigil.operators.quantiles import grouped_percentiles
 
 SPAN_KEYS = ["timestamp", "service", "operation", "span_kind", "status_code"]
@@ -88,7 +88,10 @@ def distinct_traces(tier_rows: DataFrame, by: Sequence[Column | str]) -> DataFra
 
 @dataclass(frozen=True)
 class State:
-    """How batches add to one tier table: ``rows`` of a batch, ``merge`` of rows, ``finish`` to the table's rows."""
+    """How batches add to one tier table: ``rows`` of a batch, ``merge`` of rows, ``finish`` to the table's rows.
+
+    A ``table`` that does not name its tier is built once, whatever the tiers.
+    """
 
     table: str
     partials: str
@@ -103,5 +106,6 @@ STATES: dict[str, tuple[State, ...]] = {
     "spans": (
         State("spans_{tier}_stats", "spans_{tier}_values", span_values, merge_span_values, span_stats),
         State("traces_{tier}_stats", "traces_{tier}_members", trace_members, merge_trace_members, trace_stats),
+        State(trace_index.DAYS, "traces_index_rows", trace_index.index_rows, trace_index.merge_index, trace_index.merge_index),
     ),
 }

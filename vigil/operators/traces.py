@@ -54,12 +54,15 @@ def find_traces(
     filters are pushed to the scan, with ``dt`` bounds for the range; a semi join
     then leaves only the candidates' spans to shuffle and aggregate, all of them, so
     the summaries stay whole-trace. ``prefilter=False`` aggregates every trace.
+    A stored deployment searches :mod:`vigil.operators.trace_index` instead, which reads
+    no span outside the days of the range.
     """
     tests = [F.col(c) == F.lit(v) for c, v in (("service", service), ("status", status)) if v is not None]
     day = "dt" if "dt" in spans.columns else None
+    # both bounds of a range: either alone leaves all older or all newer traces as candidates
     if start_ns is not None:
         tests.append(time_range("start_ns", start_ns, None, day))
-    elif end_ns is not None:
+    if end_ns is not None:
         tests.append(time_range("start_ns", None, end_ns, day))
     if prefilter and tests:
         source = spans

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.model import attributes_as_text, labels_key
 from vigil.functions.normalize import normalize_message
-from vigil.operators import counts, logs as logops, metrics as metricops, reports, rollups, traces
+from vigil.operators import counts, logs as logops, metrics as metricops, reports, rollups, trace_index, traces
 from vigil.operators.predicates import And, Cond, Or, parse_rfc3339_ns, where_
 from vigil.operators.retention import apply_retention
 from vigil.plans import wire
@@ -511,6 +511,34 @@ def q_trace_by_id(spark, d):
     )
 
 
+def _indexed(spark, d):
+    index = trace_index.index_rows(views.spans(spark, d)).withColumn("dt", F.to_date("timestamp"))
+    return index, trace_index.long_rows(index.drop("dt"))
+
+
+@query
+def q_trace_index(spark, d):
+    """T1–T4 index: one row for each trace and day."""
+    index, _ = _indexed(spark, d)
+    return index.select("trace_id", F.col("dt").alias("day"), "span_count", "first_start_ns", "last_start_ns", "last_end_ns",
+                        F.array_join("services", ",").alias("services"), F.array_join("statuses", ",").alias("statuses"))
+
+
+@query
+def q_trace_search_indexed(spark, d):
+    """T1–T4 together, answered from the index."""
+    return _trace_cols(trace_index.search(
+        *_indexed(spark, d), service=SERVICE, status="error", start_ns=parse_rfc3339_ns(TS_FROM), end_ns=parse_rfc3339_ns(TS_TO),
+        min_duration_ms=1000))
+
+
+@query
+def q_trace_fetch_indexed(spark, d):
+    """All spans of the newest page of the index, from the traces' days."""
+    page = traces.recent_traces(trace_index.search(*_indexed(spark, d), service=SERVICE, end_ns=parse_rfc3339_ns(TS_TO)), 100)
+    return trace_index.fetch_spans(views.spans(spark, d), page).select("trace_id", "span_id", "service", "start_ns")
+
+
 @query
 def q_log_trace_join(spark, d):
     """J2"""

@@ -388,6 +388,24 @@ where trace_id in (select trace_id from trace_summary where has_service
                    order by start_ns desc, trace_id desc limit 100)""",
     "trace_summary",
 )
+ORACLE["q_trace_index"] = sql(
+    """select trace_id, cast(ts as date) as day, count(*) as span_count, min(start_ns) as first_start_ns, max(start_ns) as last_start_ns,
+  max(end_ns) as last_end_ns, string_agg(distinct service, ',' order by service) as services,
+  string_agg(distinct status, ',' order by status) as statuses
+from spans group by trace_id, cast(ts as date)""",
+    "spans",
+)
+ORACLE["q_trace_search_indexed"] = sql(
+    f"select {_TRACE_COLS} from trace_summary where has_service and has_error and duration_ms >= 1000 "
+    f"and last_start_ns >= {_ts_ns(C.TS_FROM)} and start_ns < {_ts_ns(C.TS_TO)}",
+    "trace_summary",
+)
+ORACLE["q_trace_fetch_indexed"] = sql(
+    f"""select trace_id, span_id, service, start_ns from spans
+where trace_id in (select trace_id from trace_summary where has_service and start_ns < {_ts_ns(C.TS_TO)}
+                   order by start_ns desc, trace_id desc limit 100)""",
+    "trace_summary",
+)
 ORACLE["q_trace_span_level"] = sql(
     f"select distinct trace_id from spans where service = '{_SVC}' and status = 'error' "
     "and duration_ns // 1000000 >= 100",

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.timefn import TIERS
+from vigil.operators import trace_index
 from vigil.operators.rollups import overwrite_days, write_rollups
 from vigil.operators.retention import MAX_TTL_DAYS, AggregationPolicy
 from vigil.operators.states import STATES, State
@@ -114,10 +115,13 @@ def merge_days(
     whole = [d for d in days if all(_epochs(spark, raw_path, d) <= _epochs(spark, path, d) for path in partials.values())]
     for state, path in partials.items() if whole else ():
         rows = spark.read.parquet(path).where(F.col("dt").isin(whole)).drop("dt", "run", "epoch")
-        for tier in wanted:
+        built = dict.fromkeys(wanted) if "{tier}" in state.table else {wanted[0]: None}
+        for tier in built:
             name = state.table.format(tier=tier)
             if policy is None or policy.is_enabled(name):
                 overwrite_days(state.finish(rows, tier).withColumn("dt", F.to_date("timestamp")), f"{root}/{name}")
+    if kind == "spans" and whole:
+        trace_index.refresh_long(spark, root, whole)
     return [d for d in days if d not in whole]
 
 
@@ -135,6 +139,8 @@ def recompute_days(
         return
     raw = spark.read.parquet(raw_path).where(F.col("dt").isin(days)).drop("run", "epoch")
     write_rollups(raw, kind, out_root, tiers or DEFAULT_TIERS[kind], policy)
+    if kind == "spans":
+        trace_index.write_index(raw, out_root, days)
 
 
 def start_ingest(
