@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from vigil.functions.model import attributes_as_text, labels_key
 from vigil.functions.normalize import normalize_message
-from vigil.operators import counts, logs as logops, metrics as metricops, reports, rollups, trace_index, traces
+from vigil.operators import (
+    counts, deep_pages, logs as logops, metrics as metricops, pattern_dictionary, reports, rollups, span_tree, states, trace_index,
+    traces,
+)
 from vigil.operators.predicates import And, Cond, Or, parse_rfc3339_ns, where_
 from vigil.operators.retention import apply_retention
-from vigil.plans import wire
+from vigil.plans import ranges, wire
 from vigil.plans.sql import register_views
 from vigil.session import configure
-from vigil.sources import native_json, otlp, views
+from vigil.sources import native_json, otlp, skip_index, views
 from vigil.sources.validate import (
     bucket_total,
     log_reject_reason,
@@ -41,6 +44,9 @@ LOG_LEVEL = "error"
 TS_FROM = "2024-01-08T00:00:00Z"
 TS_TO = "2024-01-21T12:30:00.5+02:00"
 EPOCH_SECONDS = 1704931200  # 2024-01-11T00:00:00Z
+RANGE_FROM, RANGE_TO = "2024-01-08T03:17:29.25Z", "2024-01-21T22:41:07.5Z"  # off the borders of every tier
+NEEDLES = And(Cond("message", "contains", "User1"), Or(Cond("message", "contains", "BOUNCED"), Cond("message", "ends_with", "7ms")))
+BLOCK = 64  # logs of a block of the gram index
 RETENTION_TTL = {"logs": 7, "metrics": 14, "traces": 10}
 MS_ROUND = 5  # means of milliseconds are compared at 0.01 µs
 PCT_ROUND = 2  # percentile-derived ns values are compared at 0.01 ns
@@ -166,6 +172,52 @@ def q_traces_1day_stats(spark, d):
     return rollups.trace_stats_rollup(views.spans(spark, d), "1day")
 
 
+@query
+def q_spans_1day_from_states(spark, d):
+    """A8 + M2: the day tier merged from hourly states of the spans."""
+    return _span_cols(states.span_stats(states.span_values(views.spans(spark, d), "1hour"), "1day"))
+
+
+@query
+def q_traces_1day_from_states(spark, d):
+    """A10 + M2: the day tier merged from hourly states of the traces."""
+    return states.trace_stats(states.trace_members(views.spans(spark, d), "1hour"), "1day").drop("traces_sketch")
+
+
+@query
+def q_traces_distinct_sketch(spark, d):
+    """A9 + A19 + D14: traces of a service over all hours by the union of the hours' sketches, held against the exact count."""
+    spans = views.spans(spark, d)
+    merged = states.distinct_traces(rollups.trace_stats_rollup(spans, "1hour", sketch=True), ["service"])
+    exact = spans.groupBy("service").agg(F.count_distinct("trace_id").alias("traces"))
+    near = F.abs(F.col("unique_traces") - F.col("traces")) <= states.SKETCH_ERROR * F.col("traces")
+    return exact.join(merged, "service").select("service", "traces", "total_spans", near.alias("within_error"))
+
+
+@query
+def q_logs_1day_by_dictionary(spark, d):
+    """A6 + M8: the day tier from message counts and the dictionary of distinct messages."""
+    logs = views.logs(spark, d)
+    dictionary = logs.select("message").distinct().withColumn("normalized_message", normalize_message("message"))
+    return pattern_dictionary.counts_by_pattern(pattern_dictionary.message_counts(logs, "1day"), dictionary)
+
+
+@query
+def q_metric_range(spark, d):
+    """A12 + A23 + E1: metrics by day over a range off all borders, stitched from the tiers and raw points."""
+    raw = views.metrics(spark, d)
+    tiers = {t: rollups.metric_rollup(raw, t) for t in ("1min", "5min", "1hour", "1day")}
+    return _metric_cols(ranges.read_range("metrics", raw, tiers, parse_rfc3339_ns(RANGE_FROM), parse_rfc3339_ns(RANGE_TO)))
+
+
+@query
+def q_span_range(spark, d):
+    """A7 + A12: span statistics by day over the same range, stitched from hourly states and raw spans."""
+    raw = views.spans(spark, d)
+    values = ranges.read_range("spans", raw, {"1hour": states.span_values(raw, "1hour")}, parse_rfc3339_ns(RANGE_FROM), parse_rfc3339_ns(RANGE_TO))
+    return _span_cols(states.span_stats(values, "1day"))
+
+
 # --- raw aggregates A13–A23 ------------------------------------------------------------------
 
 def _metric_agg(fn: str):
@@ -345,6 +397,12 @@ def q_logs_limit_offset(spark, d):
     return _log_cols(logops.search_logs(views.logs(spark, d), Cond("level", "=", LOG_LEVEL), limit=20, offset=40))
 
 
+@query
+def q_logs_deep_page(spark, d):
+    """A page far from the start, from the hours that hold it."""
+    return _log_cols(deep_pages.page_at(views.logs(spark, d), offset=640, limit=75))
+
+
 @query
 def q_traces_recent(spark, d):
     """L7"""
@@ -429,6 +487,15 @@ for _name, (_pred, _doc) in PREDICATES.items():
     _pred_query(_name, _pred, _doc)
 
 
+@query
+def q_log_contains_by_grams(spark, d):
+    """F3 + F19: substrings looked for in the blocks of logs whose grams allow them."""
+    logs = views.logs(spark, d).withColumn("block", F.call_function("div", F.col("log_id"), F.lit(BLOCK)))
+    index = skip_index.gram_rows(logs, "message", "block")
+    able = skip_index.holding(index, skip_index.wanted_grams(spark, skip_index.needles(NEEDLES, "message")), "block")
+    return _log_cols(where_(logs.join(able, "block", "left_semi"), NEEDLES))
+
+
 @query
 def q_log_filter_range_level_service_contains(spark, d):
     """The store filter."""
@@ -553,6 +620,12 @@ def q_span_parent_child(spark, d):
     return traces.span_tree(views.spans(spark, d))
 
 
+@query
+def q_span_tree(spark, d):
+    """Root, depth, subtree and critical path of every span."""
+    return span_tree.whole_tree(views.spans(spark, d))
+
+
 @query
 def q_span_orphans(spark, d):
     """Spans whose parent is missing from their trace (left anti join)."""

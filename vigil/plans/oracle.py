@@ -545,5 +545,53 @@ ORACLE["q_ingest_metric_rejects"] = _rejects("metrics", "point_id", "timeUnixNan
 ORACLE["q_ingest_span_rejects"] = _rejects("spans", "(start_ns // 1000)", "startTimeUnixNano", "end time must not be before start time")
 
 
+ORACLE["q_spans_1day_from_states"] = ORACLE["q_spans_1day_stats"]
+ORACLE["q_traces_1day_from_states"] = ORACLE["q_traces_1day_stats"]
+ORACLE["q_traces_distinct_sketch"] = sql(
+    "select service, count(distinct trace_id) as traces, count(*) as total_spans, true as within_error from spans group by service", "spans"
+)
+ORACLE["q_logs_1day_by_dictionary"] = ORACLE["q_logs_1day_counts"]
+_RANGE = "{c} >= %d and {c} < %d" % (parse_rfc3339_ns(C.RANGE_FROM), parse_rfc3339_ns(C.RANGE_TO))
+ORACLE["q_metric_range"] = sql(
+    f"select {_METRIC_COLS} from ({_metric_tier('1day').replace('from metrics', 'from metrics where ' + _RANGE.format(c='timestamp_ns'))})",
+    "metrics",
+)
+ORACLE["q_span_range"] = sql(
+    f"select * from ({_span_tier('1day').replace('from spans', 'from spans where ' + _RANGE.format(c='start_ns'))})", "spans"
+)
+ORACLE["q_logs_deep_page"] = sql(f"select {_LOG_COLS} from logs order by timestamp_ns desc, log_id limit 75 offset 640", "logs")
+ORACLE["q_log_contains_by_grams"] = sql(
+    f"""select {_LOG_COLS} from logs
+where contains(lower(message), 'user1') and (contains(lower(message), 'bounced') or suffix(lower(message), '7ms'))""",
+    "logs",
+)
+ORACLE["q_span_tree"] = sql(
+    """select * from (
+with recursive nodes as (
+  select s.trace_id, s.span_id, s.parent_span_id, s.duration_ns, s.end_ns, p.span_id as parent
+  from spans s left join spans p on p.trace_id = s.trace_id and p.span_id = s.parent_span_id
+), last_child as (
+  select trace_id, parent, arg_max(span_id, (end_ns, span_id)) as span_id from nodes where parent is not null group by trace_id, parent
+), tree as (
+  select trace_id, span_id, span_id as root_span_id, 0 as depth, true as on_critical_path from nodes where parent is null
+  union all
+  select n.trace_id, n.span_id, t.root_span_id, t.depth + 1, t.on_critical_path and n.span_id = l.span_id
+  from nodes n join tree t on n.trace_id = t.trace_id and n.parent = t.span_id
+    join last_child l on l.trace_id = n.trace_id and l.parent = n.parent
+), below as (
+  select trace_id, span_id as top, span_id from nodes
+  union all
+  select b.trace_id, b.top, n.span_id from below b join nodes n on n.trace_id = b.trace_id and n.parent = b.span_id
+), sums as (
+  select b.trace_id, b.top as span_id, count(*) as subtree_spans, cast(sum(n.duration_ns) as bigint) as subtree_ns
+  from below b join nodes n on n.trace_id = b.trace_id and n.span_id = b.span_id group by b.trace_id, b.top
+)
+select n.trace_id, n.span_id, n.parent_span_id, t.root_span_id, t.depth, s.subtree_spans, s.subtree_ns, t.on_critical_path,
+  t.span_id is null as in_cycle
+from nodes n left join tree t using (trace_id, span_id) left join sums s using (trace_id, span_id))""",
+    "spans",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
