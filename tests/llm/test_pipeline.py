@@ -65,12 +65,14 @@ def test_oracle(spark, name):
     assert compare(spark, duck(SF), name, E.queries()[name], E.oracle_sql()[name], SF)
 
 
-def test_entry_without_the_subpackage(monkeypatch):
+@pytest.mark.filterwarnings("ignore:.*is left out")
+@pytest.mark.parametrize("missing", ["", "public_tokenizers", "ahocorasick"])
+def test_entry_without_the_subpackage(monkeypatch, missing):
     real = importlib.import_module
 
     def without(name, *rest):
         if name.startswith("vigil.llm") or name == "corpus_pipeline":
-            raise ModuleNotFoundError(name=name)
+            raise ModuleNotFoundError(name=missing or name)
         return real(name, *rest)
 
     monkeypatch.setattr(importlib, "import_module", without)

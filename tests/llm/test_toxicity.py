@@ -106,8 +106,11 @@ def test_the_trie_skips_no_weighted_reading(model, monkeypatch):
              "-", "/", "!", "*", "...", "42", "x", "ss", "letter", "Idiot".lower(), "'"]
     tokens = {"".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(1500)}
     assert sum(bool(slow.token(t)) for t in tokens) > 200
+    tokens |= {"".join(r.choices("acdíilmosstuwéß", k=r.randint(1, 9))) + r.choice(["", ",", "!", "."]) for _ in range(3000)}
     for token in tokens:
-        assert quick.token(token) == slow.token(token), token
+        found = slow.token(token)
+        assert quick.token(token) == found, token
+        assert not (found and quick.no_way(token)), token
 
 
 def test_spelled_runs_are_skipped_only_without_weighted_words(weights):
