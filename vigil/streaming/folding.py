@@ -47,6 +47,10 @@ class Files:
     def delete(self, path: str) -> None:
         self._fs.delete(self._hpath(path), True)
 
+    def touch(self, path: str) -> None:
+        self._fs.mkdirs(self._hpath(path).getParent())
+        self._fs.createNewFile(self._hpath(path))
+
     def rename(self, path: str, to: str) -> None:
         self._fs.mkdirs(self._hpath(to).getParent())
         if not self._fs.rename(self._hpath(path), self._hpath(to)):
