@@ -24,15 +24,17 @@ def make(n, dim, seed, scale=1.0, heavy=False):
     rows[12][1] = [0.0] * dim
     rows[13][1] = []
     rows[14][0] = None
-    rows.append(list(rows[20]))
+    rows.append(list(rows[20]))  # a repeated row
+    rows.append([20, [float(np.float32(v)) for v in -x[21]], 0, 1, "s", 2])  # another vector under its id
+    rows.append([33, list(rows[20][1]), 0, 1, "s", 2])
     return [tuple(r) for r in rows]
 
 
 def usable(rows, zero=True):
-    return {
-        r[0]: r[1] for r in rows
+    return [
+        (r[0], r[1]) for r in rows
         if r[0] is not None and r[1] and all(v is not None and math.isfinite(v) for v in r[1]) and (zero or any(r[1]))
-    }
+    ]
 
 
 @pytest.mark.parametrize("heavy", [False, True])
@@ -40,11 +42,11 @@ def test_top_products_equal_brute_force(spark, heavy):
     rows = make(700, 16, 3, heavy=heavy)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     found = topk.top_products(df, every=10, k=7, candidate_block=64, query_block=16).collect()
-    vectors = {i: [math.floor(1024 * v) for v in x] for i, x in usable(rows).items()}
+    vectors = [(i, [math.floor(1024 * v) for v in x]) for i, x in usable(rows)]
     want = []
-    for q in vectors:
+    for at, (q, x) in enumerate(vectors):
         if q % 10 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(vectors[q], vectors[c])), c) for c in vectors if c != q)[:7]
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), c) for j, (c, y) in enumerate(vectors) if j != at)[:7]
             want += [(q, rank, c, -s) for rank, (s, c) in enumerate(scores, 1)]
     assert sorted(map(tuple, found)) == sorted(want)
 
@@ -62,24 +64,26 @@ def test_multi_index_recall_and_scores(spark):
     rows = make(3000, 24, 4)
     found = multi_index.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3), row_block=256, query_block=64).collect()
     vectors = usable(rows, zero=False)
-    ids = np.array(sorted(vectors))
-    x = np.array([vectors[i] for i in ids])
-    hits = total = 0
-    by_query = {}
-    for r in found:
-        by_query.setdefault(r.query_id, []).append(r)
-    assert set(by_query) == {i for i in vectors if i % 20 == 0}
-    for q, got in by_query.items():
-        got.sort(key=lambda r: r.rank)
-        assert [r.rank for r in got] == list(range(1, 21))
-        scores = x @ np.array(vectors[q])
-        order = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
-        hits += len({r.vec_id for r in got} & set(ids[order]))
-        total += 20
-        for r in got:
-            assert r.vec_id != q and abs(r.score - float(np.dot(vectors[q], vectors[r.vec_id]))) < 1e-9
-        assert [(-r.score, r.vec_id) for r in got] == sorted((-r.score, r.vec_id) for r in got)
-    assert hits / total >= 0.9
+    ids, x = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors])
+    asked = [at for at, i in enumerate(ids) if i % 20 == 0]
+    assert len(found) == 20 * len(asked)
+    hits = 0
+    for q in {int(ids[at]) for at in asked}:
+        got = [r for r in found if r.query_id == q]
+        rows_of_q = [at for at in asked if ids[at] == q]
+        assert sorted(r.rank for r in got) == sorted(list(range(1, 21)) * len(rows_of_q))
+        want, able = set(), set()
+        for at in rows_of_q:
+            scores = x @ x[at]
+            want |= {(round(float(scores[i]), 9), int(ids[i])) for i in [i for i in np.lexsort((ids, -scores)) if i != at][:20]}
+            able |= {(round(float(scores[i]), 9), int(ids[i])) for i in range(len(ids)) if i != at}
+        answers = {(round(r.score, 9), r.vec_id) for r in got}
+        assert answers <= able  # scores are exact
+        hits += len(answers & want) / max(1, len(want))
+        if len(rows_of_q) == 1:
+            got.sort(key=lambda r: r.rank)
+            assert [(-r.score, r.vec_id) for r in got] == sorted((-r.score, r.vec_id) for r in got)
+    assert hits / len({int(ids[at]) for at in asked}) >= 0.9
 
 
 def test_multi_index_with_a_cell_that_holds_most_rows_and_with_few(spark):
@@ -102,3 +106,39 @@ def test_traversal_visits_cells_by_summed_distance():
         b = multi_index.distances(np.r_[x[4:], 0][None], index.second)[0]
         sums = [a[i] + b[j] for i, j in cells]
         assert len(set(cells)) == 30 and sums == sorted(sums)
+
+
+def test_lengths_keep_block_pairs_from_being_shipped(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    x = r.standard_normal((2000, 8)) * (r.pareto(1.0, (2000, 1)) + 0.01)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs = {}
+    real = topk.surviving
+
+    def seen(*args):
+        later, spread = real(*args)
+        pairs["queries"], pairs["rows"] = later.select("qb", "cb").distinct().count(), spread.select("qb", "cb").distinct().count()
+        return later, spread
+
+    monkeypatch.setattr(topk, "surviving", seen)
+    found = topk.top_products(df, every=10, k=5, candidate_block=50, query_block=10)
+    y = np.floor(x * 1024)
+    scores = y[::10] @ y.T
+    scores[np.arange(200), np.arange(0, 2000, 10)] = -np.inf
+    want = {(10 * i, j + 1, int(o)) for i, s in enumerate(scores) for j, o in enumerate(np.lexsort((np.arange(2000), -s))[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} == want
+    assert pairs["queries"] == pairs["rows"] < 0.5 * 20 * 39
+
+
+def test_repeated_ids_and_rows_agree_with_the_sql(spark):
+    import duckdb
+
+    from vigil.llm.oracle import ORACLE
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [5.0, 1.0]), (2, [0.5, 3.0]), (2, [0.5, 3.0]), (100, [2.0, 2.0]), (100, [2.0, 2.0]), (100, [-1.0, 4.0])]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = con.sql(ORACLE["op8_top_products"]).fetchall()
+    found = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, found)) == sorted(want) and len(want) == 28

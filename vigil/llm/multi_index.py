@@ -6,10 +6,12 @@ of centroids. A query visits cells in order of the summed distance of its halves
 drawn from a heap over the two sorted lists, until the cells hold the wanted share of all
 rows; their entries are reranked by exact inner products.
 
-The centroids, and the share that reaches ``RECALL`` on held-out queries, are fitted on a
-bounded sample (``SAMPLE`` rows, taken by hash); every row is indexed. Rows of a cell's first
-half meet the queries in blocks of bounded size, so a cell that holds a third of all rows is
-many blocks.
+The centroids, whose number grows with the table, and the share that reaches ``RECALL`` on
+trial queries are fitted on a bounded sample (``SAMPLE`` rows, taken by hash); the trial rows
+are no part of the centroids' fit, but in samples of a few hundred rows. Every row is indexed.
+Rows of a cell's first half meet the queries in blocks of bounded size, so a cell that holds
+a third of all rows is many blocks. Queries are blocked by the cell that they lie in, and
+rows are sent to the query blocks that visit their first half only.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from vigil.llm.common import materialize
 from vigil.llm.labels import least_hashes
 from vigil.llm.vectors import best, first_k, matrix, packed_vectors
 
-CENTROIDS = 16  # of each half: 256 cells
+CENTROIDS = 16  # of each half at least: 256 cells; the fourth root of the rows if that is more
 SAMPLE = 20_000  # rows for fitting
 TRIALS = 200  # sampled queries that set the share of rows to visit
 RECALL = 0.97  # wanted on them
 ROUNDS = 12
 ROW_BLOCK = 8192
 QUERY_BLOCK = 2048
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 def halves(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +95,13 @@ class MultiIndex:
 
 def fit(sample: np.ndarray, longest: float, k: int, centroids: int = CENTROIDS) -> tuple[MultiIndex, float]:
     """The index of a sample, and the share of rows to visit for ``RECALL`` on trial queries from it."""
-    a, b = halves(sample, longest)
+    held = np.zeros(len(sample), dtype=bool)
+    held[:: max(1, len(sample) // TRIALS)] = True
+    trials = sample[held][:TRIALS]
+    a, b = halves(sample[~held] if len(sample) > 4 * TRIALS else sample, longest)
     index = MultiIndex(k_means(a, centroids), k_means(b, centroids, seed=1), longest)
     u, v = index.cells(sample)
     np.add.at(index.sizes, (u, v), 1)
-    trials = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
     needed = []
     for row, order in zip(trials, index.traverse(trials, np.inf)):
         at = {cell: i for i, cell in enumerate(order)}
@@ -109,14 +113,15 @@ def fit(sample: np.ndarray, longest: float, k: int, centroids: int = CENTROIDS)
     return index, min(1.0, share + 0.02)
 
 
-def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int = CENTROIDS, sample: int = SAMPLE,
+def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int | None = None, sample: int = SAMPLE,
             row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: k near rows of every row whose vec_id ``every`` divides.
 
     Vectors null, empty, zero or holding null or non-finite components take no part, and
-    rows without vec_id don't; of rows with one vec_id one counts. A query meets candidates
-    of its own dimension, not itself; ties go to the smaller vec_id; fewer candidates than k
-    are all returned. An empty table gives no rows; other columns are ignored.
+    rows without vec_id don't. Every row is a candidate and, if its id is asked for, a query:
+    rows that share a vec_id, or repeat a row, each have their own k. A query meets
+    candidates of its own dimension, not its own row; ties go to the smaller vec_id; fewer
+    candidates than k are all returned. An empty table gives no rows; other columns are ignored.
     """
     stored = materialize(packed_vectors(embeddings, drop_zero=True), "ann-vectors")
     parts = None
@@ -128,9 +133,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, centroids: int
     return best(parts, k)
 
 
-def _one_dimension(rows: DataFrame, dim: int, every: int, k: int, centroids: int, sample: int,
+def _one_dimension(rows: DataFrame, dim: int, every: int, k: int, centroids: int | None, sample: int,
                    row_block: int, query_block: int) -> DataFrame:
     total, longest = rows.agg(F.count(F.lit(1)), F.max("norm")).first()
+    centroids = centroids or max(CENTROIDS, round(total**0.25))
     # the sample: the rows with the smallest hashes, a bounded number whatever the table
     drawn = least_hashes(rows, sample, "vec_id").select("vec").collect()
     index, share = fit(np.frombuffer(b"".join(bytes(r["vec"]) for r in drawn), dtype="<f8").reshape(-1, dim), longest, k, centroids)
@@ -139,11 +145,12 @@ def _one_dimension(rows: DataFrame, dim: int, every: int, k: int, centroids: int
         for batch in batches:
             u, v = index.cells(matrix(batch.column("vec"), dim)) if batch.num_rows else (np.empty(0, int),) * 2
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("vec"), pa.array(u.astype(np.int32)), pa.array(v.astype(np.int32))],
-                names=["vec_id", "vec", "u", "v"],
+                [batch.column("row"), batch.column("vec_id"), batch.column("vec"), pa.array(u.astype(np.int32)),
+                 pa.array(v.astype(np.int32))], names=["row", "vec_id", "vec", "u", "v"],
             )
 
-    indexed = materialize(rows.select("vec_id", "vec").mapInArrow(place, "vec_id long, vec binary, u int, v int"), "ann-index")
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
+    indexed = materialize(numbered.mapInArrow(place, "row long, vec_id long, vec binary, u int, v int"), "ann-index")
     # one row for each cell
     index.sizes = np.zeros_like(index.sizes)
     for r in indexed.groupBy("u", "v").count().collect():
@@ -156,49 +163,52 @@ def _one_dimension(rows: DataFrame, dim: int, every: int, k: int, centroids: int
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids, packed = part.column("vec_id").to_pylist(), part.column("vec").to_pylist()
-                out: list[list] = [[], [], [], []]
-                for vec_id, vec, cells in zip(ids, packed, index.traverse(matrix(part.column("vec"), dim), wanted)):
+                keys = [part.column(c).to_pylist() for c in ("row", "vec_id", "vec", "qb")]
+                out: list[list] = [[], [], [], [], [], []]
+                for row, vec_id, vec, qb, cells in zip(*keys, index.traverse(matrix(part.column("vec"), dim), wanted)):
                     by_first: dict[int, list[int]] = {}
                     for u, v in cells:
                         by_first.setdefault(u, []).append(v)
                     for u, seconds in by_first.items():
-                        for column, value in zip(out, (vec_id, vec, u, seconds)):
+                        for column, value in zip(out, (row, vec_id, vec, qb, u, seconds)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()),
-                     pa.array(out[3], kind)], names=["query_id", "query", "u", "seconds"],
+                    [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), kind))],
+                    names=["query_row", "query_id", "query", "qb", "u", "seconds"],
                 )
 
     asked = indexed.filter(F.col("vec_id") % every == 0)
-    query_blocks = max(1, -(-asked.count() // query_block))
+    # query blocks hold queries of one first half: they visit much the same rows
+    held = {r["u"]: r["count"] for r in asked.groupBy("u").count().collect()}  # one row for each centroid
+    parts = F.lit([max(1, -(-held.get(u, 0) // query_block)) for u in range(centroids)])
+    part = F.pmod(F.xxhash64("row"), F.element_at(parts, F.col("u") + 1).cast("long"))
+    asked = asked.select("row", "vec_id", "vec", (F.col("u").cast("long") * F.lit(1 << 32) + part).alias("qb"))
+    visits = materialize(asked.mapInArrow(
+        visit, "query_row long, query_id long, query binary, qb long, u int, seconds array<int>"), "ann-visits")
     # the list of blocks has an entry for each first centroid
     count = F.element_at(F.lit(blocks), F.col("u") + 1)
-    visits = asked.select("vec_id", "vec").mapInArrow(visit, "query_id long, query binary, u int, seconds array<int>")
-    visits = visits.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), count - 1))
-    )
-    entries = indexed.withColumn("rb", F.pmod(F.xxhash64("vec_id"), count).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
+    needed = visits.select(F.col("u").alias("_u"), F.col("qb").alias("_qb")).distinct()
+    entries = indexed.withColumn("rb", F.pmod(F.xxhash64("row"), count).cast("int")).join(needed, F.col("u") == F.col("_u"))
+    entries = entries.select("row", "vec_id", "vec", "u", "v", "rb", F.col("_qb").alias("qb"))
+    visits = visits.withColumn("rb", F.explode(F.sequence(F.lit(0), count - 1)))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            ids, v, x = right.column("vec_id").to_numpy(), right.column("v").to_numpy(), matrix(right.column("vec"), dim)
-            q, q_ids, seconds = matrix(left.column("query"), dim), left.column("query_id").to_pylist(), left.column("seconds").to_pylist()
+            rows, ids, v, x = *(right.column(c).to_numpy() for c in ("row", "vec_id", "v")), matrix(right.column("vec"), dim)
+            q = matrix(left.column("query"), dim)
+            asking = list(zip(*(left.column(c).to_pylist() for c in ("query_row", "query_id", "seconds"))))
             for at in range(0, len(q), 256):
                 scores = q[at : at + 256] @ x.T
-                for row, query_id, visited in zip(scores, q_ids[at : at + 256], seconds[at : at + 256]):
+                for row, (query_row, query_id, visited) in zip(scores, asking[at : at + 256]):
                     open_cells = np.zeros(centroids, dtype=bool)
                     open_cells[visited] = True
-                    able = np.flatnonzero(open_cells[v] & (ids != query_id))
+                    able = np.flatnonzero(open_cells[v] & (rows != query_row))
                     top = able[first_k(row[able], ids[able], k)]
-                    out[0].extend([query_id] * len(top))
-                    out[1].extend(ids[top])
-                    out[2].extend(row[top])
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                        names=["query_id", "vec_id", "score"])
+                    for column, values in zip(out, ([query_row] * len(top), [query_id] * len(top), ids[top], row[top])):
+                        column.extend(values)
+        return pa.table([pa.array(c, pa.float64() if i == 3 else pa.int64()) for i, c in enumerate(out)],
+                        names=["query_row", "query_id", "vec_id", "score"])
 
     keys = ("u", "rb", "qb")
     return visits.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(rerank, FOUND)

@@ -8,7 +8,12 @@ Cauchy-Schwarz bound on the rest rules pairs out, and what is left is computed e
 integers. The longest vectors go first: their k-th score is the bar for all other blocks.
 
 Queries and candidates meet block by block in the cluster; each pair of blocks gives at most
-k rows for each query. Only the dimension-squared sums of products reach the driver.
+k rows for each query. Pairs of blocks that the lengths alone rule out are never shipped:
+after the first block a query needs candidates down to the length (its bar / its own
+length) only, so queries are ranked by that length and cut into blocks of like needs, and a
+block of candidates goes to the query blocks that reach down to it, which are the first
+ones. What reaches the driver is the dimension-squared sums of products and at most
+``STEPS`` lengths and counts, whatever the table.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.llm.common import materialize, ranked
 from vigil.llm.vectors import best, first_k, matrix, packed_vectors
@@ -28,7 +34,8 @@ CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 1024
 ENERGY = 0.75  # share of the squared lengths that the prefix of the rotated components holds
 LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
-FOUND = "query_id long, vec_id long, score long"
+STEPS = 4096  # lengths that tell how far down a query must look
+FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def to_integers(x: np.ndarray) -> np.ndarray:
@@ -71,8 +78,8 @@ def exact_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_top(q_ids, q, bars, c_ids, c, k: int, basis: np.ndarray, prefix: int):
-    """(query_id, vec_id, score) of up to k best pairs for each query of the block that can pass its bar."""
+def block_top(q_rows, q, bars, c_rows, c_ids, c, k: int, basis: np.ndarray, prefix: int):
+    """(place of the query, vec_ids, scores) of up to k best pairs for each query of the block that can pass its bar."""
     length_q, length_c = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     slack = 1e-9 * length_q * length_c.max(initial=0) + 1e-6  # of the rounding of the bounds
     live = np.flatnonzero(length_q * length_c.max(initial=0) + slack >= bars)
@@ -84,7 +91,7 @@ def block_top(q_ids, q, bars, c_ids, c, k: int, basis: np.ndarray, prefix: int):
         bound = rotated[:, :prefix] @ rotated_c[:, :prefix].T
         bound += np.sqrt((rotated[:, prefix:] ** 2).sum(1))[:, None] * rest_c[None, :]
         for j, i in enumerate(some):
-            able = np.flatnonzero((bound[j] + slack[i] >= bars[i]) & (c_ids != q_ids[i]))
+            able = np.flatnonzero((bound[j] + slack[i] >= bars[i]) & (c_rows != q_rows[i]))
             bar = bars[i]
             kept: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64)]
             able = able[np.argsort(-bound[j][able], kind="stable")] if len(able) > 4 * k else able
@@ -100,7 +107,7 @@ def block_top(q_ids, q, bars, c_ids, c, k: int, basis: np.ndarray, prefix: int):
                 if len(top) == k:
                     bar = max(bar, float(kept[0][-1]))
             if len(kept[0]):
-                yield q_ids[i], kept[1], kept[0]
+                yield i, kept[1], kept[0]
 
 
 def top_products(embeddings: DataFrame, every: int = 100, k: int = 10,
@@ -108,10 +115,11 @@ def top_products(embeddings: DataFrame, every: int = 100, k: int = 10,
     """query_id, rank, vec_id, score: the k largest integer products of every row whose vec_id ``every`` divides.
 
     Components are floor(1024 x). Vectors null, empty or holding null or non-finite
-    components take no part, and rows without vec_id don't; of rows with one vec_id one
-    counts. A query meets the candidates of its own dimension, not itself; if they are fewer
-    than k, all are returned. Ties go to the smaller vec_id; a score beyond a long is the
-    nearest long. An empty table gives no rows; other columns are ignored.
+    components take no part, and rows without vec_id don't. Every row is a candidate and, if
+    its id is asked for, a query: rows that share a vec_id, or repeat a row, each have their
+    own k. A query meets the candidates of its own dimension, not its own row; if they are
+    fewer than k, all are returned. Ties go to the smaller vec_id; a score beyond a long is
+    the nearest long. An empty table gives no rows; other columns are ignored.
     """
     stored = materialize(packed_vectors(embeddings, to_integers), "topk-vectors")
     parts = None
@@ -125,38 +133,72 @@ def top_products(embeddings: DataFrame, every: int = 100, k: int = 10,
 
 def _one_dimension(rows: DataFrame, dim: int, every: int, k: int, candidate_block: int, query_block: int) -> DataFrame:
     basis, prefix = rotation(rows, dim)
-    ordered = ranked(rows.select("vec_id", "norm", "vec"), [F.desc("norm"), F.col("vec_id")], "topk-norms")
+    # the last column tells repeated rows apart, so none of them pile up in a task
+    numbered = rows.select("vec_id", "norm", "vec", F.monotonically_increasing_id().alias("_at"))
+    ordered = ranked(numbered, [F.desc("norm"), F.col("vec_id"), F.col("_at")], "topk-norms").drop("_at")
     # block 0: the longest vectors
-    candidates = ordered.select("vec_id", "vec", F.expr(f"_rank div {candidate_block}").alias("cb"))
-    asked = ordered.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.select(
-        F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.expr(f"(_total - 1) div {candidate_block}").alias("last"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("qb"),
+    candidates = ordered.select(F.col("_rank").alias("row"), "vec_id", "vec", F.expr(f"_rank div {candidate_block}").alias("cb"))
+    asked = ordered.filter(F.col("vec_id") % every == 0).select(
+        F.col("_rank").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), "norm",
     )
-    spread = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    kind = T.StructType.fromDDL(FOUND)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             bars = np.array([-np.inf if b is None else float(b) for b in left.column("bar").to_pylist()])
-            for query_id, ids, scores in block_top(
-                left.column("query_id").to_numpy(), matrix(left.column("query"), dim), bars,
+            q_rows, q_ids = left.column("query_row").to_numpy(), left.column("query_id").to_numpy()
+            for i, ids, scores in block_top(
+                q_rows, matrix(left.column("query"), dim), bars, right.column("row").to_numpy(),
                 right.column("vec_id").to_numpy(), matrix(right.column("vec"), dim), k, basis, prefix,
             ):
-                out[0].extend([query_id] * len(ids))
-                out[1].extend(ids)
-                out[2].extend(scores)
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+                for column, values in zip(out, ([q_rows[i]] * len(ids), [q_ids[i]] * len(ids), ids, scores)):
+                    column.extend(values)
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=kind.names)
 
     def joined(queries: DataFrame, some: DataFrame) -> DataFrame:
-        return queries.groupBy("qb", "cb").cogroup(some.groupBy("qb", "cb")).applyInArrow(meet, FOUND)
+        queries = queries.select("query_row", "query_id", "query", "bar", "qb", "cb")
+        return queries.groupBy("qb", "cb").cogroup(some.groupBy("qb", "cb")).applyInArrow(meet, kind)
 
-    first = asked.withColumns({"cb": F.lit(0).cast("long"), "bar": F.lit(None).cast("long")})
-    longest = materialize(joined(first, spread.filter("cb = 0")), "topk-first")
-    bars = longest.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar")
-    )
-    later = asked.filter("last >= 1").withColumn("cb", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))))
-    later = later.join(bars, "query_id", "left")
-    return longest.unionByName(joined(later, spread.filter("cb > 0")))
+    blocks = max(1, -(-asked.count() // query_block))
+    first = asked.withColumns({
+        "cb": F.lit(0).cast("long"), "bar": F.lit(None).cast("long"), "qb": F.pmod(F.xxhash64("query_row"), F.lit(blocks)),
+    })
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    longest = materialize(joined(first, candidates.filter("cb = 0").withColumn("qb", every_block)), "topk-first")
+    later, spread = surviving(ordered, asked, candidates, longest, k, candidate_block, query_block)
+    return longest if later is None else longest.unionByName(joined(later, spread))
+
+
+def surviving(ordered: DataFrame, asked: DataFrame, candidates: DataFrame, longest: DataFrame, k: int,
+              candidate_block: int, query_block: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Queries (with ``qb``, ``cb`` and ``bar``) and candidates (with ``qb``, ``cb``) of the block pairs beyond block 0 that lengths allow."""
+    total = ordered.count()
+    last_block = (total - 1) // candidate_block
+    if last_block < 1:
+        return None, None
+    # the squared length that begins each step of so many blocks, the longest first
+    step = -(-last_block // STEPS)
+    begins = ordered.filter((F.col("_rank") >= candidate_block) & ((F.col("_rank") - candidate_block) % (step * candidate_block) == 0))
+    heads = sorted((r["norm"] for r in begins.select("norm").collect()), reverse=True)
+    bars = longest.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar"))
+    known = asked.join(bars, "query_row", "left")
+    bar = F.col("bar").cast("double")
+    # a candidate shorter than this cannot reach the bar; all lengths can where there is no bar above zero
+    need = F.when(bar > 0, bar * bar / F.col("norm") * (1 - 1e-9) - 1e-3).otherwise(F.lit(-1.0))
+    steps = F.size(F.filter(F.lit(heads), lambda head: head >= need)).cast("long")
+    known = known.withColumn("steps", steps).filter("steps > 0")
+    placed = ranked(
+        known.select("query_row", "query_id", "query", "bar", "steps"), [F.desc("steps"), F.col("query_row")], "topk-needs"
+    ).withColumn("qb", F.expr(f"_rank div {query_block}"))
+    # queries that look at least so many steps down come first: their number gives a step's query blocks
+    reach = {r["steps"]: r["n"] for r in placed.groupBy("steps").agg(F.count(F.lit(1)).alias("n")).collect()}
+    needing = [sum(n for s, n in reach.items() if s > at) for at in range(len(heads))]
+    last_qb = F.lit([(n - 1) // query_block if n else -1 for n in needing])
+    at = F.expr(f"(cb - 1) div {step}")
+    spread = candidates.filter("cb > 0").withColumn("_last", F.get(last_qb, at.cast("int"))).filter("_last >= 0").withColumn(
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long")))
+    ).drop("_last")
+    deepest = F.least(F.lit(last_block).cast("long"), F.col("steps") * step)
+    later = placed.withColumn("cb", F.explode(F.sequence(F.lit(1).cast("long"), deepest)))
+    return later.select("query_row", "query_id", "query", "bar", "qb", "cb"), spread

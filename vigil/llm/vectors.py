@@ -13,11 +13,11 @@ from pyspark.sql.window import Window
 
 def packed_vectors(embeddings: DataFrame, change: Callable[[np.ndarray], np.ndarray] | None = None,
                    drop_zero: bool = False) -> DataFrame:
-    """vec_id, dim, norm (squared length) and vec (little-endian doubles) of the usable rows, one for each vec_id.
+    """vec_id, dim, norm (squared length) and vec (little-endian doubles) of every usable row.
 
     Rows without vec_id, without a vector or components, or with null or non-finite
-    components take no part, nor zero vectors if ``drop_zero``. Of rows with the same vec_id
-    the one with the least bytes counts, so a repeated row counts once.
+    components take no part, nor zero vectors if ``drop_zero``. Rows that share a vec_id, or
+    all of their content, are rows of their own.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,9 +38,7 @@ def packed_vectors(embeddings: DataFrame, change: Callable[[np.ndarray], np.ndar
                 names=["vec_id", "dim", "norm", "vec"],
             )
 
-    rows = embeddings.select("vec_id", "embedding").mapInArrow(pack, "vec_id long, dim int, norm double, vec binary")
-    one = rows.groupBy("vec_id").agg(F.min(F.struct("dim", "vec", "norm")).alias("x"))
-    return one.select("vec_id", "x.dim", "x.norm", "x.vec")
+    return embeddings.select("vec_id", "embedding").mapInArrow(pack, "vec_id long, dim int, norm double, vec binary")
 
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -48,11 +46,11 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """The k first rows of each query by score, ties to the smaller vec_id, with their rank from 1.
+    """The k first rows of each query row (``query_row``) by score, ties to the smaller vec_id, with their rank from 1.
 
     Each query has at most k rows from each block, so no query's rows pile up in a task.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
