@@ -53,3 +53,14 @@ def test_written_shards_hold_every_row(spark, docs, rows, tmp_dir):
     back = spark.read.parquet(f"{tmp_dir}/shards")
     assert Counter((r.doc_id, r.text, r.score) for r in back.collect()) == Counter((r[0], r[1], "s") for r in rows)
     assert back.filter("shard >= 4").count() == 0
+
+
+def test_an_outlying_id_leaves_the_others_apart(spark):
+    rows = [(i, "text", "en", "s") for i in range(600)] + [(1 << 60, "text", "en", "s"), (-(1 << 60), "text", "en", "s"), (None, "text", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    edges = hilbert.quantile_edges(docs, "doc_id")
+    steps = {r.doc_id: r.s for r in docs.select("doc_id", hilbert.quantile_step(F.col("doc_id"), edges).alias("s")).collect()}
+    assert len({steps[i] for i in range(600)}) > 200 and steps[None] == 0 and max(steps.values()) < 256
+    found = hilbert.shard_documents(docs).collect()
+    assert len(found) == 603 and len({r.curve for r in found}) > 200
+    assert hilbert.quantile_edges(docs.limit(0), "doc_id") == []

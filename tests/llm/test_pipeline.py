@@ -53,11 +53,20 @@ def test_empty_documents(spark, docs, no_docs):
         assert current.count() == 0
 
 
-def test_odd_documents_keep_their_rows(spark, docs):
+def test_every_stage_takes_odd_documents(spark, docs, rows):
+    """Nulls in every column, empty and very long texts, repeats and clashing names, through all stages and through each alone."""
     current = docs
-    for _, stage in corpus_pipeline.STAGES[2:4]:
-        current = stage(spark, current, SF)
-    assert current.count() > 0 and current.columns == list(DOCUMENT_COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        alone = materialize(stage(spark, docs, SF), f"odd-alone-{name}")
+        current = materialize(stage(spark, current, SF), f"odd-{name}")
+        if name == "packing":
+            assert "sequence_id" in current.columns and alone.agg({"length": "sum"}).first()[0] > len(rows)
+        else:
+            assert current.columns == alone.columns == list(DOCUMENT_COLUMNS) and 0 < current.count() <= alone.count() <= len(rows)
+        if name == "secrets":
+            assert alone.count() == len(rows)
+    kept = materialize(corpus_pipeline.near_duplicate_stage(spark, docs, SF), "odd-kept").select("doc_id").collect()
+    assert len([r for r in kept if r.doc_id in (7, 8, 9, 10)]) == 1  # equal texts
 
 
 @pytest.mark.parametrize("name", [q for q in E.oracle_sql() if q.startswith("op")])

@@ -73,12 +73,18 @@ def curve_index(dims: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(cells, start, step, lambda acc: acc["index"])
 
 
-def scaled(column: Column, low, high, bits: int = BITS) -> Column:
-    """A number as its place between ``low`` and ``high`` in ``2**bits`` equal steps (null: 0)."""
-    top = (1 << bits) - 1
-    span = (high - low) if low is not None and high is not None and high > low else 1
-    place = F.floor((column.cast("double") - F.lit(float(low or 0))) / F.lit(float(span)) * top)
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(top), place)), F.lit(0)).cast("long")
+def quantile_edges(rows: DataFrame, column: str, bits: int = BITS) -> list:
+    """The values that part a numeric column into ``2**bits`` steps of nearly equal counts, a fixed number of them."""
+    steps = 1 << bits
+    found = rows.agg(F.percentile_approx(column, [i / steps for i in range(1, steps)], 100 * steps).alias("edges")).first()["edges"]
+    return sorted(set(found or []))
+
+
+def quantile_step(column: Column, edges: list) -> Column:
+    """A number's place among the edges: outlying values move no others (null: 0)."""
+    if not edges:
+        return F.lit(0).cast("long")
+    return F.coalesce(F.size(F.filter(F.lit(edges), lambda e: column > e)), F.lit(0)).cast("long")
 
 
 def log_scaled(column: Column, bits: int = BITS) -> Column:
@@ -95,13 +101,14 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = BITS) -> Data
     """doc_id, size, text_crc32, curve, law (``rows``), shard, slot, grown_shard for every row.
 
     ``size`` is the UTF-8 length of the text (null: none) plus one. The dimensions are size
-    (logarithmic), lang, source and doc_id (linear between the smallest and the largest).
-    Equal texts follow each other within their cell of the curve. The counts of the shards
-    differ by one at most (law ``rows``), whatever repeats; an empty table gives no rows, a
-    null in any dimension is its lowest step or a category of its own, and other columns
-    are ignored.
+    (logarithmic), lang, source and doc_id (by quantiles, so one outlying id does not put all
+    others into a single step). Equal texts follow each other within their cell of the curve.
+    The counts of the shards differ by one at most (law ``rows``), whatever repeats; ties are
+    in the order of text_crc32, size and doc_id; very long texts count by their size alone;
+    an empty table gives no rows, a null in any dimension is its lowest step or a category
+    of its own, and other columns are ignored.
     """
-    bounds = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    edges = quantile_edges(docs, "doc_id", bits)
     text = whole_text()
     rows = docs.select(
         "doc_id",
@@ -114,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = BITS) -> Data
         "doc_id", "size", "text_crc32",
         curve_index(
             [log_scaled(F.col("size"), bits), F.col("lang_cell"), F.col("source_cell"),
-             scaled(F.col("doc_id"), bounds[0], bounds[1], bits)],
+             quantile_step(F.col("doc_id"), edges)],
             bits,
         ).alias("curve"),
     )

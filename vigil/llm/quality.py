@@ -168,8 +168,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Dat
     """Per row: doc_id, held_out, score (0 to 1, higher: better), predicted (1: score of ``keep`` or more).
 
     Labels are used of rows outside the held-out fold only. Null and empty texts get a score
-    like any other, repeated rows come out each, an empty table gives no rows, other columns
-    are ignored. Without labels of both classes every score is the known class's.
+    like any other, very long ones are read whole; repeated rows come out each, with one score;
+    of several labels of a doc_id the largest counts; an empty table gives no rows, other
+    columns are ignored. Without labels of both classes every score is the known class's.
     """
     stats = document_statistics(docs)
     model, curve = fit(stats, labels)
@@ -193,7 +194,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFra
     """The rows of ``docs`` whose score is ``keep`` or more, unchanged.
 
     The model is fitted as in :func:`score_quality`; then each text is scored where it is
-    read, so no text is shuffled.
+    read, so no text is shuffled. Null and empty texts are judged as texts of no words, very
+    long ones whole, rows without doc_id like any row, repeated rows alike; all columns are
+    kept, whatever their names; an empty table stays empty.
     """
     model, curve = fit(document_statistics(docs), labels)
 

@@ -165,8 +165,11 @@ def scan_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 def redact_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, mask: str = MASK) -> DataFrame:
     """``docs`` with every reported span replaced by ``mask`` (overlapping spans by one).
 
-    Keeps every row and the columns of documents; ``n_chars`` follows the new text. Rows
-    without spans are unchanged.
+    Keeps every row, repeated ones too, and the columns of documents; ``n_chars`` follows
+    the new text. Rows without spans are unchanged: null and empty texts, very long texts
+    without a secret, rows without doc_id. Spans that touch the same characters are cut
+    once, from the first start to the last end. An empty table stays empty; columns other
+    than those of documents are dropped.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
     stored = candidate_documents(docs)
