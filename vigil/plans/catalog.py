@@ -29,6 +29,7 @@ from vigil.sources.validate import (
     bucket_total,
     log_reject_reason,
     metric_reject_reason,
+    outcome_report,
     reject_report,
     span_reject_reason,
     split_valid,
@@ -717,32 +718,25 @@ def q_attributes_text(spark, d):
     return views.logs(spark, d).select("log_id", text["type"].alias("type_text"), text["failed"].alias("failed_text"), text["k"].alias("k_text"))
 
 
-def _accepted_and_rejected(raw: DataFrame, flat: DataFrame, reason: Column) -> DataFrame:
-    """The reject report with a row for what was accepted: the counts add up to the requests sent."""
-    valid, rejected = otlp.split_requests(raw, flat, reason)
-    accepted = valid.agg(F.count(F.lit(1)).alias("rejected")).select(F.lit("accepted").alias("reject_reason"), "rejected")
-    return reject_report(rejected).unionByName(accepted)
-
-
 @query
 def q_ingest_otlp_log_rejects(spark, d):
     """I4 + I7 + I8: requests of which some are cut short or hold a malformed time."""
     raw = wire.otlp_log_requests(views.logs(spark, d), damaged=True)
-    return _accepted_and_rejected(raw, otlp.flatten_logs(raw), log_reject_reason())
+    return outcome_report(otlp.tag_requests(raw, otlp.flatten_logs(raw), log_reject_reason()))
 
 
 @query
 def q_ingest_metric_rejects(spark, d):
     """I5 + I7 + I8: also points without a value."""
     raw = wire.otlp_metric_requests(views.metrics(spark, d), damaged=True)
-    return _accepted_and_rejected(raw, otlp.flatten_metrics(raw), metric_reject_reason())
+    return outcome_report(otlp.tag_requests(raw, otlp.flatten_metrics(raw), metric_reject_reason()))
 
 
 @query
 def q_ingest_span_rejects(spark, d):
     """I6 + I7 + I8: also spans that end before they start."""
     raw = wire.otlp_span_requests(views.spans(spark, d), damaged=True)
-    return _accepted_and_rejected(raw, otlp.flatten_spans(raw), span_reject_reason())
+    return outcome_report(otlp.tag_requests(raw, otlp.flatten_spans(raw), span_reject_reason()))
 
 
 @query

@@ -27,6 +27,7 @@ from vigil.sources.validate import (
     received_ns,
     span_reject_reason,
     split_valid,
+    tag,
     unreadable_requests,
     zip_buckets,
 )
@@ -495,6 +496,12 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     )
 
 
+def tag_requests(raw: DataFrame, flat: DataFrame, reason: Column) -> DataFrame:
+    """All records of ``flat`` with their ``reject_reason``, and the requests of ``raw`` that could not be read."""
+    kept = tag(flat, reason).select("raw_body", "reject_reason", *_passthrough(flat))
+    return kept.unionByName(unreadable_requests(raw), allowMissingColumns=True)
+
+
 def split_requests(raw: DataFrame, flat: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """The records of ``flat`` split, with the requests of ``raw`` that could not be read among the rejected."""
     valid, rejected = split_valid(flat, reason)

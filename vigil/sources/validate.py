@@ -107,15 +107,20 @@ def span_reject_reason() -> Column:
     return _first_failure(rules)
 
 
+def tag(df: DataFrame, reason: Column) -> DataFrame:
+    """Rows with ``reject_reason``: an input error found while reading, else the first failing rule, NULL when valid."""
+    if INPUT_ERROR in df.columns:
+        reason = F.coalesce(F.col(INPUT_ERROR), reason)
+    return df.withColumn("reject_reason", reason).drop(INPUT_ERROR)
+
+
 def split_valid(df: DataFrame, reason: Column, on_error: str = "split") -> tuple[DataFrame, DataFrame]:
     """Tag rows with ``reject_reason`` and split them.
 
     ``on_error="fail"`` raises if any row is invalid (one small aggregate
     action); otherwise both frames are returned lazily.
     """
-    if INPUT_ERROR in df.columns:
-        reason = F.coalesce(F.col(INPUT_ERROR), reason)
-    tagged = df.withColumn("reject_reason", reason).drop(INPUT_ERROR)
+    tagged = tag(df, reason)
     # provenance (file, positions) is kept for the quarantine only
     location = [c for c in LOCATION if c in df.columns]
     valid = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason", *location)
@@ -129,6 +134,12 @@ def split_valid(df: DataFrame, reason: Column, on_error: str = "split") -> tuple
     return valid, rejected
 
 
+def outcome_report(tagged: DataFrame) -> DataFrame:
+    """I8: tagged rows counted by outcome, accepted ones too: the counts add up to what was sent, in one pass."""
+    outcome = F.coalesce("reject_reason", F.lit("accepted"))
+    return tagged.groupBy(outcome.alias("reject_reason")).agg(F.count(F.lit(1)).alias("rejected"))
+
+
 def reject_report(rejected: DataFrame) -> DataFrame:
     """I8: rejected row counts per reason."""
     return rejected.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rejected"))
