@@ -65,6 +65,7 @@ SPELLED = re.compile(r"(?<![^\s(\[{<«\"'])[^\s.,;:/*_\-](?:[\s.,;:/*_\-]+[^\s.,
 GAP = re.compile(r"[\s.,;:/*_\-]+")
 EDGE = ".,;:!?\"'’»«)(…[]{}&%#*~^=<>/\\"
 STRICT = re.compile(r"\*|([^\w\s]|\d)\1")
+LOOKS = re.compile("[" + "".join(map(re.escape, (c for c in LOOK_ALIKE if c > "z"))) + "]")
 PLAIN_EDGE = "".join(c for c in EDGE if c not in LOOK_ALIKE and c != "*")
 BETWEEN = re.compile(rf"[^{re.escape(SEPARATORS.replace('*', ''))}]+")
 BYTE_SYMBOL = bytes(b - 96 if 97 <= b <= 122 else OTHER if b >= 128 else END for b in range(256))
@@ -350,7 +351,7 @@ class Spellings:
         return any(word[s] > least for s in states if s > 0)
 
 
-HEAD = 3  # letters by which most words are told from all weighted ones
+HEAD = 4  # letters by which most words are told from all weighted ones
 
 
 def squeezed(word: str) -> str:
@@ -371,6 +372,7 @@ class Weights:
         bare = [f.removeprefix("=") for f in weights]
         self.heads = {f[:HEAD] for f in bare}
         self.squeezed_heads = {squeezed(f)[:HEAD] for f in bare}
+        self.ways: dict[str, bool] = {}
         self.whole = {f[1:] for f in weights if f[0] == "=" and len(f) > 4}
         self.beginnings = {w[:k] for w in self.whole for k in range(1, len(w))}
 
@@ -400,9 +402,16 @@ class Weights:
         found = {}
         for i, first in enumerate(tokens):
             if first not in self.beginnings:
+                if first[0] not in EDGE:
+                    continue
                 first = first.lstrip(EDGE)
                 if first not in self.beginnings:
                     continue
+            if i + 1 == len(tokens):
+                break
+            pair = first + tokens[i + 1]
+            if pair not in self.beginnings and pair.rstrip(EDGE) not in self.whole:
+                continue
             bits, j = [first], i + 1
             while j < len(tokens):  # ends with the longest weighted word
                 bits.append(tokens[j])
@@ -462,6 +471,37 @@ class Weights:
         known[token] = found
         return found
 
+    def no_way(self, token: str) -> bool:
+        """Whether the token is a word whose first letters alone tell it from all weighted ones.
+
+        It has letters only, none of them a look-alike, so only doubled letters and accents
+        have other readings: all begin alike once runs of equal letters are one.
+        """
+        core = token
+        if not core.isalpha():
+            core = token.strip(EDGE)
+            if not core.isalpha() or core != token.strip(PLAIN_EDGE):
+                return False
+        if not core.isascii() and LOOKS.search(core):
+            return False
+        head = core[: HEAD + 1]
+        way = self.ways.get(head)
+        if way is None:
+            if len(self.ways) >= CACHED:
+                self.ways.clear()
+            way = self.ways[head] = self._begins(head, len(core) > len(head))
+        return not way
+
+    def _begins(self, head: str, more: bool) -> bool:
+        """Whether a word with these first letters may begin like a weighted one; ``more`` letters follow."""
+        for way in {head, folded(head)}:
+            short = squeezed(way)
+            if more and len(short) < HEAD:
+                return True  # told by later letters
+            if any(short[:k] in self.squeezed_heads for k in range(1, HEAD + 1)):
+                return True
+        return False
+
     def undecoded(self, token: str) -> tuple[float, ...] | None:
         """The token's weights where decoding it can add none, or None.
 
@@ -469,12 +509,6 @@ class Weights:
         """
         if word := plain_word(token):
             return (w,) if (w := self.word(word)) > 0 else ()
-        core = token.strip(EDGE)
-        if core.isalpha() and core == token.strip(PLAIN_EDGE) and not any(c in LOOK_ALIKE for c in core if c > "z"):
-            # one word, of which only doubled letters and accents have other readings
-            ways = (core,) if core.isascii() else (core, folded(core))
-            if not any(squeezed(w)[:k] in self.squeezed_heads for w in ways for k in range(1, HEAD + 1)):
-                return ()
         found = tuple(w for path in plain_paths(token) for _, _, x in path if (w := self.word(x)) > 0)
         if len(found) > 1 or ("*" in token and self.struck(token)):
             return None
@@ -485,13 +519,18 @@ class Weights:
     def summary(self, text: str) -> list[float]:
         """Strongest weight, sum and number of weighted words, their share, and the distinct words."""
         text = text.lower()
-        known, found = self.tokens, []
+        known, ways, found = self.tokens, self.ways, []
         tokens = text.split()
         distinct = set(tokens)
         for t in distinct:
-            w = known.get(t)
+            if ways.get(t[: HEAD + 1]) is False and t.isascii() and t.isalpha():
+                continue  # as no_way finds, for most tokens
+            key = t.strip(PLAIN_EDGE)  # signs that stand for nothing else
+            w = known.get(key)
             if w is None:
-                w = self.token(t)
+                if self.no_way(key):
+                    continue
+                w = self.token(key)
             if w:
                 found.extend(w)
         for readings in spelled_readings(text, self.model, self.spellings):
@@ -569,7 +608,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC)
     """Per row: doc_id, held_out, score (0 to 1, higher: more toxic), predicted (1: ``threshold`` or more).
 
     Labels are used of rows outside the held-out fold only. Null and empty texts are scored
-    as texts without words, repeated rows come out each, an empty table gives no rows, other
+    as texts without words, very long ones whole; repeated rows come out each, with one score;
+    of several labels of a doc_id the largest counts; an empty table gives no rows, other
     columns are ignored. Without labels of both classes all scores are equal and low.
     """
     weights, curve = fit(docs, labels)
@@ -587,7 +627,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, unchanged; no text is shuffled but the sample's."""
+    """The rows of ``docs`` that score below ``threshold``, unchanged; no text is shuffled but the sample's.
+
+    A score equal to the threshold goes. Null and empty texts are judged as texts without
+    words, rows without doc_id or other values like any row, repeated rows alike; all
+    columns are kept, whatever their names; an empty table stays empty.
+    """
     weights, curve = fit(docs, labels)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
