@@ -54,9 +54,12 @@ def grouped_percentiles(
     for name, p in probs.items():
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"percentile {name}={p} outside [0, 1]")
-    times = F.lit(1) if weight is None else F.col(weight)
-    vals = df.select(*keys, F.col(value).alias("_v"), times.alias("_w")).where(F.col("_v").isNotNull())
-    counted = vals.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"), F.sum(F.col("_v") * F.col("_w")).alias("_s"))
+    if weight is None:
+        vals = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+        counted = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"))
+    else:
+        vals = df.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w")).where(F.col("_v").isNotNull())
+        counted = vals.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c"), F.sum(F.col("_v") * F.col("_w")).alias("_s"))
     counted = counted.withColumn("_bin", _bin(F.col("_v")))
     bins = counted.groupBy(*keys, "_bin").agg(
         F.sum("_c").alias("_bc"), F.sum("_s").alias("_bs"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
