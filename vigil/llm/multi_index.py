@@ -10,7 +10,7 @@ The centroids, whose number grows with the table, and the share that reaches ``R
 trial queries are fitted on a bounded sample (``SAMPLE`` rows, taken by hash); the trial rows
 are no part of the centroids' fit, but in samples of a few hundred rows. Every row is indexed.
 Rows of a cell's first half meet the queries in blocks of bounded size, so a cell that holds
-a third of all rows is many blocks. Queries are blocked by the cell that they lie in, and
+a third of all rows is many blocks. Queries are blocked by the first half that they lie in, and
 rows are sent to the query blocks that visit their first half only.
 """
 
@@ -178,11 +178,12 @@ def _one_dimension(rows: DataFrame, dim: int, every: int, k: int, centroids: int
                 )
 
     asked = indexed.filter(F.col("vec_id") % every == 0)
-    # query blocks hold queries of one first half: they visit much the same rows
+    # queries in the order of their first halves, cut into blocks: those of a block visit much the same rows
     held = {r["u"]: r["count"] for r in asked.groupBy("u").count().collect()}  # one row for each centroid
-    parts = F.lit([max(1, -(-held.get(u, 0) // query_block)) for u in range(centroids)])
-    part = F.pmod(F.xxhash64("row"), F.element_at(parts, F.col("u") + 1).cast("long"))
-    asked = asked.select("row", "vec_id", "vec", (F.col("u").cast("long") * F.lit(1 << 32) + part).alias("qb"))
+    sizes = np.array([held.get(u, 0) for u in range(centroids)])
+    first = F.element_at(F.lit((np.cumsum(sizes) - sizes).tolist()), F.col("u") + 1)
+    place = first + F.pmod(F.xxhash64("row"), F.element_at(F.lit(np.maximum(sizes, 1).tolist()), F.col("u") + 1))
+    asked = asked.select("row", "vec_id", "vec", F.call_function("div", place.cast("long"), F.lit(query_block)).alias("qb"))
     visits = materialize(asked.mapInArrow(
         visit, "query_row long, query_id long, query binary, qb long, u int, seconds array<int>"), "ann-visits")
     # the list of blocks has an entry for each first centroid
