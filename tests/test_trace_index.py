@@ -100,3 +100,17 @@ def test_indexes_of_batches_merge(spark):
     merged = trace_index.merge_index(parts[0].unionByName(parts[1]))
     whole = trace_index.index_rows(spans)
     assert sorted(map(str, merged.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_the_index_expires_with_its_spans(spark, tmp_dir):
+    from vigil.operators.retention import RetentionPolicy, enforce_retention
+
+    spans = make_spans(spark, seed=4)
+    trace_index.write_index(spans, f"{tmp_dir}/tiers")
+    cutoff = F.lit("2023-11-17 12:00:00").cast("timestamp")
+    done = enforce_retention(spark, {}, f"{tmp_dir}/tiers", "2023-11-19 12:00:00", RetentionPolicy({"traces": 2}))
+    index, _ = trace_index.read_index(spark, f"{tmp_dir}/tiers")
+    whole = trace_index.index_rows(spans)
+    kept = whole.where(F.col("last_ts") >= cutoff)
+    assert done[trace_index.DAYS]["dropped_days"] > 0 and 0 < kept.count() < whole.count()
+    assert sorted(map(str, index.select(whole.columns).collect())) == sorted(map(str, kept.collect()))
