@@ -161,3 +161,15 @@ def test_days_are_indexed_again(spark, gram_table):
 
 def test_ns_days(spark):
     assert str(spark.range(1).select(F.to_date(ns_to_ts(F.lit(BASE_NS))).alias("d")).first().d) == "2023-11-14"
+
+
+def test_grams_split_a_text_once(spark):
+    """A text of 40,000 letters took minutes when it was split again for each gram."""
+    import time
+
+    texts = [("ab" * 20_000 + "xyz",), ("ab",), ("",), (None,), ("ÄBc",)]
+    df = spark.createDataFrame(texts, "t string")
+    began = time.monotonic()
+    found = [len(r.g) for r in df.select(skip_index.grams(F.col("t")).alias("g")).collect()]
+    assert found == [5, 0, 0, 0, 1]
+    assert time.monotonic() - began < 30

@@ -24,10 +24,13 @@ KNOWN = 0
 
 def grams(text: Column) -> Column:
     """The distinct grams of a text in lower case, hashed; none for texts of fewer letters."""
-    letters = F.split(F.lower(text), "")
-    at = F.sequence(F.lit(0), F.size(letters) - GRAM)
-    hashed = F.transform(at, lambda i: F.xxhash64(*[F.get(letters, i + k) for k in range(GRAM)]))
-    return F.when(F.size(letters) >= GRAM, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+    def hashed(letters: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(letters) - GRAM)
+        found = F.transform(at, lambda i: F.xxhash64(*[F.get(letters, i + k) for k in range(GRAM)]))
+        return F.when(F.size(letters) >= GRAM, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+
+    # the text is split once, as the one element of an array, and not again for each of its grams
+    return F.get(F.transform(F.array(F.split(F.lower(text), "")), hashed), F.lit(0))
 
 
 def gram_rows(rows: DataFrame, column: str, *keys: str) -> DataFrame:
