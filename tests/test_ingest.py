@@ -337,3 +337,17 @@ def test_quarantined_points_are_kept_as_sent(spark, tmp_dir):
 def test_request_times_are_rfc3339(spark, text, ns):
     got = spark.createDataFrame([(text,)], "t string").select(native_json.rfc3339_to_ns(F.col("t")).alias("ns")).first()
     assert got.ns == ns
+
+
+def test_deep_values_are_converted_in_one_go(spark, monkeypatch):
+    """The way of one pass for each level is for odd text only, and both ways agree."""
+    inner = '{"kvlistValue":{"values":[{"key":"]}}","value":{"stringValue":"}]}}"}},{"key":"gone"},{"value":{"arrayValue":{}}}]}}'
+    odd = '{"arrayValue":{"values":[{"intValue":"1}2"},{"foo":[1]}]}}'
+    texts = ['{"arrayValue":{"values":[' * n + inner + "]}}" * n for n in (1, 10, 200)] + [odd]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    both = df.select(F.to_json(otlp.nested_value(F.col("t"))).alias("v"), otlp._at_once(F.col("t")).alias("fast")).collect()
+    monkeypatch.setattr(otlp, "_at_once", lambda text: F.lit(None).cast("string"))
+    slow = df.select(F.to_json(otlp.nested_value(F.col("t"))).alias("v")).collect()
+    assert [r.v for r in both] == [r.v for r in slow]
+    assert [r.fast is None for r in both] == [False, False, False, True]
+    assert json.loads(both[1].fast) == json.loads("[" * 10 + '{"]}}":"}]}}","":[]}' + "]" * 10)

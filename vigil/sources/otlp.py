@@ -88,26 +88,89 @@ def _nesting(text: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["most"])
 
 
-def nested_value(text: Column) -> Column:
-    """An array or kvlist AnyValue as compact OTLP JSON text -> its plain JSON value, at any depth.
+# The same conversion in one go, for text that is an AnyValue throughout. No string of compact JSON
+# holds {" and a name, so what begins with them needs no mask. Once scalars, empty values and what
+# opens a value are converted, the other brackets tell what they are by themselves: "]}}" ends an
+# array or a kvlist, any other "}" ends an entry, and only kvlists end behind an entry. \x07 and \x08
+# stand around the key of an entry, \x0e behind its value; \x0b and \x0c are an empty array and kvlist.
+_LEAVES = (
+    (rf'\{{"(?:(?:stringValue|bytesValue)":({_STR})|boolValue":(true|false)|intValue":"?(-?[0-9]+)"?'
+     r'|doubleValue":(-?[0-9][0-9.eE+-]*))\}', "$1$2$3$4"),
+    (r'\{"(?:doubleValue":"?[A-Za-z-]+"?|(?:string|bool|int|double|bytes)Value":null)\}', "\x06"),
+    (r'\{"arrayValue":(?:null|\{(?:"values":(?:null|\[\]))?\})\}', "\x0b"),
+    (r'\{"kvlistValue":(?:null|\{(?:"values":(?:null|\[\]))?\})\}', "\x0c"),
+    (rf'\{{(?:"key":{_STR}(?:,"value":null)?|"value":null)\}}', "\x01"),
+    (rf'\{{"key":({_STR}),"value":', "\x07$1\x08"),
+)
+_OPENED = (('{"arrayValue":{"values":[', "\x04"), ('{"kvlistValue":{"values":[', "\x02"), ('{"value":', '\x07""\x08'))
+# brackets outside strings: each match takes the strings before it
+_CLOSED = tuple(
+    (rf'\G((?:{_STR}|[^"\{found[0]}]++)*+)' + "".join("\\" + c for c in found), "$1" + to)
+    for found, to in (("{}", "\x06"), ("]}}", "\x05"), ("}", "\x0e"))
+)
+# What follows what in such text: values in arrays, entries in kvlists, one value in an entry. As the text was
+# JSON, its brackets match, and an object with more members would show a colon.
+_VALUE = r"(?=[^,:{}\[\]\x01\x03\x05\x07\x08\x0e])"
+_WELL_FORMED = (
+    rf"^(?:\x04{_VALUE}|\x02(?=[\x07\x01])|\x07{_STR}\x08{_VALUE}"
+    rf'|(?:{_STR}|[^\x01-\x0f",:{{}}\[\]]++|[\x03\x05\x06\x0b\x0c])(?=[,\x05\x0e]|\z)'
+    rf"|[\x0e\x01](?=[,\x03])|(?<=[\x0e\x01]),(?=[\x07\x01])|(?<![\x0e\x01]),{_VALUE})++\z"
+)
+_SHOWN = (("\x02", "{"), ("\x03", "}"), ("\x04", "["), ("\x05", "]"), ("\x06", "null"), ("\x07", ""), ("\x08", ":"), ("\x0e", ""),
+          ("\x0b", "[]"), ("\x0c", "{}"))
 
-    Strings are opaque: what they hold never counts as structure. Each pass converts the
-    innermost values, so there are as many passes as levels; the expression does not grow
-    with the depth. Text that is no well-formed AnyValue stays text.
-    """
+
+def _replaced(text: Column, *pairs: tuple[str, str]) -> Column:
+    for found, to in pairs:
+        text = F.replace(text, F.lit(found), F.lit(to))
+    return text
+
+
+def _at_once(text: Column) -> Column:
+    """Compact AnyValue text with all its levels converted; NULL if some part of it is no AnyValue."""
+    for pattern, to in _LEAVES:
+        text = F.regexp_replace(text, pattern, to)
+    text = _replaced(text, *_OPENED)
+    for pattern, to in _CLOSED:
+        text = F.regexp_replace(text, pattern, to)
+    text = _replaced(text, ("\x0e\x05", "\x0e\x03"), ("\x01\x05", "\x01\x03"))
+
+    def finish(t: Column) -> Column:
+        dropped = F.regexp_replace(t, r"(?<=\x02)(?:\x01,?)++|,\x01", "")
+        return F.when(t.rlike(_WELL_FORMED), _replaced(F.when(t.contains("\x01"), dropped).otherwise(t), *_SHOWN))
+
+    return _once(text, finish)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once and not per use: as the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _level_by_level(safe: Column) -> Column:
+    """Masked text with every AnyValue in it converted, innermost first, in as many passes as brackets nest."""
     def one_pass(t: Column, _: Column) -> Column:
         for pattern, to in _PASS:
             t = F.regexp_replace(t, pattern, to)
         return t
 
-    # in an array of its own, the masked text is computed once and not per use
-    def convert(safe: Column) -> Column:
-        plain = F.aggregate(F.sequence(F.lit(1), F.greatest(_nesting(safe), F.lit(1))), safe, one_pass)
-        plain = F.regexp_replace(F.regexp_replace(plain, r"(?<=[\x02\x04])(?:\x01,?)+|,\x01", ""), r"\x06", "null")
-        return F.translate(plain, "\x02\x03\x04\x05" + _MASKS, "{}[]" + _BRACKETS)
+    plain = F.aggregate(F.sequence(F.lit(1), F.greatest(_nesting(safe), F.lit(1))), safe, one_pass)
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?<=[\x02\x04])(?:\x01,?)+|,\x01", ""), r"\x06", "null")
+    return F.translate(plain, "\x02\x03\x04\x05" + _MASKS, "{}[]" + _BRACKETS)
+
+
+def nested_value(text: Column) -> Column:
+    """An array or kvlist AnyValue as compact OTLP JSON text -> its plain JSON value, at any depth.
+
+    Strings are opaque: what they hold never counts as structure. The work grows with the
+    text, not with its depth; only text with parts that are no AnyValue is converted level
+    by level. Text that is no well-formed AnyValue stays text.
+    """
+    def convert(t: Column) -> Column:
+        plain = F.coalesce(_at_once(t), _once(masked(t), _level_by_level))
+        return F.coalesce(F.try_parse_json(plain), t.cast("variant"))
 
-    plain = F.get(F.transform(F.array(masked(text)), convert), F.lit(0))
-    return F.coalesce(F.try_parse_json(plain), text.cast("variant"))
+    return _once(text, convert)
 
 
 def _nested_text(av: Column) -> Column:
@@ -122,9 +185,11 @@ def _nested_text(av: Column) -> Column:
 
 def not_integer(av: Column) -> Column:
     """TRUE if an AnyValue, or one inside it, was sent as an integer that does not read as one."""
+    # in compact JSON no string holds {" and a name, so nothing needs to be masked; short integers need no further look
     def bad(text: Column) -> Column:
-        found = F.regexp_extract_all(masked(text), F.lit(r'\{"intValue":"?([^"}]*+)"?\}'))
-        return F.exists(found, lambda n: (n != "null") & n.try_cast("bigint").isNull())
+        found = F.regexp_extract_all(text, F.lit(r'\{"intValue":"?((?<=")[^"]*+|(?<!")[^"}]*+)"?\}'))
+        doubtful = text.rlike(r'\{"intValue":(?!"-?[0-9]{1,18}"|-?[0-9]{1,18}\})')
+        return doubtful & F.exists(found, lambda n: (n != "null") & n.try_cast("bigint").isNull())
 
     holds = av["arrayValue"].isNotNull() | av["kvlistValue"].isNotNull()
     own = av["intValue"].isNotNull() & av["intValue"].try_cast("bigint").isNull()
