@@ -76,3 +76,19 @@ def test_cache_overflow_changes_nothing(model, reference, monkeypatch):
     entries = bpe.ChunkCache(model, lambda ids: ids, list.__add__)
     text = "one two three four five one two six seven one"
     assert [i for part in entries.of(text) for i in part] == reference.encode_ordinary(text)
+
+
+def test_a_new_word_is_matched_once(monkeypatch):
+    """A word that the cache lacks is told by its parts alone, and its ids are the library's."""
+    import public_tokenizers
+    from vigil.llm import bpe
+
+    model = bpe.ByteBpe.from_json(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["abcde", "Éàü", "word,", "end.\nNext", "end.\nNext!", "end\nNext"]
+    wanted = [model.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in words]
+    matched = []
+    plain = bpe.WORD_AND_SIGNS
+    monkeypatch.setattr(bpe, "WORD_AND_SIGNS", lambda chunk: matched.append(chunk) or plain(chunk))
+    entries = bpe.ChunkCache(model, list, list.__add__)
+    assert [entries[w] for w in words] == wanted
+    assert not [m for m in matched if m.startswith(" ")]

@@ -125,13 +125,17 @@ class ByteBpe:
         if not simple:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         word, signs = simple.groups()
-        if word.isascii():  # of its bytes only the space is shown as another character
-            named = self.shown[32] + word[1:] if word[0] == " " else word
-        else:
-            named = "".join([self.shown[b] for b in word.encode()])
-        found = [t.id for t in self.model_tokens(named)]
+        found = self.encode_spaced(word[1:]) if word[0] == " " else [t.id for t in self.model_tokens(self.named(word))]
         return found + [t.id for t in self.model_tokens(signs)] if signs else found
 
+    def named(self, word: str) -> str:
+        """A word with its bytes shown as the model knows them; ASCII letters are shown as they are."""
+        return word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+
+    def encode_spaced(self, word: str) -> list[int]:
+        """The ids of letters, known to be nothing else, behind a space."""
+        return [t.id for t in self.model_tokens(self.shown[32] + self.named(word))]
+
 
 class ChunkCache(dict):
     """What ``make(ids)`` gives for each chunk after the first of a text, by the chunk without its space.
@@ -155,16 +159,20 @@ class ChunkCache(dict):
 
     def __missing__(self, rest: str):
         parts = PARTS(rest)
-        if parts is None or len(parts[1]) == len(rest):
+        if parts is None:
             found = self.make(self.bpe.encode_chunk(" " + rest))
         else:
-            found = self[parts[1]]
-            if parts[2]:
-                found = self.join(found, self.part(parts[2]))
-            if parts[3]:
-                found = self.join(self.join(found, self.part("\n")), self.part(parts[3]))
-                if parts[4]:
-                    found = self.join(found, self.part(parts[4]))
+            word, signs, next_word, next_signs = parts.groups()
+            if len(word) == len(rest):
+                found = self.make(self.bpe.encode_spaced(word))
+            else:
+                found = self[word]
+                if signs:
+                    found = self.join(found, self.part(signs))
+                if next_word:
+                    found = self.join(self.join(found, self.part("\n")), self.part(next_word))
+                    if next_signs:
+                        found = self.join(found, self.part(next_signs))
         if len(rest) < LONG_CHUNK:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
